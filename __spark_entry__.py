@@ -15,7 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeprep import operators as ops
-from lakeprep.sources.lake import read_table
+from lakeprep.functions.identifiers import clean_identifier, folder_name, job_identifier, split_lake_path
+from lakeprep.functions.rules import DEFAULT_RULES, classify, rule, rules_sql
+from lakeprep.plans.jobs import run_store_job
+from lakeprep.plans.recipe import Recipe
+from lakeprep.session import scratch_path
+from lakeprep.sinks.files import land_csv, store_parquet, write_csv, write_json, write_parquet
+from lakeprep.sinks.tables import save_snapshot
+from lakeprep.sources.lake import load_saved, read_table
+from lakeprep.sources.text import read_csv, read_json
+from lakeprep.streaming.refresh import refresh_once
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -244,6 +253,141 @@ def compare_columns(spark, sf_dir):
     return _round_doubles(ops.compare_columns(_t(spark, sf_dir, "lineitem"), "l_tax", "l_returnflag"))
 
 
+
+# --------------------------------------------------------------------------- sources and sinks
+# Each round trip writes the whole table to a fresh folder under the shared
+# scratch root (spark.checkpoint.dir), then reads it back with our readers.
+
+def csv_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "csv-roundtrip")
+    write_csv(_t(spark, sf_dir, "orders"), path)
+    return read_csv(spark, path)
+
+
+def csv_infer_types(spark, sf_dir):
+    path = scratch_path(spark, "csv-infer")
+    write_csv(_t(spark, sf_dir, "events"), path)
+    return ops.schema_report(read_csv(spark, path))
+
+
+def csv_events_values(spark, sf_dir):
+    path = scratch_path(spark, "csv-events")
+    write_csv(_t(spark, sf_dir, "events"), path)
+    return read_csv(spark, path)
+
+
+def json_roundtrip(spark, sf_dir):
+    events = _t(spark, sf_dir, "events")
+    path = scratch_path(spark, "json-roundtrip")
+    write_json(events, path)
+    return read_json(spark, path, schema=events.schema)
+
+
+def json_infer(spark, sf_dir):
+    path = scratch_path(spark, "json-infer")
+    write_json(_t(spark, sf_dir, "customer"), path)
+    return read_json(spark, path)
+
+
+def parquet_roundtrip(spark, sf_dir):
+    base = scratch_path(spark, "lake")
+    report = store_parquet(_t(spark, sf_dir, "lineitem"), base, "lineitem")
+    return spark.read.parquet(report.location)
+
+
+def snapshot_roundtrip(spark, sf_dir):
+    name = "snapshot_" + scratch_path(spark, "x").rsplit("-", 1)[-1]
+    save_snapshot(_t(spark, sf_dir, "customer"), name, location=scratch_path(spark, "snapshot"))
+    return load_saved(spark, name)
+
+
+def land_and_refresh(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    base = scratch_path(spark, "landing")
+    land_csv(orders, base, "orders")
+    return refresh_once(spark, base, "orders", f"{base}/tables/orders", schema=orders.schema,
+                        checkpoint=f"{base}/checkpoints/orders")
+
+
+def land_and_append(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    base = scratch_path(spark, "landing")
+    land_csv(orders.where(F.col("o_orderstatus") == "F"), base, "orders")
+    land_csv(orders.where(F.col("o_orderstatus") != "F"), base, "orders")
+    return refresh_once(spark, base, "orders", f"{base}/tables/orders", schema=orders.schema,
+                        mode="append", checkpoint=f"{base}/checkpoints/orders")
+
+
+# --------------------------------------------------------------------------- functions F1-F5
+
+def classify_rules(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", classify("text").alias("label"))
+
+
+LANGUAGE_RULES = (
+    rule("english", ["the "], none_of=[" le ", " der "]),
+    rule("french", [" le ", " les "]),
+    rule("spanish", [" el ", " los "]),
+    rule("german", [" der ", " die "]),
+)
+
+
+def classify_rules_custom(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", classify("text", LANGUAGE_RULES, default="other").alias("label"))
+
+
+def clean_identifier_q(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    return p.select("page_id", clean_identifier("url").alias("table_name"),
+                    job_identifier("url").alias("job_name"), folder_name("url").alias("folder"))
+
+
+def split_lake_path_q(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    parts = split_lake_path("url")
+    return p.select("page_id", parts["full"].alias("full_path"), parts["base"].alias("base_path"),
+                    parts["name"].alias("name"))
+
+
+def clean_identifier_docs(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", clean_identifier(F.concat_ws(" ", "source", "lang", "doc_id")).alias("table_name"))
+
+
+# --------------------------------------------------------------------------- recipes and jobs R1 R4
+
+RECIPE = Recipe([
+    ("filter", {"column": "l_extendedprice", "operator": ">", "value": "50000"}),
+    ("fill_nulls", {}),
+    ("select", {"columns": ["l_returnflag", "l_quantity"]}),
+    ("drop_duplicates", {}),
+    ("preview", {"n": 100, "order_by": "l_quantity", "order": "desc", "tie_breakers": ["l_returnflag"]}),
+])
+
+
+def recipe_chain(spark, sf_dir):
+    return _round_doubles(RECIPE.apply(_lineitem_with_nulls(spark, sf_dir)))
+
+
+def recipe_actions(spark, sf_dir):
+    r = Recipe.from_actions(["ACTION:FILTER:o_orderdate:>=:1997-06-01 00:00:00", "ACTION:RENAME:o_totalprice:price",
+                             "ACTION:DROP_COLUMN:o_custkey", "ACTION:REMOVE_DUPLICATES"])
+    return r.apply(_t(spark, sf_dir, "orders"))
+
+
+def store_job(spark, sf_dir):
+    base = scratch_path(spark, "job")
+    recipe = Recipe([("filter", {"column": "l_shipdate", "operator": "<", "value": "1995-06-01"}),
+                     ("rename", {"old_name": "l_extendedprice", "new_name": "price"}),
+                     ("drop_column", {"column": "l_tax"})])
+    result = run_store_job(spark, lambda s: _t(s, sf_dir, "lineitem"),
+                           lambda df: store_parquet(df, base, "lineitem_early"), recipe)
+    if result.stored is None:
+        raise RuntimeError(result.report.collect())
+    return spark.read.parquet(result.stored.location)
+
 # --------------------------------------------------------------------------- registry
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -263,6 +407,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "row_count": row_count, "column_means": column_means,
     "describe_numeric": describe_numeric, "describe_text": describe_text,
     "describe_timestamp": describe_timestamp, "compare_columns": compare_columns,
+    "csv_roundtrip": csv_roundtrip, "csv_infer_types": csv_infer_types, "csv_events_values": csv_events_values,
+    "json_roundtrip": json_roundtrip, "json_infer": json_infer, "parquet_roundtrip": parquet_roundtrip,
+    "snapshot_roundtrip": snapshot_roundtrip, "land_and_refresh": land_and_refresh,
+    "land_and_append": land_and_append,
+    "classify_rules": classify_rules, "classify_rules_custom": classify_rules_custom,
+    "clean_identifier": clean_identifier_q, "clean_identifier_docs": clean_identifier_docs,
+    "split_lake_path": split_lake_path_q,
+    "recipe_chain": recipe_chain, "recipe_actions": recipe_actions, "store_job": store_job,
 }
 
 _LI_NULLS = """(SELECT l_orderkey, l_linenumber,
@@ -378,6 +530,66 @@ _ORACLE: dict[str, str] = {
 }
 
 
+def _duck_strip(x: str) -> str:
+    return f"REGEXP_REPLACE({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _duck_last_part(x: str) -> str:
+    return (f"(CASE WHEN INSTR({x}, '/') > 0 THEN STRING_SPLIT(REGEXP_REPLACE({x}, '/+$', ''), '/')[-1] "
+            f"ELSE {x} END)")
+
+
+def _duck_underscored(x: str) -> str:
+    return f"REGEXP_REPLACE(REPLACE({_duck_strip(x)}, '.py', ''), '[ .\\-]', '_', 'g')"
+
+
+_S = "REGEXP_REPLACE(" + _duck_strip("url") + ", '^https?://', 'hdfs://')"
+_FULL = (f"(CASE WHEN STARTS_WITH({_S}, 'hdfs://') THEN {_S} "
+         f"ELSE CONCAT('hdfs://localhost:9000/', REGEXP_REPLACE({_S}, '^/+|/+$', '', 'g')) END)")
+_STRIPPED = f"REGEXP_REPLACE({_FULL}, '/+$', '')"
+
+_ORACLE.update({
+    "csv_roundtrip": "SELECT * FROM orders",
+    "csv_infer_types": """SELECT * FROM (VALUES (1, 'event_id', 'bigint', TRUE), (2, 'ts', 'timestamp_ntz', TRUE),
+        (3, 'user_id', 'bigint', TRUE), (4, 'event_type', 'string', TRUE), (5, 'value', 'double', TRUE),
+        (6, 'props', 'string', TRUE)) AS t(position, "column", spark_type, nullable)""",
+    "csv_events_values": "SELECT * FROM events",
+    "json_roundtrip": "SELECT * FROM events",
+    "json_infer": """SELECT c_acctbal, c_custkey, c_mktsegment, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey
+        FROM customer""",
+    "parquet_roundtrip": "SELECT * FROM lineitem",
+    "snapshot_roundtrip": "SELECT * FROM customer",
+    "land_and_refresh": "SELECT * FROM orders",
+    "land_and_append": "SELECT * FROM orders",
+    "classify_rules": f"SELECT doc_id, {rules_sql('text', DEFAULT_RULES)} AS label FROM documents",
+    "classify_rules_custom": f"""SELECT conv_id, turn, {rules_sql('text', LANGUAGE_RULES, 'other')} AS label
+        FROM conversations""",
+    "clean_identifier": f"""SELECT page_id, {_duck_last_part('LOWER(' + _duck_underscored('url') + ')')} AS table_name,
+        {_duck_underscored('url')} AS job_name,
+        LOWER(REPLACE(CASE WHEN STARTS_WITH({_duck_strip('url')}, 'hdfs://')
+            THEN STRING_SPLIT(REGEXP_REPLACE({_duck_strip('url')}, '/+$', ''), '/')[-1]
+            ELSE {_duck_strip('url')} END, ' ', '_')) AS folder FROM pages""",
+    "clean_identifier_docs": f"""SELECT doc_id,
+        {_duck_last_part('LOWER(' + _duck_underscored("CONCAT_WS(' ', source, lang, CAST(doc_id AS VARCHAR))") + ')')}
+        AS table_name FROM documents""",
+    "split_lake_path": f"""SELECT page_id, {_FULL} AS full_path,
+        CASE WHEN INSTR({_STRIPPED}, '/') > 0 THEN REGEXP_EXTRACT({_STRIPPED}, '^(.*)/[^/]*$', 1)
+            ELSE {_STRIPPED} END AS base_path,
+        CASE WHEN INSTR({_STRIPPED}, '/') > 0
+            THEN LOWER(REGEXP_REPLACE(REGEXP_EXTRACT({_STRIPPED}, '([^/]*)$', 1), '[-. ]', '_', 'g'))
+            ELSE 'data' END AS name FROM pages""",
+    "recipe_chain": f"""WITH f AS (SELECT * FROM {_LI_NULLS} WHERE l_extendedprice > 50000),
+        filled AS (SELECT COALESCE(l_returnflag, 'Unknown') AS l_returnflag,
+                          COALESCE(l_quantity, AVG(l_quantity) OVER ()) AS l_quantity FROM f)
+        SELECT l_returnflag, ROUND(l_quantity, 4) AS l_quantity FROM (SELECT DISTINCT l_returnflag, l_quantity FROM filled)
+        ORDER BY l_quantity DESC NULLS LAST, l_returnflag LIMIT 100""",
+    "recipe_actions": """SELECT DISTINCT o_orderkey, o_orderstatus, o_totalprice AS price, o_orderdate, o_orderpriority
+        FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01 00:00:00'""",
+    "store_job": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice AS price,
+        l_discount, l_returnflag, l_linestatus, l_shipdate FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'""",
+})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -32,6 +32,14 @@ def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
 
 
+# Full microsecond precision in text output (Spark's default keeps milliseconds).
+TEXT_TIME_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "dateFormat": "yyyy-MM-dd",
+}
+
+
 def _flat_for_csv(df: DataFrame) -> DataFrame:
     """CSV cannot hold nested values; write them as JSON text."""
     if not any(isinstance(f.dataType, NESTED) for f in df.schema.fields):
@@ -43,8 +51,8 @@ def _flat_for_csv(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> StoreReport:
     """CSV with header (K1): nulls as empty fields, RFC-4180 quoting."""
     out, obs = _observed(_flat_for_csv(df))
-    (out.write.mode(mode).option("header", "true").option("quote", '"').option("escape", '"')
-        .option("nullValue", "").csv(path))
+    (out.write.mode(mode).options(**TEXT_TIME_OPTIONS).option("header", "true").option("quote", '"')
+        .option("escape", '"').option("nullValue", "").csv(path))
     return StoreReport(path, obs.get["rows"], len(df.columns), "csv")
 
 
@@ -52,7 +60,7 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> StoreReport
     """JSON Lines, one record per row (K2). Null fields are written, so an
     all-null column still comes back when the folder is read."""
     out, obs = _observed(df)
-    out.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    out.write.mode(mode).options(**TEXT_TIME_OPTIONS).option("ignoreNullFields", "false").json(path)
     return StoreReport(path, obs.get["rows"], len(df.columns), "json")
 
 

@@ -172,9 +172,22 @@ def read_json(spark: SparkSession, path: str | Sequence[str], multiline: bool |
     if multiline is None:
         multiline = _starts_with_array(spark, path)
     reader = spark.read.option("multiLine", str(bool(multiline)).lower())
+    temporal: dict[str, str] = {}
     if schema is not None:
-        reader = reader.schema(schema)
+        target = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+        # Dates and times are read as text and cast, which accepts any ISO
+        # fraction length (the JSON parser wants one exact pattern).
+        read_fields = []
+        for f in target.fields:
+            if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+                temporal[f.name] = f.dataType.simpleString()
+                read_fields.append(T.StructField(f.name, T.StringType(), True))
+            else:
+                read_fields.append(f)
+        reader = reader.schema(T.StructType(read_fields))
     df = reader.json(path)
+    if temporal:
+        df = df.select(*[col(c).cast(temporal[c]).alias(c) if c in temporal else col(c) for c in df.columns])
     return normalize_nan(df) if nan_as_null else df
 
 
