@@ -8,6 +8,7 @@ columns (map-side combined). Results are small tables, one row per column.
 from __future__ import annotations
 
 import datetime as _dt
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..names import col, field, require_columns
 from .cleaning import missing, without_nan
-from .quantiles import _ranks, exact_quantiles, values_at_ranks
+from .quantiles import exact_quantiles, linear_ranks, values_at_ranks
 from .types import has_map, is_numeric, is_temporal
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -141,15 +142,17 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], exact: bool = True)
         if not exact:
             aggs.append(F.percentile_approx(v, list(QUARTILES), 10000).alias(f"q{i}"))
     stats = df.agg(*aggs).first()
+    counts = [stats[f"n{i}"] for i in range(len(columns))]
+    if exact:
+        quantiles = exact_quantiles(df, [values[c] for c in columns], counts, QUARTILES,
+                                    sum(stats[f"ndv{i}"] or 0 for i in range(len(columns))))
     rows = []
     for i, c in enumerate(columns):
-        n = stats[f"n{i}"]
         if exact:
-            q = exact_quantiles(df, values[c], n, QUARTILES, stats[f"ndv{i}"])
-            qs = [q[p] for p in QUARTILES]
+            qs = [quantiles[i][p] for p in QUARTILES]
         else:
             qs = list(stats[f"q{i}"] or [None, None, None])
-        rows.append((c, n, stats[f"mean{i}"], stats[f"std{i}"], stats[f"min{i}"], *qs, stats[f"max{i}"]))
+        rows.append((c, counts[i], stats[f"mean{i}"], stats[f"std{i}"], stats[f"min{i}"], *qs, stats[f"max{i}"]))
     return _spark(df).createDataFrame(rows, NUMERIC_SCHEMA)
 
 
@@ -199,23 +202,22 @@ def describe_timestamp(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                  F.min(m).alias(f"min{i}"), F.max(m).alias(f"max{i}"),
                  F.approx_count_distinct(m).alias(f"ndv{i}")]
     stats = df.agg(*aggs).first()
+    counts = [stats[f"n{i}"] for i in range(len(columns))]
+    plans = [linear_ranks(n, QUARTILES) if n else {} for n in counts]
+    got = values_at_ranks(df, [micros[c] for c in columns],
+                          [[r for lo, hi, _ in pl.values() for r in (lo, hi)] for pl in plans],
+                          sum(stats[f"ndv{i}"] or 0 for i in range(len(columns))))
     rows = []
     for i, c in enumerate(columns):
-        n = stats[f"n{i}"]
-        mean = None
+        n = counts[i]
+        mean = int(stats[f"s{i}"]) // n if n else None
+        qs: list = [None] * len(QUARTILES)
         if n:
-            total = int(stats[f"s{i}"])
-            mean = total // n
-        qs = [None] * len(QUARTILES)
-        if n:
-            ranks = _ranks(n, QUARTILES)
-            got = values_at_ranks(df, micros[c], [r for lo, hi, _ in ranks.values() for r in (lo, hi)],
-                                  stats[f"ndv{i}"])
             qs = []
             for p in QUARTILES:
-                lo, hi, frac = ranks[p]
-                a, b = got[lo], got[hi]
-                qs.append(a if a == b or frac == 0 else a + int((b - a) * frac // 1))
+                lo, hi, frac = plans[i][p]
+                a, b = got[i][lo], got[i][hi]
+                qs.append(a if a == b or frac == 0 else a + math.floor((b - a) * frac))
         rows.append((c, n, _from_micros(mean), _from_micros(stats[f"min{i}"]),
                      *[_from_micros(q) for q in qs], _from_micros(stats[f"max{i}"])))
     return _spark(df).createDataFrame(rows, TIMESTAMP_SCHEMA)

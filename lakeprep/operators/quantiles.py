@@ -2,17 +2,19 @@
 
 Spark's built-in ``percentile`` merges a value->count map of the whole
 column in a single task, so its memory grows with the number of distinct
-values. Here the work is spread out:
-
-1. ``groupBy(value).count()`` collapses repeats map-side (a value that holds
-   a third of the rows becomes one row per task);
-2. the distinct values are range-partitioned into ``buckets`` ordered
-   ranges; each range gets running counts in its own window task;
-3. the per-range totals (one row per range, a bounded table) are turned
-   into range offsets and broadcast back, giving each distinct value its
+values. Here the work is spread out, for any number of columns at once:
+
+1. the columns are stacked into one long ``(cid, v)`` table and
+   ``groupBy(cid, v).count()`` collapses repeats map-side (a value that
+   holds a third of the rows becomes one row per task);
+2. when there are more distinct values than one task should sort
+   (``VALUES_PER_BUCKET``), they are range-partitioned into ordered buckets;
+   each (column, bucket) gets running counts in its own window task;
+3. per-bucket totals (a table of at most ``MAX_BUCKETS`` rows per column)
+   become bucket offsets, broadcast back to give every distinct value its
    global cumulative count;
-4. only the values whose cumulative interval contains one of the wanted
-   ranks (at most two per probability) come back to the driver.
+4. only the values whose cumulative interval holds one of the wanted ranks
+   (at most two per probability and column) reach the driver.
 
 Ranks follow the usual "linear" definition (pandas ``quantile``, DuckDB
 ``quantile_cont``): position ``h = (n - 1) * p`` on the sorted values, and
@@ -27,10 +29,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Upper bound on the range count; keeps the offsets table broadcastable.
+# Upper bound on the bucket count per column; keeps the offsets table broadcastable.
 MAX_BUCKETS = 100_000
-# Distinct values per range aimed for when sizing the range count.
-VALUES_PER_BUCKET = 250_000
+# Distinct values one window task sorts, at most (before the cap above).
+VALUES_PER_BUCKET = 2_000_000
 
 
 def bucket_count(distinct_estimate: int | None) -> int:
@@ -39,61 +41,80 @@ def bucket_count(distinct_estimate: int | None) -> int:
     return max(1, min(MAX_BUCKETS, math.ceil(distinct_estimate / VALUES_PER_BUCKET)))
 
 
-def _ranks(n: int, probs: Sequence[float]) -> dict[float, tuple[int, int, float]]:
+def linear_ranks(n: int, probs: Sequence[float]) -> dict[float, tuple[int, int, float]]:
+    """0-based (floor, ceil, fraction) positions of each probability among ``n`` values."""
     out = {}
     for p in probs:
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability {p} outside [0, 1]")
         h = (n - 1) * p
         lo = math.floor(h)
-        hi = math.ceil(h)
-        out[p] = (lo, hi, h - lo)  # 0-based ranks
+        out[p] = (lo, math.ceil(h), h - lo)
     return out
 
 
-def values_at_ranks(df: DataFrame, value: Column, ranks: Sequence[int],
-                    distinct_estimate: int | None = None) -> dict[int, object]:
-    """The values at the given 0-based ranks of ``value`` (nulls excluded)."""
-    wanted = sorted(set(int(r) for r in ranks))
-    if not wanted:
-        return {}
-    counts = (df.select(value.alias("v")).where(F.col("v").isNotNull())
-              .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
+def values_at_ranks(df: DataFrame, values: Sequence[Column], ranks: Sequence[Sequence[int]],
+                    distinct_estimate: int | None = None) -> list[dict[int, object]]:
+    """For each column expression, the values at its 0-based ranks (nulls excluded).
+
+    All ``values`` must share one type. One shuffle for the counts, one for
+    the windows (plus the range-sampling job when buckets are needed).
+    """
+    wanted = [sorted(set(int(r) for r in rs)) for rs in ranks]
+    if not any(wanted):
+        return [{} for _ in values]
+    stacked = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("cid"), v.alias("v"))
+                                           for i, v in enumerate(values)])))
+    counts = (stacked.where(F.col("v").isNotNull())
+              .groupBy("cid", "v").agg(F.count(F.lit(1)).alias("cnt")))
     buckets = bucket_count(distinct_estimate)
-    ranged = counts.repartitionByRange(buckets, "v").withColumn("b", F.spark_partition_id())
+    if buckets == 1:
+        ranged = counts.withColumn("b", F.lit(0))
+    else:
+        ranged = counts.repartitionByRange(buckets * len(values), "cid", "v").withColumn("b", F.spark_partition_id())
     in_bucket = ranged.withColumn(
-        "cum", F.sum("cnt").over(Window.partitionBy("b").orderBy("v")
+        "cum", F.sum("cnt").over(Window.partitionBy("cid", "b").orderBy("v")
                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    totals = in_bucket.groupBy("b").agg(F.sum("cnt").alias("tot"))
-    offsets = totals.select(
-        "b", F.coalesce(F.sum("tot").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)),
-                        F.lit(0)).alias("off"))
-    placed = (in_bucket.join(F.broadcast(offsets), "b")
-              .select("v", (F.col("off") + F.col("cum") - F.col("cnt")).alias("first"),
-                      (F.col("off") + F.col("cum")).alias("after")))
+    if buckets == 1:
+        placed = in_bucket.select("cid", "v", (F.col("cum") - F.col("cnt")).alias("first"),
+                                  F.col("cum").alias("after"))
+    else:
+        totals = in_bucket.groupBy("cid", "b").agg(F.sum("cnt").alias("tot"))
+        offsets = totals.select(
+            "cid", "b",
+            F.coalesce(F.sum("tot").over(Window.partitionBy("cid").orderBy("b")
+                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
+        placed = (in_bucket.join(F.broadcast(offsets), ["cid", "b"])
+                  .select("cid", "v", (F.col("off") + F.col("cum") - F.col("cnt")).alias("first"),
+                          (F.col("off") + F.col("cum")).alias("after")))
     hit = None
-    for r in wanted:
-        cond = (F.col("first") <= F.lit(r)) & (F.col("after") > F.lit(r))
-        hit = cond if hit is None else (hit | cond)
-    rows = placed.where(hit).collect()   # at most len(wanted) rows
-    out: dict[int, object] = {}
+    for i, rs in enumerate(wanted):
+        for r in rs:
+            cond = (F.col("cid") == i) & (F.col("first") <= F.lit(r)) & (F.col("after") > F.lit(r))
+            hit = cond if hit is None else (hit | cond)
+    rows = placed.where(hit).collect()   # at most sum(len(wanted)) rows
+    out: list[dict[int, object]] = [{} for _ in values]
     for row in rows:
-        for r in wanted:
+        for r in wanted[row["cid"]]:
             if row["first"] <= r < row["after"]:
-                out[r] = row["v"]
+                out[row["cid"]][r] = row["v"]
     return out
 
 
-def exact_quantiles(df: DataFrame, value: Column, n: int, probs: Sequence[float],
-                    distinct_estimate: int | None = None) -> dict[float, float | None]:
-    """Linear-interpolated quantiles of a numeric ``value`` with ``n`` non-null rows."""
-    if n <= 0:
-        return {p: None for p in probs}
-    ranks = _ranks(n, probs)
-    wanted = [r for lo, hi, _ in ranks.values() for r in (lo, hi)]
-    got = values_at_ranks(df, value, wanted, distinct_estimate)
-    out = {}
-    for p, (lo, hi, frac) in ranks.items():
-        a, b = float(got[lo]), float(got[hi])
-        out[p] = a if frac == 0 or a == b else a + frac * (b - a)
+def exact_quantiles(df: DataFrame, values: Sequence[Column], counts: Sequence[int], probs: Sequence[float],
+                    distinct_estimate: int | None = None) -> list[dict[float, float | None]]:
+    """Linear-interpolated quantiles of numeric ``values`` (``counts`` = non-null rows each)."""
+    plans = [linear_ranks(n, probs) if n else {} for n in counts]
+    got = values_at_ranks(df, values, [[r for lo, hi, _ in pl.values() for r in (lo, hi)] for pl in plans],
+                          distinct_estimate)
+    out = []
+    for pl, g, n in zip(plans, got, counts):
+        if not n:
+            out.append({p: None for p in probs})
+            continue
+        res = {}
+        for p, (lo, hi, frac) in pl.items():
+            a, b = float(g[lo]), float(g[hi])
+            res[p] = a if frac == 0 or a == b else a + frac * (b - a)
+        out.append(res)
     return out
