@@ -48,15 +48,16 @@ def save_snapshot(df: DataFrame, name: str, location: str | None = None) -> Stor
 
 
 def store_table(df: DataFrame, identifier: str, provider: str = "iceberg",
-                location: str | None = None, properties: dict[str, str] | None = None) -> StoreReport:
+                location: str | None = None, properties: dict[str, str] | None = None,
+                count_rows: bool = True) -> StoreReport:
     """Create or replace a table with the dataset (K6).
 
     The location reported is the table's real location as the catalog
-    records it, not a guessed path.
+    records it, not a guessed path. Rows are counted while writing.
     """
     check_identifier(identifier)
     spark = df.sparkSession
-    out, obs = _observed(df, f"store-{identifier}")
+    out, obs = _observed(df, f"store-{identifier}") if count_rows else (df, None)
     if provider == "iceberg":
         writer = out.writeTo(identifier).using("iceberg").tableProperty("write.format.default", "parquet")
         for key, value in (properties or {}).items():
@@ -71,7 +72,8 @@ def store_table(df: DataFrame, identifier: str, provider: str = "iceberg",
         writer.saveAsTable(identifier)
     else:
         raise ValueError(f"provider must be 'iceberg' or 'parquet', not {provider!r}")
-    return StoreReport(table_location(spark, identifier), obs.get["rows"], len(df.columns), provider)
+    rows = obs.get["rows"] if obs is not None else -1
+    return StoreReport(table_location(spark, identifier), rows, len(df.columns), provider)
 
 
 def table_location(spark, identifier: str) -> str:
