@@ -23,7 +23,9 @@ from lakeprep.session import scratch_path
 from lakeprep.sinks.files import land_csv, store_parquet, write_csv, write_json, write_parquet
 from lakeprep.sinks.tables import save_snapshot
 from lakeprep.sources.lake import load_saved, read_table
+from lakeprep.sinks.workbook import write_workbooks
 from lakeprep.sources.text import read_csv, read_json
+from lakeprep.sources.workbook import read_workbooks
 from lakeprep.streaming.refresh import refresh_once
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -301,6 +303,12 @@ def snapshot_roundtrip(spark, sf_dir):
     return load_saved(spark, name)
 
 
+def workbook_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "workbooks")
+    write_workbooks(_t(spark, sf_dir, "orders"), path)
+    return read_workbooks(spark, path)
+
+
 def land_and_refresh(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders")
     base = scratch_path(spark, "landing")
@@ -409,7 +417,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "describe_timestamp": describe_timestamp, "compare_columns": compare_columns,
     "csv_roundtrip": csv_roundtrip, "csv_infer_types": csv_infer_types, "csv_events_values": csv_events_values,
     "json_roundtrip": json_roundtrip, "json_infer": json_infer, "parquet_roundtrip": parquet_roundtrip,
-    "snapshot_roundtrip": snapshot_roundtrip, "land_and_refresh": land_and_refresh,
+    "snapshot_roundtrip": snapshot_roundtrip, "workbook_roundtrip": workbook_roundtrip,
+    "land_and_refresh": land_and_refresh,
     "land_and_append": land_and_append,
     "classify_rules": classify_rules, "classify_rules_custom": classify_rules_custom,
     "clean_identifier": clean_identifier_q, "clean_identifier_docs": clean_identifier_docs,
@@ -559,6 +568,7 @@ _ORACLE.update({
         FROM customer""",
     "parquet_roundtrip": "SELECT * FROM lineitem",
     "snapshot_roundtrip": "SELECT * FROM customer",
+    "workbook_roundtrip": "SELECT * FROM orders",
     "land_and_refresh": "SELECT * FROM orders",
     "land_and_append": "SELECT * FROM orders",
     "classify_rules": f"SELECT doc_id, {rules_sql('text', DEFAULT_RULES)} AS label FROM documents",

@@ -1,0 +1,161 @@
+"""Spreadsheet folder ingest (S3): every ``.xlsx`` under a path, first sheet,
+first row as header.
+
+Spark lists and reads the files (``binaryFile``), and each task parses its
+own workbooks with the standard library (a workbook is a zip of XML parts),
+streaming the sheet XML row by row. Cells come out as text; the same
+null tokens and one-pass type inference as the CSV reader then apply.
+Legacy binary ``.xls`` is not supported.
+"""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from collections.abc import Iterator, Sequence
+from xml.etree import ElementTree as ET
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from .text import NULL_TOKENS, _dedupe_ci, apply_types, infer_types, null_tokens_to_null
+
+_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
+       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
+       "rel": "http://schemas.openxmlformats.org/package/2006/relationships"}
+_MAIN = "{%s}" % _NS["m"]
+_CELL_REF = re.compile(r"^([A-Z]+)(\d+)$")
+
+PARSED_SCHEMA = "path string, row long, cells array<string>"
+
+
+def column_index(letters: str) -> int:
+    n = 0
+    for ch in letters:
+        n = n * 26 + (ord(ch) - 64)
+    return n - 1
+
+
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    names = set(z.namelist())
+    try:
+        wb = ET.fromstring(z.read("xl/workbook.xml"))
+        sheet = wb.find("m:sheets/m:sheet", _NS)
+        rid = sheet.get("{%s}id" % _NS["r"])
+        rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
+        for rel in rels.findall("rel:Relationship", _NS):
+            if rel.get("Id") == rid:
+                target = rel.get("Target").lstrip("/")
+                return target if target.startswith("xl/") else "xl/" + target
+    except (KeyError, AttributeError, ET.ParseError):
+        pass
+    if "xl/worksheets/sheet1.xml" in names:
+        return "xl/worksheets/sheet1.xml"
+    raise ValueError("workbook has no worksheet")
+
+
+def _shared_strings(z: zipfile.ZipFile) -> list[str]:
+    try:
+        data = z.read("xl/sharedStrings.xml")
+    except KeyError:
+        return []
+    out = []
+    for si in ET.fromstring(data).findall("m:si", _NS):
+        out.append("".join(t.text or "" for t in si.iter(_MAIN + "t")))
+    return out
+
+
+def _cell_text(c, shared: list[str]) -> str | None:
+    kind = c.get("t")
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in c.iter(_MAIN + "t"))
+    v = c.find("m:v", _NS)
+    if v is None or v.text is None:
+        return None
+    if kind == "s":
+        return shared[int(v.text)]
+    if kind == "b":
+        return "TRUE" if v.text.strip() == "1" else "FALSE"
+    if kind == "e":
+        return None
+    return v.text
+
+
+def workbook_rows(content: bytes) -> Iterator[list[str | None]]:
+    """Rows of the first sheet as lists of cell texts (gaps filled with None)."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = _shared_strings(z)
+        sheet = _first_sheet(z)
+        with z.open(sheet) as fh:
+            for _, elem in ET.iterparse(fh, events=("end",)):
+                if elem.tag != _MAIN + "row":
+                    continue
+                cells: dict[int, str | None] = {}
+                for pos, c in enumerate(elem.findall("m:c", _NS)):
+                    ref = c.get("r")
+                    m = _CELL_REF.match(ref) if ref else None
+                    cells[column_index(m.group(1)) if m else pos] = _cell_text(c, shared)
+                elem.clear()
+                if not cells or all(v is None for v in cells.values()):
+                    continue
+                width = max(cells) + 1
+                yield [cells.get(i) for i in range(width)]
+
+
+def _parse_batches(batches: Iterator[pd.DataFrame], header_only: bool = False) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            buf_paths, buf_rows, buf_cells = [], [], []
+            for i, cells in enumerate(workbook_rows(bytes(content))):
+                if header_only and i > 0:
+                    break
+                buf_paths.append(path)
+                buf_rows.append(i)
+                buf_cells.append(cells)
+                if len(buf_rows) >= 10_000:
+                    yield pd.DataFrame({"path": buf_paths, "row": buf_rows, "cells": buf_cells})
+                    buf_paths, buf_rows, buf_cells = [], [], []
+            if buf_rows:
+                yield pd.DataFrame({"path": buf_paths, "row": buf_rows, "cells": buf_cells})
+
+
+def parse_workbooks(spark: SparkSession, path: str, header_only: bool = False) -> DataFrame:
+    """``path, row, cells`` for every row of every workbook under ``path``
+    (only row 0 of each with ``header_only``, which stops parsing early)."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
+             .option("recursiveFileLookup", "true").load(path).select("path", "content"))
+    if header_only:
+        return files.mapInPandas(lambda it: _parse_batches(it, True), PARSED_SCHEMA)
+    return files.mapInPandas(_parse_batches, PARSED_SCHEMA)
+
+
+def read_workbooks(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+                   infer: bool = True, null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
+    """All workbooks under ``path`` as one table (S3).
+
+    The header comes from row 0 of a workbook unless ``columns`` is given.
+    Every workbook must share the layout. With ``infer``, the cell texts are
+    parsed once into a Parquet table under the shared scratch root
+    (``spark.checkpoint.dir``); the type pass and the typed result both read
+    that table, so the Python parse never runs twice and a lost executor
+    re-reads Parquet instead of re-parsing workbooks.
+    """
+    if columns is None:
+        first = (parse_workbooks(spark, path, header_only=True).where(F.col("row") == 0)
+                 .select("cells").limit(1).collect())
+        if not first:
+            raise ValueError(f"no .xlsx workbook with rows under {path}")
+        columns = _dedupe_ci([c if c else f"_c{i}" for i, c in enumerate(first[0][0])])
+    cols = list(columns)
+    data = parse_workbooks(spark, path).where(F.col("row") > 0).select(
+        *[F.get(F.col("cells"), i).alias(name) for i, name in enumerate(cols)])
+    data = null_tokens_to_null(data, null_tokens)
+    if not infer:
+        return data
+    staged = scratch_path(spark, "workbook-cells")
+    data.write.mode("overwrite").parquet(staged)
+    text = spark.read.parquet(staged)
+    return apply_types(text, infer_types(text))

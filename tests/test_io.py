@@ -135,3 +135,41 @@ def test_landing_gets_new_names(spark):
 def test_normalize_nan(spark):
     df = spark.createDataFrame([(float("nan"), 1)], "x double, i int")
     assert normalize_nan(df).first().x is None
+
+
+def _minimal_xlsx(path):
+    """A workbook built with the standard library: shared strings, numbers, blanks, booleans."""
+    import zipfile
+    sheet = ('<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
+             '<sheetData>'
+             '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="s"><v>2</v></c>'
+             '<c r="D1" t="inlineStr"><is><t>flag</t></is></c></row>'
+             '<row r="2"><c r="A2" t="s"><v>3</v></c><c r="B2"><v>1</v></c><c r="C2"><v>2.5</v></c>'
+             '<c r="D2" t="b"><v>1</v></c></row>'
+             '<row r="3"><c r="A3" t="s"><v>4</v></c><c r="C3"><v>3</v></c><c r="D3" t="b"><v>0</v></c></row>'
+             '</sheetData></worksheet>')
+    shared = ('<?xml version="1.0"?><sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
+              '<si><t>name</t></si><si><t>n</t></si><si><r><t>pri</t></r><r><t>ce</t></r></si>'
+              '<si><t>alpha</t></si><si><t>NA</t></si></sst>')
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.writestr("xl/sharedStrings.xml", shared)
+
+
+def test_workbook_folder(spark, tmpdir_path):
+    from lakeprep.sinks.workbook import column_letters, write_workbooks
+    from lakeprep.sources.workbook import column_index, read_workbooks
+    assert [column_letters(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+    assert all(column_index(column_letters(i)) == i for i in range(2000))
+    os.makedirs(os.path.join(tmpdir_path, "wb"))
+    _minimal_xlsx(os.path.join(tmpdir_path, "wb", "book.xlsx"))
+    _write(os.path.join(tmpdir_path, "wb"), "notes.txt", "ignored")
+    df = read_workbooks(spark, os.path.join(tmpdir_path, "wb"))
+    assert dict(df.dtypes) == {"name": "string", "n": "bigint", "price": "double", "flag": "boolean"}
+    assert [tuple(r) for r in df.orderBy("price").collect()] == [("alpha", 1, 2.5, True), (None, None, 3.0, False)]
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    out = scratch_path(spark, "wb-out")
+    files = write_workbooks(o.repartition(2), out, rows_per_file=600)
+    assert sum(r.rows for r in files.collect()) == 1500 and files.count() >= 3
+    back = read_workbooks(spark, out, columns=o.columns)
+    assert back.schema == o.schema and back.exceptAll(o).count() == 0
