@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..names import col, require_columns
 
@@ -29,10 +30,25 @@ def sort_keys(df: DataFrame, column: str, order: str = "asc",
     return [first, *(col(t).asc_nulls_last() for t in tie_breakers)]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A deterministic 64-bit hash of the whole row (equal rows hash equal)."""
+    from ..names import col
+    return F.xxhash64(*[col(c) for c in df.columns])
+
+
 def sort_rows(df: DataFrame, column: str, order: str = "asc",
-              tie_breakers: Sequence[str] = ()) -> DataFrame:
-    """Total sort by one column (O1): a range-partitioned shuffle, then local sorts."""
-    return df.orderBy(*sort_keys(df, column, order, tie_breakers))
+              tie_breakers: Sequence[str] = (), split_ties: bool = True) -> DataFrame:
+    """Total sort by one column (O1): a range-partitioned shuffle, then local sorts.
+
+    Rows that tie on the sort keys come in no particular order (as with an
+    unstable sort). ``split_ties`` makes that order a deterministic row hash
+    and adds it as a last key, so the range partitioner can cut a run of one
+    hot value across many tasks instead of sending it all to one.
+    """
+    keys = sort_keys(df, column, order, tie_breakers)
+    if split_ties:
+        keys.append(row_hash(df).asc())
+    return df.orderBy(*keys)
 
 
 def preview(df: DataFrame, n: int = 100, order_by: str | None = None,

@@ -75,15 +75,31 @@ def start_refresh(spark: SparkSession, base: str, name: str, sink: str,
               .withColumn("_landing", F.regexp_extract(F.input_file_name(), r"/input/([^/]+)/[^/]*$", 1)))
 
     sink_root = sink.rstrip("/")
+    input_root = f"{base.rstrip('/')}/input"
+
+    def newest_landing(batch: DataFrame) -> str | None:
+        # The batch's file list is plan metadata: no data is read to find it.
+        try:
+            names = {m.group(1) for f in batch.inputFiles()
+                     if (m := re.search(r"/input/([^/]+)/[^/]*$", f))}
+        except Exception:  # noqa: BLE001 - fall back to reading the column
+            names = set()
+        if names:
+            return max(names)
+        return batch.agg(F.max("_landing")).first()[0]
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         if mode == "replace":
-            newest = batch.agg(F.max("_landing")).first()[0]
+            newest = newest_landing(batch)
             if newest is None:
                 return
-            batch = batch.where(F.col("_landing") == F.lit(newest))
-        (_typed(batch.drop("_landing"), schema)
-         .write.mode("overwrite").parquet(f"{sink_root}/epoch={epoch_id}"))
+            # Read just the newest landing folder (one pass over its files).
+            batch = (spark.read.schema(text_schema)
+                     .options(**{**CSV_OPTIONS, "header": "true", "multiLine": "true"})
+                     .csv(f"{input_root}/{newest}"))
+        else:
+            batch = batch.drop("_landing")
+        _typed(batch, schema).write.mode("overwrite").parquet(f"{sink_root}/epoch={epoch_id}")
 
     writer = (stream.writeStream.foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint or scratch_path(spark, f"refresh-{name}-ckpt"))

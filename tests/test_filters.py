@@ -79,3 +79,19 @@ def test_preview_top_k_plan(spark):
     got = [r.o_totalprice for r in top.collect()]
     assert got == sorted(got, reverse=True) and len(got) == 10
     assert preview(o, 5).count() == 5
+
+
+def test_sort_splits_a_hot_value(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 20000
+        df = spark.range(n).select(F.when(F.col("id") % 5 < 3, F.lit(7)).otherwise(F.col("id")).alias("k"),
+                                   F.col("id"))
+        sizes = (sort_rows(df, "k", "asc").groupBy(F.spark_partition_id().alias("p")).count()
+                 .collect())
+        biggest = max(r["count"] for r in sizes)
+        assert biggest < 0.6 * n * 0.75        # the 60 % value is cut across tasks
+        keys = [r.k for r in sort_rows(df, "k", "asc").collect()]
+        assert keys == sorted(keys)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
