@@ -183,6 +183,16 @@ def _from_micros(m: int | None) -> _dt.datetime | None:
     return _dt.datetime(1970, 1, 1) + _dt.timedelta(microseconds=int(m))
 
 
+def epoch_micros(name: str, dtype: T.DataType):
+    """Microseconds since 1970-01-01 00:00 without any session time zone:
+    wall-clock types (``timestamp_ntz``, ``date``) are measured as wall
+    clock, ``timestamp`` as the instant (shown back in UTC)."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(col(name))
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            col(name).cast("timestamp_ntz"))
+
+
 def describe_timestamp(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, min, quartiles, max per date/timestamp column.
 
@@ -194,7 +204,7 @@ def describe_timestamp(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         if not is_temporal(field(df, c).dataType):
             raise ValueError(f"Column {c!r} is not a date or timestamp")
-    micros = {c: F.unix_micros(col(c).cast("timestamp")) for c in columns}
+    micros = {c: epoch_micros(c, field(df, c).dataType) for c in columns}
     aggs = []
     for i, c in enumerate(columns):
         m = micros[c]

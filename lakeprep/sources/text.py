@@ -30,6 +30,8 @@ FLOAT_PATTERN = r"^([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|[+-]?(in
 BOOL_PATTERN = r"^(True|TRUE|true|False|FALSE|false)$"
 DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 TIMESTAMP_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?$"
+ZONED_TIMESTAMP_PATTERN = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?"
+                           r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
 
 CSV_OPTIONS = {"quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
 
@@ -44,6 +46,7 @@ def _candidates(c: Column, infer_dates: bool) -> list[tuple[str, Column]]:
         out += [
             ("date", c.rlike(DATE_PATTERN) & c.try_cast("date").isNotNull()),
             ("timestamp_ntz", c.rlike(TIMESTAMP_PATTERN) & c.try_cast("timestamp_ntz").isNotNull()),
+            ("timestamp", c.rlike(ZONED_TIMESTAMP_PATTERN) & c.try_cast("timestamp").isNotNull()),
         ]
     return out
 
@@ -51,7 +54,9 @@ def _candidates(c: Column, infer_dates: bool) -> list[tuple[str, Column]]:
 def infer_types(df: DataFrame, infer_dates: bool = True) -> dict[str, str]:
     """Pick a type per string column with one aggregate over the data.
 
-    Order of preference: bigint, double, boolean, date, timestamp, string.
+    Order of preference: bigint, double, boolean, date, timestamp without
+    zone (``timestamp_ntz``), timestamp with a zone suffix (``timestamp``),
+    string.
     A column with no value at all stays string.
     """
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
