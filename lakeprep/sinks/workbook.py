@@ -1,7 +1,9 @@
 """Spreadsheet export as a folder of ``.xlsx`` workbooks, written by the tasks.
 
-One workbook per partition (split further at ``rows_per_file``, under the
-sheet limit of 1,048,576 rows), each with a header row. Numbers and
+One workbook per partition, split further every ``rows_per_file`` rows
+(default 50,000: a few MB each, far under the sheet limit of 1,048,576
+rows, so reading the folder back spreads over many tasks), each with a
+header row. Numbers and
 booleans keep their cell types; dates and times are written as ISO text.
 Files go through ``pyarrow.fs``, so the folder may be local, HDFS or an
 object store that ``pyarrow`` can reach from the executors.
@@ -57,24 +59,35 @@ def column_letters(i: int) -> str:
     return out
 
 
-def _cell(ref: str, value, kind: str) -> str:
-    if value is None or (isinstance(value, float) and math.isnan(value)):
-        return ""
+def _is_missing(v) -> bool:
+    return v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v))
+
+
+def _cells(values, kind: str) -> list[str]:
+    """XML of one column's cells. No ``r`` attribute: cells are positional,
+    and a missing value is an empty ``<c/>`` placeholder."""
     if kind == "n":
-        return f'<c r="{ref}"><v>{repr(float(value)) if isinstance(value, float) else int(value)}</v></c>'
+        return ["<c/>" if _is_missing(v) else
+                f"<c><v>{repr(float(v)) if isinstance(v, float) else int(v)}</v></c>" for v in values]
     if kind == "b":
-        return f'<c r="{ref}" t="b"><v>{1 if value else 0}</v></c>'
-    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+        return ["<c/>" if _is_missing(v) else f'<c t="b"><v>{1 if v else 0}</v></c>' for v in values]
+    return ["<c/>" if _is_missing(v) else
+            f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for v in values]
+
+
+def sheet_rows(columns: list, kinds: list[str]) -> list[str]:
+    """``<row>`` elements for a block of rows given column-wise."""
+    per_column = [_cells(values, kind) for values, kind in zip(columns, kinds)]
+    return ["<row>" + "".join(cells) + "</row>" for cells in zip(*per_column)]
 
 
-def workbook_bytes(header: list[str], kinds: list[str], rows: Iterator[tuple]) -> bytes:
-    letters = [column_letters(i) for i in range(len(header))]
+def workbook_bytes(header: list[str], kinds: list[str], row_blocks) -> bytes:
+    """A one-sheet workbook: header row, then the given blocks of ``<row>`` XML."""
     parts = ['<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
              '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>',
-             '<row r="1">' + "".join(_cell(f"{letters[j]}1", h, "s") for j, h in enumerate(header)) + "</row>"]
-    for i, row in enumerate(rows, start=2):
-        parts.append(f'<row r="{i}">' + "".join(_cell(f"{letters[j]}{i}", v, kinds[j])
-                                                for j, v in enumerate(row)) + "</row>")
+             sheet_rows([[h] for h in header], ["s"] * len(header))[0]]
+    for block in row_blocks:
+        parts.extend(block)
     parts.append("</sheetData></worksheet>")
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
@@ -86,7 +99,7 @@ def workbook_bytes(header: list[str], kinds: list[str], rows: Iterator[tuple]) -
     return buf.getvalue()
 
 
-def write_workbooks(df: DataFrame, path: str, rows_per_file: int = 500_000) -> DataFrame:
+def write_workbooks(df: DataFrame, path: str, rows_per_file: int = 50_000) -> DataFrame:
     """Write ``df`` as workbooks under ``path``; returns a small DataFrame of
     ``file, rows`` (one row per workbook written), already computed."""
     if any(isinstance(f.dataType, NESTED) for f in df.schema.fields):
@@ -110,24 +123,31 @@ def write_workbooks(df: DataFrame, path: str, rows_per_file: int = 500_000) -> D
         from pyarrow import fs as pafs
         filesystem, base = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root)
         filesystem.create_dir(base, recursive=True)
-        pending: list[tuple] = []
+        pending: list[list[str]] = []
+        pending_rows = 0
         written = []
 
         def flush():
+            nonlocal pending_rows
             name = f"part-{run}-{uuid.uuid4().hex[:12]}.xlsx"
-            data = workbook_bytes(header, kinds, iter(pending))
+            data = workbook_bytes(header, kinds, pending)
             with filesystem.open_output_stream(f"{base}/{name}") as out:
                 out.write(data)
-            written.append((f"{root}/{name}", len(pending)))
+            written.append((f"{root}/{name}", pending_rows))
             pending.clear()
+            pending_rows = 0
 
         for pdf in batches:
-            for row in pdf.itertuples(index=False, name=None):
-                pending.append(tuple(None if (isinstance(v, float) and math.isnan(v)) or v is pd.NA else v
-                                     for v in row))
-                if len(pending) >= rows_per_file:
+            start = 0
+            while start < len(pdf):
+                take = min(len(pdf) - start, rows_per_file - pending_rows)
+                part = pdf.iloc[start:start + take]
+                pending.append(sheet_rows([part[c].tolist() for c in part.columns], kinds))
+                pending_rows += take
+                start += take
+                if pending_rows >= rows_per_file:
                     flush()
-        if pending:
+        if pending_rows:
             flush()
         yield pd.DataFrame(written, columns=["file", "rows"])
 

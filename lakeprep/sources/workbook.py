@@ -10,6 +10,7 @@ Legacy binary ``.xls`` is not supported.
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import zipfile
@@ -84,25 +85,107 @@ def _cell_text(c, shared: list[str]) -> str | None:
     return v.text
 
 
+_ROW_END = b"</row>"
+_ROW = re.compile(rb"<row\b[^>]*?(?:/>|>(.*?)</row>)", re.S)
+_CELL = re.compile(rb"<c\b([^>]*?)(?:/>|>(.*?)</c>)", re.S)
+_REF_ATTR = re.compile(rb'\br="([A-Z]+)[0-9]+"')
+_TYPE_ATTR = re.compile(rb'\bt="([A-Za-z]+)"')
+_VALUE = re.compile(rb"<v>(.*?)</v>", re.S)
+_TEXT = re.compile(rb"<t(?:\s[^>]*)?>(.*?)</t>", re.S)
+
+
+def _unescape(raw: bytes) -> str:
+    text = raw.decode("utf-8")
+    return html.unescape(text) if "&" in text else text
+
+
+def _scan_cell(attrs: bytes, body: bytes, shared: list[str]) -> str | None:
+    if not body:
+        return None
+    if b't="inlineStr"' in attrs:
+        i = body.find(b"<t")
+        j = body.find(b">", i)
+        k = body.find(b"</t>", j)
+        if i >= 0 and body.find(b"<t", k) < 0 and body[j - 1:j] != b"/":
+            return _unescape(body[j + 1:k])
+        return "".join(_unescape(t) for t in _TEXT.findall(body))
+    start = body.find(b"<v>")
+    if start < 0:
+        return None
+    raw = body[start + 3:body.find(b"</v>", start)]
+    if b't="' not in attrs or b't="n"' in attrs:
+        return raw.decode("ascii", "replace") if raw.isascii() and b"&" not in raw else _unescape(raw)
+    if b't="s"' in attrs:
+        return shared[int(raw)]
+    if b't="b"' in attrs:
+        return "TRUE" if raw.strip() == b"1" else "FALSE"
+    if b't="e"' in attrs:
+        return None
+    return _unescape(raw)
+
+
+def _scan_rows(fh, shared: list[str], chunk: int = 1 << 22) -> Iterator[list[str | None]]:
+    """Rows from the sheet XML, read in chunks cut at ``</row>`` (bounded memory).
+
+    A ``<row>`` with at least one cell element is kept even when every cell
+    is empty, so an all-null record survives a round trip; rows with no
+    cell elements (formatting only) are skipped.
+    """
+    tail = b""
+    while True:
+        block = fh.read(chunk)
+        data = tail + block
+        cut = data.rfind(_ROW_END) + len(_ROW_END) if block else len(data)
+        if cut < len(_ROW_END):
+            cut = 0
+        complete, tail = data[:cut], data[cut:]
+        for row in _ROW.finditer(complete):
+            body = row.group(1)
+            if not body:
+                continue
+            found = _CELL.findall(body)
+            if not found:
+                continue
+            if b'r="' not in body:
+                yield [_scan_cell(a, b, shared) for a, b in found]
+                continue
+            cells: dict[int, str | None] = {}
+            for pos, (attrs, cbody) in enumerate(found):
+                ref = _REF_ATTR.search(attrs)
+                cells[column_index(ref.group(1).decode()) if ref else pos] = _scan_cell(attrs, cbody, shared)
+            width = max(cells) + 1
+            yield [cells.get(i) for i in range(width)]
+        if not block:
+            return
+
+
+def _tree_rows(fh, shared: list[str]) -> Iterator[list[str | None]]:
+    """ElementTree fallback for sheets whose tags carry a namespace prefix."""
+    for _, elem in ET.iterparse(fh, events=("end",)):
+        if elem.tag != _MAIN + "row":
+            continue
+        cells: dict[int, str | None] = {}
+        for pos, c in enumerate(elem.findall("m:c", _NS)):
+            ref = c.get("r")
+            m = _CELL_REF.match(ref) if ref else None
+            cells[column_index(m.group(1)) if m else pos] = _cell_text(c, shared)
+        elem.clear()
+        if not cells:
+            continue
+        width = max(cells) + 1
+        yield [cells.get(i) for i in range(width)]
+
+
 def workbook_rows(content: bytes) -> Iterator[list[str | None]]:
     """Rows of the first sheet as lists of cell texts (gaps filled with None)."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = _shared_strings(z)
         sheet = _first_sheet(z)
         with z.open(sheet) as fh:
-            for _, elem in ET.iterparse(fh, events=("end",)):
-                if elem.tag != _MAIN + "row":
-                    continue
-                cells: dict[int, str | None] = {}
-                for pos, c in enumerate(elem.findall("m:c", _NS)):
-                    ref = c.get("r")
-                    m = _CELL_REF.match(ref) if ref else None
-                    cells[column_index(m.group(1)) if m else pos] = _cell_text(c, shared)
-                elem.clear()
-                if not cells or all(v is None for v in cells.values()):
-                    continue
-                width = max(cells) + 1
-                yield [cells.get(i) for i in range(width)]
+            head = fh.read(4096)
+        prefixed = re.search(rb"<[A-Za-z_][\w.-]*:sheetData\b", head) is not None
+        with z.open(sheet) as fh:
+            yield from (_tree_rows(fh, shared) if prefixed else _scan_rows(fh, shared))
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame], header_only: bool = False) -> Iterator[pd.DataFrame]:
