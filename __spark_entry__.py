@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lakeprep import operators as ops
 from lakeprep.functions.identifiers import clean_identifier, folder_name, job_identifier, split_lake_path
 from lakeprep.functions.rules import DEFAULT_RULES, classify, rule, rules_sql
-from lakeprep.plans.jobs import run_store_job
+from lakeprep.plans.jobs import parquet_to_table, run_store_job
 from lakeprep.plans.recipe import Recipe
 from lakeprep.session import scratch_path
 from lakeprep.sinks.files import land_csv, store_parquet, write_csv, write_json, write_parquet
@@ -396,6 +396,21 @@ def store_job(spark, sf_dir):
         raise RuntimeError(result.report.collect())
     return spark.read.parquet(result.stored.location)
 
+def dedupe_row_change(spark, sf_dir):
+    change = ops.RowChange(_doc_source_lang(spark, sf_dir), ops.drop_duplicates)
+    change.output.write.format("noop").mode("overwrite").save()     # the one job; fills both counts
+    return spark.createDataFrame([(change.before, change.after)], "rows_before bigint, rows_after bigint")
+
+
+def lake_to_table(spark, sf_dir):
+    name = "lake_" + scratch_path(spark, "x").rsplit("-", 1)[-1]
+    result = parquet_to_table(spark, f"{sf_dir.rstrip('/')}/part.parquet",
+                              ["p_partkey", "p_brand", "p_size"], name, provider="parquet")
+    if result.stored is None:
+        raise RuntimeError(result.report.collect())
+    return spark.table(name)
+
+
 # --------------------------------------------------------------------------- registry
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -424,6 +439,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_identifier": clean_identifier_q, "clean_identifier_docs": clean_identifier_docs,
     "split_lake_path": split_lake_path_q,
     "recipe_chain": recipe_chain, "recipe_actions": recipe_actions, "store_job": store_job,
+    "dedupe_row_change": dedupe_row_change, "lake_to_table": lake_to_table,
 }
 
 _LI_NULLS = """(SELECT l_orderkey, l_linenumber,
@@ -595,6 +611,9 @@ _ORACLE.update({
         ORDER BY l_quantity DESC NULLS LAST, l_returnflag LIMIT 100""",
     "recipe_actions": """SELECT DISTINCT o_orderkey, o_orderstatus, o_totalprice AS price, o_orderdate, o_orderpriority
         FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01 00:00:00'""",
+    "dedupe_row_change": """SELECT COUNT(*) AS rows_before,
+        (SELECT COUNT(*) FROM (SELECT DISTINCT source, lang FROM documents)) AS rows_after FROM documents""",
+    "lake_to_table": "SELECT p_partkey, p_brand, p_size FROM part",
     "store_job": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice AS price,
         l_discount, l_returnflag, l_linestatus, l_shipdate FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'""",
 })

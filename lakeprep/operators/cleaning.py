@@ -6,6 +6,7 @@ cannot tell them apart).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field as dc_field
 
@@ -132,5 +133,28 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
 def counted(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
     """Attach a row counter (C4). The count is filled in by whatever action
     runs on the returned DataFrame; no extra job is started."""
-    obs = Observation(name)
+    obs = Observation(f"{name}_{uuid.uuid4().hex[:8]}")
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
+
+class RowChange:
+    """Rows before and after a transform (C4), filled by the first action on
+    ``output``; both counts ride on that job (no extra count job)."""
+
+    def __init__(self, df: DataFrame, transform):
+        tag = uuid.uuid4().hex[:8]     # unique names: several may sit in one plan
+        self._before_obs = Observation(f"rows_before_{tag}")
+        self._after_obs = Observation(f"rows_after_{tag}")
+        observed = df.observe(self._before_obs, F.count(F.lit(1)).alias("rows"))
+        self.output = transform(observed).observe(self._after_obs, F.count(F.lit(1)).alias("rows"))
+
+    @property
+    def before(self) -> int:
+        return self._before_obs.get["rows"]
+
+    @property
+    def after(self) -> int:
+        return self._after_obs.get["rows"]
+
+    def message(self, label: str = "Rows") -> str:
+        return f"{label}: {self.before} -> {self.after}"

@@ -79,3 +79,29 @@ def test_refresh_infers_schema_from_landings(spark):
     land_csv(o, base, "o")
     got = refresh_once(spark, base, "o", f"{base}/t", checkpoint=f"{base}/ck")
     assert got.schema == o.schema and got.count() == o.count()
+
+
+def test_row_change_rides_on_one_job(spark):
+    from lakeprep.operators import RowChange, drop_duplicates
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("source", "lang")
+    change = RowChange(d, drop_duplicates)
+    n = change.output.count()
+    assert change.before == d.count() and change.after == n and "->" in change.message()
+
+
+def test_parquet_to_table(spark):
+    from lakeprep.plans.jobs import parquet_to_table
+    res = parquet_to_table(spark, f"{SF_SMALL}/part.parquet", ["p_partkey", "p_size"], "part_small",
+                           provider="parquet")
+    rep = {r.step: r for r in res.report.collect()}
+    assert rep["store"].status == "ok" and rep["store"].rows == 200
+    assert spark.table("part_small").columns == ["p_partkey", "p_size"]
+
+
+def test_row_changes_chain(spark):
+    from lakeprep.operators import RowChange, drop_duplicates, drop_nulls
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("source", "lang")
+    first = RowChange(d, drop_duplicates)
+    second = RowChange(first.output, lambda x: x.where("lang = 'en'"))
+    n = second.output.count()
+    assert first.before == 200 and first.after == second.before and second.after == n
