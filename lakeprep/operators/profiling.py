@@ -160,20 +160,24 @@ def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, unique, top, freq per column (A6); values compared as text.
 
     ``top`` is the most frequent value, ties broken by the smallest value.
-    The frequency table is a map-side combined aggregate; count, unique and
-    the top pick are then one more aggregate over it (``min_by`` on
-    ``(-freq, value)``), so one job per column.
+    All columns are stacked into one ``(column, value)`` table, so one job
+    serves them all: a map-side combined frequency table, then count,
+    unique and the top pick per column (``min_by`` on ``(-freq, value)``).
     """
     require_columns(df, columns)
+    if not columns:
+        return _spark(df).createDataFrame([], TEXT_SCHEMA)
+    stacked = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("cid"), col(c).cast("string").alias("v"))
+                                           for i, c in enumerate(columns)])))
+    freq = stacked.where(F.col("v").isNotNull()).groupBy("cid", "v").agg(F.count(F.lit(1)).alias("k"))
+    got = {r["cid"]: r for r in freq.groupBy("cid").agg(
+        F.sum("k").alias("count"), F.count(F.lit(1)).alias("unique"),
+        F.min_by("v", F.struct((-F.col("k")).alias("nk"), F.col("v"))).alias("top"),
+        F.max("k").alias("freq")).collect()}          # one row per column
     rows = []
-    for c in columns:
-        v = col(c).cast("string")
-        freq = df.select(v.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(
-            F.count(F.lit(1)).alias("k"))
-        s = freq.agg(F.sum("k").alias("count"), F.count(F.lit(1)).alias("unique"),
-                     F.min_by("v", F.struct((-F.col("k")).alias("nk"), F.col("v"))).alias("top"),
-                     F.max("k").alias("freq")).first()
-        rows.append((c, s["count"] or 0, s["unique"] or 0, s["top"], s["freq"]))
+    for i, c in enumerate(columns):
+        r = got.get(i)
+        rows.append((c, r["count"], r["unique"], r["top"], r["freq"]) if r else (c, 0, 0, None, None))
     return _spark(df).createDataFrame(rows, TEXT_SCHEMA)
 
 

@@ -100,8 +100,15 @@ def workbook_bytes(header: list[str], kinds: list[str], row_blocks) -> bytes:
 
 
 def write_workbooks(df: DataFrame, path: str, rows_per_file: int = 50_000) -> DataFrame:
-    """Write ``df`` as workbooks under ``path``; returns a small DataFrame of
-    ``file, rows`` (one row per workbook written), already computed."""
+    """Write ``df`` as workbooks under ``path`` and return the manifest
+    ``file, rows`` (one row per workbook).
+
+    File names are fixed by (partition, chunk), so a retried or speculative
+    task attempt overwrites its own files instead of leaving duplicates.
+    The manifest is written by the same job as Parquet under
+    ``<path>/_manifest`` (hidden from readers of the folder) and read back;
+    it never passes through the driver.
+    """
     if any(isinstance(f.dataType, NESTED) for f in df.schema.fields):
         raise ValueError("nested columns cannot be written to a workbook; select or flatten them first")
     rows_per_file = max(1, min(rows_per_file, MAX_SHEET_ROWS))
@@ -121,6 +128,8 @@ def write_workbooks(df: DataFrame, path: str, rows_per_file: int = 50_000) -> Da
 
     def write_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as pafs
+        from pyspark import TaskContext
+        partition = TaskContext.get().partitionId()
         filesystem, base = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root)
         filesystem.create_dir(base, recursive=True)
         pending: list[list[str]] = []
@@ -129,7 +138,7 @@ def write_workbooks(df: DataFrame, path: str, rows_per_file: int = 50_000) -> Da
 
         def flush():
             nonlocal pending_rows
-            name = f"part-{run}-{uuid.uuid4().hex[:12]}.xlsx"
+            name = f"part-{run}-{partition:05d}-{len(written):04d}.xlsx"
             data = workbook_bytes(header, kinds, pending)
             with filesystem.open_output_stream(f"{base}/{name}") as out:
                 out.write(data)
@@ -151,5 +160,6 @@ def write_workbooks(df: DataFrame, path: str, rows_per_file: int = 50_000) -> Da
             flush()
         yield pd.DataFrame(written, columns=["file", "rows"])
 
-    result = text.mapInPandas(write_part, "file string, rows long")
-    return df.sparkSession.createDataFrame(result.collect(), "file string, rows long")
+    manifest = f"{root}/_manifest"
+    text.mapInPandas(write_part, "file string, rows long").write.mode("overwrite").parquet(manifest)
+    return df.sparkSession.read.parquet(manifest)
