@@ -220,6 +220,22 @@ def null_report(spark, sf_dir):
     return ops.null_report(_orders_with_nulls(spark, sf_dir))
 
 
+def null_counts(spark, sf_dir):
+    return ops.null_counts(_orders_with_nulls(spark, sf_dir))
+
+
+def fill_nulls_stringify(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderstatus") == "P", None).otherwise(F.col("o_orderdate")).alias("o_orderdate"),
+        F.when(F.col("o_orderpriority") == "5-LOW", None).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+    return ops.fill_nulls(o, stringify=True)
+
+
+def compare_text(spark, sf_dir):
+    return ops.compare_columns(_t(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
+
+
 def dataset_profile(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select(
         "source", F.when(F.col("lang") == "de", None).otherwise(F.col("lang")).alias("lang"))
@@ -426,7 +442,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "convert_to_timestamp": convert_to_timestamp, "convert_try": convert_try,
     "drop_nulls": drop_nulls, "fill_nulls": fill_nulls,
     "drop_duplicates": drop_duplicates, "duplicate_count": duplicate_count,
-    "null_report": null_report, "dataset_profile": dataset_profile, "schema_report": schema_report,
+    "null_report": null_report, "null_counts": null_counts, "fill_nulls_stringify": fill_nulls_stringify,
+    "compare_text": compare_text, "dataset_profile": dataset_profile, "schema_report": schema_report,
     "row_count": row_count, "column_means": column_means,
     "describe_numeric": describe_numeric, "describe_text": describe_text,
     "describe_timestamp": describe_timestamp, "compare_columns": compare_columns,
@@ -530,6 +547,18 @@ _ORACLE: dict[str, str] = {
         UNION ALL SELECT 'o_orderdate', COUNT(*) - COUNT(o_orderdate) FROM {_ORDERS_NULLS}
         UNION ALL SELECT 'o_orderpriority', COUNT(*) - COUNT(o_orderpriority) FROM {_ORDERS_NULLS})
         WHERE null_count > 0""",
+    "null_counts": f"""
+        SELECT 'o_orderkey' AS "column", COUNT(*) - COUNT(o_orderkey) AS null_count FROM {_ORDERS_NULLS}
+        UNION ALL SELECT 'o_orderstatus', COUNT(*) - COUNT(o_orderstatus) FROM {_ORDERS_NULLS}
+        UNION ALL SELECT 'o_totalprice', COUNT(*) - COUNT(o_totalprice) FROM {_ORDERS_NULLS}
+        UNION ALL SELECT 'o_orderdate', COUNT(*) - COUNT(o_orderdate) FROM {_ORDERS_NULLS}
+        UNION ALL SELECT 'o_orderpriority', COUNT(*) - COUNT(o_orderpriority) FROM {_ORDERS_NULLS}""",
+    "fill_nulls_stringify": """SELECT o_orderkey,
+        COALESCE(CAST(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS VARCHAR), 'Unknown')
+            AS o_orderdate,
+        COALESCE(CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END, 'Unknown')
+            AS o_orderpriority FROM orders""",
+    "compare_text": _describe_text_sql("orders", ["o_orderstatus", "o_orderpriority"]),
     "dataset_profile": """WITH d AS (SELECT source, CASE WHEN lang = 'de' THEN NULL ELSE lang END AS lang FROM documents)
         SELECT COUNT(*) AS "rows", CAST(2 AS BIGINT) AS "columns",
             CAST(SUM(CASE WHEN source IS NULL THEN 1 ELSE 0 END + CASE WHEN lang IS NULL THEN 1 ELSE 0 END) AS BIGINT)
