@@ -112,6 +112,18 @@ def schema_text(df: DataFrame) -> str:
     return "\n".join(f"{f.name}: {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+def save_schema_text(df: DataFrame, path: str) -> str:
+    """Write the ``name: type`` lines as one text file in folder ``path`` (A4).
+
+    The content is the schema (one line per column), so a single task
+    writing it is bounded by the column count, not the data.
+    """
+    lines = [(line,) for line in schema_text(df).split("\n")] if df.columns else []
+    (_spark(df).createDataFrame(lines, "value string").coalesce(1)
+     .write.mode("overwrite").text(path))
+    return path
+
+
 # ----------------------------------------------------------------------------- describe
 
 NUMERIC_SCHEMA = ("column string, count bigint, mean double, std double, min double, "

@@ -208,7 +208,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame], header_only: bool = False) -
 def parse_workbooks(spark: SparkSession, path: str, header_only: bool = False) -> DataFrame:
     """``path, row, cells`` for every row of every workbook under ``path``
     (only row 0 of each with ``header_only``, which stops parsing early)."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]")
              .option("recursiveFileLookup", "true").load(path).select("path", "content"))
     if header_only:
         return files.mapInPandas(lambda it: _parse_batches(it, True), PARSED_SCHEMA)

@@ -173,3 +173,22 @@ def test_workbook_folder(spark, tmpdir_path):
     assert sum(r.rows for r in files.collect()) == 1500 and files.count() >= 3
     back = read_workbooks(spark, out, columns=o.columns)
     assert back.schema == o.schema and back.exceptAll(o).count() == 0
+
+
+def test_load_by_extension(spark, tmpdir_path):
+    from lakeprep.sources import load
+    p = _write(tmpdir_path, "UPPER.CSV", "a,b\n1,x\n")
+    assert load(spark, p).dtypes == [("a", "bigint"), ("b", "string")]
+    j = _write(tmpdir_path, "r.json", '[{"a": 1}]')
+    assert load(spark, j).count() == 1
+    assert load(spark, f"{SF_SMALL}/region.parquet").count() == 5
+    with pytest.raises(ValueError, match="Unsupported"):
+        load(spark, _write(tmpdir_path, "x.txt", "a"))
+
+
+def test_schema_text_file(spark):
+    from lakeprep.operators import save_schema_text
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    path = save_schema_text(o, scratch_path(spark, "schema"))
+    lines = [r.value for r in spark.read.text(path).collect()]
+    assert lines[0] == "o_orderkey: bigint" and lines[4] == "o_orderdate: timestamp_ntz" and len(lines) == 6
