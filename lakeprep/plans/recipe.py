@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..operators import cleaning, columns, filters, ordering
+from ..session import cut_lineage
 
 STEPS: dict[str, Callable[..., DataFrame]] = {
     "select": columns.select_columns,
@@ -29,6 +30,7 @@ STEPS: dict[str, Callable[..., DataFrame]] = {
     "drop_nulls": cleaning.drop_nulls,
     "fill_nulls": cleaning.fill_nulls,
     "drop_duplicates": cleaning.drop_duplicates,
+    "checkpoint": cut_lineage,
 }
 
 
@@ -103,6 +105,8 @@ class Recipe:
                 steps.append(Step("drop_column", {"column": rest.strip()}))
             elif name == "REMOVE_NULLS":
                 steps.append(Step("fill_nulls" if "fill" in rest else "drop_nulls", {}))
+            elif name == "CHECKPOINT":
+                steps.append(Step("checkpoint", {}))
             elif name == "REMOVE_DUPLICATES":
                 steps.append(Step("drop_duplicates", {}))
             else:

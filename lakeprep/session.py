@@ -86,3 +86,17 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def cut_lineage(df):
+    """Reliable checkpoint of ``df`` into the shared checkpoint folder.
+
+    Later jobs (and retries after an executor loss) start from the written
+    files instead of replaying the whole chain. Never a local checkpoint:
+    those live on executor disks and vanish with the executor.
+    """
+    scratch_root(df.sparkSession)          # make sure a checkpoint dir is known
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint(eager=True)

@@ -105,3 +105,12 @@ def test_row_changes_chain(spark):
     second = RowChange(first.output, lambda x: x.where("lang = 'en'"))
     n = second.output.count()
     assert first.before == 200 and first.after == second.before and second.after == n
+
+
+def test_checkpoint_step_cuts_lineage(spark):
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    r = Recipe([("filter", {"column": "l_quantity", "operator": ">", "value": "10"}), ("checkpoint", {}),
+                ("drop_column", {"column": "l_tax"})])
+    out = r.apply(li)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and out.count() == li.where("l_quantity > 10").count()
