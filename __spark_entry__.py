@@ -421,7 +421,8 @@ def dedupe_row_change(spark, sf_dir):
 def lake_to_table(spark, sf_dir):
     name = "lake_" + scratch_path(spark, "x").rsplit("-", 1)[-1]
     result = parquet_to_table(spark, f"{sf_dir.rstrip('/')}/part.parquet",
-                              ["p_partkey", "p_brand", "p_size"], name, provider="parquet")
+                              ["p_partkey", "p_brand", "p_size"], name, provider="parquet",
+                              location=scratch_path(spark, "lake-table"))
     if result.stored is None:
         raise RuntimeError(result.report.collect())
     return spark.table(name)

@@ -54,7 +54,8 @@ def run_store_job(spark: SparkSession, source: Callable[[SparkSession], DataFram
 
 def database_to_lake(spark: SparkSession, target: JdbcTarget, table: str, base: str,
                      provider: str = "parquet", identifier: str | None = None,
-                     partition_column: str | None = None, num_partitions: int = 8) -> JobResult:
+                     partition_column: str | None = None, num_partitions: int = 8,
+                     location: str | None = None) -> JobResult:
     """Database table -> lake Parquet folder or table (R3), read in parallel slices."""
     def source(s):
         return read_jdbc(s, target, table, partition_column, num_partitions)
@@ -64,12 +65,16 @@ def database_to_lake(spark: SparkSession, target: JdbcTarget, table: str, base:
             return store_parquet(df, base, table)
     else:
         def sink(df):
-            return store_table(df, identifier or table, provider=provider)
+            return store_table(df, identifier or table, provider=provider, location=location)
     return run_store_job(spark, source, sink)
 
 
 def parquet_to_table(spark: SparkSession, path: str, columns: Sequence[str], identifier: str,
-                     provider: str = "iceberg") -> JobResult:
-    """Lake Parquet -> selected columns -> create-or-replace table (K9)."""
+                     provider: str = "iceberg", location: str | None = None) -> JobResult:
+    """Lake Parquet -> selected columns -> create-or-replace table (K9).
+
+    ``location`` places a Parquet-provider table's files (an external table);
+    without it the catalog's warehouse is used.
+    """
     return run_store_job(spark, lambda s: select_columns(read_parquet(s, path), columns),
-                         lambda df: store_table(df, identifier, provider=provider))
+                         lambda df: store_table(df, identifier, provider=provider, location=location))

@@ -91,10 +91,12 @@ def test_row_change_rides_on_one_job(spark):
 
 def test_parquet_to_table(spark):
     from lakeprep.plans.jobs import parquet_to_table
+    location = scratch_path(spark, "part-small")
     res = parquet_to_table(spark, f"{SF_SMALL}/part.parquet", ["p_partkey", "p_size"], "part_small",
-                           provider="parquet")
+                           provider="parquet", location=location)
     rep = {r.step: r for r in res.report.collect()}
-    assert rep["store"].status == "ok" and rep["store"].rows == 200
+    assert rep["store"].status == "ok" and rep["store"].rows == 200, rep
+    assert rep["store"].location.rstrip("/").endswith(location.rsplit("/", 1)[-1])
     assert spark.table("part_small").columns == ["p_partkey", "p_size"]
 
 
