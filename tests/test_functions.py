@@ -82,3 +82,11 @@ def test_custom_rules_and_sql(spark):
     assert rules_sql("t", rules, "none").startswith("CASE WHEN")
     with pytest.raises(ValueError):
         classify("t", [rule("empty", [])])
+
+
+def test_needed_keywords_keep_meaning():
+    r = rule("x", ["iceberg", "icebe", "ICEBR", "icebrg", "ice berg"])
+    assert r.needed_keywords() == ["icebe", "icebr", "ice berg"]
+    for text in ["iceberg", "icebrg", "ice berg", "icb"]:
+        full = any(k.lower() in text for k in r.any_of)
+        assert full == any(k in text for k in r.needed_keywords())
