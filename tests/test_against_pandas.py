@@ -2,7 +2,6 @@
 
 import math
 
-import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from lakeprep.names import ColumnNotFound
 from lakeprep.operators import add_column, convert_type, drop_column, rename_column, select_columns

@@ -1,8 +1,7 @@
 import pytest
-from pyspark.sql import functions as F
 
 from lakeprep.functions.identifiers import clean_identifier, folder_name, job_identifier, split_lake_path
-from lakeprep.functions.rules import DEFAULT_RULES, classify, rule, rules_sql
+from lakeprep.functions.rules import classify, rule, rules_sql
 
 PATHS = ["name", "dir/name", "hdfs://h:9000/a/b", "http://host/x/my-file.v2", "data/Cars Sales/",
          "my-file.v2", "  asw.py  ", "https://h/a b/C.D", "hdfs://", "/abs/path/"]

@@ -3,7 +3,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from lakeprep.session import scratch_path
 from lakeprep.sinks.files import land_csv, store_parquet, write_csv, write_json

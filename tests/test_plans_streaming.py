@@ -2,10 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeprep.plans.jobs import run_store_job
-from lakeprep.plans.recipe import Recipe, Step
+from lakeprep.plans.recipe import Recipe
 from lakeprep.session import scratch_path
 from lakeprep.sinks.files import land_csv, store_parquet
-from lakeprep.streaming.refresh import read_refreshed, refresh_once, start_refresh, trigger_for
+from lakeprep.streaming.refresh import refresh_once, trigger_for
 
 from conftest import SF_SMALL
 
@@ -101,7 +101,7 @@ def test_parquet_to_table(spark):
 
 
 def test_row_changes_chain(spark):
-    from lakeprep.operators import RowChange, drop_duplicates, drop_nulls
+    from lakeprep.operators import RowChange, drop_duplicates
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("source", "lang")
     first = RowChange(d, drop_duplicates)
     second = RowChange(first.output, lambda x: x.where("lang = 'en'"))
