@@ -39,7 +39,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_saved(spark: SparkSession, name: str) -> DataFrame:
-    """Reload a saved dataset by table name (S4); a missing one is a clear error."""
+    """Reload a saved dataset (S4) by table name, or by path when ``name``
+    looks like one (holds ``/``). A missing one is a clear ``Not found``."""
+    if "/" in name:
+        try:
+            return spark.read.parquet(name)
+        except Exception as e:  # noqa: BLE001 - Spark words "missing path" in several ways
+            if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+                raise ValueError(f"Not found: {name}") from None
+            raise
     if not spark.catalog.tableExists(name):
         raise ValueError(f"Not found: {name}")
     return spark.table(name)

@@ -78,6 +78,11 @@ def test_snapshot_list_and_table_store(spark):
     assert "cust_snap" in [r.name for r in list_saved(spark).collect()]
     with pytest.raises(ValueError):
         load_saved(spark, "no_such_table")
+    snap = scratch_path(spark, "snap-path")
+    save_snapshot(c, "cust_snap_path", location=snap)
+    assert load_saved(spark, snap).count() == 150
+    with pytest.raises(ValueError, match="Not found"):
+        load_saved(spark, snap + "-missing")
     rep = store_table(c, "cust_table", provider="parquet", location=scratch_path(spark, "tbl"))
     assert rep.rows == 150 and "tbl" in rep.location
     # replace keeps working on a second store
