@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import decimal
+import math
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -83,24 +84,34 @@ def typed_literal(dtype: T.DataType, column: str, value: Any) -> Column:
     raise ValueError(f"Column {column!r} of type {dtype.simpleString()} cannot be filtered by value")
 
 
+def _is_nan_value(value: Any) -> bool:
+    try:
+        return math.isnan(float(value))
+    except (TypeError, ValueError):
+        return False
+
+
 def predicate(df: DataFrame, column: str, operator: str, value: Any) -> Column:
-    """The boolean column for ``column <operator> value``."""
+    """The boolean column for ``column <operator> value``.
+
+    Missing values compare the way a pandas mask does: they never satisfy
+    ``>``, ``<``, ``==``, ``>=``, ``<=`` and always satisfy ``!=``. For
+    float/double columns NaN counts as missing (Spark would order it above
+    every number); the value comparison stays a plain predicate, so it is
+    still pushed into the scan, and the NaN guard is a separate conjunct.
+    """
     op = canonical_operator(operator)
     f = field(df, column)
     c = col(column)
+    floating = isinstance(f.dataType, (T.FloatType, T.DoubleType))
+    if isinstance(f.dataType, _NUMERIC) and _is_nan_value(value):
+        return F.lit(op == "ne")                      # nothing equals or orders against NaN
     lit = typed_literal(f.dataType, column, value)
-    if op == "gt":
-        return c > lit
-    if op == "lt":
-        return c < lit
-    if op == "eq":
-        return c == lit
-    if op == "gte":
-        return c >= lit
-    if op == "lte":
-        return c <= lit
-    # "!=" keeps rows whose value is null, as a pandas mask does.
-    return ~c.eqNullSafe(lit)
+    if op == "ne":
+        # "!=" keeps rows whose value is null (and NaN), as a pandas mask does.
+        return ~c.eqNullSafe(lit)
+    cond = {"gt": c > lit, "lt": c < lit, "eq": c == lit, "gte": c >= lit, "lte": c <= lit}[op]
+    return cond & ~F.isnan(c) if floating else cond
 
 
 def filter_rows(df: DataFrame, column: str, operator: str, value: Any) -> DataFrame:

@@ -24,10 +24,18 @@ def _is_ascending(order: str) -> bool:
 
 def sort_keys(df: DataFrame, column: str, order: str = "asc",
               tie_breakers: Sequence[str] = ()) -> list[Column]:
-    """Sort expressions with nulls last in both directions."""
+    """Sort expressions with missing values last in both directions.
+
+    For float/double columns NaN is missing too: a leading ``isnan`` key
+    keeps it at the end even when descending (Spark alone would put NaN,
+    its largest value, first).
+    """
     require_columns(df, [column, *tie_breakers])
-    first = col(column).asc_nulls_last() if _is_ascending(order) else col(column).desc_nulls_last()
-    return [first, *(col(t).asc_nulls_last() for t in tie_breakers)]
+    c = col(column)
+    first = c.asc_nulls_last() if _is_ascending(order) else c.desc_nulls_last()
+    dtype = next(f.dataType for f in df.schema.fields if f.name == column)
+    lead = [F.isnan(c).asc()] if dtype.typeName() in ("float", "double") else []
+    return [*lead, first, *(col(t).asc_nulls_last() for t in tie_breakers)]
 
 
 def row_hash(df: DataFrame) -> Column:

@@ -65,9 +65,12 @@ def test_filter_pushed_to_parquet(spark):
 
 
 def test_sort_nulls_last_both_ways(mixed):
+    import math
+    missing = lambda v: v is None or math.isnan(v)
     asc = [r[0] for r in sort_rows(mixed, "x", "asc").select("x").collect()]
     desc = [r[0] for r in sort_rows(mixed, "x", "descending").select("x").collect()]
-    assert asc[-1] is None and desc[-1] is None
+    assert asc[:2] == [1.5, 3.5] and all(missing(v) for v in asc[2:])
+    assert desc[:2] == [3.5, 1.5] and all(missing(v) for v in desc[2:])
     with pytest.raises(ValueError):
         sort_rows(mixed, "x", "upward")
 
@@ -95,3 +98,22 @@ def test_sort_splits_a_hot_value(spark):
         assert keys == sorted(keys)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_nan_behaves_like_missing(mixed):
+    # x = [1.5, None, 3.5, NaN]
+    assert sorted(r.x for r in filter_rows(mixed, "x", ">", "1").select("x").collect()) == [1.5, 3.5]
+    assert filter_rows(mixed, "x", "<=", "10").count() == 2
+    assert filter_rows(mixed, "x", "!=", "1.5").count() == 3
+    assert filter_rows(mixed, "x", "==", "nan").count() == 0
+    assert filter_rows(mixed, "x", "!=", "nan").count() == 4
+    desc = [r.x for r in sort_rows(mixed, "x", "desc").select("x").collect()]
+    assert desc[:2] == [3.5, 1.5]
+    top = [r.x for r in preview(mixed, 1, order_by="x", order="desc").collect()]
+    assert top == [3.5]
+
+
+def test_nan_guard_keeps_pushdown(spark):
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    plan = filter_rows(li, "l_quantity", ">", "45")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(l_quantity,45.0)" in plan
