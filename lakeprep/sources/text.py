@@ -36,19 +36,26 @@ ZONED_TIMESTAMP_PATTERN = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[
 CSV_OPTIONS = {"quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
 
 
-def _candidates(c: Column, infer_dates: bool) -> list[tuple[str, Column]]:
-    out = [
-        ("bigint", c.rlike(INT_PATTERN) & c.try_cast("bigint").isNotNull()),
-        ("double", c.rlike(FLOAT_PATTERN)),
-        ("boolean", c.rlike(BOOL_PATTERN)),
-    ]
+# Candidate types in order of preference, with the bit each one owns.
+TYPE_BITS = (("bigint", 1), ("double", 2), ("boolean", 4), ("date", 8), ("timestamp_ntz", 16), ("timestamp", 32))
+
+
+def _type_mask(c: Column, infer_dates: bool) -> Column:
+    """Bit set of the candidate types one (non-null) value fits.
+
+    One ``CASE`` per value, first match wins, so most values cost one or two
+    pattern tests: an integer also fits double; every other form fits only
+    its own type. Patterns decide the form, a ``try_cast`` confirms the
+    value is in range (bigint overflow, 2024-02-30).
+    """
+    mask = (F.when(c.rlike(INT_PATTERN) & c.try_cast("bigint").isNotNull(), F.lit(1 | 2))
+            .when(c.rlike(FLOAT_PATTERN), F.lit(2))
+            .when(c.rlike(BOOL_PATTERN), F.lit(4)))
     if infer_dates:
-        out += [
-            ("date", c.rlike(DATE_PATTERN) & c.try_cast("date").isNotNull()),
-            ("timestamp_ntz", c.rlike(TIMESTAMP_PATTERN) & c.try_cast("timestamp_ntz").isNotNull()),
-            ("timestamp", c.rlike(ZONED_TIMESTAMP_PATTERN) & c.try_cast("timestamp").isNotNull()),
-        ]
-    return out
+        mask = (mask.when(c.rlike(DATE_PATTERN) & c.try_cast("date").isNotNull(), F.lit(8))
+                .when(c.rlike(TIMESTAMP_PATTERN) & c.try_cast("timestamp_ntz").isNotNull(), F.lit(16))
+                .when(c.rlike(ZONED_TIMESTAMP_PATTERN) & c.try_cast("timestamp").isNotNull(), F.lit(32)))
+    return mask.otherwise(F.lit(0))
 
 
 def infer_types(df: DataFrame, infer_dates: bool = True) -> dict[str, str]:
@@ -56,8 +63,9 @@ def infer_types(df: DataFrame, infer_dates: bool = True) -> dict[str, str]:
 
     Order of preference: bigint, double, boolean, date, timestamp without
     zone (``timestamp_ntz``), timestamp with a zone suffix (``timestamp``),
-    string.
-    A column with no value at all stays string.
+    string. A column with no value at all stays string. Per column the
+    aggregate is a ``bit_and`` of the per-value type masks (nulls skipped),
+    i.e. the types every value fits.
     """
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not strings:
@@ -66,17 +74,14 @@ def infer_types(df: DataFrame, infer_dates: bool = True) -> dict[str, str]:
     for i, name in enumerate(strings):
         c = col(name)
         aggs.append(F.count(c).alias(f"n{i}"))
-        for j, (_, test) in enumerate(_candidates(c, infer_dates)):
-            aggs.append(F.bool_and(c.isNull() | test).alias(f"t{i}_{j}"))
+        aggs.append(F.bit_and(F.when(c.isNotNull(), _type_mask(c, infer_dates))).alias(f"m{i}"))
     stats = df.agg(*aggs).first()
     out = {}
     for i, name in enumerate(strings):
         chosen = "string"
-        if stats[f"n{i}"]:
-            for j, (type_name, _) in enumerate(_candidates(col(name), infer_dates)):
-                if stats[f"t{i}_{j}"]:
-                    chosen = type_name
-                    break
+        mask = stats[f"m{i}"]
+        if stats[f"n{i}"] and mask:
+            chosen = next(t for t, bit in TYPE_BITS if mask & bit)
         out[name] = chosen
     return out
 
