@@ -116,3 +116,13 @@ def test_checkpoint_step_cuts_lineage(spark):
     out = r.apply(li)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" in plan and out.count() == li.where("l_quantity > 10").count()
+
+
+def test_replace_keeps_newest_of_one_batch(spark):
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    base = scratch_path(spark, "refresh-many")
+    land_csv(o.where("o_orderstatus = 'O'"), base, "orders")
+    newest = o.where("o_orderstatus = 'F'")
+    land_csv(newest, base, "orders")                 # both land before the stream runs
+    got = refresh_once(spark, base, "orders", f"{base}/t", o.schema, "replace", f"{base}/ck")
+    assert got.exceptAll(newest).count() == 0 and newest.exceptAll(got).count() == 0
