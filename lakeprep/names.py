@@ -46,24 +46,17 @@ def field(df: DataFrame, name: str):
 
 
 def dedupe_names(names: list[str]) -> list[str]:
-    """Make header names unique: the second ``a`` becomes ``a_1`` and so on."""
-    seen: dict[str, int] = {}
-    taken = set(names)
+    """Make header names unique: a repeated ``a`` becomes ``a_1``, ``a_2``, ...
+    Names are compared case-insensitively (Spark resolves ``A`` as ``a``),
+    and an empty name becomes ``_c<position>``."""
     out: list[str] = []
-    for raw in names:
-        name = raw if raw is not None and raw != "" else "_c"
-        if name not in seen:
-            seen[name] = 0
-            out.append(name)
-            continue
-        k = seen[name]
-        while True:
+    seen: set[str] = set()
+    for pos, raw in enumerate(names):
+        base = raw if raw else f"_c{pos}"
+        candidate, k = base, 0
+        while candidate.lower() in seen:
             k += 1
-            candidate = f"{name}_{k}"
-            if candidate not in taken and candidate not in seen:
-                break
-        seen[name] = k
-        seen[candidate] = 0
-        taken.add(candidate)
+            candidate = f"{base}_{k}"
+        seen.add(candidate.lower())
         out.append(candidate)
     return out

@@ -137,8 +137,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], header: bool = True
         if first is not None and len(first) == len(names):
             lowered = [n.lower() for n in first]
             if len(set(lowered)) != len(lowered) or "" in first:
-                fixed = [n if n else f"_c{i}" for i, n in enumerate(first)]
-                names = _dedupe_ci(fixed)
+                names = dedupe_names(first)
                 raw = raw.toDF(*names)
     df = null_tokens_to_null(raw, null_tokens)
     if schema is not None:
@@ -152,20 +151,6 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], header: bool = True
     return apply_types(df, infer_types(df, infer_dates))
 
 
-def _dedupe_ci(names: list[str]) -> list[str]:
-    """``dedupe_names`` with case-insensitive collisions (Spark's default resolver)."""
-    out: list[str] = []
-    seen: set[str] = set()
-    for n in names:
-        candidate, k = n, 0
-        while candidate.lower() in seen:
-            k += 1
-            candidate = f"{n}_{k}"
-        seen.add(candidate.lower())
-        out.append(candidate)
-    return out
-
-
 def _starts_with_array(spark: SparkSession, path: str | Sequence[str]) -> bool:
     first = (spark.read.text(path).where(F.trim("value") != "").limit(1).collect())
     return bool(first) and first[0][0].lstrip().startswith("[")

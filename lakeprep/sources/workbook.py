@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .text import NULL_TOKENS, _dedupe_ci, apply_types, infer_types, null_tokens_to_null
+from ..names import dedupe_names
+from .text import NULL_TOKENS, apply_types, infer_types, null_tokens_to_null
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
@@ -231,7 +232,7 @@ def read_workbooks(spark: SparkSession, path: str, columns: Sequence[str] | None
                  .select("cells").limit(1).collect())
         if not first:
             raise ValueError(f"no .xlsx workbook with rows under {path}")
-        columns = _dedupe_ci([c if c else f"_c{i}" for i, c in enumerate(first[0][0])])
+        columns = dedupe_names(list(first[0][0]))
     cols = list(columns)
     data = parse_workbooks(spark, path).where(F.col("row") > 0).select(
         *[F.get(F.col("cells"), i).alias(name) for i, name in enumerate(cols)])

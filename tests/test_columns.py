@@ -42,3 +42,8 @@ def test_convert(spark):
     with pytest.raises(Exception):
         convert_type(df, "s", "int").collect()
     assert spark_type_name("datetime64[ns]") == "timestamp" and spark_type_name("decimal(10,2)") == "decimal(10,2)"
+
+
+def test_dedupe_names():
+    from lakeprep.names import dedupe_names
+    assert dedupe_names(["a", "b", "a", "A", "", "a_1"]) == ["a", "b", "a_1", "A_2", "_c4", "a_1_1"]
