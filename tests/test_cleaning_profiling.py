@@ -127,3 +127,12 @@ def test_compare_columns_dispatch(spark):
     df = spark.createDataFrame([(1, "x", True), (2, "y", False)], "n int, s string, b boolean")
     assert [r["column"] for r in compare_columns(df, "n", "s").collect()] == ["n"]
     assert "top" in compare_columns(df, "s", "b").columns
+
+
+def test_describe_approximate(spark):
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    exact = describe_numeric(li, ["l_quantity"]).first()
+    approx = describe_numeric(li, ["l_quantity"], exact=False).first()
+    assert approx["count"] == exact["count"] and approx["mean"] == pytest.approx(exact["mean"])
+    for p in ("p25", "p50", "p75"):
+        assert abs(approx[p] - exact[p]) <= 1.0           # l_quantity is integral 1..50

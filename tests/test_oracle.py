@@ -24,3 +24,17 @@ def test_entry_smoke(spark):
 def test_queries_match_duckdb(spark):
     failures = [(n, d) for n, status, d in compare(spark, SF_SMALL) if status == "FAIL"]
     assert not failures, failures
+
+
+PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
+WITH_SIDE_EFFECTS = {"csv_roundtrip", "csv_infer_types", "csv_events_values", "json_roundtrip", "json_infer",
+                     "parquet_roundtrip", "snapshot_roundtrip", "workbook_roundtrip", "land_and_refresh",
+                     "land_and_append", "store_job", "dedupe_row_change", "lake_to_table"}
+
+
+def test_no_python_in_query_plans(spark):
+    for name, fn in entry.queries().items():
+        if name in WITH_SIDE_EFFECTS:
+            continue
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert not any(node in plan for node in PYTHON_NODES), name
