@@ -10,7 +10,7 @@ values. Here the work is spread out, for any number of columns at once:
 2. when there are more distinct values than one task should sort
    (``VALUES_PER_BUCKET``), they are range-partitioned into ordered buckets;
    each (column, bucket) gets running counts in its own window task;
-3. per-bucket totals (a table of at most ``MAX_BUCKETS`` rows per column)
+3. per-bucket totals (at most ``MAX_BUCKETS`` + one per column rows)
    become bucket offsets, broadcast back to give every distinct value its
    global cumulative count;
 4. only the values whose cumulative interval holds one of the wanted ranks
@@ -29,7 +29,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Upper bound on the bucket count per column; keeps the offsets table broadcastable.
+# Upper bound on the number of ranges; the offsets table has at most this many rows
+# plus one per column, which keeps it broadcastable.
 MAX_BUCKETS = 100_000
 # Distinct values one window task sorts, at most (before the cap above).
 VALUES_PER_BUCKET = 2_000_000
@@ -71,7 +72,9 @@ def values_at_ranks(df: DataFrame, values: Sequence[Column], ranks: Sequence[Seq
     if buckets == 1:
         ranged = counts.withColumn("b", F.lit(0))
     else:
-        ranged = counts.repartitionByRange(buckets * len(values), "cid", "v").withColumn("b", F.spark_partition_id())
+        # Ranges over (column, value) jointly: ``buckets`` was sized from the
+        # distinct values of all columns together, so each range stays bounded.
+        ranged = counts.repartitionByRange(buckets, "cid", "v").withColumn("b", F.spark_partition_id())
     in_bucket = ranged.withColumn(
         "cum", F.sum("cnt").over(Window.partitionBy("cid", "b").orderBy("v")
                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
