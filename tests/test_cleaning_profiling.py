@@ -136,3 +136,14 @@ def test_describe_approximate(spark):
     assert approx["count"] == exact["count"] and approx["mean"] == pytest.approx(exact["mean"])
     for p in ("p25", "p50", "p75"):
         assert abs(approx[p] - exact[p]) <= 1.0           # l_quantity is integral 1..50
+
+
+def test_describe_timestamp_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(q, "VALUES_PER_BUCKET", 40)
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    r = describe_timestamp(o, ["o_orderdate"]).first()
+    s = o.select("o_orderdate").toPandas()["o_orderdate"]
+    assert r["count"] == len(s) and r["min"] == s.min().to_pydatetime() and r["max"] == s.max().to_pydatetime()
+    for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
+        want = s.quantile(p)
+        assert abs((r[name] - want.to_pydatetime()).total_seconds()) < 1e-5, name
