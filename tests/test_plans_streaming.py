@@ -126,3 +126,22 @@ def test_replace_keeps_newest_of_one_batch(spark):
     land_csv(newest, base, "orders")                 # both land before the stream runs
     got = refresh_once(spark, base, "orders", f"{base}/t", o.schema, "replace", f"{base}/ck")
     assert got.exceptAll(newest).count() == 0 and newest.exceptAll(got).count() == 0
+
+
+def test_interval_refresh_keeps_running(spark):
+    from lakeprep.streaming.refresh import read_refreshed, start_refresh
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    base = scratch_path(spark, "refresh-interval")
+    first, second = o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'P'")
+    land_csv(first, base, "orders")
+    q = start_refresh(spark, base, "orders", f"{base}/t", o.schema, "append", "1 second", f"{base}/ck")
+    try:
+        q.processAllAvailable()
+        assert read_refreshed(spark, f"{base}/t", "append").count() == first.count()
+        land_csv(second, base, "orders")
+        q.processAllAvailable()
+        got = read_refreshed(spark, f"{base}/t", "append")
+        assert got.count() == first.count() + second.count()
+        assert got.exceptAll(first.unionByName(second)).count() == 0
+    finally:
+        q.stop()
