@@ -20,6 +20,7 @@ from lakeprep.functions.rules import DEFAULT_RULES, classify, rule, rules_sql
 from lakeprep.plans.jobs import parquet_to_table, run_store_job
 from lakeprep.plans.recipe import Recipe
 from lakeprep.session import scratch_path
+from lakeprep.small import small_table
 from lakeprep.sinks.files import land_csv, store_parquet, write_csv, write_json
 from lakeprep.sinks.tables import save_snapshot
 from lakeprep.sources.lake import load_saved, read_table
@@ -415,7 +416,7 @@ def store_job(spark, sf_dir):
 def dedupe_row_change(spark, sf_dir):
     change = ops.RowChange(_doc_source_lang(spark, sf_dir), ops.drop_duplicates)
     change.output.write.format("noop").mode("overwrite").save()     # the one job; fills both counts
-    return spark.createDataFrame([(change.before, change.after)], "rows_before bigint, rows_after bigint")
+    return small_table(spark, [(change.before, change.after)], "rows_before bigint, rows_after bigint")
 
 
 def lake_to_table(spark, sf_dir):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..names import col, field, require_columns
+from ..small import small_table
 from .cleaning import missing, without_nan
 from .quantiles import exact_quantiles, linear_ranks, values_at_ranks
 from .types import has_map, is_numeric, is_temporal
@@ -31,7 +32,7 @@ def null_counts(df: DataFrame) -> DataFrame:
     """One row per column: ``column``, ``null_count`` (all columns, one pass)."""
     fields = df.schema.fields
     if not fields:
-        return _spark(df).createDataFrame([], "column string, null_count bigint")
+        return small_table(_spark(df), [], "column string, null_count bigint")
     wide = df.agg(*[F.count_if(missing(f.name, f.dataType)).alias(f"c{i}") for i, f in enumerate(fields)])
     stack = F.expr("stack({n}, {pairs}) as (`column`, null_count)".format(
         n=len(fields),
@@ -103,8 +104,7 @@ def column_means(df: DataFrame) -> DataFrame:
 def schema_report(df: DataFrame) -> DataFrame:
     """Name and type per column (A4): ``position, column, spark_type, nullable``."""
     rows = [(i + 1, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
-    return _spark(df).createDataFrame(
-        rows, "position int, column string, spark_type string, nullable boolean")
+    return small_table(_spark(df), rows, "position int, column string, spark_type string, nullable boolean")
 
 
 def schema_text(df: DataFrame) -> str:
@@ -119,7 +119,7 @@ def save_schema_text(df: DataFrame, path: str) -> str:
     writing it is bounded by the column count, not the data.
     """
     lines = [(line,) for line in schema_text(df).split("\n")] if df.columns else []
-    (_spark(df).createDataFrame(lines, "value string").coalesce(1)
+    (small_table(_spark(df), lines, "value string").coalesce(1)
      .write.mode("overwrite").text(path))
     return path
 
@@ -165,7 +165,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], exact: bool = True)
         else:
             qs = list(stats[f"q{i}"] or [None, None, None])
         rows.append((c, counts[i], stats[f"mean{i}"], stats[f"std{i}"], stats[f"min{i}"], *qs, stats[f"max{i}"]))
-    return _spark(df).createDataFrame(rows, NUMERIC_SCHEMA)
+    return small_table(_spark(df), rows, NUMERIC_SCHEMA)
 
 
 def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -178,7 +178,7 @@ def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     require_columns(df, columns)
     if not columns:
-        return _spark(df).createDataFrame([], TEXT_SCHEMA)
+        return small_table(_spark(df), [], TEXT_SCHEMA)
     stacked = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("cid"), col(c).cast("string").alias("v"))
                                            for i, c in enumerate(columns)])))
     freq = stacked.where(F.col("v").isNotNull()).groupBy("cid", "v").agg(F.count(F.lit(1)).alias("k"))
@@ -190,7 +190,7 @@ def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for i, c in enumerate(columns):
         r = got.get(i)
         rows.append((c, r["count"], r["unique"], r["top"], r["freq"]) if r else (c, 0, 0, None, None))
-    return _spark(df).createDataFrame(rows, TEXT_SCHEMA)
+    return small_table(_spark(df), rows, TEXT_SCHEMA)
 
 
 def _from_micros(m: int | None) -> _dt.datetime | None:
@@ -246,7 +246,7 @@ def describe_timestamp(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 qs.append(a if a == b or frac == 0 else a + math.floor((b - a) * frac))
         rows.append((c, n, _from_micros(mean), _from_micros(stats[f"min{i}"]),
                      *[_from_micros(q) for q in qs], _from_micros(stats[f"max{i}"])))
-    return _spark(df).createDataFrame(rows, TIMESTAMP_SCHEMA)
+    return small_table(_spark(df), rows, TIMESTAMP_SCHEMA)
 
 
 def compare_columns(df: DataFrame, col1: str, col2: str) -> DataFrame:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.columns import select_columns
+from ..small import small_table
 from ..sinks.files import StoreReport, store_parquet
 from ..sinks.tables import store_table
 from ..sources.jdbc import JdbcTarget, read_jdbc
@@ -48,7 +49,7 @@ def run_store_job(spark: SparkSession, source: Callable[[SparkSession], DataFram
         rows.append((stage, "failed", None, None, f"{type(e).__name__}: {str(e)[:500]}"))
         for later in ("load", "transform", "store")[("load", "transform", "store").index(stage) + 1:]:
             rows.append((later, "skipped", None, None, None))
-    report = spark.createDataFrame(rows, REPORT_SCHEMA)
+    report = small_table(spark, rows, REPORT_SCHEMA)
     return JobResult(report, out, stored)
 
 

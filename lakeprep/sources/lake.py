@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..names import col
+from ..small import small_table
 from ..operators.types import is_floating
 
 
@@ -61,4 +62,4 @@ def list_saved(spark: SparkSession, database: str | None = None) -> DataFrame:
     """
     tables = spark.catalog.listTables(database) if database else spark.catalog.listTables()
     rows = [(t.name, t.database, bool(t.isTemporary)) for t in tables]
-    return spark.createDataFrame(rows, "name string, database string, is_temporary boolean")
+    return small_table(spark, rows, "name string, database string, is_temporary boolean")
