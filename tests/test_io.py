@@ -196,3 +196,21 @@ def test_schema_text_file(spark):
     path = save_schema_text(o, scratch_path(spark, "schema"))
     lines = [r.value for r in spark.read.text(path).collect()]
     assert lines[0] == "o_orderkey: bigint" and lines[4] == "o_orderdate: timestamp_ntz" and len(lines) == 6
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+
+from lakeprep.sources.text import NULL_TOKENS  # noqa: E402
+
+_text = st.text(alphabet=st.sampled_from(list('ab ,"\n\r\t\'xé;') + ["\\"]), min_size=0, max_size=12).filter(
+    lambda s: s not in NULL_TOKENS and s.strip() != "")
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(_text, st.one_of(st.none(), _text)), min_size=1, max_size=8))
+def test_csv_text_round_trip(spark, rows):
+    df = spark.createDataFrame(rows, "a string, b string")
+    path = scratch_path(spark, "csv-prop")
+    write_csv(df, path)
+    back = read_csv(spark, path, infer=False)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
