@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import io
 import math
+import re
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -59,6 +60,15 @@ def column_letters(i: int) -> str:
     return out
 
 
+# Characters XML cannot carry (or would normalise away) are written as the
+# spreadsheet escape _xHHHH_; a literal "_xHHHH_" in the text escapes its "_".
+_NEEDS_ESCAPE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\r\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
+
+
+def excel_text(value: str) -> str:
+    return escape(_NEEDS_ESCAPE.sub(lambda m: f"_x{ord(m.group(0)):04X}_", value))
+
+
 def _is_missing(v) -> bool:
     return v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v))
 
@@ -67,12 +77,14 @@ def _cells(values, kind: str) -> list[str]:
     """XML of one column's cells. No ``r`` attribute: cells are positional,
     and a missing value is an empty ``<c/>`` placeholder."""
     if kind == "n":
+        # Integral columns arrive as exact decimal text (pandas would turn an
+        # integer column holding nulls into float64); doubles as floats.
         return ["<c/>" if _is_missing(v) else
-                f"<c><v>{repr(float(v)) if isinstance(v, float) else int(v)}</v></c>" for v in values]
+                f"<c><v>{v if isinstance(v, str) else repr(float(v))}</v></c>" for v in values]
     if kind == "b":
         return ["<c/>" if _is_missing(v) else f'<c t="b"><v>{1 if v else 0}</v></c>' for v in values]
     return ["<c/>" if _is_missing(v) else
-            f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for v in values]
+            f'<c t="inlineStr"><is><t xml:space="preserve">{excel_text(str(v))}</t></is></c>' for v in values]
 
 
 def sheet_rows(columns: list, kinds: list[str]) -> list[str]:
@@ -116,6 +128,8 @@ def write_workbooks(df: DataFrame, path: str, rows_per_file: int = 50_000) -> Da
     kinds = ["n" if is_numeric(f.dataType) else "b" if f.dataType.typeName() == "boolean" else "s"
              for f in df.schema.fields]
     def as_cell(f):
+        if f.dataType.typeName() in ("byte", "short", "integer", "long", "decimal"):
+            return col(f.name).cast("string").alias(f.name)
         if f.dataType.typeName() in ("timestamp", "timestamp_ntz"):
             return F.date_format(col(f.name), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(f.name)
         if f.dataType.typeName() == "date":

@@ -66,14 +66,14 @@ def _shared_strings(z: zipfile.ZipFile) -> list[str]:
         return []
     out = []
     for si in ET.fromstring(data).findall("m:si", _NS):
-        out.append("".join(t.text or "" for t in si.iter(_MAIN + "t")))
+        out.append(excel_unescape("".join(t.text or "" for t in si.iter(_MAIN + "t"))))
     return out
 
 
 def _cell_text(c, shared: list[str]) -> str | None:
     kind = c.get("t")
     if kind == "inlineStr":
-        return "".join(t.text or "" for t in c.iter(_MAIN + "t"))
+        return excel_unescape("".join(t.text or "" for t in c.iter(_MAIN + "t")))
     v = c.find("m:v", _NS)
     if v is None or v.text is None:
         return None
@@ -95,9 +95,17 @@ _VALUE = re.compile(rb"<v>(.*?)</v>", re.S)
 _TEXT = re.compile(rb"<t(?:\s[^>]*)?>(.*?)</t>", re.S)
 
 
+_EXCEL_ESCAPE = re.compile(r"_x([0-9A-Fa-f]{4})_")
+
+
+def excel_unescape(text: str) -> str:
+    """Undo the spreadsheet ``_xHHHH_`` escape (control characters, ``\r``)."""
+    return _EXCEL_ESCAPE.sub(lambda m: chr(int(m.group(1), 16)), text) if "_x" in text else text
+
+
 def _unescape(raw: bytes) -> str:
     text = raw.decode("utf-8")
-    return html.unescape(text) if "&" in text else text
+    return excel_unescape(html.unescape(text) if "&" in text else text)
 
 
 def _scan_cell(attrs: bytes, body: bytes, shared: list[str]) -> str | None:

@@ -214,3 +214,24 @@ def test_csv_text_round_trip(spark, rows):
     write_csv(df, path)
     back = read_csv(spark, path, infer=False)
     assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+_wb_text = st.lists(st.sampled_from(list('a <>&"\'\n\r\t\x01\x1f_x0D') + ["é", "_x000D_", "_x12_"]),
+                    min_size=1, max_size=8).map("".join).filter(lambda s: s not in NULL_TOKENS)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(_wb_text, st.one_of(st.none(), st.integers(-2**62, 2**62)),
+                          st.one_of(st.none(), st.floats(allow_nan=False, allow_infinity=False))),
+                min_size=1, max_size=6))
+def test_workbook_round_trip_values(spark, rows):
+    from lakeprep.sinks.workbook import write_workbooks
+    from lakeprep.sources.workbook import read_workbooks
+    df = spark.createDataFrame(rows, "s string, i bigint, x double")
+    path = scratch_path(spark, "wb-prop")
+    write_workbooks(df, path)
+    back = read_workbooks(spark, path, infer=False)
+    got = sorted(((r.s, None if r.i is None else int(r.i), None if r.x is None else float(r.x))
+                  for r in back.collect()), key=repr)
+    want = sorted(((s, i, x) for s, i, x in rows), key=repr)
+    assert got == want
