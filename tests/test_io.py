@@ -235,3 +235,43 @@ def test_workbook_round_trip_values(spark, rows):
                   for r in back.collect()), key=repr)
     want = sorted(((s, i, x) for s, i, x in rows), key=repr)
     assert got == want
+
+
+_typed_rows = st.lists(st.tuples(
+    st.one_of(st.none(), st.integers(-2**63, 2**63 - 1)),
+    st.one_of(st.none(), st.floats(allow_nan=False, allow_infinity=True)),
+    st.one_of(st.none(), st.booleans()),
+    st.one_of(st.none(), st.datetimes(min_value=dt.datetime(1900, 1, 1), max_value=dt.datetime(2200, 1, 1))),
+    st.one_of(st.none(), st.text(max_size=6).filter(lambda s: s not in NULL_TOKENS and "\x00" not in s))),
+    min_size=1, max_size=6)
+TYPED = "i bigint, x double, b boolean, t timestamp_ntz, s string"
+
+
+def _same(got, want):
+    def norm(r):
+        return tuple(None if v is None else (float(v) if isinstance(v, float) else v) for v in r)
+    return sorted(map(norm, got), key=repr) == sorted(map(norm, want), key=repr)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(_typed_rows)
+def test_csv_typed_round_trip(spark, rows):
+    df = spark.createDataFrame(rows, TYPED)
+    path = scratch_path(spark, "csv-typed")
+    write_csv(df, path)
+    back = read_csv(spark, path)
+    for f in df.schema.fields:
+        if any(r[df.columns.index(f.name)] is not None for r in rows) and f.name != "s":
+            assert dict(back.dtypes)[f.name] == f.dataType.simpleString(), f.name
+    typed = read_csv(spark, path, schema=TYPED)
+    assert _same([tuple(r) for r in typed.collect()], rows)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(_typed_rows)
+def test_json_round_trip(spark, rows):
+    df = spark.createDataFrame(rows, TYPED)
+    path = scratch_path(spark, "json-prop")
+    write_json(df, path)
+    back = read_json(spark, path, schema=df.schema)
+    assert _same([tuple(r) for r in back.collect()], rows)
