@@ -99,3 +99,14 @@ def test_fill_matches_pandas(spark, rows):
         for a, b in zip(g, w):
             assert (a is None and b is None) or a == pytest.approx(b)
     assert sorted(r[0] for r in got.select("s").collect()) == sorted(want["s"])
+
+
+@SETTINGS
+@given(frames)
+def test_profile_matches_pandas(spark, rows):
+    from lakeprep.operators import dataset_profile
+    df = spark.createDataFrame(rows, SCHEMA)
+    pdf = to_pandas(rows)
+    p = dataset_profile(df).first()
+    assert (p.rows, p.columns, p.null_cells, p.duplicate_rows) == (
+        len(pdf), 3, int(pdf.isnull().sum().sum()), int(pdf.duplicated().sum()))

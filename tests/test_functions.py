@@ -89,3 +89,22 @@ def test_needed_keywords_keep_meaning():
     for text in ["iceberg", "icebrg", "ice berg", "icb"]:
         full = any(k.lower() in text for k in r.any_of)
         assert full == any(k in text for k in r.needed_keywords())
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+
+_paths = st.lists(st.sampled_from(["/", " ", "-", ".", "a", "B", "py", ".py", ":", "http://", "https://",
+                                   "hdfs://", "\t", "x_y"]), max_size=10).map("".join)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(_paths, min_size=1, max_size=10))
+def test_identifier_functions_fuzzed(spark, paths):
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = df.select("p", clean_identifier("p").alias("t"), job_identifier("p").alias("j"),
+                    folder_name("p").alias("f"), split_lake_path("p").alias("s")).collect()
+    for r in got:
+        assert r.t == py_clean(r.p), r.p
+        assert r.j == py_clean(r.p, lower=False, last=False), r.p
+        assert r.f == py_folder(r.p), r.p
+        assert (r.s.full, r.s.base, r.s.name) == py_split(r.p), r.p
