@@ -108,3 +108,24 @@ def test_identifier_functions_fuzzed(spark, paths):
         assert r.j == py_clean(r.p, lower=False, last=False), r.p
         assert r.f == py_folder(r.p), r.p
         assert (r.s.full, r.s.base, r.s.name) == py_split(r.p), r.p
+
+
+_fragments = st.lists(st.sampled_from(["SQL", "my", "sql to ", "hdfs", "ice", "berg", "Sched", "ule", "fill ",
+                                       "null", "push", " ", "cron", "duplicate", "x"]), max_size=8).map("".join)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), _fragments), min_size=1, max_size=12))
+def test_rules_match_first_rule_model(spark, texts):
+    from lakeprep.functions.rules import DEFAULT_LABEL, DEFAULT_RULES
+
+    def model(text):
+        msg = (text or "").lower()
+        for r in DEFAULT_RULES:
+            if any(k.lower() in msg for k in r.any_of) and not any(k.lower() in msg for k in r.none_of):
+                return r.label
+        return DEFAULT_LABEL
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", classify("t").alias("label")).collect():
+        assert r.label == model(r.t), r.t
