@@ -66,8 +66,12 @@ def start_refresh(spark: SparkSession, base: str, name: str, sink: str,
         raise ValueError("mode must be 'replace' or 'append'")
     source = landing_glob(base, name)
     if schema is None:
-        # Types come from the landings present now (one inference pass).
-        schema = read_csv(spark, source, multiline=True).schema
+        # Types come from the newest landing only: the input folder keeps
+        # growing, and inferring over all of it would rescan history.
+        newest = _newest_landing(spark, base, name)
+        if newest is None:
+            raise ValueError(f"no landing for {name!r} under {base}/input yet; pass schema=")
+        schema = read_csv(spark, newest, multiline=True).schema
     text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     stream = (spark.readStream.schema(text_schema)
               .options(**{**CSV_OPTIONS, "header": "true", "multiLine": "true"})
@@ -107,19 +111,24 @@ def start_refresh(spark: SparkSession, base: str, name: str, sink: str,
     return writer.start()
 
 
-def _epochs(spark: SparkSession, sink: str) -> list[int]:
-    """Epoch folders present under the sink (file-system listing, no data read)."""
+def _list_dirs(spark: SparkSession, path: str) -> list[str]:
+    """Sub-folder names of ``path`` (file-system listing, no data read)."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(sink)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
         return []
-    out = []
-    for status in fs.listStatus(path):
-        m = re.match(r"^epoch=(\d+)$", status.getPath().getName())
-        if m and status.isDirectory():
-            out.append(int(m.group(1)))
-    return sorted(out)
+    return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+
+
+def _newest_landing(spark: SparkSession, base: str, name: str) -> str | None:
+    names = [n for n in _list_dirs(spark, f"{base.rstrip('/')}/input") if n.startswith(f"{name}-")]
+    return f"{base.rstrip('/')}/input/{max(names)}" if names else None
+
+
+def _epochs(spark: SparkSession, sink: str) -> list[int]:
+    """Epoch folders present under the sink (file-system listing, no data read)."""
+    return sorted(int(m.group(1)) for n in _list_dirs(spark, sink) if (m := re.match(r"^epoch=(\d+)$", n)))
 
 
 def read_refreshed(spark: SparkSession, sink: str, mode: str = "replace") -> DataFrame:

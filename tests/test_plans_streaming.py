@@ -145,3 +145,15 @@ def test_interval_refresh_keeps_running(spark):
         assert got.exceptAll(first.unionByName(second)).count() == 0
     finally:
         q.stop()
+
+
+def test_schema_inferred_from_newest_landing_only(spark):
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    base = scratch_path(spark, "refresh-newest")
+    land_csv(o.selectExpr("cast(o_orderkey as string) as o_orderkey", "'text' as o_custkey",
+                          "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), base, "o")
+    land_csv(o, base, "o")                              # newest landing decides the types
+    got = refresh_once(spark, base, "o", f"{base}/t", checkpoint=f"{base}/ck")
+    assert got.schema == o.schema and got.count() == o.count()
+    with pytest.raises(ValueError, match="no landing"):
+        refresh_once(spark, base, "nothing", f"{base}/t2", checkpoint=f"{base}/ck2")
