@@ -60,8 +60,13 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def start_refresh(spark: SparkSession, base: str, name: str, sink: str,
                   schema: T.StructType | None = None, mode: str = "replace", schedule: str = "@once",
-                  checkpoint: str | None = None) -> StreamingQuery:
-    """Start the refresh stream for dataset ``name``; returns the running query."""
+                  checkpoint: str | None = None, archive: bool = False) -> StreamingQuery:
+    """Start the refresh stream for dataset ``name``; returns the running query.
+
+    ``archive=True`` lets the file source move consumed landings under
+    ``<base>/archive/`` once their batch is committed, so the listing each
+    trigger does stays proportional to new landings, not to history.
+    """
     if mode not in ("replace", "append"):
         raise ValueError("mode must be 'replace' or 'append'")
     source = landing_glob(base, name)
@@ -73,9 +78,11 @@ def start_refresh(spark: SparkSession, base: str, name: str, sink: str,
             raise ValueError(f"no landing for {name!r} under {base}/input yet; pass schema=")
         schema = read_csv(spark, newest, multiline=True).schema
     text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    stream = (spark.readStream.schema(text_schema)
-              .options(**{**CSV_OPTIONS, "header": "true", "multiLine": "true"})
-              .csv(source)
+    reader = spark.readStream.schema(text_schema).options(**{**CSV_OPTIONS, "header": "true", "multiLine": "true"})
+    if archive:
+        reader = (reader.option("cleanSource", "archive")
+                  .option("sourceArchiveDir", f"{base.rstrip('/')}/archive"))
+    stream = (reader.csv(source)
               .withColumn("_landing", F.regexp_extract(F.input_file_name(), r"/input/([^/]+)/[^/]*$", 1)))
 
     sink_root = sink.rstrip("/")
@@ -143,9 +150,9 @@ def read_refreshed(spark: SparkSession, sink: str, mode: str = "replace") -> Dat
 
 
 def refresh_once(spark: SparkSession, base: str, name: str, sink: str, schema: T.StructType | None = None,
-                 mode: str = "replace", checkpoint: str | None = None) -> DataFrame:
+                 mode: str = "replace", checkpoint: str | None = None, archive: bool = False) -> DataFrame:
     """Run one ``availableNow`` refresh to completion and return the result."""
-    q = start_refresh(spark, base, name, sink, schema, mode, "@once", checkpoint)
+    q = start_refresh(spark, base, name, sink, schema, mode, "@once", checkpoint, archive)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

@@ -157,3 +157,17 @@ def test_schema_inferred_from_newest_landing_only(spark):
     assert got.schema == o.schema and got.count() == o.count()
     with pytest.raises(ValueError, match="no landing"):
         refresh_once(spark, base, "nothing", f"{base}/t2", checkpoint=f"{base}/ck2")
+
+
+def test_refresh_archives_consumed_landings(spark):
+    import glob
+    from lakeprep.session import local_path
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    base = scratch_path(spark, "refresh-archive")
+    land_csv(o.where("o_orderstatus = 'F'"), base, "orders")
+    refresh_once(spark, base, "orders", f"{base}/t", o.schema, "append", f"{base}/ck", archive=True)
+    land_csv(o.where("o_orderstatus != 'F'"), base, "orders")
+    got = refresh_once(spark, base, "orders", f"{base}/t", o.schema, "append", f"{base}/ck", archive=True)
+    assert got.count() == o.count() and got.exceptAll(o).count() == 0
+    archived = glob.glob(local_path(base) + "/archive/**/*.csv", recursive=True)
+    assert archived, "consumed landing files are moved to the archive"
