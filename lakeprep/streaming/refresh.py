@@ -145,8 +145,8 @@ def read_refreshed(spark: SparkSession, sink: str, mode: str = "replace") -> Dat
         raise ValueError(f"nothing refreshed yet under {sink}")
     if mode == "replace":
         return spark.read.parquet(f"{sink.rstrip('/')}/epoch={epochs[-1]}")
-    return spark.read.option("basePath", sink).parquet(
-        *[f"{sink.rstrip('/')}/epoch={e}" for e in epochs]).drop("epoch")
+    # Partition discovery over epoch=<id> folders; the column itself is bookkeeping.
+    return spark.read.parquet(sink).drop("epoch")
 
 
 def refresh_once(spark: SparkSession, base: str, name: str, sink: str, schema: T.StructType | None = None,
