@@ -26,7 +26,7 @@ def _literal(value, dtype: T.DataType) -> Column:
 
 def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
     """A DataFrame holding ``rows`` (a short list) with the given schema."""
-    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    st = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     one = spark.range(0, 1 if rows else 0, 1, 1)
     if not rows:
         return one.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])

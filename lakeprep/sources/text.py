@@ -141,7 +141,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], header: bool = True
                 raw = raw.toDF(*names)
     df = null_tokens_to_null(raw, null_tokens)
     if schema is not None:
-        target = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+        target = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         if len(target.fields) != len(df.columns):
             raise ValueError(f"schema has {len(target.fields)} columns, file has {len(df.columns)}")
         return df.select(*[cast_text(col(c), f.dataType.simpleString()).alias(f.name)
@@ -169,7 +169,7 @@ def read_json(spark: SparkSession, path: str | Sequence[str], multiline: bool |
     reader = spark.read.option("multiLine", str(bool(multiline)).lower())
     temporal: dict[str, str] = {}
     if schema is not None:
-        target = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+        target = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         # Dates and times are read as text and cast, which accepts any ISO
         # fraction length (the JSON parser wants one exact pattern).
         read_fields = []
