@@ -32,6 +32,8 @@ OPERATORS = {
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
             T.FloatType, T.DoubleType, T.DecimalType)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_INT_RANGE = {T.ByteType: (-2**7, 2**7 - 1), T.ShortType: (-2**15, 2**15 - 1),
+              T.IntegerType: (-2**31, 2**31 - 1), T.LongType: (-2**63, 2**63 - 1)}
 
 
 def canonical_operator(operator: str) -> str:
@@ -58,11 +60,18 @@ def typed_literal(dtype: T.DataType, column: str, value: Any) -> Column:
             return F.lit(False)
         raise ValueError(f"Value {value!r} is not a boolean; column {column!r} is boolean")
     if isinstance(dtype, _INTEGRAL):
-        number = _as_float(column, value)
-        if number.is_integer():
-            return F.lit(int(number)).cast(dtype)
-        # Compared as a double; Catalyst unwraps the cast so the column side stays bare.
-        return F.lit(number)
+        text = str(value).strip()
+        try:
+            exact = int(text)                      # exact, even beyond 2**53
+        except ValueError:
+            number = _as_float(column, value)
+            exact = int(number) if number.is_integer() and math.isfinite(number) else None
+        low, high = _INT_RANGE[type(dtype)]
+        if exact is not None and low <= exact <= high:
+            return F.lit(exact).cast(dtype)
+        # Fractional or out of the type's range: compared as a double; Catalyst
+        # unwraps the cast (or folds it to a constant), so the column side stays bare.
+        return F.lit(float(exact) if exact is not None else _as_float(column, value))
     if isinstance(dtype, T.DecimalType):
         _as_float(column, value)
         return F.lit(decimal.Decimal(str(value).strip()))

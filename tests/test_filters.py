@@ -117,3 +117,12 @@ def test_nan_guard_keeps_pushdown(spark):
     li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
     plan = filter_rows(li, "l_quantity", ">", "45")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,45.0)" in plan
+
+
+def test_integer_literals_exact_and_in_range(spark):
+    df = spark.createDataFrame([(2**53 + 1, 5), (2**53, 100)], "big bigint, small tinyint")
+    assert [r.big for r in filter_rows(df, "big", "==", str(2**53 + 1)).collect()] == [2**53 + 1]
+    assert filter_rows(df, "small", "<", "300").count() == 2          # beyond tinyint: no overflow error
+    assert filter_rows(df, "small", ">", "1e30").count() == 0
+    assert filter_rows(df, "big", "<", "1e30").count() == 2
+    assert filter_rows(df, "small", ">=", "5.5").count() == 1
