@@ -32,6 +32,15 @@ def spark_type_name(dtype: str) -> str:
     return TYPE_ALIASES.get(name, name)
 
 
+def _check_new_name(df: DataFrame, new_name: str, replacing: str) -> None:
+    """Refuse a name that would clash with another column. Spark resolves
+    names case-insensitively, so ``A`` next to ``a`` would be ambiguous."""
+    clash = [c for c in df.columns if c != replacing and c.lower() == new_name.lower()]
+    if clash:
+        what = "already exists" if clash[0] == new_name else f"would clash with {clash[0]!r}"
+        raise ValueError(f"Column {new_name!r} {what}. Available: {df.columns}")
+
+
 def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Keep exactly these columns, in this order."""
     require_columns(df, columns)
@@ -41,8 +50,7 @@ def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def rename_column(df: DataFrame, old_name: str, new_name: str) -> DataFrame:
     """Rename one column (T8). Renaming onto another existing name is refused."""
     require_columns(df, [old_name])
-    if new_name != old_name and new_name in df.columns:
-        raise ValueError(f"Column {new_name!r} already exists. Available: {df.columns}")
+    _check_new_name(df, new_name, replacing=old_name)
     return df.select(*[col(c).alias(new_name) if c == old_name else col(c) for c in df.columns])
 
 
@@ -60,6 +68,7 @@ def add_column(df: DataFrame, name: str, expression: str) -> DataFrame:
     that follows the divisor's sign.
     """
     value = F.expr(expression).alias(name)
+    _check_new_name(df, name, replacing=name)
     if name in df.columns:
         return df.select(*[value if c == name else col(c) for c in df.columns])
     return df.select(*[col(c) for c in df.columns], value)

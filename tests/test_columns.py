@@ -47,3 +47,11 @@ def test_convert(spark):
 def test_dedupe_names():
     from lakeprep.names import dedupe_names
     assert dedupe_names(["a", "b", "a", "A", "", "a_1"]) == ["a", "b", "a_1", "A_2", "_c4", "a_1_1"]
+
+
+def test_case_clashes_refused(odd):
+    with pytest.raises(ValueError, match="clash"):
+        rename_column(odd, "b", "a")          # A exists
+    with pytest.raises(ValueError, match="clash"):
+        add_column(odd, "B", "1")             # b exists
+    assert rename_column(odd, "b", "B").columns[3] == "B"   # changing only the case of itself is fine
