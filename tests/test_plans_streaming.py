@@ -171,3 +171,21 @@ def test_refresh_archives_consumed_landings(spark):
     assert got.count() == o.count() and got.exceptAll(o).count() == 0
     archived = glob.glob(local_path(base) + "/archive/**/*.csv", recursive=True)
     assert archived, "consumed landing files are moved to the archive"
+
+
+def test_actions_transform_or_report(spark):
+    from lakeprep.plans.actions import apply_action, apply_actions
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    r = apply_action(o, "ACTION:FIND_NULLS")
+    assert r.data is o and r.report.count() == 0
+    assert apply_action(o, "DETECT_SCHEMA").report.count() == 6
+    assert [x["column"] for x in apply_action(o, "ACTION:COMPARE:o_totalprice:o_orderstatus").report.collect()] == \
+        ["o_totalprice"]
+    final, reports = apply_actions(o, ["ACTION:FILTER:o_orderstatus:=:F", "ACTION:FIND_NULLS",
+                                       "ACTION:RENAME:o_totalprice:price"])
+    assert "price" in final.columns and final.count() == o.where("o_orderstatus = 'F'").count()
+    assert [a for a, _ in reports] == ["ACTION:FIND_NULLS"]
+    with pytest.raises(ValueError):
+        apply_action(o, "ACTION:STORE_HDFS")
+    with pytest.raises(ValueError):
+        apply_action(o, "ACTION:COMPARE:o_totalprice")
