@@ -133,6 +133,28 @@ def _scan_cell(attrs: bytes, body: bytes, shared: list[str]) -> str | None:
     return _unescape(raw)
 
 
+# Cells with at most a type attribute and a plain value or inline text: one
+# findall per row yields (type, value, text) without per-cell pattern work.
+_SIMPLE_CELL = re.compile(
+    rb'<c(?: t="([A-Za-z]+)")?\s*(?:/>|>(?:<v>([^<]*)</v>|<is><t(?:\s[^>]*)?>([^<]*)</t></is>)?</c>)')
+
+
+def _simple_value(kind: bytes, value: bytes, text: bytes, shared: list[str]) -> str | None:
+    if kind == b"inlineStr":
+        return _unescape(text)
+    if not value:
+        return None
+    if not kind or kind == b"n":
+        return value.decode("ascii") if value.isascii() and b"&" not in value else _unescape(value)
+    if kind == b"s":
+        return shared[int(value)]
+    if kind == b"b":
+        return "TRUE" if value.strip() == b"1" else "FALSE"
+    if kind == b"e":
+        return None
+    return _unescape(value)
+
+
 def _scan_rows(fh, shared: list[str], chunk: int = 1 << 22) -> Iterator[list[str | None]]:
     """Rows from the sheet XML, read in chunks cut at ``</row>`` (bounded memory).
 
@@ -143,31 +165,44 @@ def _scan_rows(fh, shared: list[str], chunk: int = 1 << 22) -> Iterator[list[str
     tail = b""
     while True:
         block = fh.read(chunk)
-        data = tail + block
-        cut = data.rfind(_ROW_END) + len(_ROW_END) if block else len(data)
-        if cut < len(_ROW_END):
-            cut = 0
-        complete, tail = data[:cut], data[cut:]
-        for row in _ROW.finditer(complete):
-            body = row.group(1)
-            if not body:
+        pieces = (tail + block).split(_ROW_END)
+        # Every piece but the last ends with a complete row; the last is carried over.
+        tail = pieces.pop() if block else b""
+        for piece in pieces:
+            start = piece.rfind(b"<row")
+            if start < 0:
                 continue
-            found = _CELL.findall(body)
-            if not found:
+            gt = piece.find(b">", start)
+            if gt < 0 or piece[gt - 1:gt] == b"/":
                 continue
-            if b'r="' not in body:
-                yield [_scan_cell(a, b, shared) for a, b in found]
+            body = piece[gt + 1:]
+            if not body:
                 continue
-            cells: dict[int, str | None] = {}
-            for pos, (attrs, cbody) in enumerate(found):
-                ref = _REF_ATTR.search(attrs)
-                cells[column_index(ref.group(1).decode()) if ref else pos] = _scan_cell(attrs, cbody, shared)
-            width = max(cells) + 1
-            yield [cells.get(i) for i in range(width)]
+            row = _row_cells(body, shared)
+            if row is not None:
+                yield row
         if not block:
             return
 
 
+def _row_cells(body: bytes, shared: list[str]) -> list[str | None] | None:
+    if b' r="' not in body and b' s="' not in body and b"<f" not in body:
+        simple = _SIMPLE_CELL.findall(body)
+        if simple and len(simple) == body.count(b"<c"):
+            return [_simple_value(k, v, t, shared) for k, v, t in simple]
+    found = _CELL.findall(body)
+    if not found:
+        return None
+    if b'r="' not in body:
+        return [_scan_cell(a, b, shared) for a, b in found]
+    cells: dict[int, str | None] = {}
+    for pos, (attrs, cbody) in enumerate(found):
+        ref = _REF_ATTR.search(attrs)
+        cells[column_index(ref.group(1).decode()) if ref else pos] = _scan_cell(attrs, cbody, shared)
+    width = max(cells) + 1
+    return [cells.get(i) for i in range(width)]
+
+
 def _tree_rows(fh, shared: list[str]) -> Iterator[list[str | None]]:
     """ElementTree fallback for sheets whose tags carry a namespace prefix."""
     for _, elem in ET.iterparse(fh, events=("end",)):

@@ -275,3 +275,18 @@ def test_json_round_trip(spark, rows):
     write_json(df, path)
     back = read_json(spark, path, schema=df.schema)
     assert _same([tuple(r) for r in back.collect()], rows)
+
+
+def test_sheet_scan_independent_of_chunk_size():
+    import io as _io
+    import zipfile
+    from lakeprep.sinks.workbook import sheet_rows, workbook_bytes
+    from lakeprep.sources import workbook as wb
+    rows = [["1", "x<y", None], ["22", "", "_x000D_\r"], [None, None, None]]
+    data = workbook_bytes(["a", "b", "c"], ["n", "s", "s"],
+                          [sheet_rows([list(c) for c in zip(*rows)], ["n", "s", "s"])])
+    with zipfile.ZipFile(_io.BytesIO(data)) as z:
+        whole = list(wb._scan_rows(z.open("xl/worksheets/sheet1.xml"), []))
+        tiny = list(wb._scan_rows(z.open("xl/worksheets/sheet1.xml"), [], chunk=7))
+    assert whole == tiny
+    assert whole[1:] == [["1", "x<y", None], ["22", "", "_x000D_\r"], [None, None, None]]
