@@ -2,9 +2,10 @@
 
 CSV is read as text first, the null tokens a pandas user expects are turned
 into nulls, and then the column types are inferred in **one** aggregate
-pass: for every column and candidate type a ``bool_and`` of "is null or
-matches the type's pattern". Patterns, not bare casts, decide: Spark's cast
-would accept ``1d`` as a double, ``yes`` as a boolean and ``2024`` as a date.
+pass: each value gets the bit set of candidate types its text fits, and per
+column a ``bit_and`` keeps the types that every value fits. Patterns, not
+bare casts, decide: Spark's cast would accept ``1d`` as a double, ``yes`` as
+a boolean and ``2024`` as a date.
 """
 
 from __future__ import annotations
