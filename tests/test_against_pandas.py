@@ -110,3 +110,32 @@ def test_profile_matches_pandas(spark, rows):
     p = dataset_profile(df).first()
     assert (p.rows, p.columns, p.null_cells, p.duplicate_rows) == (
         len(pdf), 3, int(pdf.isnull().sum().sum()), int(pdf.duplicated().sum()))
+
+
+import datetime as dt  # noqa: E402
+
+ts_rows = st.lists(st.tuples(st.integers(0, 9), st.one_of(st.none(), st.sampled_from(
+    [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2, 12), dt.datetime(2024, 1, 3)]))), max_size=20)
+
+
+@SETTINGS
+@given(ts_rows, st.sampled_from([">", "<", "==", ">=", "<=", "!="]),
+       st.sampled_from(["2024-01-02", "2024-01-02 12:00:00", "2024-01-03T00:00:00"]))
+def test_filter_timestamp(spark, rows, op, value):
+    df = spark.createDataFrame(rows, "k int, t timestamp_ntz")
+    pdf = pd.DataFrame({"k": [r[0] for r in rows], "t": pd.to_datetime(pd.Series([r[1] for r in rows],
+                                                                                   dtype="object"))})
+    v = pd.Timestamp(value)
+    mask = {">": pdf["t"] > v, "<": pdf["t"] < v, "==": pdf["t"] == v, ">=": pdf["t"] >= v,
+            "<=": pdf["t"] <= v, "!=": pdf["t"] != v}[op]
+    got = sorted(r.k for r in filter_rows(df, "t", op, value).collect())
+    assert got == sorted(pdf[mask]["k"].tolist())
+
+
+@SETTINGS
+@given(frames, st.sampled_from(["asc", "desc"]))
+def test_sort_text_matches_pandas(spark, rows, order):
+    df = spark.createDataFrame(rows, SCHEMA)
+    pdf = to_pandas(rows).sort_values("s", ascending=order == "asc", na_position="last")
+    got = [r.s for r in sort_rows(df, "s", order).select("s").collect()]
+    assert got == [None if v is None or (isinstance(v, float) and math.isnan(v)) else v for v in pdf["s"]]
