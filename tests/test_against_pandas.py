@@ -139,3 +139,19 @@ def test_sort_text_matches_pandas(spark, rows, order):
     pdf = to_pandas(rows).sort_values("s", ascending=order == "asc", na_position="last")
     got = [r.s for r in sort_rows(df, "s", order).select("s").collect()]
     assert got == [None if v is None or (isinstance(v, float) and math.isnan(v)) else v for v in pdf["s"]]
+
+
+@SETTINGS
+@given(frames)
+def test_describe_text_matches_pandas(spark, rows):
+    from lakeprep.operators import describe_text
+    df = spark.createDataFrame(rows, SCHEMA)
+    s = to_pandas(rows)["s"].dropna()
+    r = describe_text(df, ["s"]).first()
+    assert (r["count"], r["unique"]) == (len(s), s.nunique())
+    if len(s):
+        counts = s.value_counts()
+        assert r["freq"] == counts.max()
+        assert r["top"] == min(v for v, c in counts.items() if c == counts.max())   # ties: smallest value
+    else:
+        assert r["top"] is None and r["freq"] is None
