@@ -74,12 +74,22 @@ def add_column(df: DataFrame, name: str, expression: str) -> DataFrame:
     return df.select(*[col(c) for c in df.columns], value)
 
 
+def strict_cast(c, target: str, label: str):
+    """Cast that fails the job on a value that does not convert, whatever the
+    session's ANSI setting: ``try_cast`` plus ``raise_error`` for non-null
+    input that came out null. Lazy; no extra job."""
+    converted = c.try_cast(target)
+    return F.when(c.isNotNull() & converted.isNull(),
+                  F.raise_error(F.concat(F.lit(f"Cannot convert {label} value '"), c.cast("string"),
+                                         F.lit(f"' to {target}")))).otherwise(converted)
+
+
 def convert_type(df: DataFrame, column: str, dtype: str, strict: bool = True) -> DataFrame:
-    """Cast one column (T7). ``strict`` raises on bad values (ANSI cast);
+    """Cast one column (T7). ``strict`` fails on values that do not convert;
     ``strict=False`` turns them into nulls (``try_cast``). Float to integer
     truncates toward zero; null stays null."""
     require_columns(df, [column])
     target = spark_type_name(dtype)
     c = col(column)
-    converted = (c.cast(target) if strict else c.try_cast(target)).alias(column)
+    converted = (strict_cast(c, target, repr(column)) if strict else c.try_cast(target)).alias(column)
     return df.select(*[converted if name == column else col(name) for name in df.columns])

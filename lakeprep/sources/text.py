@@ -87,12 +87,17 @@ def infer_types(df: DataFrame, infer_dates: bool = True) -> dict[str, str]:
     return out
 
 
-def cast_text(c: Column, type_name: str) -> Column:
-    """Turn text into ``type_name``; ANSI casts raise on values that do not fit."""
-    if type_name == "boolean":
+def cast_text(c: Column, type_name: str, strict: bool = False) -> Column:
+    """Turn text into ``type_name``. Inferred types fit every value by
+    construction; ``strict`` (a caller's schema) fails the job on a value
+    that does not convert, whatever the session's ANSI setting."""
+    if type_name == "boolean" and not strict:
         return F.when(c.isNull(), F.lit(None).cast("boolean")).otherwise(F.lower(c) == F.lit("true"))
     if type_name == "string":
         return c
+    if strict:
+        from ..operators.columns import strict_cast
+        return strict_cast(c, type_name, "CSV")
     return c.cast(type_name)
 
 
@@ -145,7 +150,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], header: bool = True
         target = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         if len(target.fields) != len(df.columns):
             raise ValueError(f"schema has {len(target.fields)} columns, file has {len(df.columns)}")
-        return df.select(*[cast_text(col(c), f.dataType.simpleString()).alias(f.name)
+        return df.select(*[cast_text(col(c), f.dataType.simpleString(), strict=True).alias(f.name)
                            for c, f in zip(df.columns, target.fields)])
     if not infer:
         return df

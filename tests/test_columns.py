@@ -55,3 +55,15 @@ def test_case_clashes_refused(odd):
     with pytest.raises(ValueError, match="clash"):
         add_column(odd, "B", "1")             # b exists
     assert rename_column(odd, "b", "B").columns[3] == "B"   # changing only the case of itself is fine
+
+
+def test_strict_convert_without_ansi(spark):
+    df = spark.createDataFrame([("1",), ("x",), (None,)], "s string")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="Cannot convert"):
+            convert_type(df, "s", "int").collect()
+        assert [r.s for r in convert_type(df, "s", "int", strict=False).collect()] == [1, None, None]
+        assert [r.s for r in convert_type(df.where("s != 'x'"), "s", "int").collect()] == [1]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
