@@ -10,6 +10,7 @@ The steps become one logical plan that Catalyst optimises as a whole
 from __future__ import annotations
 
 import inspect
+import json
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -80,6 +81,18 @@ class Recipe:
 
     __call__ = apply
 
+    def to_json(self) -> str:
+        """The steps as JSON, e.g. for a scheduled job's configuration."""
+        return json.dumps([{"op": st.op, **dict(st.args)} for st in self.steps])
+
+    @classmethod
+    def from_json(cls, text: str) -> "Recipe":
+        """Steps from ``to_json`` output; validated like any recipe."""
+        data = json.loads(text)
+        if not isinstance(data, list) or not all(isinstance(d, dict) and "op" in d for d in data):
+            raise ValueError("a recipe is a JSON list of objects with an 'op' key")
+        return cls(data)
+
     @classmethod
     def from_actions(cls, actions: Iterable[str]) -> "Recipe":
         """Build from ``NAME:arg:...`` action strings, e.g. ``FILTER:price:>:1000``,

@@ -189,3 +189,16 @@ def test_actions_transform_or_report(spark):
         apply_action(o, "ACTION:STORE_HDFS")
     with pytest.raises(ValueError):
         apply_action(o, "ACTION:COMPARE:o_totalprice")
+
+
+def test_recipe_json_round_trip(spark):
+    r = Recipe([("filter", {"column": "o_orderstatus", "operator": "=", "value": "F"}),
+                ("preview", {"n": 5, "order_by": "o_totalprice", "order": "desc", "tie_breakers": ["o_orderkey"]})])
+    again = Recipe.from_json(r.to_json())
+    assert [(s.op, dict(s.args)) for s in again.steps] == [(s.op, dict(s.args)) for s in r.steps]
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    assert [x.o_orderkey for x in again.apply(o).collect()] == [x.o_orderkey for x in r.apply(o).collect()]
+    with pytest.raises(ValueError):
+        Recipe.from_json('[{"op": "explode"}]')
+    with pytest.raises(ValueError):
+        Recipe.from_json('{"op": "filter"}')
