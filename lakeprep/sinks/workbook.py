@@ -11,6 +11,8 @@ object store that ``pyarrow`` can reach from the executors.
 
 from __future__ import annotations
 
+import sys
+
 import io
 import math
 import re
@@ -20,12 +22,17 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..names import col
 from ..operators.types import NESTED, is_numeric
 
+# The task-side code of this module travels with the job (pickled by value),
+# so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_SHEET_ROWS = 1_048_575   # data rows per sheet, header excluded
 
 _CT = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'

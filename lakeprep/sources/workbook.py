@@ -10,6 +10,8 @@ Legacy binary ``.xls`` is not supported.
 
 from __future__ import annotations
 
+import sys
+
 import html
 import io
 import re
@@ -18,6 +20,7 @@ from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,10 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
 _MAIN = "{%s}" % _NS["m"]
 _CELL_REF = re.compile(r"^([A-Z]+)(\d+)$")
 
+# The task-side code of this module travels with the job (pickled by value),
+# so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PARSED_SCHEMA = "path string, row long, cells array<string>"
 
 
