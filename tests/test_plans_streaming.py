@@ -202,3 +202,11 @@ def test_recipe_json_round_trip(spark):
         Recipe.from_json('[{"op": "explode"}]')
     with pytest.raises(ValueError):
         Recipe.from_json('{"op": "filter"}')
+
+
+def test_counted_fills_on_the_first_action(spark):
+    from lakeprep.operators import counted
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    out, obs = counted(o.where("o_orderstatus = 'O'"), "open_orders")
+    out.write.format("noop").mode("overwrite").save()
+    assert obs.get["rows"] == o.where("o_orderstatus = 'O'").count()
