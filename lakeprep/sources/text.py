@@ -125,17 +125,20 @@ def _maybe_renamed(columns: list[str]) -> bool:
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], header: bool = True,
              multiline: bool = True, sep: str = ",", infer: bool = True, infer_dates: bool = True,
-             null_tokens: Sequence[str] = NULL_TOKENS, schema: T.StructType | str | None = None) -> DataFrame:
+             null_tokens: Sequence[str] = NULL_TOKENS, schema: T.StructType | str | None = None,
+             encoding: str = "UTF-8") -> DataFrame:
     """Read CSV with header and inferred types (S1; S9 over a lake path or glob).
 
     ``multiline`` allows newlines inside quoted fields but makes each file a
     single task; turn it off for big landed folders whose text has no
     embedded newlines so files split. Repeated header names become
     ``a, a_1`` (compared case-insensitively, as Spark resolves names).
-    A given ``schema`` skips inference: values are cast to it (ANSI).
+    A given ``schema`` skips inference: values are cast to it and a value
+    that does not convert fails the job. ``encoding`` names the file charset
+    (e.g. ``ISO-8859-1`` for many spreadsheet exports).
     """
     options = {**CSV_OPTIONS, "header": str(bool(header)).lower(), "multiLine": str(bool(multiline)).lower(),
-               "sep": sep, "inferSchema": "false"}
+               "sep": sep, "inferSchema": "false", "encoding": encoding}
     raw = spark.read.options(**options).csv(path)
     names = raw.columns
     if header and _maybe_renamed(names):

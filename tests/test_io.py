@@ -290,3 +290,12 @@ def test_sheet_scan_independent_of_chunk_size():
         tiny = list(wb._scan_rows(z.open("xl/worksheets/sheet1.xml"), [], chunk=7))
     assert whole == tiny
     assert whole[1:] == [["1", "x<y", None], ["22", "", "_x000D_\r"], [None, None, None]]
+
+
+def test_csv_other_encoding(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "latin1.csv")
+    with open(p, "w", encoding="latin-1") as f:
+        f.write("name,n\nJosé,1\nZoë,2\n")
+    for multiline in (True, False):
+        got = read_csv(spark, p, encoding="ISO-8859-1", multiline=multiline).orderBy("n").collect()
+        assert [(r.name, r.n) for r in got] == [("José", 1), ("Zoë", 2)]
