@@ -48,12 +48,13 @@ def _flat_for_csv(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> StoreReport:
-    """CSV with header (K1): nulls as empty fields, RFC-4180 quoting."""
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",") -> StoreReport:
+    """CSV with header (K1): nulls as empty fields, RFC-4180 quoting; ``sep``
+    for other delimiters (tab for TSV)."""
     out, obs = _observed(_flat_for_csv(df))
     # Spark trims leading/trailing spaces on write by default; keep values as they are.
     (out.write.mode(mode).options(**TEXT_TIME_OPTIONS).option("header", "true").option("quote", '"')
-        .option("escape", '"').option("nullValue", "")
+        .option("escape", '"').option("nullValue", "").option("sep", sep)
         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
     return StoreReport(path, obs.get["rows"], len(df.columns), "csv")
 

@@ -299,3 +299,11 @@ def test_csv_other_encoding(spark, tmpdir_path):
     for multiline in (True, False):
         got = read_csv(spark, p, encoding="ISO-8859-1", multiline=multiline).orderBy("n").collect()
         assert [(r.name, r.n) for r in got] == [("José", 1), ("Zoë", 2)]
+
+
+def test_tsv_round_trip(spark):
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    path = scratch_path(spark, "tsv")
+    write_csv(o, path, sep="\t")
+    back = read_csv(spark, path, sep="\t")
+    assert back.schema == o.schema and back.exceptAll(o).count() == 0
