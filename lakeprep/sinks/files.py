@@ -82,9 +82,14 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     return StoreReport(path, obs.get["rows"], len(df.columns), "parquet")
 
 
-def store_parquet(df: DataFrame, base: str, name: str, mode: str = "overwrite") -> StoreReport:
-    """Store as ``<base>/<name>.parquet`` and report rows and columns (K5)."""
-    return write_parquet(df, parquet_location(base, name), mode)
+def store_parquet(df: DataFrame, base: str, name: str, mode: str = "overwrite",
+                  partition_by: list[str] | None = None) -> StoreReport:
+    """Store as ``<base>/<name>.parquet`` and report rows and columns (K5).
+
+    ``partition_by`` writes one folder per value of those columns, so later
+    filters on them prune whole folders (``PartitionFilters``).
+    """
+    return write_parquet(df, parquet_location(base, name), mode, partition_by)
 
 
 def landing_name(name: str) -> str:

@@ -49,7 +49,7 @@ def save_snapshot(df: DataFrame, name: str, location: str | None = None) -> Stor
 
 def store_table(df: DataFrame, identifier: str, provider: str = "iceberg",
                 location: str | None = None, properties: dict[str, str] | None = None,
-                count_rows: bool = True) -> StoreReport:
+                count_rows: bool = True, partition_by: list[str] | None = None) -> StoreReport:
     """Create or replace a table with the dataset (K6).
 
     The location reported is the table's real location as the catalog
@@ -62,6 +62,8 @@ def store_table(df: DataFrame, identifier: str, provider: str = "iceberg",
         writer = out.writeTo(identifier).using("iceberg").tableProperty("write.format.default", "parquet")
         for key, value in (properties or {}).items():
             writer = writer.tableProperty(key, value)
+        if partition_by:
+            writer = writer.partitionedBy(*[F.col(c) for c in partition_by])
         writer.createOrReplace()
     elif provider == "parquet":
         writer = out.write.mode("overwrite").format("parquet")
@@ -69,6 +71,8 @@ def store_table(df: DataFrame, identifier: str, provider: str = "iceberg",
             writer = writer.option("path", location)
         for key, value in (properties or {}).items():
             writer = writer.option(key, value)
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
         writer.saveAsTable(identifier)
     else:
         raise ValueError(f"provider must be 'iceberg' or 'parquet', not {provider!r}")

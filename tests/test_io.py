@@ -307,3 +307,17 @@ def test_tsv_round_trip(spark):
     write_csv(o, path, sep="\t")
     back = read_csv(spark, path, sep="\t")
     assert back.schema == o.schema and back.exceptAll(o).count() == 0
+
+
+def test_partitioned_store_prunes(spark):
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    rep = store_parquet(o, scratch_path(spark, "parts"), "orders", partition_by=["o_orderstatus"])
+    back = spark.read.parquet(rep.location)
+    f = back.where("o_orderstatus = 'F'")
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(o_orderstatus" in plan
+    assert f.count() == o.where("o_orderstatus = 'F'").count()
+    rep2 = store_table(o, "orders_parts", provider="parquet", location=scratch_path(spark, "parts-t"),
+                       partition_by=["o_orderstatus"])
+    assert rep2.rows == 1500 and spark.table("orders_parts").where("o_orderstatus = 'P'").count() == \
+        o.where("o_orderstatus = 'P'").count()
