@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 #: Fold that never trains: ``crc32(doc_id as text) mod 4``.
 HELD_OUT_REMAINDER = 2
 
@@ -48,3 +50,13 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back.
+
+    Cuts the lineage: later jobs, and tasks run again after an executor is lost, start from the files.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.lake import read_table
-from . import quality, toxicity
+from . import bpe, packing, quality, toxicity
 from .common import held_out
 
 QUALITY_CUT, TOXIC_CUT = 0.7, 0.3
@@ -22,14 +23,27 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality.score(quality.train(docs, labels)), QUALITY_CUT)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = bpe.from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(read_table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return _scored(docs, toxicity.score(toxicity.train(docs, labels)), TOXIC_CUT)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                         public_tokenizers.PATTERN)
+    return packing.pack(cut).withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_byte_bpe": op3_byte_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_packing": op9_packing,
 }
 
 ORACLE: dict[str, str] = {}
