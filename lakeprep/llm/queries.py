@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.lake import read_table
-from . import bpe, packing, quality, toxicity
+from . import bpe, packing, quality, secrets, toxicity
 from .common import held_out
 
 QUALITY_CUT, TOXIC_CUT = 0.7, 0.3
@@ -28,6 +28,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.train(docs)))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return _scored(docs, toxicity.score(toxicity.train(docs, labels)), TOXIC_CUT)
@@ -42,6 +47,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_secret_scan": op6_secret_scan,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
 }
