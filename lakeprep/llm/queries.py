@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.lake import read_table
-from . import bpe, packing, quality, secrets, toxicity
+from . import bpe, knn, near_vectors, packing, quality, secrets, toxicity
 from .common import held_out
 
 QUALITY_CUT, TOXIC_CUT = 0.7, 0.3
@@ -28,6 +28,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN)
 
 
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    finite = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    data = read_table(spark, sf_dir, "embeddings").where(finite).select(F.col("vec_id").cast("long").alias("id"), whole.alias("vec"))
+    found = knn.top_k(data, data.where(F.col("id") % 50 == 0), 5)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
+
+
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return secrets.digest(secrets.scan(docs, secrets.train(docs)))
@@ -47,7 +59,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_voronoi_knn": op5_voronoi_knn,
     "op6_secret_scan": op6_secret_scan,
+    "op7_near_vectors": op7_near_vectors,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
 }
