@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.lake import read_table
-from . import bpe, knn, near_vectors, packing, quality, secrets, toxicity
+from . import bpe, jaccard, knn, near_vectors, packing, quality, secrets, toxicity
 from .common import held_out
 
 QUALITY_CUT, TOXIC_CUT = 0.7, 0.3
@@ -56,6 +56,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut).withColumnRenamed("key", "doc_id")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_byte_bpe": op3_byte_bpe,
@@ -64,6 +68,7 @@ QUERIES = {
     "op7_near_vectors": op7_near_vectors,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {}
