@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.lake import read_table
-from . import bpe, jaccard, knn, near_vectors, packing, quality, secrets, toxicity
+from . import bpe, html_text, jaccard, knn, near_vectors, packing, quality, secrets, toxicity
 from .common import held_out
 
 QUALITY_CUT, TOXIC_CUT = 0.7, 0.3
@@ -28,6 +28,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
     finite = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -63,6 +67,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_main_text": op4_main_text,
     "op5_voronoi_knn": op5_voronoi_knn,
     "op6_secret_scan": op6_secret_scan,
     "op7_near_vectors": op7_near_vectors,
