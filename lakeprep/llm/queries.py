@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.lake import read_table
-from . import bpe, html_text, jaccard, knn, near_vectors, packing, quality, secrets, toxicity
+from . import bpe, html_text, jaccard, knn, near_vectors, packing, pii, quality, secrets, toxicity
 from .common import held_out
 
 QUALITY_CUT, TOXIC_CUT = 0.7, 0.3
+#: The registered query's key for surrogates; a real job passes its own secret.
+PII_KEY = b"lakeprep demonstration key"
 
 
 def _scored(docs: DataFrame, score, cut: float) -> DataFrame:
@@ -23,6 +25,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality.score(quality.train(docs, labels)), QUALITY_CUT)
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, PII_KEY, count="n_replaced")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = bpe.from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(read_table(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN)
@@ -66,6 +73,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_main_text": op4_main_text,
     "op5_voronoi_knn": op5_voronoi_knn,
