@@ -29,6 +29,14 @@ from lakeprep.sources.text import read_csv, read_json
 from lakeprep.sources.workbook import read_workbooks
 from lakeprep.streaming.refresh import refresh_once
 
+try:
+    import corpus_pipeline
+    from lakeprep.llm import queries as llm_queries
+except ModuleNotFoundError as missing:          # the subpackage is optional; anything else is an error
+    if missing.name not in ("corpus_pipeline", "lakeprep.llm", "lakeprep.llm.queries"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -651,8 +659,13 @@ _ORACLE.update({
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    if llm_queries is None:
+        return dict(_QUERIES)
+    return _QUERIES | llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    if llm_queries is None:
+        return dict(_ORACLE)
+    pipeline_sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return _ORACLE | llm_queries.ORACLE | pipeline_sql
