@@ -51,11 +51,28 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit per place that is set where an odd number of shingles fall; as many places as shingles, or more.
+
+    Two sets differ in at least as many shingles as their bits differ.
+    """
+    size = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def may_link(bits_a: bytes, bits_b: bytes, size_a: int, size_b: int, percent: int) -> bool:
+    """Whether the parity bits leave room for a link; the longer ones are folded to the shorter's length."""
+    a, b = (np.unpackbits(np.frombuffer(x, np.uint8)) for x in (bits_a, bits_b))
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
+    return bool(enough((size_a + size_b - int((a ^ b).sum())) // 2, size_a, size_b, percent))
+
+
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (size and signature), and one per shingle that a batch holds more than once."""
-    names = ["id", "n", "s1", "s2", "token", "count"]
+    """A row per document (size, signature, parity), and one per shingle that a batch holds more than once."""
+    names = ["id", "n", "s1", "s2", "bits", "token", "count"]
     for batch in batches:
-        n, s1, s2, seen, held = [], [], [], [], 0
+        n, s1, s2, bits, seen, held = [], [], [], [], [], 0
         ids = batch.column(0)
 
         def counted():
@@ -63,7 +80,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, times = tokens[times > 1], times[times > 1]
             none = pa.nulls(len(tokens), pa.int64())
             seen.clear()
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens.view(np.int64)), pa.array(times.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(tokens), pa.binary()), pa.array(tokens.view(np.int64)), pa.array(times.astype(np.int64))], names)
 
         for text in batch.column(1):
             shingles = shingle_set(text.as_py(), WORDS)
@@ -71,6 +88,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = signature(shingles)
             s1.append(a)
             s2.append(b)
+            bits.append(parity(shingles))
             seen.append(shingles)
             held += len(shingles)
             if held > 4_000_000:
@@ -78,7 +96,8 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = 0
         none = pa.nulls(len(n), pa.int64())
         yield counted()
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, pa.int64()) for c in (n, s1, s2)), none, none], names)
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, pa.int64()) for c in (n, s1, s2)),
+                                           pa.array(bits, pa.binary()), none, none], names)
 
 
 def _prefixes(frequent: np.ndarray, place: np.ndarray, hot: np.ndarray, percent: int):
@@ -144,10 +163,9 @@ def _edges(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, leader = None, None             # the last, unfinished list; the first set of a long one
 
-        def solve(cols: list[np.ndarray]) -> tuple[list[int], list[int]]:
+        def solve(cols: list[np.ndarray]) -> tuple[tuple[list, list], tuple[list, list]]:
             token, _, s, size, pos = cols
-            a: list[int] = []
-            b: list[int] = []
+            a, b, member, first = [], [], [], []
             cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
             lengths = np.diff(cuts)
             two = cuts[:-1][lengths == 2]
@@ -160,16 +178,21 @@ def _edges(percent: int):
             for k in np.flatnonzero(lengths > 2):
                 u, v = cuts[k], cuts[k + 1]
                 if v - u > LONG_LIST:
-                    a += s[u + 1:v].tolist()
-                    b += [int(s[u])] * int(v - u - 1)
+                    member += s[u + 1:v].tolist()
+                    first += [int(s[u])] * int(v - u - 1)
                 else:
                     for x, y in list_pairs(s[u:v], size[u:v], pos[u:v], percent):
                         a.append(x)
                         b.append(y)
-            return a, b
+            return (a, b), (member, first)
+
+        def out(a, b, pair=False):
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([pair] * len(a), pa.bool_())],
+                                              ["a", "b", "pair"])
 
-        def out(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def solved(cols):
+            for pair, found in zip((True, False), solve(cols)):
+                yield out(*found, pair)
 
         for batch in batches:
             cols = [np.asarray(batch.column(k)).astype(np.int64) for k in range(5)]
@@ -190,14 +213,14 @@ def _edges(percent: int):
             carry = None
             if len(cols[0]):
                 last = int(np.searchsorted(cols[0], cols[0][-1])) if (np.diff(cols[0]) >= 0).all() else int(np.flatnonzero(cols[0] != cols[0][-1])[-1] + 1)
-                yield out(*solve([c[:last] for c in cols]))
+                yield from solved([c[:last] for c in cols])
                 carry = [c[last:] for c in cols]
                 if len(carry[0]) > LONG_LIST:
                     leader = (int(carry[0][0]), int(carry[2][0]))
                     yield out(carry[2][1:], np.full(len(carry[2]) - 1, leader[1]))
                     carry = None
         if carry is not None and len(carry[0]):
-            yield out(*solve(carry))
+            yield from solved(carry)
     return run
 
 
@@ -241,6 +264,16 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     return found
 
 
+def _plausible(percent: int):
+    """Candidate pairs whose parities leave room for a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, xa, xb = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [i for i in range(batch.num_rows) if may_link(xa[i], xb[i], na[i], nb[i], percent)]
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], ["a", "b"])
+    return run
+
+
 def _solve(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -253,19 +286,23 @@ def _solve(percent: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of related sets; a row whose text is not the wanted set (an id with several texts) goes."""
     for batch in batches:
-        sets = [shingle_set(t.as_py(), WORDS) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([signature(x)[0] for x in sets], pa.int64()),
-                                          pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "s", "shingles"])
+        wanted = batch.column(1).to_pylist()
+        sets = [shingle_set(t.as_py(), WORDS) for t in batch.column(0)]
+        keep = pa.array([i for i, x in enumerate(sets) if signature(x)[0] == wanted[i]], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(keep) for k in (1, 2, 3)),
+                                          pa.array([sets[i].tobytes() for i in keep.to_pylist()], pa.binary())],
+                                         ["s", "component", "blocks", "shingles"])
 
 
 def jaccard_components(df: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_shingles, component_id)`` of every row; links are ``100 * |A n B| >= percent * |A u B|``."""
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    profiles = stage(docs.mapInArrow(_profiles, "id long, n long, s1 long, s2 long, token long, count long"), "profiles")
+    profiles = stage(docs.mapInArrow(_profiles, "id long, n long, s1 long, s2 long, bits binary, token long, count long"), "profiles")
     rows = profiles.where("n is not null").select("id", "n", "s1", "s2")
-    classes = stage(rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("first")), "classes")
+    classes = stage(profiles.where("n is not null").where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("first"), F.min("bits").alias("bits")), "classes")
 
     top = (profiles.where("token is not null").groupBy("token").agg(F.sum("count").alias("count"))
            .where(F.col("count") >= LEAST_COUNT).orderBy(F.desc("count"), "token").limit(FREQUENT).collect())   # FREQUENT rows at most
@@ -277,8 +314,12 @@ def jaccard_components(df: DataFrame, percent: int = 80, key: str = "doc_id", te
     weight = classes.agg(F.sum("n").alias("w")).first()["w"] or 0
     lists = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(weight / 5_000_000))
     candidates = (entries.repartition(lists, "token", "salt").sortWithinPartitions("token", "salt", "size", "s")
-                  .mapInArrow(_edges(percent), "a long, b long").distinct())
-    related = components(candidates)
+                  .mapInArrow(_edges(percent), "a long, b long, pair boolean").distinct())
+    candidates = stage(candidates, "candidates")
+    of = {x: classes.select(F.col("s1").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}")) for x in "ab"}
+    pairs = (candidates.where("pair").select("a", "b").join(of["a"], "a").join(of["b"], "b").select("a", "b", "na", "nb", "xa", "xb")
+             .mapInArrow(_plausible(percent), "a long, b long"))
+    related = components(candidates.where("not pair").select("a", "b").unionByName(pairs))
 
     member = (classes.select(F.col("s1").alias("id"), "n", "first").join(related, "id"))
     heavy = member.groupBy("component").agg(F.sum("n").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
@@ -286,11 +327,12 @@ def jaccard_components(df: DataFrame, percent: int = 80, key: str = "doc_id", te
         F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("long"))
     member = stage(member.withColumnRenamed("id", "s"), "related-sets")
     total = max(1, math.ceil((member.agg(F.sum("n").alias("w")).first()["w"] or 0) / BLOCK_SHINGLES))
-    wanted = member.select(F.col("first").alias("id")).distinct()
-    sets = docs.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, s long, shingles binary")
+    wanted = member.select(F.col("first").alias("id"), F.col("s").alias("want"), "component", "blocks")
+    sets = (docs.join(wanted, "id").select("text", "want", "component", "blocks")
+            .mapInArrow(_sets, "s long, component long, blocks long, shingles binary"))
     own = F.pmod(F.xxhash64("s"), F.col("blocks"))
     other = F.explode(F.expr("transform(sequence(0L, blocks - 1), x -> x)")).alias("other")
-    placed = (sets.join(member.withColumnRenamed("first", "id"), ["id", "s"])
+    placed = (sets
               .select("component", "s", "shingles", "blocks", own.alias("own"), other)
               .where("blocks = 1 or own != other")
               .select("component", "s", "shingles",
