@@ -74,8 +74,9 @@ def _apart(span: Column, base: Column) -> Column:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, key: str = "doc_id", text: str = "text") -> list[float]:
     """Log-likelihood ratio of each pair of characters, row by row of ``ALPHABET``."""
+    ids = docs.select(F.col(key).alias("id")).where(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(sample_docs).distinct()
     picked = (docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-              .orderBy(F.xxhash64("id"), "id").limit(sample_docs))
+              .join(F.broadcast(ids), "id"))                            # sample_docs ids at most
     body = F.col("text")
     values = F.transform(F.col("base"), lambda s: F.when(s["kind"] == "assign", F.regexp_extract(s["match"], ASSIGN_VALUE, 1)).otherwise(s["match"]))
     outside = F.aggregate(F.col("base"), body, lambda t, s: F.replace(t, s["match"], F.lit(" ")))
