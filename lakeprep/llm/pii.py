@@ -55,8 +55,9 @@ _ENTITY = re.compile(rf"""
   | (?P<ssn>(?<![\w.+-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
   | (?<!\w)(?P<title>{_TITLE})\.?\s(?P<name>{_CAPITAL}(?:\ {_CAPITAL})?)
 """.replace(r"\6", r"(?P=gap)").replace("([ -])", "(?P<gap>[ -])"), re.X)
-#: Every text with an entity matches this (Java) pattern; most others do not.
-MAYBE = rf"@|\d{{3}}|\+\d|\d\.\d+\.\d|[A-Z]{{2}}\d{{2}}|(?:{_TITLE})"
+#: Every text with an entity matches this (Java) pattern; most others do not. Most characters fail its first test.
+MAYBE = (r"(?=[@\d+A-Z" + "".join(sorted({t[0] for ts in TITLES.values() for t in ts if not t[0].isascii()})) + "])"
+         + rf"(?:@|\d(?:\d\d|\.\d+\.\d|\d\.\d+\.\d)|\+\d|[A-Z]{{2}}\d{{2}}|(?:{_TITLE}))")
 
 
 def script_of(word: str) -> str:
