@@ -171,9 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_positi
 
     rows = trusted.unionByName(unlabelled).select(stats("text").alias("x"), "label").collect()
     rows.sort(key=lambda r: (r["label"], r["x"]))
-    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), -1), np.array([r["label"] for r in rows])
+    y = np.array([r["label"] for r in rows])
     if min((y == 1).sum(), (y == 0).sum()) < 2:
         return BinnedModel([], np.zeros(0), 0.0)
+    x = np.array([r["x"] for r in rows])
     return fit(x[y == 1], x[y == 0])[0]
 
 

@@ -7,7 +7,8 @@ ratio reaches ``LEAST_RATIO`` nats and ``LEAST_MEAN`` per character, and the run
 is added as a ``markov`` span.
 
 The models are trained from samples that the patterns label: values of base matches are random strings,
-other words of the same texts ordinary ones. They come from the ``SAMPLE_DOCS`` texts with the smallest id
+other words of under 16 characters ordinary ones. A pair's
+probability falls back on its second character's where its first is rare (weight ``BACKOFF``). They come from the ``SAMPLE_DOCS`` texts with the smallest id
 hash (a parameter); the counts are one row per pair of characters, so the driver holds a few thousand.
 
 Positions are code points, ends exclusive. Defined results: a null or empty text has no spans; repeated
@@ -30,10 +31,11 @@ ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20
 ACCESS = r"AKIA[A-Z0-9]{12,}"            # the whole run has 16 characters or more
 HEX = r"[0-9a-f]{32,}"
 RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{3,14}(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "markov": RUN}
 
-SAMPLE_DOCS, SMOOTHING, LEAST_RATIO, LEAST_MEAN, LEAST_VALUE = 5_000, 0.5, 12.0, 0.6, 8
+SAMPLE_DOCS, SMOOTHING, BACKOFF, LEAST_RATIO, LEAST_MEAN, LEAST_VALUE = 5_000, 0.5, 20.0, 12.0, 0.6, 8
 
 _SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,match:string>"
 
@@ -80,7 +82,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, key: str = "doc_id",
     body = F.col("text")
     values = F.transform(F.col("base"), lambda s: F.when(s["kind"] == "assign", F.regexp_extract(s["match"], ASSIGN_VALUE, 1)).otherwise(s["match"]))
     outside = F.aggregate(F.col("base"), body, lambda t, s: F.replace(t, s["match"], F.lit(" ")))
-    words = F.regexp_extract_all(outside, F.lit(r"[A-Za-z][A-Za-z_-]{3,}"), F.lit(0))
+    words = F.regexp_extract_all(outside, F.lit(WORD), F.lit(0))
     picked = stage(picked.withColumn("base", base_spans(body)), "secret-sample")
     labelled = picked.select(
         F.explode(F.array(F.struct(F.lit(1).alias("random"), values.alias("strings")),
@@ -91,11 +93,13 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, key: str = "doc_id",
     counts = {(r["random"], r["pair"]): r["n"] for r in pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}
     if not any(random for random, _ in counts):
         return []
-    table = []
-    for a in ALPHABET:
-        rows = {y: [counts.get((y, a + b), 0) + SMOOTHING for b in ALPHABET] for y in (0, 1)}
-        table += [math.log(p / sum(rows[1])) - math.log(q / sum(rows[0])) for p, q in zip(rows[1], rows[0])]
-    return table
+    models = []
+    for y in (1, 0):
+        total = {b: sum(counts.get((y, a + b), 0) for a in ALPHABET) + SMOOTHING for b in ALPHABET}
+        plain = {b: n / sum(total.values()) for b, n in total.items()}         # the second character alone
+        rows = {a: sum(counts.get((y, a + b), 0) for b in ALPHABET) for a in ALPHABET}
+        models.append({a + b: (counts.get((y, a + b), 0) + BACKOFF * plain[b]) / (rows[a] + BACKOFF) for a in ALPHABET for b in ALPHABET})
+    return [math.log(models[0][a + b] / models[1][a + b]) for a in ALPHABET for b in ALPHABET]
 
 
 def _numbers(values: list, kind: str) -> Column:
