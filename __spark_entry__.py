@@ -9,6 +9,7 @@ same way on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lakeprep import operators as ops
 from lakeprep.functions.identifiers import clean_identifier, folder_name, job_identifier, split_lake_path
-from lakeprep.functions.rules import DEFAULT_RULES, classify, rule, rules_sql
+from lakeprep.functions.rules import classify, rule
 from lakeprep.plans.jobs import parquet_to_table, run_store_job
 from lakeprep.plans.recipe import Recipe
 from lakeprep.session import scratch_path
@@ -24,9 +25,7 @@ from lakeprep.small import small_table
 from lakeprep.sinks.files import land_csv, store_parquet, write_csv, write_json
 from lakeprep.sinks.tables import save_snapshot
 from lakeprep.sources.lake import load_saved, read_table
-from lakeprep.sinks.workbook import write_workbooks
 from lakeprep.sources.text import read_csv, read_json
-from lakeprep.sources.workbook import read_workbooks
 from lakeprep.streaming.refresh import refresh_once
 
 try:
@@ -328,12 +327,6 @@ def snapshot_roundtrip(spark, sf_dir):
     return load_saved(spark, name)
 
 
-def workbook_roundtrip(spark, sf_dir):
-    path = scratch_path(spark, "workbooks")
-    write_workbooks(_t(spark, sf_dir, "orders"), path)
-    return read_workbooks(spark, path)
-
-
 def land_and_refresh(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders")
     base = scratch_path(spark, "landing")
@@ -437,8 +430,68 @@ def lake_to_table(spark, sf_dir):
     return spark.table(name)
 
 
+# --------------------------------------------------------------------------- whole rows, replace in place
+
+def _documents_twice(spark, sf_dir):
+    """Documents and themselves again, with a NaN or null measure for part of the rows."""
+    d = _t(spark, sf_dir, "documents")
+    measure = F.when(F.col("doc_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("n_chars").cast("double"))
+    nulls = F.when(F.col("doc_id") % 3 != 0, F.col("n_chars").cast("double"))
+    return d.withColumn("measure", measure).unionByName(d.withColumn("measure", nulls))
+
+
+def drop_duplicates_full(spark, sf_dir):
+    return ops.drop_duplicates(_documents_twice(spark, sf_dir))
+
+
+def duplicate_count_full(spark, sf_dir):
+    return ops.duplicate_count(_documents_twice(spark, sf_dir))
+
+
+def profile_full(spark, sf_dir):
+    return ops.dataset_profile(_documents_twice(spark, sf_dir))
+
+
+def describe_numeric_all(spark, sf_dir):
+    return _round_doubles(ops.describe_numeric(_t(spark, sf_dir, "lineitem"), _LINEITEM_NUMBERS))
+
+
+def fill_nulls_decimal(spark, sf_dir):
+    price = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice").cast("decimal(20,2)"))
+    return ops.fill_nulls(_t(spark, sf_dir, "orders").select("o_orderkey", price.alias("price")))
+
+
+def land_two_datasets(spark, sf_dir):
+    """Two datasets under one base whose names begin alike; one is refreshed."""
+    base, orders = scratch_path(spark, "two-landings"), _t(spark, sf_dir, "orders")
+    land_csv(orders.where("o_orderstatus = 'F'"), base, "orders")
+    land_csv(orders.where("o_orderstatus = 'O'"), base, "orders-eu")
+    return refresh_once(spark, base, "orders", f"{base}/table", orders.schema, "replace")
+
+
+def _orders_with_tokens(spark, sf_dir):
+    token = (F.when(F.col("o_orderkey") % 5 == 0, F.lit("NA")).when(F.col("o_orderkey") % 5 == 1, F.lit("None"))
+             .when(F.col("o_orderkey") % 5 == 2, F.lit("")).when(F.col("o_orderkey") % 5 == 3, F.lit("\\N")))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", token.alias("word"))
+
+
+def land_text_tokens(spark, sf_dir):
+    base, df = scratch_path(spark, "token-landings"), _orders_with_tokens(spark, sf_dir)
+    land_csv(df, base, "words")
+    return refresh_once(spark, base, "words", f"{base}/table", df.schema, "append")
+
+
+def snapshot_replace(spark, sf_dir):
+    name = "orders_" + uuid.uuid4().hex[:12]
+    save_snapshot(_t(spark, sf_dir, "orders"), name)
+    save_snapshot(ops.filter_rows(load_saved(spark, name), "o_orderstatus", "=", "F"), name)
+    return load_saved(spark, name)
+
+
 # --------------------------------------------------------------------------- registry
 
+_LINEITEM_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship": flagship,
     "filter_gt": filter_gt, "filter_lt": filter_lt, "filter_eq": filter_eq,
@@ -459,7 +512,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "describe_timestamp": describe_timestamp, "compare_columns": compare_columns,
     "csv_roundtrip": csv_roundtrip, "csv_infer_types": csv_infer_types, "csv_events_values": csv_events_values,
     "json_roundtrip": json_roundtrip, "json_infer": json_infer, "parquet_roundtrip": parquet_roundtrip,
-    "snapshot_roundtrip": snapshot_roundtrip, "workbook_roundtrip": workbook_roundtrip,
+    "snapshot_roundtrip": snapshot_roundtrip,
     "land_and_refresh": land_and_refresh,
     "land_and_append": land_and_append,
     "classify_rules": classify_rules, "classify_rules_custom": classify_rules_custom,
@@ -467,6 +520,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_lake_path": split_lake_path_q,
     "recipe_chain": recipe_chain, "recipe_actions": recipe_actions, "store_job": store_job,
     "dedupe_row_change": dedupe_row_change, "lake_to_table": lake_to_table,
+    "land_two_datasets": land_two_datasets, "land_text_tokens": land_text_tokens,
+    "drop_duplicates_full": drop_duplicates_full, "duplicate_count_full": duplicate_count_full, "profile_full": profile_full,
+    "describe_numeric_all": describe_numeric_all, "fill_nulls_decimal": fill_nulls_decimal, "snapshot_replace": snapshot_replace,
 }
 
 _LI_NULLS = """(SELECT l_orderkey, l_linenumber,
@@ -507,7 +563,24 @@ def _ts_q(c: str, p: float) -> str:
     return f"MAKE_TIMESTAMP(CAST(FLOOR(QUANTILE_CONT(EPOCH_US({c}), {p})) AS BIGINT))"
 
 
+_DOCUMENTS_TWICE = """(SELECT *, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(n_chars AS DOUBLE) END AS measure FROM documents
+        UNION ALL SELECT *, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(n_chars AS DOUBLE) END FROM documents)"""
+
 _ORACLE: dict[str, str] = {
+    "drop_duplicates_full": f"SELECT DISTINCT * FROM {_DOCUMENTS_TWICE}",
+    "duplicate_count_full": f"""SELECT CAST(COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {_DOCUMENTS_TWICE})) AS BIGINT)
+        AS duplicate_rows FROM {_DOCUMENTS_TWICE}""",
+    "profile_full": f"""SELECT COUNT(*) AS "rows", CAST(6 AS BIGINT) AS "columns",
+        CAST(COUNT(*) * 6 - COUNT(doc_id) - COUNT(text) - COUNT(lang) - COUNT(source) - COUNT(n_chars) - COUNT(measure) AS BIGINT) AS null_cells,
+        CAST(COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {_DOCUMENTS_TWICE})) AS BIGINT) AS duplicate_rows
+        FROM {_DOCUMENTS_TWICE}""",
+    "describe_numeric_all": _describe_num_sql("lineitem", _LINEITEM_NUMBERS),
+    "fill_nulls_decimal": """SELECT o_orderkey, COALESCE(price, CAST((SUM(price) OVER ()) / (COUNT(price) OVER ()) AS DECIMAL(20,2))) AS price
+        FROM (SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_totalprice AS DECIMAL(20,2)) END AS price FROM orders)""",
+    "land_two_datasets": "SELECT * FROM orders WHERE o_orderstatus = 'F'",
+    "land_text_tokens": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'NA' WHEN 1 THEN 'None' WHEN 2 THEN '' WHEN 3 THEN '\\N' END AS word
+        FROM orders""",
+    "snapshot_replace": "SELECT * FROM orders WHERE o_orderstatus = 'F'",
     "flagship": "SELECT * FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",
     "filter_gt": "SELECT * FROM lineitem WHERE l_quantity > 45",
     "filter_lt": "SELECT * FROM lineitem WHERE l_extendedprice < 2000",
@@ -623,12 +696,33 @@ _ORACLE.update({
         FROM customer""",
     "parquet_roundtrip": "SELECT * FROM lineitem",
     "snapshot_roundtrip": "SELECT * FROM customer",
-    "workbook_roundtrip": "SELECT * FROM orders",
     "land_and_refresh": "SELECT * FROM orders",
     "land_and_append": "SELECT * FROM orders",
-    "classify_rules": f"SELECT doc_id, {rules_sql('text', DEFAULT_RULES)} AS label FROM documents",
-    "classify_rules_custom": f"""SELECT conv_id, turn, {rules_sql('text', LANGUAGE_RULES, 'other')} AS label
-        FROM conversations""",
+    "classify_rules": """SELECT doc_id, CASE
+        WHEN contains(t, 'schedule') OR contains(t, 'scheduled') OR contains(t, 'cron') THEN 'RUN_AIRFLOW_SCHEDULE'
+        WHEN contains(t, 'airflow') OR contains(t, 'run on') OR contains(t, 'trigger') THEN 'RUN_AIRFLOW'
+        WHEN contains(t, 'push sql to hdfs') OR contains(t, 'mysql to hdfs') OR contains(t, 'sql to hdfs') THEN 'MYSQL_TO_HDFS'
+        WHEN contains(t, 'push to mysql') OR contains(t, 'push to sql') OR contains(t, 'store in mysql')
+            OR contains(t, 'save to mysql') OR contains(t, 'store in sql') THEN 'PUSH_MYSQL'
+        WHEN contains(t, 'iceberg') OR contains(t, 'icebeg') OR contains(t, 'icberg') OR contains(t, 'isberg') OR contains(t, 'icebrg')
+            OR contains(t, 'icebr') OR contains(t, 'icebe') OR contains(t, 'ice berg') THEN 'STORE_HDFS_ICEBERG'
+        WHEN contains(t, 'store') OR contains(t, 'push') OR contains(t, 'save') OR contains(t, 'upload') OR contains(t, 'hdfs') THEN 'STORE_HDFS'
+        WHEN contains(t, 'clean null') OR contains(t, 'remove null') OR contains(t, 'drop null') THEN 'REMOVE_NULLS:drop'
+        WHEN contains(t, 'fill null') THEN 'REMOVE_NULLS:fill'
+        WHEN contains(t, 'duplicate') THEN 'REMOVE_DUPLICATES'
+        WHEN contains(t, 'find null') THEN 'FIND_NULLS'
+        WHEN contains(t, 'schema') THEN 'DETECT_SCHEMA'
+        WHEN contains(t, 'pyspark') THEN 'GENERATE_PYSPARK'
+        WHEN contains(t, 'pipeline') THEN 'BUILD_PIPELINE'
+        WHEN contains(t, 'sql') AND NOT contains(t, 'mysql') THEN 'GENERATE_SQL'
+        WHEN contains(t, 'mysql') OR contains(t, 'load mysql') OR contains(t, 'from mysql') THEN 'LOAD_MYSQL'
+        ELSE 'UNKNOWN' END AS label FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)""",
+    "classify_rules_custom": """SELECT conv_id, turn, CASE
+        WHEN contains(t, 'the ') AND NOT contains(t, ' le ') AND NOT contains(t, ' der ') THEN 'english'
+        WHEN contains(t, ' le ') OR contains(t, ' les ') THEN 'french'
+        WHEN contains(t, ' el ') OR contains(t, ' los ') THEN 'spanish'
+        WHEN contains(t, ' der ') OR contains(t, ' die ') THEN 'german'
+        ELSE 'other' END AS label FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations)""",
     "clean_identifier": f"""SELECT page_id, {_duck_last_part('LOWER(' + _duck_underscored('url') + ')')} AS table_name,
         {_duck_underscored('url')} AS job_name,
         LOWER(REPLACE(CASE WHEN STARTS_WITH({_duck_strip('url')}, 'hdfs://')

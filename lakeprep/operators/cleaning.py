@@ -62,7 +62,8 @@ def fill_nulls_with_report(df: DataFrame, text_value: str = FILL_TEXT,
     shuffle. The fill itself is a single projection over the input.
 
     Integral columns that hold nulls become double first (the mean is
-    fractional, as in pandas). Columns with no mean and no text form (all-null
+    fractional, as in pandas); decimals keep their type and get the mean
+    rounded to it. Columns with no mean and no text form (all-null
     numerics, dates, timestamps, booleans, nested values) stay null and are
     listed in the report, unless ``stringify`` casts them to string and fills
     ``text_value``.
@@ -72,7 +73,8 @@ def fill_nulls_with_report(df: DataFrame, text_value: str = FILL_TEXT,
     for i, f in enumerate(fields):
         aggs.append(F.count_if(missing(f.name, f.dataType)).alias(f"n{i}"))
         if is_numeric(f.dataType):
-            aggs.append(F.avg(without_nan(f.name, f.dataType).cast("double")).alias(f"m{i}"))
+            own = without_nan(f.name, f.dataType)
+            aggs.append(F.avg(own if isinstance(f.dataType, T.DecimalType) else own.cast("double")).alias(f"m{i}"))
     stats = df.agg(*aggs).first().asDict() if aggs else {}
 
     report = FillReport()
@@ -86,6 +88,9 @@ def fill_nulls_with_report(df: DataFrame, text_value: str = FILL_TEXT,
         if is_numeric(f.dataType):
             mean = stats.get(f"m{i}")
             report.means[f.name] = mean
+            if mean is not None and isinstance(f.dataType, T.DecimalType):
+                out.append(F.coalesce(c, F.lit(mean).cast(f.dataType)).alias(f.name))
+                continue
             if mean is not None:
                 if not is_floating(f.dataType):
                     report.widened.append(f.name)
@@ -115,7 +120,7 @@ def fill_nulls(df: DataFrame, text_value: str = FILL_TEXT, stringify: bool = Fal
 
 
 def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """Drop repeated rows (C3); nulls compare equal. Output order is not kept.
+    """Drop repeated rows (C3); nulls compare equal, NaN is null. Output order is not kept.
 
     A hash aggregate on all columns with a map-side partial step: a row
     repeated a billion times leaves each task as one row, so a hot duplicate
@@ -127,6 +132,7 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
            if (subset is None or f.name in subset) and has_map(f.dataType)]
     if bad:
         raise ValueError(f"Columns {bad} hold MAP values, which cannot be compared for duplicates")
+    df = df.select(*[without_nan(f.name, f.dataType).alias(f.name) for f in df.schema.fields])
     return df.dropDuplicates(list(subset)) if subset is not None else df.dropDuplicates()
 
 
@@ -138,19 +144,24 @@ def counted(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
 
 
 class RowChange:
-    """Rows before and after a transform (C4), filled by the first action on
-    ``output``; both counts ride on that job (no extra count job)."""
+    """Rows before and after a transform (C4).
+
+    ``after`` is counted by the first action that reads ``output`` in full. ``before`` counts the
+    input on its own when asked for (for a Parquet source that reads footers only): a counter inside
+    the plan would stop filters from reaching the scan, and would miss the rows that a limit skips.
+    """
 
     def __init__(self, df: DataFrame, transform):
-        tag = uuid.uuid4().hex[:8]     # unique names: several may sit in one plan
-        self._before_obs = Observation(f"rows_before_{tag}")
-        self._after_obs = Observation(f"rows_after_{tag}")
-        observed = df.observe(self._before_obs, F.count(F.lit(1)).alias("rows"))
-        self.output = transform(observed).observe(self._after_obs, F.count(F.lit(1)).alias("rows"))
+        self._input = df
+        self._before: int | None = None
+        self._after_obs = Observation(f"rows_after_{uuid.uuid4().hex[:8]}")     # several may sit in one plan
+        self.output = transform(df).observe(self._after_obs, F.count(F.lit(1)).alias("rows"))
 
     @property
     def before(self) -> int:
-        return self._before_obs.get["rows"]
+        if self._before is None:
+            self._before = self._input.count()
+        return self._before
 
     @property
     def after(self) -> int:

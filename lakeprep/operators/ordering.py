@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..names import col, require_columns
+from .types import has_map
 
 ASCENDING = ("asc", "ascending")
 DESCENDING = ("desc", "descending")
@@ -39,9 +40,8 @@ def sort_keys(df: DataFrame, column: str, order: str = "asc",
 
 
 def row_hash(df: DataFrame) -> Column:
-    """A deterministic 64-bit hash of the whole row (equal rows hash equal)."""
-    from ..names import col
-    return F.xxhash64(*[col(c) for c in df.columns])
+    """A deterministic 64-bit hash of the row's columns that can be hashed (not those that hold maps)."""
+    return F.xxhash64(F.lit(0), *[col(f.name) for f in df.schema.fields if not has_map(f.dataType)])
 
 
 def sort_rows(df: DataFrame, column: str, order: str = "asc",
@@ -51,7 +51,8 @@ def sort_rows(df: DataFrame, column: str, order: str = "asc",
     Rows that tie on the sort keys come in no particular order (as with an
     unstable sort). ``split_ties`` makes that order a deterministic row hash
     and adds it as a last key, so the range partitioner can cut a run of one
-    hot value across many tasks instead of sending it all to one.
+    hot value across many tasks instead of sending it all to one. Rows that are equal in every
+    hashed column stay together.
     """
     keys = sort_keys(df, column, order, tie_breakers)
     if split_ties:

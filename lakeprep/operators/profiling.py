@@ -55,6 +55,11 @@ def _groupable(df: DataFrame) -> None:
         raise ValueError(f"Columns {bad} hold MAP values, which cannot be compared for duplicates")
 
 
+def _row_keys(df: DataFrame) -> DataFrame:
+    """The whole row as one struct column ``row``, NaN as null; names inside are positions."""
+    return df.select(F.struct(*[without_nan(f.name, f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]).alias("row"))
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row (A3), as one row ``duplicate_rows``.
 
@@ -62,8 +67,8 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     would skip them) and combines repeats map-side before the shuffle.
     """
     _groupable(df)
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_k"))
-    return groups.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    groups = _row_keys(df).groupBy("row").agg(F.count(F.lit(1)).alias("k"))
+    return groups.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
@@ -77,9 +82,8 @@ def dataset_profile(df: DataFrame) -> DataFrame:
     fields = df.schema.fields
     if not fields:
         raise ValueError("dataset has no columns")
-    nulls_in_row = sum((missing(f.name, f.dataType).cast("bigint") for f in fields), F.lit(0))
-    groups = (df.groupBy(*[col(f.name) for f in fields])
-              .agg(F.count(F.lit(1)).alias("_k"))
+    nulls_in_row = sum((F.col(f"row.c{i}").isNull().cast("bigint") for i in range(len(fields))), F.lit(0))
+    groups = (_row_keys(df).groupBy("row").agg(F.count(F.lit(1)).alias("_k"))
               .select("_k", nulls_in_row.alias("_nulls")))
     return groups.agg(
         F.coalesce(F.sum("_k"), F.lit(0)).cast("bigint").alias("rows"),
@@ -136,9 +140,7 @@ TIMESTAMP_SCHEMA = ("column string, count bigint, mean timestamp_ntz, min timest
 def describe_numeric(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """count, mean, std (n-1), min, quartiles, max per numeric column (A5).
 
-    One aggregate pass for the moments (plus a distinct-count sketch that
-    sizes the quantile step); quartiles are exact and distributed
-    (``quantiles.py``), or ``percentile_approx`` with ``exact=False``.
+    One aggregate pass for the moments; quartiles are exact (``quantiles.py``), or ``percentile_approx`` with ``exact=False``.
     """
     require_columns(df, columns)
     for c in columns:
@@ -149,15 +151,13 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], exact: bool = True)
     for i, c in enumerate(columns):
         v = values[c]
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"),
-                 F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"),
-                 F.approx_count_distinct(v).alias(f"ndv{i}")]
+                 F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
         if not exact:
             aggs.append(F.percentile_approx(v, list(QUARTILES), 10000).alias(f"q{i}"))
     stats = df.agg(*aggs).first()
     counts = [stats[f"n{i}"] for i in range(len(columns))]
     if exact:
-        quantiles = exact_quantiles(df, [values[c] for c in columns], counts, QUARTILES,
-                                    sum(stats[f"ndv{i}"] or 0 for i in range(len(columns))))
+        quantiles = exact_quantiles(df, [values[c] for c in columns], counts, QUARTILES)
     rows = []
     for i, c in enumerate(columns):
         if exact:
@@ -225,14 +225,12 @@ def describe_timestamp(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for i, c in enumerate(columns):
         m = micros[c]
         aggs += [F.count(m).alias(f"n{i}"), F.sum(m.cast("decimal(38,0)")).alias(f"s{i}"),
-                 F.min(m).alias(f"min{i}"), F.max(m).alias(f"max{i}"),
-                 F.approx_count_distinct(m).alias(f"ndv{i}")]
+                 F.min(m).alias(f"min{i}"), F.max(m).alias(f"max{i}")]
     stats = df.agg(*aggs).first()
     counts = [stats[f"n{i}"] for i in range(len(columns))]
     plans = [linear_ranks(n, QUARTILES) if n else {} for n in counts]
     got = values_at_ranks(df, [micros[c] for c in columns],
-                          [[r for lo, hi, _ in pl.values() for r in (lo, hi)] for pl in plans],
-                          sum(stats[f"ndv{i}"] or 0 for i in range(len(columns))))
+                          [[r for lo, hi, _ in pl.values() for r in (lo, hi)] for pl in plans])
     rows = []
     for i, c in enumerate(columns):
         n = counts[i]

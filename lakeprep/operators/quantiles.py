@@ -1,45 +1,31 @@
-"""Exact linear-interpolated quantiles, computed without one big task.
-
-Spark's built-in ``percentile`` merges a value->count map of the whole
-column in a single task, so its memory grows with the number of distinct
-values. Here the work is spread out, for any number of columns at once:
-
-1. the columns are stacked into one long ``(cid, v)`` table and
-   ``groupBy(cid, v).count()`` collapses repeats map-side (a value that
-   holds a third of the rows becomes one row per task);
-2. when there are more distinct values than one task should sort
-   (``VALUES_PER_BUCKET``), they are range-partitioned into ordered buckets;
-   each (column, bucket) gets running counts in its own window task;
-3. per-bucket totals (at most ``MAX_BUCKETS`` + one per column rows)
-   become bucket offsets, broadcast back to give every distinct value its
-   global cumulative count;
-4. only the values whose cumulative interval holds one of the wanted ranks
-   (at most two per probability and column) reach the driver.
-
-Ranks follow the usual "linear" definition (pandas ``quantile``, DuckDB
-``quantile_cont``): position ``h = (n - 1) * p`` on the sorted values, and
-``v[floor(h)] + (h - floor(h)) * (v[ceil(h)] - v[floor(h)])``.
+"""Exact linear-interpolated quantiles by narrowing brackets.
+
+Spark's built-in ``percentile`` merges a value->count map of the whole column in one task. Here no
+value is shuffled until few are left: ``percentile_approx`` gives each wanted rank a bracket of two
+values, one aggregate counts the rows below it and inside it, and brackets that still hold many
+distinct values are narrowed the same way from the rows inside them. The counts decide, not the
+sketch: a rank found outside its bracket moves the bracket. What remains, at most ``FEW`` distinct
+values a bracket, is grouped and counted, and the rank is read off.
+
+Every step is an aggregate with a map-side part, so a value that holds a third of the rows is one
+row per task, and the same steps run at every size (a narrowing divides the rows by thousands).
+
+Ranks follow the usual "linear" definition (pandas ``quantile``, DuckDB ``quantile_cont``): position
+``h = (n - 1) * p`` on the sorted values, and ``v[floor(h)] + (h - floor(h)) * (v[ceil(h)] - v[floor(h)])``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound on the number of ranges; the offsets table has at most this many rows
-# plus one per column, which keeps it broadcastable.
-MAX_BUCKETS = 100_000
-# Distinct values one window task sorts, at most (before the cap above).
-VALUES_PER_BUCKET = 2_000_000
-
-
-def bucket_count(distinct_estimate: int | None) -> int:
-    if not distinct_estimate:
-        return 1
-    return max(1, min(MAX_BUCKETS, math.ceil(distinct_estimate / VALUES_PER_BUCKET)))
+# Accuracy of the sketch (its rank error is one part in this many), and the distinct values a
+# bracket may send to the driver.
+ACCURACY, FEW = 10_000, 5_000
 
 
 def linear_ranks(n: int, probs: Sequence[float]) -> dict[float, tuple[int, int, float]]:
@@ -54,62 +40,102 @@ def linear_ranks(n: int, probs: Sequence[float]) -> dict[float, tuple[int, int,
     return out
 
 
-def values_at_ranks(df: DataFrame, values: Sequence[Column], ranks: Sequence[Sequence[int]],
-                    distinct_estimate: int | None = None) -> list[dict[int, object]]:
-    """For each column expression, the values at its 0-based ranks (nulls excluded).
+@dataclass
+class _Bracket:
+    column: int
+    rank: int
+    lo: object = None           # values between which they are looked for, inclusive
+    hi: object = None
+    below: int = 0              # rows under ``lo``
+    inside: int = 0             # rows from ``lo`` to ``hi``
+    few: bool = False
+
+
+def _between(v: Column, b: _Bracket) -> Column:
+    return (v >= F.lit(b.lo)) & (v <= F.lit(b.hi))
+
+
+def _narrow(df: DataFrame, values: Sequence[Column], brackets: list[_Bracket]) -> None:
+    """Brackets around the wanted ranks by the sketch of the rows inside the present ones.
 
-    All ``values`` must share one type. One shuffle for the counts, one for
-    the windows (plus the range-sampling job when buckets are needed).
+    Where the sketch answers with the present ends, heavy values at the ends hold most rows: the rank
+    is one of these, or the ends are left out.
     """
-    wanted = [sorted(set(int(r) for r in rs)) for rs in ranks]
-    if not any(wanted):
+    aggs = []
+    for k, b in enumerate(brackets):
+        v = values[b.column]
+        at = (b.rank - b.below) / max(1, b.inside - 1)
+        cuts = [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)]
+        aggs += [F.percentile_approx(F.when(_between(v, b), v), cuts, ACCURACY).alias(f"q{k}"),
+                 F.count_if(v == F.lit(b.lo)).alias(f"lo{k}"), F.count_if(v == F.lit(b.hi)).alias(f"hi{k}"),
+                 F.min(F.when((v > F.lit(b.lo)) & (v < F.lit(b.hi)), v)).alias(f"next{k}"),
+                 F.max(F.when((v > F.lit(b.lo)) & (v < F.lit(b.hi)), v)).alias(f"last{k}")]
+    row = df.agg(*aggs).first()
+    for k, b in enumerate(brackets):
+        lo, hi = row[f"q{k}"]
+        if (lo, hi) == (b.lo, b.hi) and lo != hi:
+            if b.rank < b.below + row[f"lo{k}"]:
+                hi = lo
+            elif b.rank >= b.below + b.inside - row[f"hi{k}"]:
+                lo = hi
+            else:
+                lo, hi = row[f"next{k}"], row[f"last{k}"]
+        b.lo, b.hi = lo, hi
+
+
+def _count(df: DataFrame, values: Sequence[Column], brackets: list[_Bracket]) -> None:
+    aggs = []
+    for k, b in enumerate(brackets):
+        v = values[b.column]
+        aggs += [F.count_if(v < F.lit(b.lo)).alias(f"b{k}"), F.count_if(_between(v, b)).alias(f"i{k}"),
+                 F.approx_count_distinct(F.when(_between(v, b), v)).alias(f"d{k}")]
+    row = df.agg(*aggs).first()
+    for k, b in enumerate(brackets):
+        b.below, b.inside = row[f"b{k}"], row[f"i{k}"]
+        b.few = b.lo == b.hi or row[f"d{k}"] <= FEW
+
+
+def values_at_ranks(df: DataFrame, values: Sequence[Column], ranks: Sequence[Sequence[int]]) -> list[dict[int, object]]:
+    """For each column expression, the values at its 0-based ranks (nulls excluded)."""
+    wanted = [sorted(set(rs)) for rs in ranks]
+    active = [i for i, rs in enumerate(wanted) if rs]
+    if not active:
         return [{} for _ in values]
-    stacked = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("cid"), v.alias("v"))
-                                           for i, v in enumerate(values)])))
-    counts = (stacked.where(F.col("v").isNotNull())
-              .groupBy("cid", "v").agg(F.count(F.lit(1)).alias("cnt")))
-    buckets = bucket_count(distinct_estimate)
-    if buckets == 1:
-        ranged = counts.withColumn("b", F.lit(0))
-    else:
-        # Ranges over (column, value) jointly: ``buckets`` was sized from the
-        # distinct values of all columns together, so each range stays bounded.
-        ranged = counts.repartitionByRange(buckets, "cid", "v").withColumn("b", F.spark_partition_id())
-    in_bucket = ranged.withColumn(
-        "cum", F.sum("cnt").over(Window.partitionBy("cid", "b").orderBy("v")
-                                 .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    if buckets == 1:
-        placed = in_bucket.select("cid", "v", (F.col("cum") - F.col("cnt")).alias("first"),
-                                  F.col("cum").alias("after"))
-    else:
-        totals = in_bucket.groupBy("cid", "b").agg(F.sum("cnt").alias("tot"))
-        offsets = totals.select(
-            "cid", "b",
-            F.coalesce(F.sum("tot").over(Window.partitionBy("cid").orderBy("b")
-                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-        placed = (in_bucket.join(F.broadcast(offsets), ["cid", "b"])
-                  .select("cid", "v", (F.col("off") + F.col("cum") - F.col("cnt")).alias("first"),
-                          (F.col("off") + F.col("cum")).alias("after")))
-    hit = None
-    for i, rs in enumerate(wanted):
-        for r in rs:
-            cond = (F.col("cid") == i) & (F.col("first") <= F.lit(r)) & (F.col("after") > F.lit(r))
-            hit = cond if hit is None else (hit | cond)
-    rows = placed.where(hit).collect()   # at most sum(len(wanted)) rows
+    ends = df.agg(*[e for i in active for e in (F.min(values[i]).alias(f"lo{i}"), F.max(values[i]).alias(f"hi{i}"),
+                                                F.count(values[i]).alias(f"n{i}"))]).first()
+    whole = {i: (ends[f"lo{i}"], ends[f"hi{i}"], ends[f"n{i}"]) for i in active}
+    brackets = [_Bracket(i, r, *whole[i][:2], 0, whole[i][2]) for i in active for r in wanted[i]]
+    todo = list(brackets)
+    while todo:
+        _narrow(df, values, todo)
+        _count(df, values, todo)
+        missed = [b for b in todo if not b.below <= b.rank < b.below + b.inside]
+        for b in missed:                                   # the sketch was off: take the side it left out
+            least, most, _ = whole[b.column]
+            b.lo, b.hi = (least, b.lo) if b.rank < b.below else (b.hi, most)
+        if missed:
+            _count(df, values, missed)
+        todo = [b for b in todo if not b.few]
+    inside = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.when(_between(values[b.column], b), values[b.column]).alias("v"))
+                                          for k, b in enumerate(brackets)])))
+    found: dict[int, list] = {}
+    for r in inside.where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).collect():
+        found.setdefault(r["k"], []).append((r["v"], r["n"]))
     out: list[dict[int, object]] = [{} for _ in values]
-    for row in rows:
-        for r in wanted[row["cid"]]:
-            if row["first"] <= r < row["after"]:
-                out[row["cid"]][r] = row["v"]
+    for k, b in enumerate(brackets):
+        at = b.below
+        for v, n in sorted(found[k]):
+            if at <= b.rank < at + n:
+                out[b.column][b.rank] = v
+            at += n
     return out
 
 
-def exact_quantiles(df: DataFrame, values: Sequence[Column], counts: Sequence[int], probs: Sequence[float],
-                    distinct_estimate: int | None = None) -> list[dict[float, float | None]]:
+def exact_quantiles(df: DataFrame, values: Sequence[Column], counts: Sequence[int],
+                    probs: Sequence[float]) -> list[dict[float, float | None]]:
     """Linear-interpolated quantiles of numeric ``values`` (``counts`` = non-null rows each)."""
     plans = [linear_ranks(n, probs) if n else {} for n in counts]
-    got = values_at_ranks(df, values, [[r for lo, hi, _ in pl.values() for r in (lo, hi)] for pl in plans],
-                          distinct_estimate)
+    got = values_at_ranks(df, values, [[r for lo, hi, _ in pl.values() for r in (lo, hi)] for pl in plans])
     out = []
     for pl, g, n in zip(plans, got, counts):
         if not n:

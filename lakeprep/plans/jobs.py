@@ -22,6 +22,14 @@ from .recipe import Recipe
 REPORT_SCHEMA = "step string, status string, rows bigint, location string, detail string"
 
 
+class JobFailed(RuntimeError):
+    """A job step failed; ``report`` holds the step table, the cause is chained."""
+
+    def __init__(self, step: str, report: DataFrame, cause: Exception) -> None:
+        super().__init__(f"step {step!r} failed: {type(cause).__name__}: {cause}")
+        self.step, self.report = step, report
+
+
 @dataclass
 class JobResult:
     report: DataFrame
@@ -31,7 +39,7 @@ class JobResult:
 
 def run_store_job(spark: SparkSession, source: Callable[[SparkSession], DataFrame],
                   sink: Callable[[DataFrame], StoreReport], recipe: Recipe | None = None) -> JobResult:
-    """Load, transform and store in one application."""
+    """Load, transform and store in one application (R1); a failed step raises :class:`JobFailed`."""
     rows: list[tuple] = []
     df = out = None
     stored = None
@@ -45,10 +53,11 @@ def run_store_job(spark: SparkSession, source: Callable[[SparkSession], DataFram
         stage = "store"
         stored = sink(out)
         rows.append(("store", "ok", stored.rows, stored.location, stored.format))
-    except Exception as e:  # noqa: BLE001 - reported, then re-raised below
-        rows.append((stage, "failed", None, None, f"{type(e).__name__}: {str(e)[:500]}"))
+    except Exception as e:
+        rows.append((stage, "failed", None, None, f"{type(e).__name__}: {e}"))
         for later in ("load", "transform", "store")[("load", "transform", "store").index(stage) + 1:]:
             rows.append((later, "skipped", None, None, None))
+        raise JobFailed(stage, small_table(spark, rows, REPORT_SCHEMA), e) from e
     report = small_table(spark, rows, REPORT_SCHEMA)
     return JobResult(report, out, stored)
 
@@ -56,10 +65,11 @@ def run_store_job(spark: SparkSession, source: Callable[[SparkSession], DataFram
 def database_to_lake(spark: SparkSession, target: JdbcTarget, table: str, base: str,
                      provider: str = "parquet", identifier: str | None = None,
                      partition_column: str | None = None, num_partitions: int = 8,
-                     location: str | None = None) -> JobResult:
+                     location: str | None = None, predicates: Sequence[str] | None = None,
+                     single_task: bool = False) -> JobResult:
     """Database table -> lake Parquet folder or table (R3), read in parallel slices."""
     def source(s):
-        return read_jdbc(s, target, table, partition_column, num_partitions)
+        return read_jdbc(s, target, table, partition_column, num_partitions, predicates=predicates, single_task=single_task)
 
     if provider == "folder":
         def sink(df):

@@ -92,31 +92,59 @@ def store_parquet(df: DataFrame, base: str, name: str, mode: str = "overwrite",
     return write_parquet(df, parquet_location(base, name), mode, partition_by)
 
 
+#: How a landing writes a null; a text that begins with a backslash gets one more in front.
+LANDED_NULL = "\\N"
+
+
 def landing_name(name: str) -> str:
-    """A new, sortable landing folder name: ``<name>-<UTC time>-<random>``."""
+    """A new landing folder, sortable within its dataset: ``<name>/<UTC time>-<random>``.
+
+    Datasets have folders of their own, so no name is the beginning of another's landings.
+    """
+    if not name or name in (".", "..") or any(c in name for c in "/\\*?[]{}:") or name.startswith(("_", ".")):
+        raise ValueError(f"dataset name {name!r} must be a single plain path part")
     stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-    return f"{name}-{stamp}-{uuid.uuid4().hex[:8]}"
+    return f"{name}/{stamp}-{uuid.uuid4().hex[:8]}"
+
+
+def _marked_nulls(df: DataFrame) -> DataFrame:
+    """Every column as text in which null, empty and any other text stay apart."""
+    out = []
+    for f in _flat_for_csv(df).schema.fields:
+        c = col(f.name)
+        text = c if isinstance(f.dataType, T.StringType) else c.cast("string")
+        if isinstance(f.dataType, T.TimestampType):
+            text = F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        text = F.when(text.startswith("\\"), F.concat(F.lit("\\"), text)).otherwise(text)
+        out.append(F.coalesce(text, F.lit(LANDED_NULL)).alias(f.name))
+    return _flat_for_csv(df).select(*out)
+
+
+def unmarked(c):
+    """The text a landing stands for; null for its null mark."""
+    return F.when(c == LANDED_NULL, None).when(c.startswith("\\"), F.substr(c, F.lit(2))).otherwise(c)
 
 
 def land_csv(df: DataFrame, base: str, name: str) -> StoreReport:
     """Land the dataset as CSV under ``<base>/input/`` in a **new** folder (K7).
 
     A file stream remembers files by path, so overwriting one landing in
-    place would never be seen again; every landing gets a fresh name. The
-    folder is written under ``<base>/staging/`` and renamed into ``input/``
+    place would never be seen again; every landing gets a fresh name. Nulls
+    are written as ``LANDED_NULL``, so that texts such as ``NA`` or an empty
+    one come back as they were. The folder is written under ``<base>/staging/`` and renamed into ``input/``
     once complete, so a stream never lists a half-written landing.
     """
     spark = df.sparkSession
     folder = landing_name(name)
     staging = f"{base.rstrip('/')}/staging/{folder}"
     final = f"{base.rstrip('/')}/input/{folder}"
-    report = write_csv(df, staging)
+    report = write_csv(_marked_nulls(df), staging)
     _rename(spark, staging, final)
     return StoreReport(final, report.rows, report.columns, "csv")
 
 
 def _rename(spark, src: str, dst: str) -> None:
-    """Atomic directory rename through the Hadoop FileSystem of ``dst``."""
+    """Directory rename through the Hadoop FileSystem of ``dst`` (atomic on HDFS and local disks, a copy on object stores)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     src_path = jvm.org.apache.hadoop.fs.Path(src)
@@ -126,7 +154,3 @@ def _rename(spark, src: str, dst: str) -> None:
     if not fs.rename(src_path, dst_path):
         raise OSError(f"could not move landing {src} to {dst}")
 
-
-def is_text_safe(df: DataFrame) -> bool:
-    """True when every column survives a CSV round trip with its type."""
-    return not any(isinstance(f.dataType, (T.BinaryType, *NESTED)) for f in df.schema.fields)

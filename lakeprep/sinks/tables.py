@@ -9,10 +9,12 @@ path with Parquet data files (needs an Iceberg catalog on the classpath);
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..names import col
 from .files import StoreReport
 
 _IDENT = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
@@ -40,11 +42,32 @@ def save_snapshot(df: DataFrame, name: str, location: str | None = None) -> Stor
     """
     check_identifier(name)
     out, obs = _observed(df, f"snapshot-{name}")
-    writer = out.write.mode("overwrite").format("parquet")
+    _replace_table(df.sparkSession, out, name, location)
+    return StoreReport(location or name, obs.get["rows"], len(df.columns), "parquet-table")
+
+
+def _replace_table(spark, df: DataFrame, name: str, location: str | None = None,
+                   options: dict[str, str] | None = None, partition_by: list[str] | None = None) -> None:
+    """Write a Parquet table under a new name, then let it take the old one's place.
+
+    The data may come from the table it replaces; the old table goes only when the new one is complete.
+    A given ``location`` that the old table occupies is written as a new version folder below it.
+    """
+    exists = spark.catalog.tableExists(name)
+    writer = df.write.mode("overwrite").format("parquet").options(**(options or {}))
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    if location and exists:
+        location = f"{location.rstrip('/')}-{uuid.uuid4().hex[:8]}"
     if location:
         writer = writer.option("path", location)
-    writer.saveAsTable(name)
-    return StoreReport(location or name, obs.get["rows"], len(df.columns), "parquet-table")
+    if not exists:
+        writer.saveAsTable(name)
+        return
+    fresh = f"{name}_new_{uuid.uuid4().hex[:8]}"
+    writer.saveAsTable(fresh)
+    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
 
 
 def store_table(df: DataFrame, identifier: str, provider: str = "iceberg",
@@ -63,17 +86,10 @@ def store_table(df: DataFrame, identifier: str, provider: str = "iceberg",
         for key, value in (properties or {}).items():
             writer = writer.tableProperty(key, value)
         if partition_by:
-            writer = writer.partitionedBy(*[F.col(c) for c in partition_by])
+            writer = writer.partitionedBy(*[col(c) for c in partition_by])
         writer.createOrReplace()
     elif provider == "parquet":
-        writer = out.write.mode("overwrite").format("parquet")
-        if location:
-            writer = writer.option("path", location)
-        for key, value in (properties or {}).items():
-            writer = writer.option(key, value)
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.saveAsTable(identifier)
+        _replace_table(spark, out, identifier, location, properties, partition_by)
     else:
         raise ValueError(f"provider must be 'iceberg' or 'parquet', not {provider!r}")
     rows = obs.get["rows"] if obs is not None else -1
@@ -82,11 +98,7 @@ def store_table(df: DataFrame, identifier: str, provider: str = "iceberg",
 
 def table_location(spark, identifier: str) -> str:
     """Where the catalog says the table's data lives (bounded metadata query)."""
-    try:
-        rows = spark.sql(f"DESCRIBE TABLE EXTENDED {identifier}").collect()
-    except Exception:  # noqa: BLE001 - catalogs without DESCRIBE EXTENDED
-        return identifier
-    for r in rows:
+    for r in spark.sql(f"DESCRIBE TABLE EXTENDED {identifier}").collect():
         if r[0] == "Location":
             return r[1]
-    return identifier
+    raise LookupError(f"the catalog records no location for {identifier}")

@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .lake import read_parquet
 from .text import read_csv, read_json
-from .workbook import read_workbooks
 
 READERS = {
     ".csv": read_csv,
     ".json": read_json,
     ".jsonl": read_json,
-    ".xlsx": read_workbooks,
     ".parquet": read_parquet,
 }
 
@@ -30,4 +28,4 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
     raise ValueError(f"Unsupported format: {path!r}; use one of {sorted(READERS)}")
 
 
-__all__ = ["READERS", "load", "read_csv", "read_json", "read_parquet", "read_workbooks"]
+__all__ = ["READERS", "load", "read_csv", "read_json", "read_parquet"]

@@ -8,6 +8,7 @@ queries; the bounds come from one ``min/max`` query pushed to the database.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +46,20 @@ def table_bounds(spark: SparkSession, target: JdbcTarget, table: str, column: st
 
 
 def read_jdbc(spark: SparkSession, target: JdbcTarget, table: str, partition_column: str | None = None,
-              num_partitions: int = 8, fetch_size: int = 10_000) -> DataFrame:
-    """Read a whole table (S6); parallel when ``partition_column`` is numeric/date."""
+              num_partitions: int = 8, fetch_size: int = 10_000, predicates: Sequence[str] | None = None,
+              single_task: bool = False) -> DataFrame:
+    """Read a whole table (S6) in parallel slices.
+
+    Slices are ``num_partitions`` equal ranges of a numeric or date ``partition_column``, or one per
+    entry of ``predicates`` (conditions that split the rows, for keys with hot ranges). Reading through
+    one connection into one task must be asked for with ``single_task=True``.
+    """
     check_identifier(table)
+    if sum((partition_column is not None, predicates is not None, bool(single_task))) != 1:
+        raise ValueError("give one of partition_column=, predicates= or single_task=True")
+    if predicates is not None:
+        properties = {k: v for k, v in target.options().items() if k != "url"} | {"fetchsize": str(fetch_size)}
+        return spark.read.jdbc(target.url, table, predicates=list(predicates), properties=properties)
     reader = (spark.read.format("jdbc").options(**target.options())
               .option("dbtable", table).option("fetchsize", str(fetch_size)))
     if partition_column:

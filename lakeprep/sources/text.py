@@ -34,6 +34,9 @@ TIMESTAMP_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}
 ZONED_TIMESTAMP_PATTERN = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?"
                            r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
 
+# What a caller may ask for when a record cannot be read -> Spark's reader mode.
+BAD_RECORDS = {"fail": "FAILFAST", "null": "PERMISSIVE"}
+
 CSV_OPTIONS = {"quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
 
 
@@ -161,21 +164,27 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], header: bool = True
 
 
 def _starts_with_array(spark: SparkSession, path: str | Sequence[str]) -> bool:
-    first = (spark.read.text(path).where(F.trim("value") != "").limit(1).collect())
-    return bool(first) and first[0][0].lstrip().startswith("[")
+    start = F.substr(F.ltrim("value"), F.lit(1), F.lit(1))             # one character reaches the driver
+    first = spark.read.text(path).select(start.alias("c")).where("c != ''").limit(1).collect()
+    return bool(first) and first[0]["c"] == "["
 
 
 def read_json(spark: SparkSession, path: str | Sequence[str], multiline: bool | None = None,
-              nan_as_null: bool = True, schema: T.StructType | str | None = None) -> DataFrame:
+              nan_as_null: bool = True, schema: T.StructType | str | None = None,
+              bad_records: str = "fail") -> DataFrame:
     """Read JSON records (S2): a file holding one array of records, or JSON Lines.
 
+    A record that does not parse fails the job; ``bad_records="null"`` reads it as nulls instead.
+
     ``multiline=None`` looks at the first non-blank line to tell them apart.
     JSON Lines files split across tasks; array files are one task each.
     Nested objects and arrays become struct and array columns.
     """
     if multiline is None:
         multiline = _starts_with_array(spark, path)
-    reader = spark.read.option("multiLine", str(bool(multiline)).lower())
+    if bad_records not in BAD_RECORDS:
+        raise ValueError(f"bad_records must be one of {sorted(BAD_RECORDS)}")
+    reader = spark.read.option("multiLine", str(bool(multiline)).lower()).option("mode", BAD_RECORDS[bad_records])
     temporal: dict[str, str] = {}
     if schema is not None:
         target = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)

@@ -1,18 +1,19 @@
 """Recurring refresh of a dataset from landed CSV, on Structured Streaming (R2).
 
-Landings arrive as new folders ``<base>/input/<name>-<time>-<id>/`` (see
-``sinks.files.land_csv``). A file-source stream over those folders feeds
-``foreachBatch``:
+Landings arrive as new folders ``<base>/input/<name>/<time>-<id>/`` (see ``sinks.files.land_csv``). A
+file-source stream over them feeds ``foreachBatch``:
 
 * ``mode="append"``: every landing is added once;
-* ``mode="replace"``: the dataset becomes the newest landing of the batch,
-  as a scheduled full reload would do.
-
-Each micro-batch is written to ``<sink>/epoch=<batch id>`` with overwrite,
-so a batch that is retried after a failure rewrites the same folder
-instead of duplicating rows; the checkpoint records which files were
-consumed. ``schedule`` maps "@once" to ``availableNow`` and an interval to a
-processing-time trigger.
+* ``mode="replace"``: the dataset becomes the newest landing of the batch, as a scheduled full reload
+  would do.
+
+Each micro-batch is written to ``<sink>/epoch=<batch id>`` with overwrite, so a batch that is retried
+rewrites the same folder; the checkpoint, ``<sink>/_checkpoint`` unless given, records which files were
+consumed. A sink with epochs and no checkpoint is refused: its epochs would be written over from 0.
+
+Columns go by the header: a landing whose columns stand in another order is read by name in replace mode
+and fails the stream in append mode, never by position. Text that does not fit its column's type fails.
+``schedule`` maps "@once" to ``availableNow`` and an interval to a processing-time trigger.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..names import col
-from ..session import scratch_path
-from ..sources.text import CSV_OPTIONS, NULL_TOKENS, cast_text, read_csv
+from ..sinks.files import landing_name, unmarked
+from ..sources.text import CSV_OPTIONS, cast_text, infer_types
 
 # Schedule words (fixed values) -> processing-time intervals.
 SCHEDULES = {
@@ -48,72 +49,92 @@ def trigger_for(schedule: str) -> dict:
                      "or an interval such as '5 minutes'")
 
 
-def landing_glob(base: str, name: str) -> str:
-    return f"{base.rstrip('/')}/input/{name}-*"
+LANDING_COLUMN = "__landing__"        # reserved: a dataset may not have a column of this name
+
+
+def _input(base: str, name: str) -> str:
+    landing_name(name)                                            # checks the name
+    return f"{base.rstrip('/')}/input/{name}"
+
+
+def _reader_options(multiline: bool) -> dict[str, str]:
+    """Cells as they stand: no null tokens, every header checked, ragged rows fail."""
+    return {**CSV_OPTIONS, "header": "true", "multiLine": str(bool(multiline)).lower(), "mode": "FAILFAST",
+            "enforceSchema": "false", "emptyValue": "", "nullValue": "\u0000"}
+
+
+def _boolean(c):
+    word = F.lower(F.trim(c))
+    return (F.when(word.isin("true", "t", "1", "yes", "y"), True).when(word.isin("false", "f", "0", "no", "n"), False)
+            .when(c.isNotNull(), F.raise_error(F.concat(F.lit("not a boolean: "), c)).cast("boolean")))
 
 
 def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
-    tokens = list(NULL_TOKENS)
-    return df.select(*[cast_text(F.when(~col(f.name).isin(tokens), col(f.name)), f.dataType.simpleString())
-                       .alias(f.name) for f in schema.fields])
+    out = []
+    for f in schema.fields:
+        text = unmarked(col(f.name))
+        typed = _boolean(text) if isinstance(f.dataType, T.BooleanType) else cast_text(text, f.dataType.simpleString(), strict=True)
+        out.append(typed.alias(f.name))
+    return df.select(*out)
+
+
+def _landing(spark: SparkSession, folder: str, multiline: bool) -> DataFrame:
+    """One landing as text, with the columns of its own header."""
+    return spark.read.options(**_reader_options(multiline), inferSchema="false").csv(folder)
 
 
 def start_refresh(spark: SparkSession, base: str, name: str, sink: str,
                   schema: T.StructType | None = None, mode: str = "replace", schedule: str = "@once",
-                  checkpoint: str | None = None, archive: bool = False) -> StreamingQuery:
+                  checkpoint: str | None = None, archive: bool = False, multiline: bool = True) -> StreamingQuery:
     """Start the refresh stream for dataset ``name``; returns the running query.
 
-    ``archive=True`` lets the file source move consumed landings under
-    ``<base>/archive/`` once their batch is committed, so the listing each
-    trigger does stays proportional to new landings, not to history.
+    ``archive=True`` lets the file source move consumed landings under ``<base>/archive/`` once their
+    batch is committed, so the listing each trigger does stays proportional to new landings.
+    ``multiline=False`` lets big landing files split across tasks; texts must then hold no line breaks.
     """
     if mode not in ("replace", "append"):
         raise ValueError("mode must be 'replace' or 'append'")
-    source = landing_glob(base, name)
+    source, sink_root = _input(base, name), sink.rstrip("/")
+    own_checkpoint = f"{sink_root}/_checkpoint"
+    if checkpoint is None and _epochs(spark, sink_root) and "_checkpoint" not in _list_dirs(spark, sink_root):
+        raise ValueError(f"{sink} holds epochs of another checkpoint; pass checkpoint=")
     if schema is None:
-        # Types come from the newest landing only: the input folder keeps
-        # growing, and inferring over all of it would rescan history.
+        # Types come from the newest landing only: inferring over all of them would rescan history.
         newest = _newest_landing(spark, base, name)
         if newest is None:
             raise ValueError(f"no landing for {name!r} under {base}/input yet; pass schema=")
-        schema = read_csv(spark, newest, multiline=True).schema
+        text = _landing(spark, newest, multiline)
+        text = text.select(*[unmarked(col(c)).alias(c) for c in text.columns])
+        types = infer_types(text)
+        schema = T.StructType([T.StructField(f.name, T._parse_datatype_string(types.get(f.name, "string"))) for f in text.schema.fields])
+    if LANDING_COLUMN in schema.fieldNames():
+        raise ValueError(f"column name {LANDING_COLUMN} is reserved")
     text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    reader = spark.readStream.schema(text_schema).options(**{**CSV_OPTIONS, "header": "true", "multiLine": "true"})
+    reader = spark.readStream.schema(text_schema).options(**_reader_options(multiline))
     if archive:
         reader = (reader.option("cleanSource", "archive")
                   .option("sourceArchiveDir", f"{base.rstrip('/')}/archive"))
-    stream = (reader.csv(source)
-              .withColumn("_landing", F.regexp_extract(F.input_file_name(), r"/input/([^/]+)/[^/]*$", 1)))
-
-    sink_root = sink.rstrip("/")
-    input_root = f"{base.rstrip('/')}/input"
-
-    def newest_landing(batch: DataFrame) -> str | None:
-        # The batch's file list is plan metadata: no data is read to find it.
-        try:
-            names = {m.group(1) for f in batch.inputFiles()
-                     if (m := re.search(r"/input/([^/]+)/[^/]*$", f))}
-        except Exception:  # noqa: BLE001 - fall back to reading the column
-            names = set()
-        if names:
-            return max(names)
-        return batch.agg(F.max("_landing")).first()[0]
+    landing = F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]*$", 1).alias(LANDING_COLUMN)
+    if mode == "replace":      # the batch only names the landings; the newest is read by its own header
+        reader = reader.option("enforceSchema", "true").option("mode", "PERMISSIVE")
+    stream = reader.csv(f"{source}/*").select(*([] if mode == "replace" else ["*"]), landing)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         if mode == "replace":
-            newest = newest_landing(batch)
+            # The landings' names come with the plan's file list where it has one: no data is read then.
+            names = {m.group(1) for f in batch.inputFiles() if (m := re.search(r"/([^/]+)/[^/]*$", f))}
+            newest = max(names) if names else batch.agg(F.max(LANDING_COLUMN)).first()[0]
             if newest is None:
                 return
-            # Read just the newest landing folder (one pass over its files).
-            batch = (spark.read.schema(text_schema)
-                     .options(**{**CSV_OPTIONS, "header": "true", "multiLine": "true"})
-                     .csv(f"{input_root}/{newest}"))
+            batch = _landing(spark, f"{source}/{newest}", multiline)
+            if set(batch.columns) != set(schema.fieldNames()):
+                raise ValueError(f"landing {newest} has columns {batch.columns}, not {schema.fieldNames()}")
         else:
-            batch = batch.drop("_landing")
+            batch = batch.drop(LANDING_COLUMN)
         _typed(batch, schema).write.mode("overwrite").parquet(f"{sink_root}/epoch={epoch_id}")
 
     writer = (stream.writeStream.foreachBatch(write_batch)
-              .option("checkpointLocation", checkpoint or scratch_path(spark, f"refresh-{name}-ckpt"))
+              .option("checkpointLocation", checkpoint or own_checkpoint)
               .trigger(**trigger_for(schedule)))
     return writer.start()
 
@@ -129,8 +150,8 @@ def _list_dirs(spark: SparkSession, path: str) -> list[str]:
 
 
 def _newest_landing(spark: SparkSession, base: str, name: str) -> str | None:
-    names = [n for n in _list_dirs(spark, f"{base.rstrip('/')}/input") if n.startswith(f"{name}-")]
-    return f"{base.rstrip('/')}/input/{max(names)}" if names else None
+    names = _list_dirs(spark, _input(base, name))
+    return f"{_input(base, name)}/{max(names)}" if names else None
 
 
 def _epochs(spark: SparkSession, sink: str) -> list[int]:
@@ -145,14 +166,15 @@ def read_refreshed(spark: SparkSession, sink: str, mode: str = "replace") -> Dat
         raise ValueError(f"nothing refreshed yet under {sink}")
     if mode == "replace":
         return spark.read.parquet(f"{sink.rstrip('/')}/epoch={epochs[-1]}")
-    # Partition discovery over epoch=<id> folders; the column itself is bookkeeping.
-    return spark.read.parquet(sink).drop("epoch")
+    # The folders by name: their epoch number is no column, a dataset may have one of its own.
+    return spark.read.parquet(*[f"{sink.rstrip('/')}/epoch={e}" for e in epochs])
 
 
 def refresh_once(spark: SparkSession, base: str, name: str, sink: str, schema: T.StructType | None = None,
-                 mode: str = "replace", checkpoint: str | None = None, archive: bool = False) -> DataFrame:
+                 mode: str = "replace", checkpoint: str | None = None, archive: bool = False,
+                 multiline: bool = True) -> DataFrame:
     """Run one ``availableNow`` refresh to completion and return the result."""
-    q = start_refresh(spark, base, name, sink, schema, mode, "@once", checkpoint, archive)
+    q = start_refresh(spark, base, name, sink, schema, mode, "@once", checkpoint, archive, multiline)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

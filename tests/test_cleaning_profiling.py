@@ -95,13 +95,50 @@ def test_describe_numeric_matches_pandas(spark, values):
             assert got[mine] == pytest.approx(w, rel=1e-9, abs=1e-6)
 
 
+def test_nan_is_null_in_keys_and_working_names_do_not_clash(spark):
+    df = spark.createDataFrame([(1, float("nan")), (1, None), (2, 0.5)], "_k int, _nulls double")
+    assert drop_duplicates(df).count() == 2
+    assert duplicate_count(df).first()[0] == 1
+    assert tuple(dataset_profile(df).first()) == (3, 2, 2, 1)
+
+
+def test_fill_keeps_decimals(spark):
+    df = spark.createDataFrame([("12345678901234567890.12",), (None,)], "d string").selectExpr("cast(d as decimal(38,2)) d")
+    out = fill_nulls(df)
+    assert out.schema["d"].dataType == df.schema["d"].dataType
+    assert {str(r[0]) for r in out.collect()} == {"12345678901234567890.12"}
+
+
+def test_sort_with_a_map_column(spark):
+    from lakeprep.operators import sort_rows
+    df = spark.createDataFrame([(2, {"a": 1}), (1, {"b": 2})], "k int, m map<string,int>")
+    assert [r["k"] for r in sort_rows(df, "k").collect()] == [1, 2]
+
+
+def test_quantiles_when_brackets_must_narrow(spark, monkeypatch):
+    monkeypatch.setattr(q, "FEW", 3)
+    monkeypatch.setattr(q, "ACCURACY", 40)
+    rng = np.random.default_rng(11)
+    cols = [rng.normal(size=800), np.concatenate([np.zeros(395), np.full(395, 9.0), rng.uniform(0, 9, 10)]), np.arange(800.0)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*cols)], "a double, b double, c double")
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            got = q.exact_quantiles(df, [F.col("a"), F.col("b"), F.col("c")], [800] * 3, [0.0, 0.25, 0.495, 0.5, 0.75, 1.0])
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+        for values, res in zip(cols, got):
+            for p, v in res.items():
+                assert v == pytest.approx(float(np.quantile(values, p)), rel=1e-12, abs=1e-12)
+
+
 def test_quantiles_with_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(q, "VALUES_PER_BUCKET", 50)
+    monkeypatch.setattr(q, "FEW", 50)
     rng = np.random.default_rng(7)
     a = np.concatenate([rng.normal(size=900), np.full(600, 3.0)])    # one hot value holds 40 %
     b = rng.integers(0, 20, size=1500).astype(float)
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
-    got = q.exact_quantiles(df, [F.col("a"), F.col("b")], [1500, 1500], [0.0, 0.1, 0.5, 0.9, 1.0], 1000)
+    got = q.exact_quantiles(df, [F.col("a"), F.col("b")], [1500, 1500], [0.0, 0.1, 0.5, 0.9, 1.0])
     for col_vals, res in zip((a, b), got):
         for p, v in res.items():
             assert v == pytest.approx(float(np.quantile(col_vals, p)), rel=1e-12, abs=1e-12)
@@ -139,7 +176,8 @@ def test_describe_approximate(spark):
 
 
 def test_describe_timestamp_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(q, "VALUES_PER_BUCKET", 40)
+    monkeypatch.setattr(q, "FEW", 40)
+    monkeypatch.setattr(q, "ACCURACY", 100)
     o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
     r = describe_timestamp(o, ["o_orderdate"]).first()
     s = o.select("o_orderdate").toPandas()["o_orderdate"]

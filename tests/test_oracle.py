@@ -28,7 +28,7 @@ def test_queries_match_duckdb(spark):
 
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 WITH_SIDE_EFFECTS = {"csv_roundtrip", "csv_infer_types", "csv_events_values", "json_roundtrip", "json_infer",
-                     "parquet_roundtrip", "snapshot_roundtrip", "workbook_roundtrip", "land_and_refresh",
+                     "parquet_roundtrip", "snapshot_roundtrip", "land_and_refresh",
                      "land_and_append", "store_job", "dedupe_row_change", "lake_to_table"}
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakeprep.plans.jobs import run_store_job
+from lakeprep.plans.jobs import JobFailed, run_store_job
 from lakeprep.plans.recipe import Recipe
 from lakeprep.session import scratch_path
 from lakeprep.sinks.files import land_csv, store_parquet
@@ -42,10 +42,12 @@ def test_store_job_report(spark):
                        Recipe([("filter", {"column": "o_orderstatus", "operator": "=", "value": "F"})]))
     rep = {r.step: r for r in ok.report.collect()}
     assert rep["store"].status == "ok" and rep["store"].rows == ok.output.count()
-    bad = run_store_job(spark, lambda s: s.read.parquet(f"{SF_SMALL}/orders.parquet"),
-                        lambda df: store_parquet(df, base, "x"),
-                        Recipe([("drop_column", {"column": "nope"})]))
-    statuses = [(r.step, r.status) for r in bad.report.collect()]
+    with pytest.raises(JobFailed, match="transform") as failed:
+        run_store_job(spark, lambda s: s.read.parquet(f"{SF_SMALL}/orders.parquet"),
+                      lambda df: store_parquet(df, base, "x"),
+                      Recipe([("drop_column", {"column": "nope"})]))
+    assert failed.value.__cause__ is not None
+    statuses = [(r.step, r.status) for r in failed.value.report.collect()]
     assert statuses == [("load", "ok"), ("transform", "failed"), ("store", "skipped")]
 
 
@@ -81,6 +83,42 @@ def test_refresh_infers_schema_from_landings(spark):
     assert got.schema == o.schema and got.count() == o.count()
 
 
+def test_refresh_restarts_without_checkpoint_argument(spark):
+    base = scratch_path(spark, "refresh-restart")
+    one, two = spark.createDataFrame([(1, 7)], "epoch int, v int"), spark.createDataFrame([(2, 8)], "epoch int, v int")
+    land_csv(one, base, "d")
+    refresh_once(spark, base, "d", f"{base}/t", one.schema, "append")
+    land_csv(two, base, "d")
+    got = refresh_once(spark, base, "d", f"{base}/t", one.schema, "append")
+    assert sorted(map(tuple, got.collect())) == [(1, 7), (2, 8)]
+    one.write.parquet(f"{base}/foreign/epoch=0")
+    with pytest.raises(ValueError, match="another checkpoint"):
+        refresh_once(spark, base, "d", f"{base}/foreign", one.schema, "append")
+
+
+def test_refresh_goes_by_names_and_fails_on_bad_values(spark):
+    base = scratch_path(spark, "refresh-strict")
+    land_csv(spark.createDataFrame([("x", 1)], "b string, a int"), base, "d")
+    schema = spark.createDataFrame([], "a int, b string").schema
+    assert [tuple(r) for r in refresh_once(spark, base, "d", f"{base}/t", schema, "replace").collect()] == [(1, "x")]
+    with pytest.raises(Exception):
+        refresh_once(spark, base, "d", f"{base}/t2", schema, "append")
+    land_csv(spark.createDataFrame([("maybe",)], "ok string"), base, "flags")
+    with pytest.raises(Exception):
+        refresh_once(spark, base, "flags", f"{base}/t3", spark.createDataFrame([], "ok boolean").schema, "replace")
+    with pytest.raises(ValueError):
+        land_csv(spark.range(1), base, "a/b")
+
+
+def test_row_change_counts_whole_input_and_keeps_pushdown(spark):
+    from lakeprep.operators import RowChange, filter_rows, preview
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    change = RowChange(o, lambda d: preview(d, 3))
+    assert change.output.count() == 3 and change.before == o.count()
+    plan = RowChange(o, lambda d: filter_rows(d, "o_orderstatus", "=", "F")).output._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_orderstatus,F)" in plan
+
+
 def test_row_change_rides_on_one_job(spark):
     from lakeprep.operators import RowChange, drop_duplicates
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("source", "lang")
