@@ -9,7 +9,9 @@ name its part (given or family), gender (from the title) and script.
 An entity is its canonical form, so spellings of one entity stay one (coreference): each distinct entity of
 the whole corpus gets one surrogate. Collision checks keep distinct entities distinct: a draw that equals
 another entity's surrogate, or any entity that really occurs, is drawn again with the next attempt until
-none is left. Only distinct entities go through these checks; texts meet their own entities by a hash of the
+none is left. Names and the local parts of e-mail addresses grow with the attempts, so these always find room;
+after ``AVOID_REAL`` attempts a number may equal one that occurs elsewhere (which is replaced as well), so that
+a format whose every number occurs still has surrogates. Only distinct entities go through these checks; texts meet their own entities by a hash of the
 text, and texts that a cheap pattern clears do not move at all.
 
 Defined results: a null text stays null, an empty one empty; repeated rows stay equal; all other columns
@@ -23,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -43,6 +45,9 @@ CALLING_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "accented": "àáâãäåçèéêëìíîïñòóôõöùúûüý",
            "greek": "αβγδεζηθικλμνξοπρστυφχψω", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя"}
 
+#: Attempts in which a surrogate may not equal any entity that occurs.
+AVOID_REAL = 32
+
 _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _CAPITAL = r"[^\W\d_a-zа-яß-öø-ÿ][^\W\d_]+"
 _ENTITY = re.compile(rf"""
@@ -126,7 +131,8 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         local, _, domain = canonical.rpartition("@")
         labels = domain.split(".")
         shared = _Draws(key, "domain", domain)                        # one domain, one surrogate domain
-        return ("".join(_letter(c, draws) for c in local) + "@"
+        longer = "".join(_letter("a", draws) for _ in range(attempt // 4))      # short addresses are soon used up
+        return ("".join(_letter(c, draws) for c in local) + longer + "@"
                 + ".".join(["".join(_letter(c, shared) for c in x) for x in labels[:-1]] + labels[-1:]))
     if kind == "ip":
         return ".".join(str(1 + draws.below(254)) for _ in range(4))
@@ -162,7 +168,9 @@ def rendered(kind: str, new: str, original: str) -> str:
     if kind.startswith("name:"):
         return new.upper() if original.isupper() else "-".join(x.capitalize() for x in new.split("-"))
     if kind == "email":
-        return "".join(c.upper() if o.isupper() else c for c, o in zip(new, original))
+        local, _, domain = original.rpartition("@")
+        cased = local + "a" * (len(new) - len(original)) + "@" + domain
+        return "".join(c.upper() if o.isupper() else c for c, o in zip(new, cased))
     fresh = iter(new.lstrip("+"))
     return "".join(next(fresh) if c.isalnum() else c for c in original)
 
@@ -187,12 +195,16 @@ def assign(distinct: DataFrame, key: bytes) -> DataFrame:
 
     schema = "kind string, canonical string, attempt int, new string"
     real = distinct.select("kind", F.col("canonical").alias("new"))
-    first = F.row_number().over(Window.partitionBy("kind", "new").orderBy("attempt", "canonical"))
     table = distinct.select("kind", "canonical", F.lit(0).alias("attempt")).mapInArrow(draw, schema)
+    mine = F.struct("attempt", "canonical")
     while True:
-        # a table of entities; what is settled stays, since it has the fewest attempts of its draw
-        table = table.withColumn("place", first).join(real.withColumn("taken", F.lit(True)), ["kind", "new"], "left")
-        table = stage(table.select("kind", "canonical", "attempt", "new", ((F.col("place") > 1) | F.col("taken").isNotNull()).alias("clash")), "surrogates")
+        # what is settled stays, since it has the fewest attempts of its draw; a draw that many entities share
+        # is an aggregate's row, not a group
+        table = stage(table, "draws")
+        owners = table.groupBy("kind", "new").agg(F.min(mine).alias("owner"))
+        table = table.join(owners, ["kind", "new"]).join(real.withColumn("taken", F.lit(True)), ["kind", "new"], "left")
+        clash = (F.col("owner") != mine) | (F.col("taken").isNotNull() & (F.col("attempt") < AVOID_REAL))
+        table = stage(table.select("kind", "canonical", "attempt", "new", clash.alias("clash")), "surrogates")
         if table.where("clash").isEmpty():
             return table.select("kind", "canonical", "new")
         again = table.where("clash").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema)

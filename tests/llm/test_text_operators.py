@@ -210,6 +210,18 @@ def test_surrogates_stay_distinct_when_draws_collide(spark):
     assert len(got) == len(rows) == len(set(new)) and not set(new) & {c for _, c in rows}
 
 
+def test_surrogates_find_room_when_a_format_is_used_up(spark):
+    """Every one-letter address of a domain, and every number of a short format, really occurs."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"{x}@{y}.com") for x in letters for y in letters] + [("phone", f"+1{n}") for n in range(10)]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, canonical string"), b"k").collect()
+    assert len(got) == len(rows) == len({(r["kind"], r["new"]) for r in got})
+    mails = [r["new"] for r in got if r["kind"] == "email"]
+    assert not set(mails) & {c for _, c in rows} and all(re.fullmatch(r"[a-z]{2,}@[a-z]\.com", m) for m in mails)
+    assert {r["new"] for r in got if r["kind"] == "phone"} == {f"+1{n}" for n in range(10)}
+    assert pii.rendered("email", "xyq@b.com", "A@c.COM") == "Xyq@b.COM"
+
+
 def test_every_entity_passes_the_prefilter(spark):
     from pyspark.sql import functions as F
     kept = {r[0] for r in table(spark, PII_TEXTS).where(F.col("text").rlike(pii.MAYBE)).select("doc_id").collect()}
