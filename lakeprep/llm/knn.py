@@ -125,11 +125,13 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 for part in range(blocks[order[c]]):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(own), order[c]), pa.int32()), pa.array(np.full(len(own), part), pa.int32()),
-                         batch.column(0).take(pa.array(own)), pa.array([packed[i] for i in own], pa.binary())],
-                        ["cell", "part", "id", "vec"])
+                         batch.column(2).take(pa.array(own)), batch.column(0).take(pa.array(own)),
+                         pa.array([packed[i] for i in own], pa.binary())],
+                        ["cell", "part", "salt", "id", "vec"])
 
-    where = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
-    left = (data.select("id", "vec").mapInArrow(copy, "cell int, part int, id long, vec binary").withColumn("salt", where))
+    # rows are dealt by their place, not their id: repeated rows of one id spread over all blocks
+    where = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("salt")
+    left = data.select("id", "vec", where).mapInArrow(copy, "cell int, part int, salt int, id long, vec binary")
     parts = F.element_at(F.create_map(*[F.lit(v) for c in order for v in (int(c), blocks[c])]), F.col("cell"))
     right = (grouped.select("cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id", "vec")
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
@@ -137,6 +139,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def solve(own: pd.DataFrame, asked_here: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked_here):
             return pd.DataFrame({"query": [], "id": [], "score": []})
+        own = own.drop_duplicates(["id", "vec"])
         x = np.frombuffer(b"".join(own["vec"]), float).reshape(len(own), dim)
         q = np.frombuffer(b"".join(asked_here["vec"]), float).reshape(len(asked_here), dim)
         found = [_best(i, y, asked_here["id"].to_numpy(), q, k) for i, y in _unrepeated(own["id"].to_numpy(), x)]

@@ -100,6 +100,22 @@ def test_knn_matches_brute_force(spark, monkeypatch, blocks):
     assert got == want
 
 
+def test_knn_repeated_id_spreads_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "DATA_BLOCK", 50)
+    rows = [(i, [float(i % 7), float(i % 3)]) for i in range(20)] + [(3, [float(k), 1.0]) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = {(r["query"], r["rank"]): (r["id"], r["score"]) for r in knn.top_k(df, df.where("id % 5 = 0"), 2).collect()}
+    score = lambda q, v: q[0] * v[0] + q[1] * v[1]
+    for q in (0, 5, 10, 15):
+        own = rows[q][1]
+        top = {}
+        for i, v in rows:
+            if i != q:
+                top[i] = max(top.get(i, -1.0), score(own, v))
+        want = sorted((-s, i) for i, s in top.items())[:2]
+        assert [got[(q, k)] for k in (1, 2)] == [(i, -s) for s, i in want]
+
+
 def test_knn_small_and_empty_tables(spark):
     df = spark.createDataFrame([(0, [1.0]), (50, [2.0])], "id long, vec array<double>")
     assert sorted(tuple(r) for r in knn.top_k(df, df, 5).collect()) == [(0, 1, 50, 2.0), (50, 1, 0, 2.0)]
