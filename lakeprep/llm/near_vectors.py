@@ -72,10 +72,11 @@ def _signed(classes: DataFrame, n_passes: int) -> DataFrame:
                     n = own.num_rows
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, k), pa.int32()), own.column(0), own.column(1),
-                         pa.array(np.full(n, dim), pa.int32()), pa.array(sign), own.column(2).cast(pa.list_(pa.float64()))],
+                         pa.array(np.full(n, dim), pa.int32()), pa.array(sign), own.column(2)],
                         ["pass", "label", "id", "dim", "sign", "vec"])
+    kind = classes.schema["vec"].dataType.simpleString()
     return classes.select("label", "id", "vec").mapInArrow(
-        run, "pass int, label long, id long, dim int, sign long, vec array<double>")
+        run, f"pass int, label long, id long, dim int, sign long, vec {kind}")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -108,9 +109,9 @@ def _window_links(classes: DataFrame, n_passes: int, threshold: float) -> DataFr
     first, before = {}, 0
     for r in sorted(sizes, key=lambda r: r["part"]):
         first[r["part"]], before = before, before + r["n"]
-    starts = F.create_map(*[F.lit(x) for pair in first.items() for x in pair]) if first else F.create_map(F.lit(0), F.lit(0))
-    rank = F.element_at(starts, F.shiftright("at", 33)) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    ranked = numbered.select("label", "id", "dim", "vec", rank.cast("long").alias("rank"))
+    starts = numbered.sparkSession.createDataFrame(list(first.items()), "part long, first long")
+    rank = F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = numbered.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(starts), "part").select("label", "id", "dim", "vec", rank.cast("long").alias("rank"))
     block = F.floor(F.col("rank") / ROWS)
     own = ranked.select("*", block.alias("block"))
     ahead = ranked.where((F.col("rank") % ROWS < WINDOW) & (F.col("rank") >= ROWS)).select("*", (block - 1).alias("block"))
