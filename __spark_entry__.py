@@ -24,7 +24,7 @@ from lakeprep.session import scratch_path
 from lakeprep.small import small_table
 from lakeprep.sinks.files import land_csv, store_parquet, write_csv, write_json
 from lakeprep.sinks.tables import save_snapshot
-from lakeprep.sources.lake import load_saved, read_table
+from lakeprep.sources.lake import list_saved, load_saved, read_table
 from lakeprep.sources.text import read_csv, read_json
 from lakeprep.streaming.refresh import refresh_once
 
@@ -302,6 +302,25 @@ def csv_events_values(spark, sf_dir):
     return read_csv(spark, path)
 
 
+def csv_folder_reordered(spark, sf_dir):
+    """Two exports of one table in one folder, the second with its columns in another order."""
+    events, path = _t(spark, sf_dir, "events"), scratch_path(spark, "csv-orders")
+    early = F.col("event_id") % 2 == 0
+    write_csv(events.where(early), path)
+    write_csv(events.where(~early).select(*reversed(events.columns)), path, mode="append")
+    return read_csv(spark, path, by_name=True)
+
+
+def saved_datasets(spark, sf_dir):
+    """Saved datasets by name, with the rows that each holds."""
+    mark = "_" + uuid.uuid4().hex[:12]
+    for name in ("customer", "orders"):
+        save_snapshot(_t(spark, sf_dir, name), name + mark)
+    saved = [r["name"] for r in list_saved(spark).where(F.col("name").endswith(mark)).orderBy("name").collect()]
+    counts = [load_saved(spark, n).agg(F.lit(n.removesuffix(mark)).alias("dataset"), F.count("*").alias("rows")) for n in saved]
+    return counts[0].unionByName(counts[1])
+
+
 def json_roundtrip(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
     path = scratch_path(spark, "json-roundtrip")
@@ -511,6 +530,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "describe_numeric": describe_numeric, "describe_text": describe_text,
     "describe_timestamp": describe_timestamp, "compare_columns": compare_columns,
     "csv_roundtrip": csv_roundtrip, "csv_infer_types": csv_infer_types, "csv_events_values": csv_events_values,
+    "csv_folder_reordered": csv_folder_reordered, "saved_datasets": saved_datasets,
     "json_roundtrip": json_roundtrip, "json_infer": json_infer, "parquet_roundtrip": parquet_roundtrip,
     "snapshot_roundtrip": snapshot_roundtrip,
     "land_and_refresh": land_and_refresh,
@@ -691,6 +711,9 @@ _ORACLE.update({
         (3, 'user_id', 'bigint', TRUE), (4, 'event_type', 'string', TRUE), (5, 'value', 'double', TRUE),
         (6, 'props', 'string', TRUE)) AS t(position, "column", spark_type, nullable)""",
     "csv_events_values": "SELECT * FROM events",
+    "csv_folder_reordered": "SELECT * FROM events",
+    "saved_datasets": """SELECT 'customer' AS dataset, COUNT(*) AS "rows" FROM customer
+        UNION ALL SELECT 'orders', COUNT(*) FROM orders""",
     "json_roundtrip": "SELECT * FROM events",
     "json_infer": """SELECT c_acctbal, c_custkey, c_mktsegment, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey
         FROM customer""",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -53,9 +54,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",")
     for other delimiters (tab for TSV)."""
     out, obs = _observed(_flat_for_csv(df))
     # Spark trims leading/trailing spaces on write by default; keep values as they are.
-    (out.write.mode(mode).options(**TEXT_TIME_OPTIONS).option("header", "true").option("quote", '"')
+    _written(df.sparkSession, path, mode, lambda place, how: (
+        out.write.mode(how).options(**TEXT_TIME_OPTIONS).option("header", "true").option("quote", '"')
         .option("escape", '"').option("nullValue", "").option("sep", sep)
-        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(place)))
     return StoreReport(path, obs.get["rows"], len(df.columns), "csv")
 
 
@@ -63,7 +65,8 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> StoreReport
     """JSON Lines, one record per row (K2). Null fields are written, so an
     all-null column still comes back when the folder is read."""
     out, obs = _observed(df)
-    out.write.mode(mode).options(**TEXT_TIME_OPTIONS).option("ignoreNullFields", "false").json(path)
+    _written(df.sparkSession, path, mode, lambda place, how: (
+        out.write.mode(how).options(**TEXT_TIME_OPTIONS).option("ignoreNullFields", "false").json(place)))
     return StoreReport(path, obs.get["rows"], len(df.columns), "json")
 
 
@@ -75,10 +78,14 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
                   partition_by: list[str] | None = None) -> StoreReport:
     """Parquet at ``path``."""
     out, obs = _observed(df)
-    writer = out.write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+
+    def write(place: str, how: str) -> None:
+        writer = out.write.mode(how)
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(place)
+
+    _written(df.sparkSession, path, mode, write)
     return StoreReport(path, obs.get["rows"], len(df.columns), "parquet")
 
 
@@ -152,5 +159,24 @@ def _rename(spark, src: str, dst: str) -> None:
     fs = dst_path.getFileSystem(conf)
     fs.mkdirs(dst_path.getParent())
     if not fs.rename(src_path, dst_path):
-        raise OSError(f"could not move landing {src} to {dst}")
+        raise OSError(f"could not move {src} to {dst}")
+
 
+def _written(spark, path: str, mode: str, write: Callable[[str, str], None]) -> None:
+    """Run ``write(path, mode)``; an overwrite of an existing folder is written beside it and takes its place.
+
+    Spark empties a folder before it writes there, which loses data that is read from the same folder, or
+    everything if the job fails. Renames are cheap on HDFS and local disks; object stores copy.
+    """
+    jvm, place = spark.sparkContext._jvm, path.rstrip("/")
+    target = jvm.org.apache.hadoop.fs.Path(place)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if mode != "overwrite" or not fs.exists(target):
+        write(path, mode)
+        return
+    mark = uuid.uuid4().hex[:8]
+    write(f"{place}.new-{mark}", "errorifexists")
+    _rename(spark, place, f"{place}.old-{mark}")
+    _rename(spark, f"{place}.new-{mark}", place)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{place}.old-{mark}"), True)
+    spark.catalog.refreshByPath(path)

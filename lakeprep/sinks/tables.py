@@ -50,7 +50,8 @@ def _replace_table(spark, df: DataFrame, name: str, location: str | None = None,
                    options: dict[str, str] | None = None, partition_by: list[str] | None = None) -> None:
     """Write a Parquet table under a new name, then let it take the old one's place.
 
-    The data may come from the table it replaces; the old table goes only when the new one is complete.
+    The data may come from the table it replaces. The old table is set aside under another name when the new
+    one is complete, and goes last, so a failure at any point leaves one of them whole.
     A given ``location`` that the old table occupies is written as a new version folder below it.
     """
     exists = spark.catalog.tableExists(name)
@@ -66,8 +67,10 @@ def _replace_table(spark, df: DataFrame, name: str, location: str | None = None,
         return
     fresh = f"{name}_new_{uuid.uuid4().hex[:8]}"
     writer.saveAsTable(fresh)
-    spark.sql(f"DROP TABLE {name}")
+    former = f"{name}_old_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"ALTER TABLE {name} RENAME TO {former}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    spark.sql(f"DROP TABLE {former}")
 
 
 def store_table(df: DataFrame, identifier: str, provider: str = "iceberg",

@@ -16,16 +16,16 @@ READERS = {
 
 
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Read ``path`` with the reader its extension names.
+    """Read ``path`` with the reader its extension names.
 
     A trailing ``/`` or glob keeps the extension of the pattern, e.g.
-    ``landing/*.csv``. Any other extension is refused, as the reference does.
+    ``landing/*.csv``. Any other extension is refused.
     """
     stem = path.rstrip("/").lower()
     for ext, reader in READERS.items():
         if stem.endswith(ext):
             return reader(spark, path, **options)
-    raise ValueError(f"Unsupported format: {path!r}; use one of {sorted(READERS)}")
+    raise ValueError(f"no reader for {path!r}; known extensions are {sorted(READERS)}")
 
 
 __all__ = ["READERS", "load", "read_csv", "read_json", "read_parquet"]

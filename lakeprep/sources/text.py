@@ -10,7 +10,10 @@ a boolean and ``2024`` as a date.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,8 @@ ZONED_TIMESTAMP_PATTERN = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[
 BAD_RECORDS = {"fail": "FAILFAST", "null": "PERMISSIVE"}
 
 CSV_OPTIONS = {"quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
+# A ragged row is one even where the query needs only some of its cells.
+STRICT_CSV = {"mode": "FAILFAST", "columnPruning": "false", "enforceSchema": "false"}
 
 
 # Candidate types in order of preference, with the bit each one owns.
@@ -115,9 +120,9 @@ def null_tokens_to_null(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> D
                        for f in df.schema.fields])
 
 
-def _raw_header(spark: SparkSession, path: str, options: dict) -> list[str] | None:
+def _raw_header(spark: SparkSession, path: str | Sequence[str], options: dict) -> list[str] | None:
     """The first file's header row as written (one-row job)."""
-    first = spark.read.options(**{**options, "header": "false"}).csv(path).limit(1).collect()
+    first = spark.read.options(**{**options, "header": "false", "mode": "PERMISSIVE"}).csv(path).limit(1).collect()
     return [v if v is not None else "" for v in first[0]] if first else None
 
 
@@ -126,31 +131,78 @@ def _maybe_renamed(columns: list[str]) -> bool:
     return any(c.endswith(str(i)) for i, c in enumerate(columns))
 
 
+def _is_one_file(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    if not isinstance(path, str) or any(c in path for c in "*?[{"):
+        return False
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
+def _headers(spark: SparkSession, path: str | Sequence[str], options: dict, names: list[str]) -> dict[tuple, list[str]]:
+    """Files by the order in which their header row has the columns ``names``.
+
+    A header row is the first row of a file whose cells are the names in any order; the driver gets one
+    such row per file, as it lists the files anyway. A file without one is an error.
+    """
+    raw = spark.read.options(**{**options, "header": "false", "mode": "PERMISSIVE"}).csv(path)
+    cells = F.array(*[F.coalesce(col(c), F.lit("")) for c in raw.columns])
+    wanted = F.lit(sorted(names))
+    found = (raw.select(cells.alias("cells"), F.monotonically_increasing_id().alias("at"), F.input_file_name().alias("file"))
+             .where(F.array_sort("cells") == wanted).groupBy("file").agg(F.min_by("cells", "at").alias("cells")).collect())
+    without = set(raw.inputFiles()) - {r["file"] for r in found}
+    if without:
+        raise ValueError(f"header is not {names} in any order: {sorted(without)[:5]}")
+    out: dict[tuple, list[str]] = {}
+    for r in found:
+        literal = re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(r["file"]))
+        out.setdefault(tuple(r["cells"]), []).append(literal)
+    return out
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], header: bool = True,
-             multiline: bool = True, sep: str = ",", infer: bool = True, infer_dates: bool = True,
+             multiline: bool | None = None, sep: str = ",", infer: bool = True, infer_dates: bool = True,
              null_tokens: Sequence[str] = NULL_TOKENS, schema: T.StructType | str | None = None,
-             encoding: str = "UTF-8") -> DataFrame:
+             encoding: str = "UTF-8", bad_rows: str = "fail", by_name: bool = False) -> DataFrame:
     """Read CSV with header and inferred types (S1; S9 over a lake path or glob).
 
-    ``multiline`` allows newlines inside quoted fields but makes each file a
-    single task; turn it off for big landed folders whose text has no
-    embedded newlines so files split. Repeated header names become
-    ``a, a_1`` (compared case-insensitively, as Spark resolves names).
-    A given ``schema`` skips inference: values are cast to it and a value
-    that does not convert fails the job. ``encoding`` names the file charset
-    (e.g. ``ISO-8859-1`` for many spreadsheet exports).
+    A row with more or fewer cells than the header fails the job; with ``bad_rows="null"`` missing cells are
+    null and those beyond the header are left out. Each file's header is checked: a file with other columns,
+    or the same ones in another order, fails too. ``by_name=True`` reads such a folder by column name, at the
+    cost of one more pass that finds the header rows.
+
+    ``multiline`` allows newlines inside quoted fields but makes each file a single task. By default it is on
+    for a single file and off for folders, globs and lists, whose files then split. Repeated header names
+    become ``a, a_1`` (compared case-insensitively, as Spark resolves names). A given ``schema`` skips
+    inference: values are cast to it and a value that does not convert fails the job. ``encoding`` names the
+    file charset (e.g. ``ISO-8859-1`` for many exports).
     """
-    options = {**CSV_OPTIONS, "header": str(bool(header)).lower(), "multiLine": str(bool(multiline)).lower(),
-               "sep": sep, "inferSchema": "false", "encoding": encoding}
+    if bad_rows not in BAD_RECORDS:
+        raise ValueError(f"bad_rows must be one of {sorted(BAD_RECORDS)}")
+    if multiline is None:
+        multiline = _is_one_file(spark, path)
+    options = {**CSV_OPTIONS, **STRICT_CSV, "mode": BAD_RECORDS[bad_rows], "header": str(bool(header)).lower(),
+               "multiLine": str(bool(multiline)).lower(), "sep": sep, "inferSchema": "false", "encoding": encoding}
     raw = spark.read.options(**options).csv(path)
     names = raw.columns
+    repeated = False
     if header and _maybe_renamed(names):
         first = _raw_header(spark, path, options)
         if first is not None and len(first) == len(names):
             lowered = [n.lower() for n in first]
-            if len(set(lowered)) != len(lowered) or "" in first:
+            repeated = len(set(lowered)) != len(lowered) or "" in first
+            if repeated:
+                if by_name:
+                    raise ValueError(f"columns of a repeated or empty name cannot be read by name: {first}")
+                if len(raw.inputFiles()) > 1 and len(_headers(spark, path, options, first)) > 1:
+                    raise ValueError(f"files differ in the order of their columns {first}")
                 names = dedupe_names(first)
-                raw = raw.toDF(*names)
+                # Spark's own names for these columns are no header's, so its check would refuse every file
+                raw = spark.read.options(**{**options, "enforceSchema": "true"}).csv(path).toDF(*names)
+    if header and by_name and names:
+        parts = [spark.read.options(**options).csv(files).select(*[col(c) for c in names])
+                 for _, files in sorted(_headers(spark, path, options, names).items())]
+        raw = reduce(DataFrame.union, parts)
     df = null_tokens_to_null(raw, null_tokens)
     if schema is not None:
         target = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
@@ -200,7 +252,9 @@ def read_json(spark: SparkSession, path: str | Sequence[str], multiline: bool |
         reader = reader.schema(T.StructType(read_fields))
     df = reader.json(path)
     if temporal:
-        df = df.select(*[col(c).cast(temporal[c]).alias(c) if c in temporal else col(c) for c in df.columns])
+        strict = bad_records == "fail"
+        df = df.select(*[(cast_text(col(c), temporal[c], strict=True) if strict else col(c).try_cast(temporal[c])).alias(c)
+                         if c in temporal else col(c) for c in df.columns])
     return normalize_nan(df) if nan_as_null else df
 
 
