@@ -61,18 +61,23 @@ def _narrow(df: DataFrame, values: Sequence[Column], brackets: list[_Bracket]) -
     Where the sketch answers with the present ends, heavy values at the ends hold most rows: the rank
     is one of these, or the ends are left out.
     """
+    shared: dict[tuple, list[_Bracket]] = {}                # brackets that start alike share one sketch
+    for b in brackets:
+        shared.setdefault((b.column, b.lo, b.hi, b.below, b.inside), []).append(b)
     aggs = []
-    for k, b in enumerate(brackets):
-        v = values[b.column]
-        at = (b.rank - b.below) / max(1, b.inside - 1)
-        cuts = [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)]
+    for k, group in enumerate(shared.values()):
+        b = group[0]
+        v, cuts = values[b.column], []
+        for own in group:
+            at = (own.rank - own.below) / max(1, own.inside - 1)
+            cuts += [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)]
         aggs += [F.percentile_approx(F.when(_between(v, b), v), cuts, ACCURACY).alias(f"q{k}"),
                  F.count_if(v == F.lit(b.lo)).alias(f"lo{k}"), F.count_if(v == F.lit(b.hi)).alias(f"hi{k}"),
                  F.min(F.when((v > F.lit(b.lo)) & (v < F.lit(b.hi)), v)).alias(f"next{k}"),
                  F.max(F.when((v > F.lit(b.lo)) & (v < F.lit(b.hi)), v)).alias(f"last{k}")]
     row = df.agg(*aggs).first()
-    for k, b in enumerate(brackets):
-        lo, hi = row[f"q{k}"]
+    for k, b, place in [(k, b, i) for k, group in enumerate(shared.values()) for i, b in enumerate(group)]:
+        lo, hi = row[f"q{k}"][2 * place:2 * place + 2]
         if (lo, hi) == (b.lo, b.hi) and lo != hi:
             if b.rank < b.below + row[f"lo{k}"]:
                 hi = lo
