@@ -172,6 +172,15 @@ def test_main_text_drops_passages_repeated_on_a_host(spark, monkeypatch, shard_p
     assert got[99] == " ".join(pages[0]) and got[100] == "x"
 
 
+def test_main_text_has_one_row_per_page_for_any_url(spark):
+    urls = ["Example.com/Page", "EXAMPLE.com/Page", "file:///A.html", "///B", "HTTP://H.org/X", "//H.org", "", None, "Mailto:Me", "http://É.org/\n"]
+    df = spark.createDataFrame([(10 * i + k, u, h) for i, u in enumerate(urls) for k, h in enumerate([None, "", "<p>Text", "<article>Whole"])],
+                               "page_id long, url string, html string")
+    got = {r["page_id"]: (r["url"], r["text"]) for r in html_text.main_text(df).collect()}
+    assert got == {10 * i + k: (u, t) for i, u in enumerate(urls) for k, t in enumerate(["", "", "Text", "Whole"])}
+    assert html_text.main_text(df).count() == len(got)
+
+
 def test_pipeline_stages_on_a_fixture(spark, tmp_path):
     import corpus_pipeline as cp
     sf = "/root/testdata/sf0.01"
