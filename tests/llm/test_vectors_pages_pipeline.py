@@ -172,6 +172,28 @@ def test_main_text_drops_passages_repeated_on_a_host(spark, monkeypatch, shard_p
     assert got[99] == " ".join(pages[0]) and got[100] == "x"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<script>for(i=0;i<n;i++){go(i);}</script><article><p>Whole</article><script>x</script>", "Whole"),
+    ("<style>a<b{c:'d}</style><title>1 <b</title><article><p>Whole</article>", "Whole"),
+    ("<SCRIPT>'</scripted' <a</Script ><article>Whole</article>", "Whole"),
+    ("<select><option>a<article><p>Whole</article>", "Whole"),
+    ("<div class='content-sidebar-wrap'><article><p>Whole</article><p>Out</div>", "Whole"),
+    ("<div class='has-sidebar'><main><p>Whole</main></div>", "Whole"),
+    ("<div class='with-menu'><p>Whole</div>", "Whole"),
+    ("<div class='post-header'><article><h1>H</h1><p>Whole</article></div>", "H\nWhole"),
+    ("<article><div class='post-header'><h1>H</h1><p>by X</div><p>Whole<div class='share'>S</div></article>", "H\nWhole"),
+    ("<main><div class='has-sidebar x'><article><p>Whole</article></div></main>", "Whole"),
+    ("<div class='sidebar'><article><p>Whole</article></div>", "Whole"),
+    ("<article><p>Whole</article><div class='sidebar'><article><p>Teaser</article></div>", "Whole"),
+    ("<article><p>Whole<div class='related-posts'><article><p>Teaser</article></div></article>", "Whole"),
+    ("<article><p>Whole</article><aside><article>No</article></aside><div class='comment-list'><article>No</article></div>", "Whole"),
+])
+def test_page_markup_keeps_whole_articles(page, text):
+    found = html_text.blocks(page)
+    main = [t for z, t in found if z == html_text.ARTICLE] or [t for z, t in found if z == html_text.OPEN]
+    assert "\n".join(main) == text
+
+
 def test_main_text_has_one_row_per_page_for_any_url(spark):
     urls = ["Example.com/Page", "EXAMPLE.com/Page", "file:///A.html", "///B", "HTTP://H.org/X", "//H.org", "", None, "Mailto:Me", "http://É.org/\n"]
     df = spark.createDataFrame([(10 * i + k, u, h) for i, u in enumerate(urls) for k, h in enumerate([None, "", "<p>Text", "<article>Whole"])],
