@@ -203,6 +203,19 @@ def test_main_text_has_one_row_per_page_for_any_url(spark):
     assert html_text.main_text(df).count() == len(got)
 
 
+@pytest.mark.parametrize("size", [24, 40, 200])
+def test_main_text_keeps_copies_of_an_unmarked_article(spark, size):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    body, menu, others = words(size), words(14), [words(30) for _ in range(6)]
+    page = lambda text, k: f"<nav>{' '.join(words(9))}</nav><div class='ad'>Ad {k} {' '.join(words(k))}</div><p>{' '.join(text)}</p><footer>F {k % 2}</footer>"
+    changed = [body[:k] + ["other"] + body[k + 1:] for k in (3, size // 2, size - 1)]
+    texts = [body] * 4 + changed + [menu + t for t in others]
+    df = spark.createDataFrame([(k, f"http://one.org/{k}", page(t, k)) for k, t in enumerate(texts)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert [got[k] for k in range(len(texts))] == [" ".join(t) for t in [body] * 4 + changed + others]
+
+
 def test_pipeline_stages_on_a_fixture(spark, tmp_path):
     import corpus_pipeline as cp
     sf = "/root/testdata/sf0.01"
