@@ -216,6 +216,17 @@ def test_main_text_keeps_copies_of_an_unmarked_article(spark, size):
     assert [got[k] for k in range(len(texts))] == [" ".join(t) for t in [body] * 4 + changed + others]
 
 
+def test_main_text_decides_what_main_holds_beside_an_article(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    box, quote, parts = words(20), words(12), [(words(4), words(30), words(15)) for _ in range(5)]
+    page = lambda a, b, c: f"<p>out</p><main><h1>{a}</h1><article><p>{b}<p>{quote}</article><div>{box}</div><p>{c}</main><p>{c}"
+    df = spark.createDataFrame([(k, f"http://one.org/{k}", page(*p)) for k, p in enumerate(parts)] + [(9, "http://two.org/", page(*parts[0]))],
+                               "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert got == {k: "\n".join((a, b, quote, c)) for k, (a, b, c) in enumerate(parts)} | {9: "\n".join((parts[0][0], parts[0][1], quote, box, parts[0][2]))}
+
+
 def test_pipeline_stages_on_a_fixture(spark, tmp_path):
     import corpus_pipeline as cp
     sf = "/root/testdata/sf0.01"
