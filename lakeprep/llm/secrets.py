@@ -6,13 +6,14 @@ first-order character models, one of random strings and one of ordinary words; w
 ratio reaches ``LEAST_RATIO`` nats and ``LEAST_MEAN`` per character, and the run overlaps no base span, it
 is added as a ``markov`` span.
 
-The models are trained from samples that the patterns label: values of base matches are random strings,
+The models are trained from strings that the patterns label: values of base matches are random strings,
 other words of under 16 characters ordinary ones. A pair's
-probability falls back on its second character's where its first is rare (weight ``BACKOFF``). They come from the ``SAMPLE_DOCS`` texts with the smallest id
-hash (a parameter); the counts are one row per pair of characters, so the driver holds a few thousand.
+probability falls back on its second character's where its first is rare (weight ``BACKOFF``). Random strings
+come from all texts, however rare they are; ordinary words from the ``SAMPLE_DOCS`` ids with the smallest hash
+(a parameter). The counts are one row per pair of characters, so the driver holds a few thousand.
 
 Positions are code points, ends exclusive. Defined results: a null or empty text has no spans; repeated
-rows give equal results; with no random string to learn from the method adds no span.
+rows give equal results; where no text holds a random string to learn from the method adds no span.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ HEX = r"[0-9a-f]{32,}"
 RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{3,14}(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+BASE = "|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX))
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "markov": RUN}
 
 SAMPLE_DOCS, SMOOTHING, BACKOFF, LEAST_RATIO, LEAST_MEAN, LEAST_VALUE = 5_000, 0.5, 20.0, 12.0, 0.6, 8
@@ -76,18 +78,15 @@ def _apart(span: Column, base: Column) -> Column:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, key: str = "doc_id", text: str = "text") -> list[float]:
     """Log-likelihood ratio of each pair of characters, row by row of ``ALPHABET``."""
-    ids = docs.select(F.col(key).alias("id")).where(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(sample_docs).distinct()
-    picked = (docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-              .join(F.broadcast(ids), "id"))                            # sample_docs ids at most
+    ids = docs.select(F.col(key).alias("id")).where(F.col("id").isNotNull()).distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     body = F.col("text")
     values = F.transform(F.col("base"), lambda s: F.when(s["kind"] == "assign", F.regexp_extract(s["match"], ASSIGN_VALUE, 1)).otherwise(s["match"]))
+    secret = texts.where(body.rlike(BASE)).select(base_spans(body).alias("base")).select(F.lit(1).alias("random"), F.explode(values).alias("s"))
+    picked = stage(texts.join(F.broadcast(ids), "id").withColumn("base", base_spans(body)), "secret-sample")     # sample_docs ids at most
     outside = F.aggregate(F.col("base"), body, lambda t, s: F.replace(t, s["match"], F.lit(" ")))
     words = F.regexp_extract_all(outside, F.lit(WORD), F.lit(0))
-    picked = stage(picked.withColumn("base", base_spans(body)), "secret-sample")
-    labelled = picked.select(
-        F.explode(F.array(F.struct(F.lit(1).alias("random"), values.alias("strings")),
-                          F.struct(F.lit(0).alias("random"), words.alias("strings")))).alias("x"))
-    strings = labelled.select("x.random", F.explode("x.strings").alias("s"))
+    strings = secret.unionByName(picked.select(F.lit(0).alias("random"), F.explode(words).alias("s")))
     pairs = strings.select("random", F.explode(F.when(F.length("s") >= 2, F.transform(
         F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substr(F.col("s"), i, F.lit(2))))).alias("pair"))
     counts = {(r["random"], r["pair"]): r["n"] for r in pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}

@@ -170,6 +170,19 @@ def test_markov_models_tell_random_strings_from_names(spark):
     assert one == pytest.approx(sum(model[secrets.ALPHABET.find(a) * size + secrets.ALPHABET.find(b)] for a, b in zip(bare, bare[1:])))
 
 
+def test_secret_models_learn_from_rare_secrets_and_repeated_ids(spark):
+    from pyspark.sql import functions as F
+    rows = [(k, f"plain words about topic number{k}") for k in range(60)]
+    last = [r["id"] for r in spark.range(60).orderBy(F.xxhash64("id"), "id").collect()]
+    rows[last[-1]] = (last[-1], "secret: Zq8xK2vLw9Rt7Bn3 " * 20)
+    docs = spark.createDataFrame([*rows, *[rows[last[0]]] * 5], "doc_id long, text string")
+    model = secrets.train(docs, 3)
+    few = spark.createDataFrame([*[rows[k] for k in last[:3]], *[rows[last[0]]] * 5, rows[last[-1]]], "doc_id long, text string")
+    assert model and model == secrets.train(few, 4)                # the last by hash holds no ordinary word
+    found = secrets.digest(secrets.scan(table(spark, ["run Zq8xK2vLw9Rt7Bn3 end"]), model)).first()
+    assert found["spans"] == "markov:4:20"
+
+
 def test_secret_scan_has_no_python(spark):
     plan = secrets.scan(table(spark, SECRET_TEXTS), [0.0] * len(secrets.ALPHABET) ** 2)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
