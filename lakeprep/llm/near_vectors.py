@@ -3,8 +3,9 @@
 Each pass hashes every vector to ``BITS`` signs of random projections, concatenated; the vectors are
 ordered by label and hash, and each is compared with its next ``WINDOW`` neighbours in that order. Pairs
 whose cosine in double precision reaches the threshold are united across all passes. The number of passes
-follows from the size of the largest label, so that a pair at the threshold is missed by all of them with
-a chance of ``MISS`` at most (its hashes agree on the bits that shrink a label to one window).
+follows from the size of the largest label: if directions are spread evenly, a pair at the threshold is missed
+by all of them with a chance of about ``MISS`` (its hashes agree on the bits that shrink a label to one window).
+Where rows of a label crowd, windows do not reach all neighbours and more pairs are missed: this is open.
 
 Equal vectors of a label are one class before the passes, so a heap of copies costs one row. The passes
 decide who belongs together; every pair inside a found component is then compared in blocks of ``BLOCK``
