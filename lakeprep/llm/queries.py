@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.lake import read_table
-from . import bpe, html_text, jaccard, knn, near_vectors, packing, pii, quality, secrets, toxicity
+from . import bpe, collocations, html_text, jaccard, knn, near_vectors, packing, pii, quality, secrets, token_count, toxicity, whitening
 from .common import held_out
 
 QUALITY_CUT, TOXIC_CUT = 0.7, 0.3
@@ -71,6 +71,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return whole.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -82,6 +95,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_token_counts": op11_token_counts,
+    "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -93,4 +109,33 @@ ORACLE: dict[str, str] = {
             FROM good q JOIN good x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id)
         SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored) WHERE place <= 5""",
+    "op13_collocations": r"""WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        runs AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+        grams AS (
+            SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+            FROM runs, (VALUES (1), (2), (3), (4)) sizes(m) WHERE len(ws) >= m),
+        counted AS (SELECT lang, m, phrase, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL),
+        totals AS (SELECT lang, sum(f) AS n FROM counted WHERE m = 1 GROUP BY lang),
+        often AS (SELECT *, string_split(phrase, ' ') AS ws FROM counted WHERE f >= 30),
+        candidates AS (SELECT * FROM often WHERE m > 1),
+        held AS (
+            SELECT c.lang, c.f, array_to_string(c.ws[s:s + k - 1], ' ') AS phrase
+            FROM candidates c, (VALUES (2), (3)) sizes(k), (VALUES (1), (2), (3)) starts(s) WHERE k < c.m AND s + k - 1 <= c.m),
+        longest AS (SELECT lang, phrase, max(f) AS most FROM held GROUP BY ALL),
+        rest AS (
+            SELECT c.* FROM candidates c LEFT JOIN longest l ON c.lang = l.lang AND c.phrase = l.phrase
+            WHERE l.most IS NULL OR 100 * l.most < 80 * c.f),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, (2000000 * c.f) // (l.f + r.f) AS score
+            FROM rest c JOIN (VALUES (1), (2), (3)) places(k) ON k < c.m
+            JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ')
+            JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:c.m], ' ')),
+        best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS place_in_lang FROM best WHERE place = 1)
+        SELECT lang, CAST(place_in_lang AS INTEGER) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+            CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN totals USING (lang) WHERE place_in_lang <= 2000""",
 }
