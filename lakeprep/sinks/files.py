@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..names import col
 from ..operators.types import NESTED
+from . import commits
 
 
 @dataclass(frozen=True)
@@ -146,37 +147,47 @@ def land_csv(df: DataFrame, base: str, name: str) -> StoreReport:
     staging = f"{base.rstrip('/')}/staging/{folder}"
     final = f"{base.rstrip('/')}/input/{folder}"
     report = write_csv(_marked_nulls(df), staging)
-    _rename(spark, staging, final)
+    commits.rename(spark, staging, final)
     return StoreReport(final, report.rows, report.columns, "csv")
 
 
-def _rename(spark, src: str, dst: str) -> None:
-    """Directory rename through the Hadoop FileSystem of ``dst`` (atomic on HDFS and local disks, a copy on object stores)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    src_path = jvm.org.apache.hadoop.fs.Path(src)
-    dst_path = jvm.org.apache.hadoop.fs.Path(dst)
-    fs = dst_path.getFileSystem(conf)
-    fs.mkdirs(dst_path.getParent())
-    if not fs.rename(src_path, dst_path):
-        raise OSError(f"could not move {src} to {dst}")
-
-
 def _written(spark, path: str, mode: str, write: Callable[[str, str], None]) -> None:
     """Run ``write(path, mode)``; an overwrite of an existing folder is written beside it and takes its place.
 
     Spark empties a folder before it writes there, which loses data that is read from the same folder, or
-    everything if the job fails. Renames are cheap on HDFS and local disks; object stores copy.
+    everything if the job fails. Renames are cheap on HDFS and local disks; object stores copy. A job that
+    stops between the two renames leaves the path empty and both datasets beside it: :func:`finish_swap`,
+    run by the next write and by ``read_parquet``, puts the new one in place. Where readers must never meet
+    an empty path, store a table (``sinks.tables``) or refresh (``streaming.refresh``).
     """
-    jvm, place = spark.sparkContext._jvm, path.rstrip("/")
-    target = jvm.org.apache.hadoop.fs.Path(place)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if mode != "overwrite" or not fs.exists(target):
+    place = path.rstrip("/")
+    finish_swap(spark, place)
+    if mode != "overwrite" or not commits.exists(spark, place):
         write(path, mode)
         return
     mark = uuid.uuid4().hex[:8]
     write(f"{place}.new-{mark}", "errorifexists")
-    _rename(spark, place, f"{place}.old-{mark}")
-    _rename(spark, f"{place}.new-{mark}", place)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{place}.old-{mark}"), True)
+    commits.rename(spark, place, f"{place}.old-{mark}")
+    commits.rename(spark, f"{place}.new-{mark}", place)
+    commits.remove(spark, f"{place}.old-{mark}")
     spark.catalog.refreshByPath(path)
+
+
+def finish_swap(spark, path: str) -> bool:
+    """Complete an overwrite of ``path`` that stopped between its two renames; True if there was one.
+
+    Both folders beside the path carry the same mark then, and the new one is complete: its writer had
+    returned before the first rename.
+    """
+    place = path.rstrip("/")
+    if commits.exists(spark, place) or "/" not in place:
+        return False
+    parent, name = place.rsplit("/", 1)
+    beside = commits.sub_folders(spark, parent)
+    marks = [n.removeprefix(f"{name}.old-") for n in beside if n.startswith(f"{name}.old-")]
+    for mark in marks:
+        if f"{name}.new-{mark}" in beside:
+            commits.rename(spark, f"{place}.new-{mark}", place)
+            commits.remove(spark, f"{place}.old-{mark}")
+            return True
+    return False

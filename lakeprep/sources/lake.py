@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..names import col
 from ..small import small_table
 from ..operators.types import is_floating
+from ..sinks.files import finish_swap
+from ..sinks.tables import current_version, finish_replace
 
 
 def normalize_nan(df: DataFrame) -> DataFrame:
@@ -25,8 +28,16 @@ def normalize_nan(df: DataFrame) -> DataFrame:
 
 
 def read_parquet(spark: SparkSession, path: str, nan_as_null: bool = False) -> DataFrame:
-    """Read lake Parquet (S8); column pruning and filter pushdown are Catalyst's."""
-    df = spark.read.parquet(path)
+    """Read lake Parquet (S8); column pruning and filter pushdown are Catalyst's.
+
+    A path that an overwrite left empty when it was stopped is completed first (``finish_swap``).
+    """
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException:
+        if any(c in path for c in "*?[{") or not finish_swap(spark, path):
+            raise
+        df = spark.read.parquet(path)
     return normalize_nan(df) if nan_as_null else df
 
 
@@ -43,13 +54,14 @@ def load_saved(spark: SparkSession, name: str) -> DataFrame:
     """Reload a saved dataset (S4) by table name, or by path when ``name``
     looks like one (holds ``/``). A missing one is a clear ``Not found``."""
     if "/" in name:
+        name = current_version(spark, name) or name                 # a replaced table's newest version
         try:
             return spark.read.parquet(name)
         except Exception as e:  # noqa: BLE001 - Spark words "missing path" in several ways
             if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
                 raise ValueError(f"Not found: {name}") from None
             raise
-    if not spark.catalog.tableExists(name):
+    if not spark.catalog.tableExists(name) and not finish_replace(spark, name):
         raise ValueError(f"Not found: {name}")
     return spark.table(name)
 

@@ -7,8 +7,11 @@ file-source stream over them feeds ``foreachBatch``:
 * ``mode="replace"``: the dataset becomes the newest landing of the batch, as a scheduled full reload
   would do.
 
-Each micro-batch is written to ``<sink>/epoch=<batch id>`` with overwrite, so a batch that is retried
-rewrites the same folder; the checkpoint, ``<sink>/_checkpoint`` unless given, records which files were
+Each micro-batch is written to ``<sink>/epoch=<batch id>`` and then committed by a marker under
+``<sink>/_commits`` (``sinks.commits``). Readers see committed epochs only: one that is being written, failed
+or was refused by ``check`` is invisible. A batch that is retried rewrites its folder unless it is committed;
+then it is left alone, so no reader loses files. In replace mode the epochs before the newest ``keep`` + 1
+are deleted after each commit. The checkpoint, ``<sink>/_checkpoint`` unless given, records which files were
 consumed. A sink with epochs and no checkpoint is refused: its epochs would be written over from 0.
 
 Columns go by the header: a landing whose columns stand in another order is read by name in replace mode
@@ -19,14 +22,17 @@ and fails the stream in append mode, never by position. Text that does not fit i
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..names import col
+from ..sinks import commits
 from ..sinks.files import landing_name, unmarked
+from ..small import small_table
 from ..sources.text import CSV_OPTIONS, cast_text, infer_types
 
 # Schedule words (fixed values) -> processing-time intervals.
@@ -85,9 +91,14 @@ def _landing(spark: SparkSession, folder: str, multiline: bool) -> DataFrame:
 
 def start_refresh(spark: SparkSession, base: str, name: str, sink: str,
                   schema: T.StructType | None = None, mode: str = "replace", schedule: str = "@once",
-                  checkpoint: str | None = None, archive: bool = False, multiline: bool = True) -> StreamingQuery:
+                  checkpoint: str | None = None, archive: bool = False, multiline: bool = True,
+                  keep: int = 1, check: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Start the refresh stream for dataset ``name``; returns the running query.
 
+    ``check(rows, epoch)`` sees each epoch as it was written, before it is committed; what it raises fails
+    the stream, and readers stay with the epochs they have. ``keep`` is how many replaced epochs stay for
+    readers that have begun (replace mode; append mode keeps all).
+
     ``archive=True`` lets the file source move consumed landings under ``<base>/archive/`` once their
     batch is committed, so the listing each trigger does stays proportional to new landings.
     ``multiline=False`` lets big landing files split across tasks; texts must then hold no line breaks.
@@ -96,7 +107,9 @@ def start_refresh(spark: SparkSession, base: str, name: str, sink: str,
         raise ValueError("mode must be 'replace' or 'append'")
     source, sink_root = _input(base, name), sink.rstrip("/")
     own_checkpoint = f"{sink_root}/_checkpoint"
-    if checkpoint is None and _epochs(spark, sink_root) and "_checkpoint" not in _list_dirs(spark, sink_root):
+    if keep < 0:
+        raise ValueError("keep must not be negative")
+    if checkpoint is None and _epochs(spark, sink_root) and "_checkpoint" not in commits.sub_folders(spark, sink_root):
         raise ValueError(f"{sink} holds epochs of another checkpoint; pass checkpoint=")
     if schema is None:
         # Types come from the newest landing only: inferring over all of them would rescan history.
@@ -120,6 +133,9 @@ def start_refresh(spark: SparkSession, base: str, name: str, sink: str,
     stream = reader.csv(f"{source}/*").select(*([] if mode == "replace" else ["*"]), landing)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        if epoch_id in committed_epochs(spark, sink_root):              # a retry of a batch that made it
+            return
+        newest = None
         if mode == "replace":
             # The landings' names come with the plan's file list where it has one: no data is read then.
             names = {m.group(1) for f in batch.inputFiles() if (m := re.search(r"/([^/]+)/[^/]*$", f))}
@@ -131,7 +147,15 @@ def start_refresh(spark: SparkSession, base: str, name: str, sink: str,
                 raise ValueError(f"landing {newest} has columns {batch.columns}, not {schema.fieldNames()}")
         else:
             batch = batch.drop(LANDING_COLUMN)
-        _typed(batch, schema).write.mode("overwrite").parquet(f"{sink_root}/epoch={epoch_id}")
+        counter = Observation(f"epoch-{epoch_id}")
+        place = f"{sink_root}/epoch={epoch_id}"
+        _typed(batch, schema).observe(counter, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(place)
+        if check is not None:
+            check(spark.read.schema(schema).parquet(place), epoch_id)
+        commits.commit(spark, sink_root, f"epoch={epoch_id}", {"rows": counter.get["rows"], "mode": mode, "landing": newest})
+        if mode == "replace":
+            for old in committed_epochs(spark, sink_root)[:-1 - keep]:
+                commits.forget(spark, sink_root, f"epoch={old}")
 
     writer = (stream.writeStream.foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint or own_checkpoint)
@@ -139,29 +163,37 @@ def start_refresh(spark: SparkSession, base: str, name: str, sink: str,
     return writer.start()
 
 
-def _list_dirs(spark: SparkSession, path: str) -> list[str]:
-    """Sub-folder names of ``path`` (file-system listing, no data read)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
-
-
 def _newest_landing(spark: SparkSession, base: str, name: str) -> str | None:
-    names = _list_dirs(spark, _input(base, name))
+    names = commits.sub_folders(spark, _input(base, name))
     return f"{_input(base, name)}/{max(names)}" if names else None
 
 
+def _numbers(names: list[str]) -> list[int]:
+    return sorted(int(m.group(1)) for n in names if (m := re.match(r"^epoch=(\d+)$", n)))
+
+
 def _epochs(spark: SparkSession, sink: str) -> list[int]:
-    """Epoch folders present under the sink (file-system listing, no data read)."""
-    return sorted(int(m.group(1)) for n in _list_dirs(spark, sink) if (m := re.match(r"^epoch=(\d+)$", n)))
+    """Epoch folders present under the sink, committed or not."""
+    return _numbers(commits.sub_folders(spark, sink))
+
+
+def committed_epochs(spark: SparkSession, sink: str) -> list[int]:
+    """Epochs that readers may see, rising (a listing of markers, no data read)."""
+    return _numbers(commits.committed(spark, sink))
+
+
+def adopt_epochs(spark: SparkSession, sink: str) -> list[int]:
+    """Commit the finished epochs of a sink that was written without markers; returns their numbers."""
+    sink, known = sink.rstrip("/"), set(committed_epochs(spark, sink))
+    found = [e for e in _epochs(spark, sink) if e not in known and commits.exists(spark, f"{sink}/epoch={e}/_SUCCESS")]
+    for e in found:
+        commits.commit(spark, sink, f"epoch={e}", {"rows": None, "mode": None, "landing": None})
+    return found
 
 
 def read_refreshed(spark: SparkSession, sink: str, mode: str = "replace") -> DataFrame:
-    """The refreshed dataset: the newest epoch (replace) or all of them (append)."""
-    epochs = _epochs(spark, sink)
+    """The refreshed dataset: the newest committed epoch (replace) or all of them (append)."""
+    epochs = committed_epochs(spark, sink)
     if not epochs:
         raise ValueError(f"nothing refreshed yet under {sink}")
     if mode == "replace":
@@ -170,11 +202,19 @@ def read_refreshed(spark: SparkSession, sink: str, mode: str = "replace") -> Dat
     return spark.read.parquet(*[f"{sink.rstrip('/')}/epoch={e}" for e in epochs])
 
 
+def refresh_log(spark: SparkSession, sink: str) -> DataFrame:
+    """One row per committed epoch: ``epoch, rows, mode, landing`` (short files, one per epoch kept)."""
+    said = [(e, commits.content(spark, sink, f"epoch={e}")) for e in committed_epochs(spark, sink)]
+    return small_table(spark, [(e, c["rows"], c["mode"], c["landing"]) for e, c in said],
+                       "epoch bigint, rows bigint, mode string, landing string")
+
+
 def refresh_once(spark: SparkSession, base: str, name: str, sink: str, schema: T.StructType | None = None,
                  mode: str = "replace", checkpoint: str | None = None, archive: bool = False,
-                 multiline: bool = True) -> DataFrame:
+                 multiline: bool = True, keep: int = 1,
+                 check: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Run one ``availableNow`` refresh to completion and return the result."""
-    q = start_refresh(spark, base, name, sink, schema, mode, "@once", checkpoint, archive, multiline)
+    q = start_refresh(spark, base, name, sink, schema, mode, "@once", checkpoint, archive, multiline, keep, check)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

@@ -321,3 +321,93 @@ def test_parquet_store_replaces_what_it_reads(spark):
     report = store_parquet(spark.read.parquet(f"{base}/n.parquet").where("id >= 4"), base, "n")
     assert report.rows == 6 and sorted(r["id"] for r in spark.read.parquet(report.location).collect()) == list(range(4, 10))
     assert os.listdir(base.removeprefix("file:")) == ["n.parquet"]
+
+
+def _all_parts(root):
+    roots = [root.removeprefix("file:") + end for end in ("", "__versions")]
+    return [os.path.join(d, f) for r in roots for d, _, fs in os.walk(r) for f in fs if f.endswith(".parquet")]
+
+
+def test_snapshot_reports_where_its_rows_are(spark):
+    name, place = "located_" + os.urandom(4).hex(), scratch_path(spark, "located")
+    save_snapshot(spark.range(10), name, location=place)
+    report = save_snapshot(spark.range(4), name, location=place)
+    assert spark.read.parquet(report.location).count() == report.rows == 4 == spark.table(name).count()
+    assert load_saved(spark, place).count() == 4
+    assert {os.path.dirname(f) for f in _all_parts(place)} == {report.location.removeprefix("file:")}    # old files are gone
+    kept = save_snapshot(spark.range(5), name, location=place, keep=1)
+    assert len({os.path.dirname(f) for f in _all_parts(place)}) == 2 and spark.read.parquet(kept.location).count() == 5
+    moved = save_snapshot(spark.range(6), name, location=scratch_path(spark, "elsewhere"))
+    assert spark.table(name).count() == 6 and spark.read.parquet(moved.location).count() == 6
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_files_of_foreign_tables_are_left_alone(spark):
+    name, place = "foreign_" + os.urandom(4).hex(), scratch_path(spark, "foreign")
+    spark.range(3).write.parquet(place)
+    spark.sql(f"CREATE TABLE {name} (id bigint) USING parquet LOCATION '{place}'")
+    save_snapshot(spark.range(5), name)
+    assert spark.table(name).count() == 5 and spark.read.parquet(place).count() == 3
+
+
+def test_managed_snapshot_replaced(spark):
+    name = "managed_" + os.urandom(4).hex()
+    first = save_snapshot(spark.range(10), name)
+    second = save_snapshot(load_saved(spark, name).where("id > 6"), name)
+    assert second.rows == 3 and spark.read.parquet(second.location).count() == 3 and not os.path.exists(first.location.removeprefix("file:"))
+    spark.sql(f"DROP TABLE {name}")
+    assert not _all_parts(second.location)                          # still managed: its files go with it
+
+
+def test_table_is_there_at_every_moment(spark, monkeypatch):
+    """Every statement a same-shape replacement runs leaves a readable table."""
+    from pyspark.sql import SparkSession
+
+    name = "always_" + os.urandom(4).hex()
+    parts = spark.range(10).selectExpr("id", "cast(id % 2 AS string) AS p", "concat('0', id % 3) AS q")
+    for by, seen in ((None, []), (["p", "q"], [])):
+        store_table(parts, name + str(bool(by)), provider="parquet", partition_by=by)
+        plain = SparkSession.sql
+
+        def watched(self, query, *a, table=name + str(bool(by)), seen=seen, **k):
+            out = plain(self, query, *a, **k)
+            seen.append(spark.table(table).count())
+            return out
+        monkeypatch.setattr(SparkSession, "sql", watched)
+        store_table(parts.where("id < 4"), name + str(bool(by)), provider="parquet", partition_by=by)
+        monkeypatch.undo()
+        assert set(seen) == {10, 4} and seen == sorted(seen, reverse=True)
+        got = spark.table(name + str(bool(by)))
+        assert dict(got.dtypes) == dict(parts.dtypes) and got.select(*parts.columns).exceptAll(parts.where("id < 4")).count() == 0
+
+
+def test_stopped_replacement_is_completed(spark):
+    name = "stopped_" + os.urandom(4).hex()
+    save_snapshot(spark.range(3), name)
+    save_snapshot(spark.range(5).selectExpr("id AS other"), f"{name}_new_ab")
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}_old_ab")        # here the job is lost
+    assert load_saved(spark, name).columns == ["other"]
+    assert not spark.catalog.tableExists(f"{name}_old_ab")
+
+
+def test_failed_replacement_leaves_nothing(spark):
+    name, place = "failed_" + os.urandom(4).hex(), scratch_path(spark, "failed")
+    save_snapshot(spark.range(3), name, location=place)
+    with pytest.raises(Exception, match="no good"):
+        save_snapshot(spark.range(3).selectExpr("if(id > 1, raise_error('no good'), id) AS id"), name, location=place)
+    assert spark.table(name).count() == 3 and len({os.path.dirname(f) for f in _all_parts(place)}) == 1
+
+
+def test_stopped_overwrite_is_completed(spark):
+    from lakeprep.sources.lake import read_parquet
+    base = scratch_path(spark, "swap")
+    for k in range(2):
+        path = f"{base}/t{k}.parquet"
+        local = path.removeprefix("file:")
+        spark.range(3).write.parquet(f"{path}.old-ab")
+        spark.range(7).write.parquet(f"{path}.new-ab")
+        if k:
+            store_parquet(read_parquet(spark, path).where("id > 4"), base, f"t{k}")
+        assert read_parquet(spark, path).count() == (2 if k else 7) and not os.path.exists(local + ".old-ab")
+    with pytest.raises(Exception):
+        read_parquet(spark, f"{base}/none.parquet")

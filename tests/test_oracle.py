@@ -31,7 +31,8 @@ PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGro
 WITH_SIDE_EFFECTS = {"csv_roundtrip", "csv_infer_types", "csv_events_values", "json_roundtrip", "json_infer",
                      "parquet_roundtrip", "snapshot_roundtrip", "land_and_refresh",
                      "land_and_append", "store_job", "dedupe_row_change", "lake_to_table", "snapshot_replace", "land_two_datasets",
-                     "land_text_tokens", "csv_folder_reordered", "saved_datasets"}
+                     "land_text_tokens", "csv_folder_reordered", "saved_datasets", "snapshot_replace_location",
+                     "snapshot_new_columns", "refresh_during_batch"}
 
 
 def test_no_python_in_query_plans(spark):

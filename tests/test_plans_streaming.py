@@ -248,3 +248,43 @@ def test_counted_fills_on_the_first_action(spark):
     out, obs = counted(o.where("o_orderstatus = 'O'"), "open_orders")
     out.write.format("noop").mode("overwrite").save()
     assert obs.get["rows"] == o.where("o_orderstatus = 'O'").count()
+
+
+def test_readers_see_committed_epochs_only(spark):
+    from lakeprep.streaming.refresh import adopt_epochs, committed_epochs, read_refreshed, refresh_log
+    base = scratch_path(spark, "refresh-commits")
+    sink, one = f"{base}/t", spark.range(3)
+    land_csv(one, base, "d")
+    refresh_once(spark, base, "d", sink, one.schema)
+    spark.range(9).write.parquet(f"{sink}/epoch=7/_temporary/0")     # a batch that is being written
+    assert read_refreshed(spark, sink).count() == 3 and committed_epochs(spark, sink) == [0]
+    land_csv(spark.range(5), base, "d")
+
+    def refuse(rows, epoch):
+        assert rows.count() == 5 and epoch == 1 and read_refreshed(spark, sink).count() == 3
+        raise ValueError("refused")
+    with pytest.raises(Exception, match="refused"):
+        refresh_once(spark, base, "d", sink, one.schema, check=refuse)
+    assert read_refreshed(spark, sink).count() == 3 and read_refreshed(spark, sink, "append").count() == 3
+    for n in (None, 6, 7, 8):
+        if n:
+            land_csv(spark.range(n), base, "d")
+        assert refresh_once(spark, base, "d", sink, one.schema).count() == (n or 5)
+    assert committed_epochs(spark, sink) == [3, 4]                   # one replaced epoch stays
+    log = refresh_log(spark, sink).orderBy("epoch").collect()
+    assert [(r["epoch"], r["rows"], r["mode"]) for r in log] == [(3, 7, "replace"), (4, 8, "replace")]
+    spark.range(2).write.parquet(f"{sink}/epoch=9")
+    assert adopt_epochs(spark, sink) == [9] and read_refreshed(spark, sink).count() == 2
+
+
+def test_a_committed_batch_is_not_written_again(spark):
+    """The stream's own checkpoint is lost after the commit: the retried batch leaves the epoch as it is."""
+    import os
+    base = scratch_path(spark, "refresh-retry")
+    sink, one = f"{base}/t", spark.range(3)
+    land_csv(one, base, "d")
+    refresh_once(spark, base, "d", sink, one.schema, "append", f"{base}/ck")
+    folder = f"{sink}/epoch=0".removeprefix("file:")
+    before = sorted((f, os.stat(f"{folder}/{f}").st_mtime_ns) for f in os.listdir(folder))
+    assert refresh_once(spark, base, "d", sink, one.schema, "append", f"{base}/ck-again").count() == 3
+    assert sorted((f, os.stat(f"{folder}/{f}").st_mtime_ns) for f in os.listdir(folder)) == before
