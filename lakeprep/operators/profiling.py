@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..names import col, field, require_columns
 from ..small import small_table
 from .cleaning import missing, without_nan
-from .quantiles import exact_quantiles, linear_ranks, values_at_ranks
+from .quantiles import exact_quantiles, linear_ranks, read_sketch, sketched, values_at_ranks
 from .types import has_map, is_numeric, is_temporal
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -140,7 +140,8 @@ TIMESTAMP_SCHEMA = ("column string, count bigint, mean timestamp_ntz, min timest
 def describe_numeric(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """count, mean, std (n-1), min, quartiles, max per numeric column (A5).
 
-    One aggregate pass for the moments; quartiles are exact (``quantiles.py``), or ``percentile_approx`` with ``exact=False``.
+    One aggregate pass for the moments and a sketch, one more that makes the quartiles exact (``quantiles.py``)
+    for all columns together; with ``exact=False`` they are ``percentile_approx`` and the second pass is saved.
     """
     require_columns(df, columns)
     for c in columns:
@@ -150,21 +151,26 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], exact: bool = True)
     aggs = []
     for i, c in enumerate(columns):
         v = values[c]
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"),
-                 F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
-        if not exact:
-            aggs.append(F.percentile_approx(v, list(QUARTILES), 10000).alias(f"q{i}"))
+        aggs += [F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}")]
+        if exact:
+            aggs += sketched(v, str(i), QUARTILES)
+        else:
+            aggs += [F.count(v).alias(f"n_{i}"), F.min(v).alias(f"lo_{i}"), F.max(v).alias(f"hi_{i}"),
+                     F.percentile_approx(v, list(QUARTILES), 10000).alias(f"q_{i}")]
+    if not columns:
+        return small_table(_spark(df), [], NUMERIC_SCHEMA)
     stats = df.agg(*aggs).first()
-    counts = [stats[f"n{i}"] for i in range(len(columns))]
+    counts = [stats[f"n_{i}"] for i in range(len(columns))]
     if exact:
-        quantiles = exact_quantiles(df, [values[c] for c in columns], counts, QUARTILES)
+        quantiles = exact_quantiles(df, [values[c] for c in columns], counts, QUARTILES,
+                                    [read_sketch(stats, str(i)) for i in range(len(columns))])
     rows = []
     for i, c in enumerate(columns):
         if exact:
             qs = [quantiles[i][p] for p in QUARTILES]
         else:
-            qs = list(stats[f"q{i}"] or [None, None, None])
-        rows.append((c, counts[i], stats[f"mean{i}"], stats[f"std{i}"], stats[f"min{i}"], *qs, stats[f"max{i}"]))
+            qs = list(stats[f"q_{i}"] or [None, None, None])
+        rows.append((c, counts[i], stats[f"mean{i}"], stats[f"std{i}"], stats[f"lo_{i}"], *qs, stats[f"hi_{i}"]))
     return small_table(_spark(df), rows, NUMERIC_SCHEMA)
 
 
@@ -224,13 +230,15 @@ def describe_timestamp(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     aggs = []
     for i, c in enumerate(columns):
         m = micros[c]
-        aggs += [F.count(m).alias(f"n{i}"), F.sum(m.cast("decimal(38,0)")).alias(f"s{i}"),
-                 F.min(m).alias(f"min{i}"), F.max(m).alias(f"max{i}")]
+        aggs += [F.sum(m.cast("decimal(38,0)")).alias(f"s{i}"), *sketched(m, str(i), QUARTILES)]
+    if not columns:
+        return small_table(_spark(df), [], TIMESTAMP_SCHEMA)
     stats = df.agg(*aggs).first()
-    counts = [stats[f"n{i}"] for i in range(len(columns))]
+    sketches = [read_sketch(stats, str(i)) for i in range(len(columns))]
+    counts = [s.count for s in sketches]
     plans = [linear_ranks(n, QUARTILES) if n else {} for n in counts]
     got = values_at_ranks(df, [micros[c] for c in columns],
-                          [[r for lo, hi, _ in pl.values() for r in (lo, hi)] for pl in plans])
+                          [[r for lo, hi, _ in pl.values() for r in (lo, hi)] for pl in plans], sketches)
     rows = []
     for i, c in enumerate(columns):
         n = counts[i]
@@ -242,8 +250,8 @@ def describe_timestamp(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 lo, hi, frac = plans[i][p]
                 a, b = got[i][lo], got[i][hi]
                 qs.append(a if a == b or frac == 0 else a + math.floor((b - a) * frac))
-        rows.append((c, n, _from_micros(mean), _from_micros(stats[f"min{i}"]),
-                     *[_from_micros(q) for q in qs], _from_micros(stats[f"max{i}"])))
+        rows.append((c, n, _from_micros(mean), _from_micros(sketches[i].least),
+                     *[_from_micros(q) for q in qs], _from_micros(sketches[i].most)))
     return small_table(_spark(df), rows, TIMESTAMP_SCHEMA)
 
 

@@ -1,14 +1,16 @@
-"""Exact linear-interpolated quantiles by narrowing brackets.
+"""Exact linear-interpolated quantiles from one sketch and one verifying pass.
 
-Spark's built-in ``percentile`` merges a value->count map of the whole column in one task. Here no
-value is shuffled until few are left: ``percentile_approx`` gives each wanted rank a bracket of two
-values, one aggregate counts the rows below it and inside it, and brackets that still hold many
-distinct values are narrowed the same way from the rows inside them. The counts decide, not the
-sketch: a rank found outside its bracket moves the bracket. What remains, at most ``FEW`` distinct
-values a bracket, is grouped and counted, and the rank is read off.
+Spark's built-in ``percentile`` merges a value->count map of the whole column in one task. Here the caller's own
+aggregate carries a mergeable sketch of each column (``sketched``): for every probability it gives an interval
+of values that holds the wanted ranks, wider than the sketch's rank error. One more pass over the data puts
+every value of every column into a region, between the intervals or inside one, and counts: values inside by
+themselves, all others per region. The counts prove the ranks of the intervals; the values inside are read off.
 
-Every step is an aggregate with a map-side part, so a value that holds a third of the rows is one
-row per task, and the same steps run at every size (a narrowing divides the rows by thousands).
+The counting is one aggregate with a map-side part, so a value that holds a third of the rows is one row per
+task. If more than ``FEW`` distinct values of all columns together lie inside, the counted values, a few
+thousandths of the rows, are written out and narrowed there by cutting each interval into ``PARTS`` until they
+are few; the input is not read again. A rank outside its interval (a sketch beyond its bound) is looked for
+between the intervals in the same way.
 
 Ranks follow the usual "linear" definition (pandas ``quantile``, DuckDB ``quantile_cont``): position
 ``h = (n - 1) * p`` on the sorted values, and ``v[floor(h)] + (h - floor(h)) * (v[ceil(h)] - v[floor(h)])``.
@@ -17,15 +19,20 @@ Ranks follow the usual "linear" definition (pandas ``quantile``, DuckDB ``quanti
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-# Accuracy of the sketch (its rank error is one part in this many), and the distinct values a
-# bracket may send to the driver.
-ACCURACY, FEW = 10_000, 5_000
+from ..session import scratch_path
+from ..small import small_table
+
+# Accuracy of the sketch (its rank error is one part in this many), how many such parts an interval reaches to
+# each side, the columns' rows below which an interval is the whole column, the distinct values the driver
+# takes for all columns together, and the parts an interval is cut into while there are more.
+ACCURACY, SLACK, SMALL, FEW, PARTS = 10_000, 4, 5_000, 20_000, 32
 
 
 def linear_ranks(n: int, probs: Sequence[float]) -> dict[float, tuple[int, int, float]]:
@@ -41,106 +48,169 @@ def linear_ranks(n: int, probs: Sequence[float]) -> dict[float, tuple[int, int,
 
 
 @dataclass
-class _Bracket:
-    column: int
-    rank: int
-    lo: object = None           # values between which they are looked for, inclusive
-    hi: object = None
-    below: int = 0              # rows under ``lo``
-    inside: int = 0             # rows from ``lo`` to ``hi``
-    few: bool = False
+class Sketched:
+    """What the caller's aggregate said of a column: rows, ends, and an interval per probability."""
+    count: int
+    least: object = None
+    most: object = None
+    intervals: list[tuple] = field(default_factory=list)
+
+
+def sketched(v: Column, name: str, probs: Sequence[float]) -> list[Column]:
+    """Aggregates that :func:`read_sketch` understands."""
+    cuts = [min(1.0, max(0.0, p + side * SLACK / ACCURACY)) for p in probs for side in (-1, 1)]
+    return [F.count(v).alias(f"n_{name}"), F.min(v).alias(f"lo_{name}"), F.max(v).alias(f"hi_{name}"),
+            F.percentile_approx(v, cuts, ACCURACY).alias(f"q_{name}")]
+
+
+def read_sketch(row: Row, name: str) -> Sketched:
+    n, least, most, cuts = (row[f"{k}_{name}"] for k in ("n", "lo", "hi", "q"))
+    if n <= SMALL:
+        return Sketched(n, least, most, [(least, most)] if n else [])
+    return Sketched(n, least, most, list(zip(cuts[::2], cuts[1::2])))
+
+
+def _joined(intervals: Sequence[tuple]) -> list[tuple]:
+    """Sorted intervals without overlap."""
+    out: list[tuple] = []
+    for lo, hi in sorted(intervals):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _region(v: Column, intervals: Sequence[tuple]) -> Column:
+    """2k below interval k and above the one before, 2k + 1 inside it."""
+    out = F.lit(2 * len(intervals))
+    for k in range(len(intervals) - 1, -1, -1):
+        lo, hi = intervals[k]
+        out = F.when(v < F.lit(lo), 2 * k).when(v <= F.lit(hi), 2 * k + 1).otherwise(out)
+    return out
 
 
-def _between(v: Column, b: _Bracket) -> Column:
-    return (v >= F.lit(b.lo)) & (v <= F.lit(b.hi))
+def _counted(df: DataFrame, values: Sequence[Column], intervals: dict[int, list[tuple]]) -> DataFrame:
+    """``(c, r, v, w)``: rows by column and region, those inside an interval by value too."""
+    each = []
+    for c, own in intervals.items():
+        region = F.when(values[c].isNotNull(), _region(values[c], own))
+        each.append(F.struct(F.lit(c).alias("c"), region.alias("r"), F.when(region % 2 == 1, values[c]).alias("v")))
+    return df.select(F.inline(F.array(*each))).where(F.col("r").isNotNull()).groupBy("c", "r", "v").agg(F.count(F.lit(1)).alias("w"))
 
 
-def _narrow(df: DataFrame, values: Sequence[Column], brackets: list[_Bracket]) -> None:
-    """Brackets around the wanted ranks by the sketch of the rows inside the present ones.
+def _narrowed(spark, table: DataFrame, below: dict[tuple[int, int], int],
+              wanted: dict[tuple[int, int], list[int]]) -> dict[int, list[tuple]]:
+    """The counted values around the wanted ranks of each ``(c, r)``, few enough for the driver.
 
-    Where the sketch answers with the present ends, heavy values at the ends hold most rows: the rank
-    is one of these, or the ends are left out.
+    Each round cuts every interval that is left into parts with about as many distinct values and keeps the
+    parts that hold a wanted rank. Parts get a number ``r`` of their own; ``below`` counts the rows before it.
+    Returns rows ``(first rank, v, w)`` by column.
     """
-    shared: dict[tuple, list[_Bracket]] = {}                # brackets that start alike share one sketch
-    for b in brackets:
-        shared.setdefault((b.column, b.lo, b.hi, b.below, b.inside), []).append(b)
-    aggs = []
-    for k, group in enumerate(shared.values()):
-        b = group[0]
-        v, cuts = values[b.column], []
-        for own in group:
-            at = (own.rank - own.below) / max(1, own.inside - 1)
-            cuts += [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)]
-        aggs += [F.percentile_approx(F.when(_between(v, b), v), cuts, ACCURACY).alias(f"q{k}"),
-                 F.count_if(v == F.lit(b.lo)).alias(f"lo{k}"), F.count_if(v == F.lit(b.hi)).alias(f"hi{k}"),
-                 F.min(F.when((v > F.lit(b.lo)) & (v < F.lit(b.hi)), v)).alias(f"next{k}"),
-                 F.max(F.when((v > F.lit(b.lo)) & (v < F.lit(b.hi)), v)).alias(f"last{k}")]
-    row = df.agg(*aggs).first()
-    for k, b, place in [(k, b, i) for k, group in enumerate(shared.values()) for i, b in enumerate(group)]:
-        lo, hi = row[f"q{k}"][2 * place:2 * place + 2]
-        if (lo, hi) == (b.lo, b.hi) and lo != hi:
-            if b.rank < b.below + row[f"lo{k}"]:
-                hi = lo
-            elif b.rank >= b.below + b.inside - row[f"hi{k}"]:
-                lo = hi
-            else:
-                lo, hi = row[f"next{k}"], row[f"last{k}"]
-        b.lo, b.hi = lo, hi
-
-
-def _count(df: DataFrame, values: Sequence[Column], brackets: list[_Bracket]) -> None:
-    aggs = []
-    for k, b in enumerate(brackets):
-        v = values[b.column]
-        aggs += [F.count_if(v < F.lit(b.lo)).alias(f"b{k}"), F.count_if(_between(v, b)).alias(f"i{k}"),
-                 F.approx_count_distinct(F.when(_between(v, b), v)).alias(f"d{k}")]
-    row = df.agg(*aggs).first()
-    for k, b in enumerate(brackets):
-        b.below, b.inside = row[f"b{k}"], row[f"i{k}"]
-        b.few = b.lo == b.hi or row[f"d{k}"] <= FEW
-
-
-def values_at_ranks(df: DataFrame, values: Sequence[Column], ranks: Sequence[Sequence[int]]) -> list[dict[int, object]]:
+    most = max(FEW, sum(map(len, wanted.values())))                  # one value a rank is as few as they get
+    while True:
+        now = table.where(F.col("v").isNotNull())
+        rows = now.select("c", "r", "v", "w").limit(most + 1).collect()
+        if len(rows) <= most:
+            break
+        cuts = now.groupBy("c", "r").agg(F.percentile_approx("v", [i / PARTS for i in range(1, PARTS)], 100 * PARTS).alias("cuts")).collect()
+        names = small_table(spark, [(c["c"], c["r"], k, v) for c in cuts for k, v in enumerate(sorted(set(c["cuts"])))],
+                            f"c int, r int, k int, cut {now.schema['v'].dataType.simpleString()}")
+        names = names.groupBy("c", "r").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+        # 2j values below cut j, 2j + 1 those equal to it: a part always has fewer distinct values
+        cut_of = F.size(F.filter("cuts", lambda x: x < F.col("v"))) * 2 + F.array_contains("cuts", F.col("v")).cast("int")
+        parted = now.join(F.broadcast(names), ["c", "r"]).withColumn("part", cut_of)
+        weights: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for x in parted.groupBy("c", "r", "part").agg(F.sum("w").alias("w")).collect():
+            weights.setdefault((x["c"], x["r"]), []).append((x["part"], x["w"]))
+        keep, new_below, new_wanted = [], {}, {}
+        for (c, r), parts in weights.items():
+            at = below[c, r]
+            for part, w in sorted(parts):
+                mine = [rank for rank in wanted[c, r] if at <= rank < at + w]
+                if mine:
+                    number = len(keep)
+                    keep.append((c, r, part, number))
+                    new_below[c, number], new_wanted[c, number] = at, mine
+                at += w
+        kept = small_table(spark, keep, "c int, r int, part int, number int")
+        path = scratch_path(spark, "quantiles")
+        (parted.join(F.broadcast(kept), ["c", "r", "part"]).select("c", F.col("number").alias("r"), "v", "w")
+         .write.parquet(path))
+        table, below, wanted = spark.read.parquet(path), new_below, new_wanted
+    out: dict[int, list[tuple]] = {}
+    groups: dict[tuple[int, int], list[tuple]] = {}
+    for x in rows:
+        groups.setdefault((x["c"], x["r"]), []).append((x["v"], x["w"]))
+    for (c, r), values in groups.items():
+        at = below[c, r]
+        for v, w in sorted(values):
+            out.setdefault(c, []).append((at, v, w))
+            at += w
+    return out
+
+
+def values_at_ranks(df: DataFrame, values: Sequence[Column], ranks: Sequence[Sequence[int]],
+                    sketches: Sequence[Sketched]) -> list[dict[int, object]]:
     """For each column expression, the values at its 0-based ranks (nulls excluded)."""
-    wanted = [sorted(set(rs)) for rs in ranks]
-    active = [i for i, rs in enumerate(wanted) if rs]
-    if not active:
-        return [{} for _ in values]
-    ends = df.agg(*[e for i in active for e in (F.min(values[i]).alias(f"lo{i}"), F.max(values[i]).alias(f"hi{i}"),
-                                                F.count(values[i]).alias(f"n{i}"))]).first()
-    whole = {i: (ends[f"lo{i}"], ends[f"hi{i}"], ends[f"n{i}"]) for i in active}
-    brackets = [_Bracket(i, r, *whole[i][:2], 0, whole[i][2]) for i in active for r in wanted[i]]
-    todo = list(brackets)
+    spark, out = df.sparkSession, [{} for _ in values]
+    todo = {c: sorted(set(own)) for c, own in enumerate(ranks) if own}
+    intervals = {c: _joined(sketches[c].intervals) for c in todo}
     while todo:
-        _narrow(df, values, todo)
-        _count(df, values, todo)
-        missed = [b for b in todo if not b.below <= b.rank < b.below + b.inside]
-        for b in missed:                                   # the sketch was off: take the side it left out
-            least, most, _ = whole[b.column]
-            b.lo, b.hi = (least, b.lo) if b.rank < b.below else (b.hi, most)
-        if missed:
-            _count(df, values, missed)
-        todo = [b for b in todo if not b.few]
-    inside = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.when(_between(values[b.column], b), values[b.column]).alias("v"))
-                                          for k, b in enumerate(brackets)])))
-    found: dict[int, list] = {}
-    for r in inside.where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).collect():
-        found.setdefault(r["k"], []).append((r["v"], r["n"]))
-    out: list[dict[int, object]] = [{} for _ in values]
-    for k, b in enumerate(brackets):
-        at = b.below
-        for v, n in sorted(found[k]):
-            if at <= b.rank < at + n:
-                out[b.column][b.rank] = v
-            at += n
+        counted = _counted(df, values, intervals)
+        rows = counted.limit(FEW + 1).collect()
+        few = len(rows) <= FEW
+        if not few:
+            path = scratch_path(spark, "quantiles")
+            counted.write.parquet(path)
+            counted = spark.read.parquet(path)
+            rows = counted.groupBy("c", "r").agg(F.sum("w").alias("w")).collect()     # a few regions a column
+        weight: dict[tuple[int, int], int] = {}
+        for x in rows:
+            weight[x["c"], x["r"]] = weight.get((x["c"], x["r"]), 0) + x["w"]
+        below, wanted, again = {}, {}, {}
+        for c, own in todo.items():
+            at = 0
+            for r in range(2 * len(intervals[c]) + 1):
+                mine = [rank for rank in own if at <= rank < at + weight.get((c, r), 0)]
+                below[c, r] = at
+                if mine and r % 2:
+                    wanted[c, r] = mine
+                elif mine:                                          # not where the sketch said: between its intervals
+                    before, after = intervals[c][r // 2 - 1:r // 2], intervals[c][r // 2:r // 2 + 1]
+                    again.setdefault(c, []).append((mine, (before[0][1] if before else sketches[c].least, after[0][0] if after else sketches[c].most)))
+                at += weight.get((c, r), 0)
+        if few:
+            inside: dict[int, list[tuple]] = {}
+            starts = dict(below)
+            for x in sorted((x for x in rows if x["v"] is not None), key=lambda x: (x["c"], x["r"], x["v"])):
+                inside.setdefault(x["c"], []).append((starts[x["c"], x["r"]], x["v"], x["w"]))
+                starts[x["c"], x["r"]] += x["w"]
+        else:
+            inside = _narrowed(spark, counted, below, wanted)
+        for (c, _), mine in wanted.items():
+            found = sorted(inside[c], key=lambda x: x[0])
+            firsts = [x[0] for x in found]
+            for rank in mine:
+                out[c][rank] = found[bisect_right(firsts, rank) - 1][1]
+        todo = {c: [rank for mine, _ in missed for rank in mine] for c, missed in again.items()}
+        intervals = {c: _joined([place for _, place in missed]) for c, missed in again.items()}
     return out
 
 
-def exact_quantiles(df: DataFrame, values: Sequence[Column], counts: Sequence[int],
-                    probs: Sequence[float]) -> list[dict[float, float | None]]:
-    """Linear-interpolated quantiles of numeric ``values`` (``counts`` = non-null rows each)."""
+def exact_quantiles(df: DataFrame, values: Sequence[Column], counts: Sequence[int], probs: Sequence[float],
+                    sketches: Sequence[Sketched] | None = None) -> list[dict[float, float | None]]:
+    """Linear-interpolated quantiles of numeric ``values`` (``counts`` = non-null rows each).
+
+    Sketches that the caller has taken for the same probabilities save a pass.
+    """
+    if sketches is None:
+        if not values:
+            return []
+        row = df.agg(*[a for i, v in enumerate(values) for a in sketched(v, str(i), probs)]).first()
+        sketches = [read_sketch(row, str(i)) for i in range(len(values))]
     plans = [linear_ranks(n, probs) if n else {} for n in counts]
-    got = values_at_ranks(df, values, [[r for lo, hi, _ in pl.values() for r in (lo, hi)] for pl in plans])
+    got = values_at_ranks(df, values, [[r for lo, hi, _ in pl.values() for r in (lo, hi)] for pl in plans], sketches)
     out = []
     for pl, g, n in zip(plans, got, counts):
         if not n:

@@ -132,6 +132,19 @@ def test_quantiles_when_brackets_must_narrow(spark, monkeypatch):
                 assert v == pytest.approx(float(np.quantile(values, p)), rel=1e-12, abs=1e-12)
 
 
+def test_quantiles_outside_their_interval_are_found(spark, monkeypatch):
+    """A sketch that is wrong costs another pass, never a wrong value."""
+    values = np.random.default_rng(5).normal(size=900)
+    df = spark.createDataFrame([(float(x),) for x in values], "a double")
+    for few in (5, 20_000):
+        monkeypatch.setattr(q, "FEW", few)
+        for lie in ((values.max(), values.max()), (values.min(), values.min()), (5.0, 6.0), (-9.0, -8.0), (0.0, 0.0)):
+            sketch = q.Sketched(900, float(values.min()), float(values.max()), [lie])
+            got = q.exact_quantiles(df, [F.col("a")], [900], [0.0, 0.3, 0.5, 1.0], [sketch])[0]
+            for p, v in got.items():
+                assert v == pytest.approx(float(np.quantile(values, p)), rel=1e-12, abs=1e-12)
+
+
 def test_quantiles_with_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(q, "FEW", 50)
     rng = np.random.default_rng(7)
