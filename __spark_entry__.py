@@ -472,6 +472,22 @@ def profile_full(spark, sf_dir):
     return ops.dataset_profile(_documents_twice(spark, sf_dir))
 
 
+def drop_duplicates_wide(spark, sf_dir):
+    return ops.drop_duplicates(_documents_twice(spark, sf_dir), wide=True)
+
+
+def duplicate_count_wide(spark, sf_dir):
+    return ops.duplicate_count(_documents_twice(spark, sf_dir), wide=True)
+
+
+def profile_wide(spark, sf_dir):
+    return ops.dataset_profile(_documents_twice(spark, sf_dir), wide=True)
+
+
+def describe_text_wide(spark, sf_dir):
+    return ops.describe_text(_t(spark, sf_dir, "documents"), ["text", "lang"], wide=True)
+
+
 def describe_numeric_all(spark, sf_dir):
     return _round_doubles(ops.describe_numeric(_t(spark, sf_dir, "lineitem"), _LINEITEM_NUMBERS))
 
@@ -588,6 +604,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "describe_numeric_all": describe_numeric_all, "fill_nulls_decimal": fill_nulls_decimal, "snapshot_replace": snapshot_replace,
     "snapshot_replace_location": snapshot_replace_location, "snapshot_new_columns": snapshot_new_columns,
     "refresh_during_batch": refresh_during_batch,
+    "drop_duplicates_wide": drop_duplicates_wide, "duplicate_count_wide": duplicate_count_wide,
+    "profile_wide": profile_wide, "describe_text_wide": describe_text_wide,
 }
 
 _LI_NULLS = """(SELECT l_orderkey, l_linenumber,
@@ -736,6 +754,11 @@ _ORACLE: dict[str, str] = {
 }
 
 
+for _name in ("drop_duplicates", "duplicate_count", "profile"):      # another way to the same result
+    _ORACLE[f"{_name}_wide"] = _ORACLE[f"{_name}_full"]
+_ORACLE["describe_text_wide"] = _describe_text_sql("documents", ["text", "lang"])
+
+
 def _duck_strip(x: str) -> str:
     return f"REGEXP_REPLACE({x}, '^\\s+|\\s+$', '', 'g')"
 

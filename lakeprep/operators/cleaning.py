@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..names import col, require_columns
+from .fingerprints import marked, repeats
 from .types import has_map, is_floating, is_numeric
 
 FILL_TEXT = "Unknown"
@@ -119,12 +120,16 @@ def fill_nulls(df: DataFrame, text_value: str = FILL_TEXT, stringify: bool = Fal
     return fill_nulls_with_report(df, text_value, stringify)[0]
 
 
-def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
+def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None, wide: bool = False) -> DataFrame:
     """Drop repeated rows (C3); nulls compare equal, NaN is null. Output order is not kept.
 
     A hash aggregate on all columns with a map-side partial step: a row
     repeated a billion times leaves each task as one row, so a hot duplicate
     cannot pile up in one reducer.
+
+    ``wide=True`` first finds by fingerprints which rows may have a copy
+    (``fingerprints``): only these are shuffled, the others stay in their tasks.
+    The data are read three times then and must read the same each time.
     """
     if subset is not None:
         require_columns(df, subset)
@@ -133,6 +138,10 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
     if bad:
         raise ValueError(f"Columns {bad} hold MAP values, which cannot be compared for duplicates")
     df = df.select(*[without_nan(f.name, f.dataType).alias(f.name) for f in df.schema.fields])
+    if wide and df.columns:
+        keys = [col(c) for c in (df.columns if subset is None else subset)]
+        may_repeat = marked(keys, repeats(df, keys))
+        return df.where(~may_repeat).unionAll(drop_duplicates(df.where(may_repeat), subset))
     return df.dropDuplicates(list(subset)) if subset is not None else df.dropDuplicates()
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..names import col, field, require_columns
 from ..small import small_table
 from .cleaning import missing, without_nan
+from .fingerprints import marked, repeats
 from .quantiles import exact_quantiles, linear_ranks, read_sketch, sketched, values_at_ranks
 from .types import has_map, is_numeric, is_temporal
 
@@ -60,28 +61,44 @@ def _row_keys(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[without_nan(f.name, f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]).alias("row"))
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
+def _whole_row(df: DataFrame) -> list:
+    return [without_nan(f.name, f.dataType) for f in df.schema.fields]
+
+
+def duplicate_count(df: DataFrame, wide: bool = False) -> DataFrame:
     """Rows that repeat an earlier row (A3), as one row ``duplicate_rows``.
 
     ``groupBy(all columns)`` keeps null-holding rows (``count(DISTINCT ...)``
     would skip them) and combines repeats map-side before the shuffle.
+    ``wide=True`` reads the data twice and moves only fingerprints and rows that
+    may have a copy (``fingerprints``); the data must read the same both times.
     """
     _groupable(df)
+    if wide and df.columns:
+        df = df.where(marked(_whole_row(df), repeats(df, _whole_row(df))))
     groups = _row_keys(df).groupBy("row").agg(F.count(F.lit(1)).alias("k"))
     return groups.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
-def dataset_profile(df: DataFrame) -> DataFrame:
+def dataset_profile(df: DataFrame, wide: bool = False) -> DataFrame:
     """Rows, columns, null cells and duplicate rows in one row (A2).
 
     Derived from the duplicate aggregate: within one all-column group every
     column is either null or not, so null cells are ``sum(k * nulls_in_key)``.
-    One shuffle, no second scan.
+    One shuffle, no second scan. ``wide=True`` is as for :func:`duplicate_count`:
+    two scans, and a shuffle whose size does not depend on the width of rows.
     """
     _groupable(df)
     fields = df.schema.fields
     if not fields:
         raise ValueError("dataset has no columns")
+    if wide:
+        nulls = sum((v.isNull().cast("bigint") for v in _whole_row(df)), F.lit(0).cast("bigint"))
+        found = repeats(df, _whole_row(df), null_cells=nulls)
+        copies = duplicate_count(df.where(marked(_whole_row(df), found)))
+        return copies.select(F.coalesce(found.select("rows").scalar(), F.lit(0)).cast("bigint").alias("rows"),
+                             F.lit(len(fields)).cast("bigint").alias("columns"),
+                             F.coalesce(found.select("null_cells").scalar(), F.lit(0)).cast("bigint").alias("null_cells"), "duplicate_rows")
     nulls_in_row = sum((F.col(f"row.c{i}").isNull().cast("bigint") for i in range(len(fields))), F.lit(0))
     groups = (_row_keys(df).groupBy("row").agg(F.count(F.lit(1)).alias("_k"))
               .select("_k", nulls_in_row.alias("_nulls")))
@@ -174,28 +191,42 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], exact: bool = True)
     return small_table(_spark(df), rows, NUMERIC_SCHEMA)
 
 
-def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def describe_text(df: DataFrame, columns: Sequence[str], wide: bool = False) -> DataFrame:
     """count, unique, top, freq per column (A6); values compared as text.
 
     ``top`` is the most frequent value, ties broken by the smallest value.
     All columns are stacked into one ``(column, value)`` table, so one job
     serves them all: a map-side combined frequency table, then count,
     unique and the top pick per column (``min_by`` on ``(-freq, value)``).
+
+    ``wide=True`` is for long, mostly different texts: a first pass finds by
+    fingerprints which values may repeat, only these enter the frequency table,
+    and the others count one each. The data must read the same both times.
     """
     require_columns(df, columns)
     if not columns:
         return small_table(_spark(df), [], TEXT_SCHEMA)
     stacked = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("cid"), col(c).cast("string").alias("v"))
                                            for i, c in enumerate(columns)])))
-    freq = stacked.where(F.col("v").isNotNull()).groupBy("cid", "v").agg(F.count(F.lit(1)).alias("k"))
+    stacked = stacked.where(F.col("v").isNotNull())
+    singles = {}
+    if wide:
+        key = [F.col("cid"), F.col("v")]
+        may_repeat = marked(key, repeats(stacked, key))
+        alone = stacked.where(~may_repeat).groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"))
+        singles = {r["cid"]: (r["n"], r["least"]) for r in alone.collect()}        # one row per column
+        stacked = stacked.where(may_repeat)
+    freq = stacked.groupBy("cid", "v").agg(F.count(F.lit(1)).alias("k"))
     got = {r["cid"]: r for r in freq.groupBy("cid").agg(
         F.sum("k").alias("count"), F.count(F.lit(1)).alias("unique"),
         F.min_by("v", F.struct((-F.col("k")).alias("nk"), F.col("v"))).alias("top"),
         F.max("k").alias("freq")).collect()}          # one row per column
     rows = []
     for i, c in enumerate(columns):
-        r = got.get(i)
-        rows.append((c, r["count"], r["unique"], r["top"], r["freq"]) if r else (c, 0, 0, None, None))
+        r, (n, least) = got.get(i), singles.get(i, (0, None))
+        tops = [(-r["freq"], r["top"])] if r else []
+        freq, top = min(tops + [(-1, least)] * (n > 0), default=(None, None), key=lambda x: (x[0], x[1].encode()))
+        rows.append((c, n + (r["count"] if r else 0), n + (r["unique"] if r else 0), top, -freq if freq else None))
     return small_table(_spark(df), rows, TEXT_SCHEMA)
 
 
