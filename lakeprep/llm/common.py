@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,14 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, for what is costly to build.
+
+    Task code travels by value, so its own globals are new in every task.
+    """
+    return sys.__dict__.setdefault("_lakeprep_worker_cache", {})
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 

@@ -27,6 +27,7 @@ reads them.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -37,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, worker_cache
 
-STRIDE, OVERLAP, WIDEN, CHARS_AT_ONCE = 16_384, 1_024, 4, 2_000_000
+STRIDE, OVERLAP, WIDEN, CHARS_AT_ONCE = 16_384, 1_024, 4, 400_000
 #: Chunks a task encodes, while there are fewer than ``MOST_TASKS`` tasks' worth.
 CHUNKS_A_TASK, MOST_TASKS = 32, 20_000
 
-#: Places where a chunk's encoding starts a word: (offset, tokens before it), and all its tokens.
+#: Places where a chunk's encoding starts a word: (offset, tokens before it), and all its tokens. The encoders'
+#: ``spans`` need only tell those up to character ``head`` and from character ``tail`` on.
 Spans = tuple[list[tuple[int, int]], int]
 
 
@@ -66,14 +68,23 @@ class JsonEncoder:
     def counts(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spans(self, text: str) -> Spans:
+    def spans(self, text: str, head: int, tail: int) -> Spans:
         found = self._tokenizer.encode(text, add_special_tokens=False)
-        starts, last = [], None
-        for i, (word, (at, _)) in enumerate(zip(found.word_ids, found.offsets)):
-            if word != last and self._stable(text, at):
-                starts.append((at, i))
-            last = word
-        return starts, len(found)
+        total, starts = len(found), []
+
+        def walk(i: int, until: int) -> None:
+            last = found.token_to_word(i - 1) if i else None
+            while i < total and (at := found.token_to_chars(i)[0]) <= until:
+                word = found.token_to_word(i)
+                if word != last and self._stable(text, at):
+                    starts.append((at, i))
+                last, i = word, i + 1
+
+        walk(0, min(head, tail - 1))
+        # the first token at or after the tail's start; white space may belong to none
+        first = next((i for p in range(tail, len(text)) if (i := found.char_to_token(p)) is not None), total)
+        walk(first, len(text))
+        return starts, total
 
     def _stable(self, text: str, at: int) -> bool:
         return not self.normalised or (at > 0 and text[at - 1].isspace() and not text[at].isspace() and text[at] < "̀")
@@ -96,7 +107,7 @@ class ModelEncoder:
     def counts(self, texts: list[str]) -> list[int]:
         return [len(ids) for ids in self._model.encode(texts, add_bos=False, add_eos=False, num_threads=1)]
 
-    def spans(self, text: str) -> Spans:
+    def spans(self, text: str, head: int, tail: int) -> Spans:
         data = text.encode()
         pieces = self._model.encode(text, add_bos=False, add_eos=False, return_type="proto").pieces
         visible = range(0x21, 0x7F)
@@ -131,15 +142,16 @@ def json_can_cut(config: dict) -> bool:
 
 
 def encoder(path: str) -> Callable[[], JsonEncoder | ModelEncoder]:
-    """A maker of the file's encoder; the driver reads the file, tasks build the encoder once each."""
+    """A maker of the file's encoder; the driver reads the file, Python workers build the encoder once each."""
     with open(path, "rb") as file:
         content = file.read()
-    made: list = []
+    mark = hashlib.sha256(content).hexdigest()
 
     def make() -> JsonEncoder | ModelEncoder:
-        if not made:
-            made.append(ModelEncoder(content) if path.endswith(".model") else JsonEncoder(content.decode()))
-        return made[0]
+        made = worker_cache()
+        if mark not in made:
+            made[mark] = ModelEncoder(content) if path.endswith(".model") else JsonEncoder(content.decode())
+        return made[mark]
     return make
 
 
@@ -188,7 +200,7 @@ def _ends(chunks: DataFrame, make: Callable, stride: int, overlap: int) -> DataF
         for batch in batches:
             rows = []
             for name, place, last, chunk in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                starts, total = tool.spans(chunk)
+                starts, total = tool.spans(chunk, overlap, stride)
                 most = tool.size(chunk) - tool.guard                # beyond it the cut may show
                 if place:
                     edge = min(most, tool.size(chunk[:overlap]))

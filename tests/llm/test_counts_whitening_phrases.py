@@ -71,7 +71,7 @@ def test_token_counts_of_random_cuts_never_guess():
             last = -(-(len(text) - overlap) // stride) - 1
             chunks = [text[k * stride:(k + 1) * stride + overlap] for k in range(last + 1)]
             assert "".join(c[:stride] for c in chunks[:-1]) + chunks[-1] == text
-            found, total = [tool.spans(c) for c in chunks], 0
+            found, total = [tool.spans(c, overlap, stride) for c in chunks], 0
             for k in range(last):
                 base, most = tool.size(chunks[k][:stride]), tool.size(chunks[k]) - tool.guard
                 left = {p - base: n for p, n in found[k][0] if base <= p <= most}
