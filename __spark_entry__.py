@@ -472,6 +472,28 @@ def profile_full(spark, sf_dir):
     return ops.dataset_profile(_documents_twice(spark, sf_dir))
 
 
+def _lineitem_crowded(spark, sf_dir):
+    """Seven of eight rows are one row, the others differ."""
+    rare = "l_orderkey % 8 = 0"
+    return _t(spark, sf_dir, "lineitem").selectExpr(f"if({rare}, l_quantity, 25.0D) AS quantity", f"if({rare}, l_orderkey, 0L) AS orderkey")
+
+
+def sort_copies(spark, sf_dir):
+    return ops.sort_rows(_lineitem_crowded(spark, sf_dir), "quantity", split_copies=True)
+
+
+def parquet_lookup(spark, sf_dir):
+    """One part's items from a store with Bloom filters, one order's from its clustering."""
+    report = store_parquet(_t(spark, sf_dir, "lineitem"), scratch_path(spark, "lookup"), "lineitem", cluster_by=["l_orderkey"], lookup=["l_partkey"])
+    stored = spark.read.parquet(report.location)
+    return ops.filter_rows(stored, "l_partkey", "=", "7").unionByName(ops.filter_rows(stored, "l_orderkey", "=", "7"))
+
+
+def parquet_rebalanced(spark, sf_dir):
+    report = store_parquet(_t(spark, sf_dir, "lineitem"), scratch_path(spark, "even"), "lineitem", partition_by=["l_returnflag"], rebalance=True)
+    return spark.read.parquet(report.location)
+
+
 def drop_duplicates_wide(spark, sf_dir):
     return ops.drop_duplicates(_documents_twice(spark, sf_dir), wide=True)
 
@@ -604,6 +626,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "describe_numeric_all": describe_numeric_all, "fill_nulls_decimal": fill_nulls_decimal, "snapshot_replace": snapshot_replace,
     "snapshot_replace_location": snapshot_replace_location, "snapshot_new_columns": snapshot_new_columns,
     "refresh_during_batch": refresh_during_batch,
+    "sort_copies": sort_copies, "parquet_lookup": parquet_lookup, "parquet_rebalanced": parquet_rebalanced,
     "drop_duplicates_wide": drop_duplicates_wide, "duplicate_count_wide": duplicate_count_wide,
     "profile_wide": profile_wide, "describe_text_wide": describe_text_wide,
 }
@@ -664,6 +687,10 @@ _ORACLE: dict[str, str] = {
     "land_text_tokens": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'NA' WHEN 1 THEN 'None' WHEN 2 THEN '' WHEN 3 THEN '\\N' END AS word
         FROM orders""",
     "snapshot_replace": "SELECT * FROM orders WHERE o_orderstatus = 'F'",
+    "sort_copies": """SELECT CASE WHEN l_orderkey % 8 = 0 THEN l_quantity ELSE 25.0 END AS quantity,
+        CASE WHEN l_orderkey % 8 = 0 THEN l_orderkey ELSE 0 END AS orderkey FROM lineitem ORDER BY quantity""",
+    "parquet_lookup": "SELECT * FROM lineitem WHERE l_partkey = 7 UNION ALL SELECT * FROM lineitem WHERE l_orderkey = 7",
+    "parquet_rebalanced": "SELECT * FROM lineitem",
     "snapshot_replace_location": """SELECT * FROM orders, (VALUES ('location'), ('name')) places(seen) WHERE o_orderstatus = 'F'""",
     "snapshot_new_columns": "SELECT * EXCLUDE (o_totalprice) FROM orders WHERE o_orderstatus <> 'P'",
     "refresh_during_batch": """SELECT * FROM orders, (VALUES ('during'), ('refused')) places(seen)

@@ -66,10 +66,11 @@ def database_to_lake(spark: SparkSession, target: JdbcTarget, table: str, base:
                      provider: str = "parquet", identifier: str | None = None,
                      partition_column: str | None = None, num_partitions: int = 8,
                      location: str | None = None, predicates: Sequence[str] | None = None,
-                     single_task: bool = False) -> JobResult:
+                     single_task: bool = False, balance: bool = False) -> JobResult:
     """Database table -> lake Parquet folder or table (R3), read in parallel slices."""
     def source(s):
-        return read_jdbc(s, target, table, partition_column, num_partitions, predicates=predicates, single_task=single_task)
+        return read_jdbc(s, target, table, partition_column, num_partitions, predicates=predicates, single_task=single_task,
+                         balance=balance)
 
     if provider == "folder":
         def sink(df):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..names import col
+from ..names import col, require_columns
 from ..operators.types import NESTED
 from . import commits
 
@@ -50,10 +50,32 @@ def _flat_for_csv(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",") -> StoreReport:
+def sized(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """The rows dealt anew so that files come out even (one shuffle, AQE's rebalance).
+
+    Tasks get about ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` each: small ones are joined, and a
+    value of ``partition_by`` that holds most rows is cut. With ``partition_by`` a folder gets files from
+    the few tasks that hold its value instead of one from every task.
+    """
+    return df.hint("rebalance", *(partition_by or []))
+
+
+def clustered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in ranges of ``columns`` and sorted within: row groups get narrow bounds that filters can skip by."""
+    keys = [col(c) for c in columns]
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def lookup_options(columns: list[str]) -> dict[str, str]:
+    """Parquet writer options for Bloom filters on ``columns``, sized by the distinct values of each row group."""
+    out = {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+    return out | ({"parquet.bloom.filter.adaptive.enabled": "true"} if columns else {})
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",", rebalance: bool = False) -> StoreReport:
     """CSV with header (K1): nulls as empty fields, RFC-4180 quoting; ``sep``
-    for other delimiters (tab for TSV)."""
-    out, obs = _observed(_flat_for_csv(df))
+    for other delimiters (tab for TSV); ``rebalance`` as in :func:`write_parquet`."""
+    out, obs = _observed(sized(_flat_for_csv(df)) if rebalance else _flat_for_csv(df))
     # Spark trims leading/trailing spaces on write by default; keep values as they are.
     _written(df.sparkSession, path, mode, lambda place, how: (
         out.write.mode(how).options(**TEXT_TIME_OPTIONS).option("header", "true").option("quote", '"')
@@ -75,13 +97,28 @@ def parquet_location(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}.parquet"
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
-                  partition_by: list[str] | None = None) -> StoreReport:
-    """Parquet at ``path``."""
-    out, obs = _observed(df)
+def laid_out(df: DataFrame, partition_by: list[str] | None, rebalance: bool, cluster_by: list[str] | None) -> DataFrame:
+    if rebalance and cluster_by:
+        raise ValueError("give one of rebalance= and cluster_by=: both deal the rows anew")
+    require_columns(df, [*(partition_by or []), *(cluster_by or [])])
+    if cluster_by:
+        return clustered(df, [*(partition_by or []), *cluster_by])
+    return sized(df, partition_by) if rebalance else df
+
+
+def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None,
+                  rebalance: bool = False, cluster_by: list[str] | None = None, lookup: list[str] | None = None) -> StoreReport:
+    """Parquet at ``path``.
+
+    ``rebalance`` evens out file sizes (:func:`sized`); ``cluster_by`` keeps equal and close values of its
+    columns together (:func:`clustered`); ``lookup`` adds Bloom filters, so a search for one value of these
+    columns skips the row groups that do not hold it. Filters need no change to profit.
+    """
+    require_columns(df, lookup or [])
+    out, obs = _observed(laid_out(df, partition_by, rebalance, cluster_by))
 
     def write(place: str, how: str) -> None:
-        writer = out.write.mode(how)
+        writer = out.write.mode(how).options(**lookup_options(lookup or []))
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(place)
@@ -90,14 +127,15 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     return StoreReport(path, obs.get["rows"], len(df.columns), "parquet")
 
 
-def store_parquet(df: DataFrame, base: str, name: str, mode: str = "overwrite",
-                  partition_by: list[str] | None = None) -> StoreReport:
+def store_parquet(df: DataFrame, base: str, name: str, mode: str = "overwrite", partition_by: list[str] | None = None,
+                  rebalance: bool = False, cluster_by: list[str] | None = None, lookup: list[str] | None = None) -> StoreReport:
     """Store as ``<base>/<name>.parquet`` and report rows and columns (K5).
 
     ``partition_by`` writes one folder per value of those columns, so later
-    filters on them prune whole folders (``PartitionFilters``).
+    filters on them prune whole folders (``PartitionFilters``). The other
+    options are those of :func:`write_parquet`.
     """
-    return write_parquet(df, parquet_location(base, name), mode, partition_by)
+    return write_parquet(df, parquet_location(base, name), mode, partition_by, rebalance, cluster_by, lookup)
 
 
 #: How a landing writes a null; a text that begins with a backslash gets one more in front.
@@ -133,7 +171,7 @@ def unmarked(c):
     return F.when(c == LANDED_NULL, None).when(c.startswith("\\"), F.substr(c, F.lit(2))).otherwise(c)
 
 
-def land_csv(df: DataFrame, base: str, name: str) -> StoreReport:
+def land_csv(df: DataFrame, base: str, name: str, rebalance: bool = False) -> StoreReport:
     """Land the dataset as CSV under ``<base>/input/`` in a **new** folder (K7).
 
     A file stream remembers files by path, so overwriting one landing in
@@ -146,7 +184,7 @@ def land_csv(df: DataFrame, base: str, name: str) -> StoreReport:
     folder = landing_name(name)
     staging = f"{base.rstrip('/')}/staging/{folder}"
     final = f"{base.rstrip('/')}/input/{folder}"
-    report = write_csv(_marked_nulls(df), staging)
+    report = write_csv(_marked_nulls(df), staging, rebalance=rebalance)
     commits.rename(spark, staging, final)
     return StoreReport(final, report.rows, report.columns, "csv")
 

@@ -29,7 +29,7 @@ def write_jdbc(df: DataFrame, target: JdbcTarget, table: str, mode: str = "overw
 
 def copy_table_to_lake(spark: SparkSession, target: JdbcTarget, table: str, base: str,
                        partition_column: str | None = None, num_partitions: int = 8,
-                       predicates: Sequence[str] | None = None, single_task: bool = False) -> StoreReport:
+                       predicates: Sequence[str] | None = None, single_task: bool = False, balance: bool = False) -> StoreReport:
     """Database table -> landed CSV under ``<base>/input/`` (K8); no local copy. Slices as in ``read_jdbc``."""
     return land_csv(read_jdbc(spark, target, table, partition_column, num_partitions, predicates=predicates,
-                              single_task=single_task), base, table)
+                              single_task=single_task, balance=balance), base, table)

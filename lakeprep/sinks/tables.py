@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..names import col, quote
 from . import commits
-from .files import StoreReport
+from .files import StoreReport, laid_out, lookup_options
 
 _IDENT = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
@@ -196,14 +196,18 @@ def current_version(spark: SparkSession, location: str) -> str | None:
 
 def store_table(df: DataFrame, identifier: str, provider: str = "iceberg",
                 location: str | None = None, properties: dict[str, str] | None = None,
-                count_rows: bool = True, partition_by: list[str] | None = None, keep: int = 0) -> StoreReport:
+                count_rows: bool = True, partition_by: list[str] | None = None, keep: int = 0, rebalance: bool = False,
+                cluster_by: list[str] | None = None, lookup: list[str] | None = None) -> StoreReport:
     """Create or replace a table with the dataset (K6); ``keep`` older versions of a Parquet table stay.
 
+    ``rebalance``, ``cluster_by`` and ``lookup`` are those of ``write_parquet`` (Bloom filters: Parquet tables).
+
     The location reported is the table's real location as the catalog
     records it, not a guessed path. Rows are counted while writing.
     """
     check_identifier(identifier)
     spark = df.sparkSession
+    df = laid_out(df, partition_by, rebalance, cluster_by)
     out, obs = _observed(df, f"store-{identifier}") if count_rows else (df, None)
     if provider == "iceberg":
         writer = out.writeTo(identifier).using("iceberg").tableProperty("write.format.default", "parquet")
@@ -213,7 +217,7 @@ def store_table(df: DataFrame, identifier: str, provider: str = "iceberg",
             writer = writer.partitionedBy(*[col(c) for c in partition_by])
         writer.createOrReplace()
     elif provider == "parquet":
-        _replace_table(spark, out, identifier, location, properties, partition_by, keep)
+        _replace_table(spark, out, identifier, location, lookup_options(lookup or []) | (properties or {}), partition_by, keep)
     else:
         raise ValueError(f"provider must be 'iceberg' or 'parquet', not {provider!r}")
     rows = obs.get["rows"] if obs is not None else -1
