@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import stage, worker_cache
 
-STRIDE, OVERLAP, WIDEN, CHARS_AT_ONCE = 16_384, 1_024, 4, 400_000
+STRIDE, OVERLAP, WIDEN, CHARS_AT_ONCE = 32_768, 1_024, 4, 400_000
 #: Chunks a task encodes, while there are fewer than ``MOST_TASKS`` tasks' worth.
 CHUNKS_A_TASK, MOST_TASKS = 32, 20_000
 
@@ -175,8 +175,9 @@ def _counted_or_cut(df: DataFrame, make: Callable, stride: int, overlap: int) ->
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             whole = [i for i, x in enumerate(texts) if len(x) <= stride + overlap or not tool.can_cut]
-            counts = [n for part in _slices([texts[i] for i in whole]) for n in tool.counts(part)]
-            rows = [(i, len(texts[i].encode()), n, None, None, None, None) for i, n in zip(whole, counts)]
+            distinct = list(dict.fromkeys(texts[i] for i in whole))      # copies in a batch are encoded once
+            counts = dict(zip(distinct, (n for part in _slices(distinct) for n in tool.counts(part))))
+            rows = [(i, len(texts[i].encode()), counts[texts[i]], None, None, None, None) for i in whole]
             for i in sorted(set(range(len(texts))) - set(whole)):
                 text, name = texts[i], uuid.uuid4().hex
                 last = -(-(len(text) - overlap) // stride) - 1
