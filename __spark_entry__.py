@@ -28,6 +28,7 @@ from lakeprep.sinks.tables import save_snapshot, store_table
 from lakeprep.sources.lake import list_saved, load_saved, read_table
 from lakeprep.sources.text import read_csv, read_json
 from lakeprep.streaming.refresh import read_refreshed, refresh_once
+from lakeprep.streaming.states import appended_profile, update_states
 
 try:
     import corpus_pipeline
@@ -478,6 +479,17 @@ def _lineitem_crowded(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").selectExpr(f"if({rare}, l_quantity, 25.0D) AS quantity", f"if({rare}, l_orderkey, 0L) AS orderkey")
 
 
+def profile_append(spark, sf_dir):
+    """Documents land in two parts, the second with copies of the first; each profile reads new epochs only."""
+    docs = _t(spark, sf_dir, "documents").withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    base, sink = scratch_path(spark, "append"), scratch_path(spark, "append-table")
+    for part in (docs, docs.where(F.col("source") == docs.select(F.min("source")).scalar())):
+        land_csv(part, base, "docs")
+        refresh_once(spark, base, "docs", sink, docs.schema, "append")
+        update_states(spark, sink)
+    return appended_profile(spark, sink)
+
+
 def sort_copies(spark, sf_dir):
     return ops.sort_rows(_lineitem_crowded(spark, sf_dir), "quantity", split_copies=True)
 
@@ -626,7 +638,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "describe_numeric_all": describe_numeric_all, "fill_nulls_decimal": fill_nulls_decimal, "snapshot_replace": snapshot_replace,
     "snapshot_replace_location": snapshot_replace_location, "snapshot_new_columns": snapshot_new_columns,
     "refresh_during_batch": refresh_during_batch,
-    "sort_copies": sort_copies, "parquet_lookup": parquet_lookup, "parquet_rebalanced": parquet_rebalanced,
+    "profile_append": profile_append, "sort_copies": sort_copies, "parquet_lookup": parquet_lookup, "parquet_rebalanced": parquet_rebalanced,
     "drop_duplicates_wide": drop_duplicates_wide, "duplicate_count_wide": duplicate_count_wide,
     "profile_wide": profile_wide, "describe_text_wide": describe_text_wide,
 }
@@ -687,6 +699,11 @@ _ORACLE: dict[str, str] = {
     "land_text_tokens": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'NA' WHEN 1 THEN 'None' WHEN 2 THEN '' WHEN 3 THEN '\\N' END AS word
         FROM orders""",
     "snapshot_replace": "SELECT * FROM orders WHERE o_orderstatus = 'F'",
+    "profile_append": """WITH d AS (SELECT * REPLACE (CASE WHEN lang <> 'de' THEN lang END AS lang) FROM documents),
+        d2 AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE source = (SELECT min(source) FROM d))
+        SELECT count(*) AS "rows", CAST(5 AS BIGINT) AS "columns",
+            CAST(5 * count(*) - count(doc_id) - count(text) - count(lang) - count(source) - count(n_chars) AS BIGINT) AS null_cells,
+            CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d2)) AS BIGINT) AS duplicate_rows FROM d2""",
     "sort_copies": """SELECT CASE WHEN l_orderkey % 8 = 0 THEN l_quantity ELSE 25.0 END AS quantity,
         CASE WHEN l_orderkey % 8 = 0 THEN l_orderkey ELSE 0 END AS orderkey FROM lineitem ORDER BY quantity""",
     "parquet_lookup": "SELECT * FROM lineitem WHERE l_partkey = 7 UNION ALL SELECT * FROM lineitem WHERE l_orderkey = 7",
