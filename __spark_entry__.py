@@ -479,6 +479,15 @@ def _lineitem_crowded(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").selectExpr(f"if({rare}, l_quantity, 25.0D) AS quantity", f"if({rare}, l_orderkey, 0L) AS orderkey")
 
 
+def store_job_steps(spark, sf_dir):
+    """Rows that each step of a stored recipe left."""
+    recipe = Recipe.from_actions(["FILTER:l_quantity:>:25", "REMOVE_NULLS:fill", "REMOVE_DUPLICATES"])
+    base = scratch_path(spark, "steps")
+    result = run_store_job(spark, lambda s: _lineitem_with_nulls(s, sf_dir).drop("l_extendedprice"),
+                           lambda df: store_parquet(df, base, "steps"), recipe, count_steps=True)
+    return result.report.select("step", "status", "rows")
+
+
 def profile_append(spark, sf_dir):
     """Documents land in two parts, the second with copies of the first; each profile reads new epochs only."""
     docs = _t(spark, sf_dir, "documents").withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
@@ -638,7 +647,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "describe_numeric_all": describe_numeric_all, "fill_nulls_decimal": fill_nulls_decimal, "snapshot_replace": snapshot_replace,
     "snapshot_replace_location": snapshot_replace_location, "snapshot_new_columns": snapshot_new_columns,
     "refresh_during_batch": refresh_during_batch,
-    "profile_append": profile_append, "sort_copies": sort_copies, "parquet_lookup": parquet_lookup, "parquet_rebalanced": parquet_rebalanced,
+    "store_job_steps": store_job_steps, "profile_append": profile_append, "sort_copies": sort_copies, "parquet_lookup": parquet_lookup, "parquet_rebalanced": parquet_rebalanced,
     "drop_duplicates_wide": drop_duplicates_wide, "duplicate_count_wide": duplicate_count_wide,
     "profile_wide": profile_wide, "describe_text_wide": describe_text_wide,
 }
@@ -699,6 +708,10 @@ _ORACLE: dict[str, str] = {
     "land_text_tokens": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'NA' WHEN 1 THEN 'None' WHEN 2 THEN '' WHEN 3 THEN '\\N' END AS word
         FROM orders""",
     "snapshot_replace": "SELECT * FROM orders WHERE o_orderstatus = 'F'",
+    "store_job_steps": f"""WITH f AS (SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, l_returnflag FROM {_LI_NULLS} WHERE l_quantity > 25),
+        n(loaded, kept, once) AS (SELECT (SELECT count(*) FROM lineitem), (SELECT count(*) FROM f), (SELECT count(*) FROM (SELECT DISTINCT * FROM f)))
+        SELECT step, 'ok' AS status, CAST(k AS BIGINT) AS "rows" FROM n, LATERAL (VALUES ('load', loaded), ('transform', NULL), ('transform 1', kept),
+            ('transform 2', kept), ('transform 3', once), ('store', once)) steps(step, k)""",
     "profile_append": """WITH d AS (SELECT * REPLACE (CASE WHEN lang <> 'de' THEN lang END AS lang) FROM documents),
         d2 AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE source = (SELECT min(source) FROM d))
         SELECT count(*) AS "rows", CAST(5 AS BIGINT) AS "columns",

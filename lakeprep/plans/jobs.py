@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
+from ..operators.cleaning import counted
 from ..operators.columns import select_columns
 from ..small import small_table
 from ..sinks.files import StoreReport, store_parquet
@@ -38,17 +39,33 @@ class JobResult:
 
 
 def run_store_job(spark: SparkSession, source: Callable[[SparkSession], DataFrame],
-                  sink: Callable[[DataFrame], StoreReport], recipe: Recipe | None = None) -> JobResult:
-    """Load, transform and store in one application (R1); a failed step raises :class:`JobFailed`."""
+                  sink: Callable[[DataFrame], StoreReport], recipe: Recipe | None = None,
+                  count_steps: bool = False) -> JobResult:
+    """Load, transform and store in one application (R1); a failed step raises :class:`JobFailed`.
+
+    ``count_steps`` reports the rows that were loaded and those each step of the recipe left, one line a
+    step. The counters ride on the job that stores (no job of their own), but a counter between a source
+    and a filter keeps the filter from the scan. Rows a ``preview`` never reads are not counted before it.
+    """
     rows: list[tuple] = []
+    counters: list[tuple[str, Observation]] = []
+
+    def watched(label: str, frame: DataFrame) -> DataFrame:
+        if not count_steps:
+            return frame
+        frame, counter = counted(frame, f"step{len(counters)}")
+        counters.append((label, counter))
+        return frame
+
     df = out = None
     stored = None
     stage = "load"
     try:
         df = source(spark)
         rows.append(("load", "ok", None, None, f"{len(df.columns)} columns"))
+        df = watched("load", df)
         stage = "transform"
-        out = recipe.apply(df) if recipe is not None else df
+        out = recipe.apply(df, lambda step, frame: watched(step.op, frame)) if recipe is not None else df
         rows.append(("transform", "ok", None, None, f"{len(recipe) if recipe else 0} steps"))
         stage = "store"
         stored = sink(out)
@@ -58,6 +75,10 @@ def run_store_job(spark: SparkSession, source: Callable[[SparkSession], DataFram
         for later in ("load", "transform", "store")[("load", "transform", "store").index(stage) + 1:]:
             rows.append((later, "skipped", None, None, None))
         raise JobFailed(stage, small_table(spark, rows, REPORT_SCHEMA), e) from e
+    if counters:
+        found = [(label, counter.get["rows"]) for label, counter in counters]
+        steps = [(f"transform {i}", "ok", n, None, label) for i, (label, n) in enumerate(found[1:], 1)]
+        rows = [("load", "ok", found[0][1], None, rows[0][4]), rows[1], *steps, rows[2]]
     report = small_table(spark, rows, REPORT_SCHEMA)
     return JobResult(report, out, stored)
 

@@ -74,9 +74,12 @@ class Recipe:
     def __len__(self) -> int:
         return len(self.steps)
 
-    def apply(self, df: DataFrame) -> DataFrame:
+    def apply(self, df: DataFrame, watch: Callable[[Step, DataFrame], DataFrame] | None = None) -> DataFrame:
+        """The steps in order; ``watch(step, result)`` may wrap the result of each (a row counter, say)."""
         for s in self.steps:
             df = s.bind()(df)
+            if watch is not None:
+                df = watch(s, df)
         return df
 
     __call__ = apply

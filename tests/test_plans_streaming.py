@@ -288,3 +288,16 @@ def test_a_committed_batch_is_not_written_again(spark):
     before = sorted((f, os.stat(f"{folder}/{f}").st_mtime_ns) for f in os.listdir(folder))
     assert refresh_once(spark, base, "d", sink, one.schema, "append", f"{base}/ck-again").count() == 3
     assert sorted((f, os.stat(f"{folder}/{f}").st_mtime_ns) for f in os.listdir(folder)) == before
+
+
+def test_store_job_counts_each_step(spark):
+    source = lambda s: s.range(100).selectExpr("id", "id % 10 AS k")                       # noqa: E731
+    base = scratch_path(spark, "steps")
+    for more in (True, False):
+        recipe = Recipe([("filter", {"column": "id", "operator": ">", "value": "19"}), *[("drop_column", {"column": "id"}), ("drop_duplicates", {})][:2 * more]])
+        done = run_store_job(spark, source, lambda df: store_parquet(df, base, "s"), recipe, count_steps=True)
+        got = [(r["step"], r["rows"]) for r in done.report.collect()]
+        want = [("load", 100), ("transform", None), ("transform 1", 80)]
+        assert got == want + ([("transform 2", 80), ("transform 3", 10), ("store", 10)] if more else [("store", 80)])
+    plain = run_store_job(spark, source, lambda df: store_parquet(df, base, "s"), recipe)
+    assert [r["step"] for r in plain.report.collect()] == ["load", "transform", "store"]
