@@ -2,21 +2,26 @@
 
 Each pass hashes every vector to ``BITS`` signs of random projections, concatenated; the vectors are
 ordered by label and hash, and each is compared with its next ``WINDOW`` neighbours in that order. Pairs
-whose cosine in double precision reaches the threshold are united across all passes. The number of passes
-follows from the size of the largest label: if directions are spread evenly, a pair at the threshold is missed
-by all of them with a chance of about ``MISS`` (its hashes agree on the bits that shrink a label to one window).
-Where rows of a label crowd, windows do not reach all neighbours and more pairs are missed: this is open.
+whose cosine in double precision reaches the threshold are united across all passes. Unit vectors are hashed
+relative to their label's mean, so that a direction all rows of a label share does not fill the windows.
+
+The first passes are as many as a label of evenly spread directions needs (``passes``). What they found is then
+measured over all rows: ``PROBES`` rows, half of them linked ones, are compared with every row of their
+labels, and passes with new projections are added, doubling, until the share of the probes' links that lie
+inside components reaches ``RECALL``, or ``MOST_PASSES`` are done. Rows that crowd in a label (a dense topic)
+therefore cost passes, not links. ``measured_recall`` gives the share for any grouping.
 
 Equal vectors of a label are one class before the passes, so a heap of copies costs one row. The passes
 decide who belongs together; every pair inside a found component is then compared in blocks of ``BLOCK``
 rows, so that a vector's number of links has no cap by the window. Only sums leave the blocks.
 
 The order is cut by rank, not by key: a block of ranks and its first neighbours beyond form one task's
-group however many rows share a hash.
+group however many rows share a hash. Only ids and hashes are sorted; vectors join the blocks.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows
 without a label, link with nothing and are kept alone; vectors of different length never link. Repeated
 rows of one id count once (the smallest label and vector stand); a null id comes back unlinked, not kept.
+Very long vectors work. Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +32,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 from .components import components
 
 THRESHOLD, WINDOW, BITS, MISS, ROWS, BLOCK, SEED = 0.93, 64, 62, 0.001, 2048, 1024, 20240229
+PROBES, RECALL, MOST_PASSES = 512, 0.998, 4096
 
 
 def passes(largest: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
@@ -54,10 +60,46 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
 
-def _signed(classes: DataFrame, n_passes: int) -> DataFrame:
-    """One row per class and pass with its concatenated sign hash."""
+def _unit(column) -> np.ndarray:
+    x = _matrix(column)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _means(classes: DataFrame) -> DataFrame:
+    """``(label, dim, mean)``: the mean of each label's unit vectors, added up in the tasks first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            labels, lists = np.asarray(batch.column(0)), batch.column(1).to_pylist()
+            dims = np.array([len(v) for v in lists], np.int64)
+            for label, dim in {*zip(labels.tolist(), dims.tolist())}:
+                at = np.flatnonzero((labels == label) & (dims == dim))
+                total = held.setdefault((label, dim), [0, np.zeros(dim)])
+                total[0] += len(at)
+                total[1] += _unit([lists[i] for i in at]).sum(0)
+            if len(held) > 10_000:
+                yield from out(held)
+                held.clear()
+        yield from out(held)
+
+    def out(held: dict) -> Iterator[pa.RecordBatch]:
+        if held:
+            keys, sums = zip(*held.items())
+            labels, dims = zip(*keys)
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(dims, pa.int32()), pa.array([n for n, _ in sums], pa.int64()),
+                                              pa.array([v for _, v in sums], pa.list_(pa.float64()))], ["label", "dim", "n", "total"])
+
+    parts = classes.select("label", "vec").mapInArrow(run, "label long, dim int, n long, total array<double>")
+    each = parts.select("label", "dim", "n", F.posexplode("total").alias("place", "total")).groupBy("label", "dim", "place").agg(
+        (F.sum("total") / F.sum("n")).alias("mean"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "mean")))
+    return each.groupBy("label", "dim").agg(F.transform(ordered, lambda x: x["mean"]).alias("mean"))
+
+
+def _signed(classes: DataFrame, first: int, many: int) -> DataFrame:
+    """One row per class and pass, from pass ``first`` on, with its concatenated sign hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -65,19 +107,18 @@ def _signed(classes: DataFrame, n_passes: int) -> DataFrame:
             for dim in np.unique(dims):
                 own = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([SEED, int(dim)]).standard_normal((n_passes, dim, BITS))
-                x = _matrix(own.column(2).to_pylist())
-                for k in range(n_passes):
+                    planes[dim] = [np.random.default_rng([SEED, int(dim), first + k]).standard_normal((dim, BITS)) for k in range(many)]
+                x = _unit(own.column(2).to_pylist()) - _matrix(own.column(3).to_pylist())
+                for k in range(many):
                     bits = (x @ planes[dim][k] > 0).astype(np.int64)
                     sign = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                     n = own.num_rows
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, k), pa.int32()), own.column(0), own.column(1),
-                         pa.array(np.full(n, dim), pa.int32()), pa.array(sign), own.column(2)],
-                        ["pass", "label", "id", "dim", "sign", "vec"])
-    kind = classes.schema["vec"].dataType.simpleString()
-    return classes.select("label", "id", "vec").mapInArrow(
-        run, f"pass int, label long, id long, dim int, sign long, vec {kind}")
+                        [pa.array(np.full(n, first + k), pa.int32()), own.column(0), own.column(1),
+                         pa.array(np.full(n, dim), pa.int32()), pa.array(sign)], ["pass", "label", "id", "dim", "sign"])
+    means = _means(classes).withColumnRenamed("dim", "size")
+    centred = classes.withColumn("size", F.size("vec")).join(means, ["label", "size"])
+    return centred.select("label", "id", "vec", "mean").mapInArrow(run, "pass int, label long, id long, dim int, sign long")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -99,23 +140,23 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     return used
 
 
-def _window_links(classes: DataFrame, n_passes: int, threshold: float) -> DataFrame:
-    """Verified pairs that join each window block's vectors, from all passes."""
-    rows = classes.count() * n_passes
+def _window_links(classes: DataFrame, first: int, many: int, threshold: float) -> DataFrame:
+    """Verified pairs that join each window block's vectors, from passes ``first`` on."""
+    rows = classes.count() * many
     parts = max(1, math.ceil(rows / 50_000))
     order = ["pass", "label", "dim", "sign", "id"]
-    numbered = _signed(classes, n_passes).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    numbered = stage(numbered.select("*", F.monotonically_increasing_id().alias("at")), "sorted-passes")
-    sizes = numbered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect()   # one row a partition
-    first, before = {}, 0
-    for r in sorted(sizes, key=lambda r: r["part"]):
-        first[r["part"]], before = before, before + r["n"]
-    starts = numbered.sparkSession.createDataFrame(list(first.items()), "part long, first long")
+    sorted_rows = _signed(classes, first, many).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    numbered = stage(sorted_rows.select("id", "label", "dim", F.monotonically_increasing_id().alias("at")), "sorted-passes")
+    numbered = numbered.withColumn("part", F.shiftright("at", 33))
+    sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))                  # one row a partition
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     rank = F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    ranked = numbered.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(starts), "part").select("label", "id", "dim", "vec", rank.cast("long").alias("rank"))
+    ranked = (numbered.join(starts, "part").select("id", "label", "dim", rank.cast("long").alias("rank"))
+              .join(classes.select("id", "vec"), "id"))
     block = F.floor(F.col("rank") / ROWS)
-    own = ranked.select("*", block.alias("block"))
-    ahead = ranked.where((F.col("rank") % ROWS < WINDOW) & (F.col("rank") >= ROWS)).select("*", (block - 1).alias("block"))
+    # a block and its first neighbours beyond: the latter also belong to the block before
+    spread = ranked.withColumn("block", F.explode(F.when((F.col("rank") % ROWS < WINDOW) & (F.col("rank") >= ROWS), F.array(block, block - 1))
+                                                  .otherwise(F.array(block))))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank")
@@ -134,7 +175,57 @@ def _window_links(classes: DataFrame, n_passes: int, threshold: float) -> DataFr
         used = _forest(len(group), a, b)
         return pd.DataFrame({"a": ids[a[used]], "b": ids[b[used]]})
 
-    return own.unionByName(ahead).groupBy("block").applyInPandas(compare, "a long, b long")
+    return spread.groupBy("block").applyInPandas(compare, "a long, b long")
+
+
+def measured_recall(classes: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES) -> float:
+    """Share of the links of some rows that lie inside components: ``probes`` rows against all of their label.
+
+    Half of the probes are rows that have a component, as most links are theirs; both halves are the smallest
+    by a hash of the id. Only the probes' vectors reach the driver.
+    """
+    order = [F.xxhash64("id", F.lit(SEED)), "id"]
+    linked = classes.join(groups.select("id"), "id", "left_semi").orderBy(*order).limit(probes // 2)
+    some = classes.orderBy(*order).limit(probes - probes // 2)
+    rows = linked.unionByName(some).select("id", "label", "vec").dropDuplicates(["id"]).collect()
+    if not rows:
+        return 1.0
+    table: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for key in {(r["label"], len(r["vec"])) for r in rows}:
+        own = [r for r in rows if (r["label"], len(r["vec"])) == key]
+        table[key] = np.array([r["id"] for r in own], np.int64), _unit([r["vec"] for r in own])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, labels, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).to_pylist()
+            dims = np.array([len(v) for v in lists], np.int64)
+            for (label, dim), (probe, x) in table.items():
+                at = np.flatnonzero((labels == label) & (dims == dim))
+                for part in np.array_split(at, -(-len(at) // ROWS) or 1):
+                    if len(part):
+                        p, q = np.nonzero(x @ _unit([lists[i] for i in part]).T >= threshold)
+                        other = ids[part[q]] != probe[p]
+                        yield pa.RecordBatch.from_arrays([pa.array(probe[p][other]), pa.array(ids[part[q]][other])], ["a", "b"])
+
+    pairs = classes.select("id", "label", "vec").mapInArrow(run, "a long, b long")
+    both = (pairs.join(groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+            .join(groups.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left"))
+    found = both.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).alias("k")).first()
+    return found["k"] / found["n"] if found["n"] else 1.0
+
+
+def near_groups(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(id, component)`` of the classes that link, from as many passes as it takes."""
+    largest = classes.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    links, done, many = None, 0, passes(largest, threshold)
+    while True:
+        new = _window_links(classes, done, many, threshold)
+        links = stage(new if links is None else links.unionByName(new).distinct(), "vector-links")
+        groups = stage(components(links), "vector-groups")
+        done += many
+        if done >= MOST_PASSES or measured_recall(classes, groups, threshold) >= RECALL:
+            return groups
+        many = min(done, MOST_PASSES - done)
 
 
 def _block_links(classes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
@@ -186,9 +277,7 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id
                   .withColumn("h", F.xxhash64("label", "vec")).withColumn("h2", F.xxhash64("vec", F.lit(1), "label")), "vectors")
     part = known.where("usable")
     classes = stage(part.groupBy("label", "h", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("vec").alias("vec")), "vector-classes")
-    largest = classes.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    links = _window_links(classes, passes(largest, threshold), threshold)
-    groups = stage(components(links), "vector-groups")
+    groups = near_groups(classes, threshold)
     linked = _block_links(classes.select("id", "vec", "copies"), groups, threshold)
     solved = (classes.select("label", "h", "h2", "copies", F.col("id").alias("first"))
               .join(groups.withColumnRenamed("id", "first"), "first", "left")

@@ -10,11 +10,13 @@ Pieces get their rank among equal lengths without a task that sees a whole lengt
 hashed into chunks of about ``CHUNK`` rows, counted, and numbered within each chunk from its first rank.
 
 Defined results: a null or empty text has one piece, the closing id alone. Repeated rows are packed each.
-An empty table gives an empty result.
+Special strings inside a text count as the library's default reads them, one id each. Very long texts are cut
+like others. Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -35,19 +37,20 @@ def pieces(df: DataFrame, tokenizer: str, pattern: str, key: str = "doc_id", tex
     """One row per piece: key, start, length, ids_crc32, doc_tokens and, if asked for, its ids.
 
     ``tokenizer`` is a JSON file of byte-level merges. Its vocabulary is read by the driver; tasks merge with
-    a compiled encoder of the same merges, which gives the ids the ``tokenizers`` library gives (tested).
+    a compiled encoder of the same merges, which gives the ids the ``tokenizers`` library gives (tested),
+    those of special strings inside a text included.
     """
-    ranks = {t: i for i, t in enumerate(bpe.from_merges(tokenizer).tokens) if t}
+    ranks, special = encoder_tables(tokenizer)
     made: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
             import tiktoken
-            made.append(tiktoken.Encoding("merges", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
+            made.append(tiktoken.Encoding("merges", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special))
         for batch in batches:
             keys, rows = batch.column(0), {k: [] for k in ("at", "start", "length", "crc", "total", "ids")}
             for i, value in enumerate(batch.column(1)):
-                ids = np.append(made[0].encode_to_numpy(value.as_py() or ""), CLOSING_ID).astype("<u4")
+                ids = np.append(made[0].encode_to_numpy(value.as_py() or "", allowed_special="all"), CLOSING_ID).astype("<u4")
                 for start in range(0, len(ids), SEQUENCE):
                     own = ids[start:start + SEQUENCE]
                     for k, v in (("at", i), ("start", start), ("length", len(own)),
@@ -67,6 +70,16 @@ def pieces(df: DataFrame, tokenizer: str, pattern: str, key: str = "doc_id", tex
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def encoder_tables(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Token ids by bytes, which must also be the order of merges, and special strings with their ids."""
+    with open(path, encoding="utf-8") as file:
+        special = {t["content"]: t["id"] for t in json.load(file).get("added_tokens", [])}
+    vocab = bpe.from_merges(path)
+    if np.any(np.diff(vocab.merged[np.argsort(vocab.ranks)]) <= 0):
+        raise ValueError(f"{path}: its merges do not come in the order of their ids")
+    return {t: i for i, t in enumerate(vocab.tokens) if t and i not in special.values()}, special
+
+
 def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
     """Intervals ``(length, first rank, count, first sequence, offset)`` by shortest-pack-first."""
     open_packs: list[list[list[int]]] = [[] for _ in range(size + 1)]    # by room left: [first sequence, count]

@@ -89,11 +89,10 @@ def packed_rows(spark, texts, **more):
 
 
 def test_packing_is_exact_gapless_and_tight(spark):
-    texts = [*TEXTS, *fuzz(200), *["same text here"] * 50]
+    texts = [*TEXTS, *fuzz(200), *["same text here"] * 50, "a <|endoftext|> b", "<|endoftext|>" * 3000, "  <|endoftext|>  x<|endoftext|>"]
     rows = packed_rows(spark, texts, with_ids=True)
     found = rows.collect()
-    hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    hf.encode_special_tokens = True
+    hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))      # special strings as its default reads them
     ids = {i: np.array([*hf.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(texts)}
     covered, used = {}, {}
     for r in found:

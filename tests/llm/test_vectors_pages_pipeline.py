@@ -68,6 +68,50 @@ def test_near_vectors_large_groups_are_counted_in_blocks(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0} and {r["n_links"] for r in got} == {149}
 
 
+def brute_links(vectors, labels):
+    x = np.array(vectors, float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels)[None, :])
+    np.fill_diagonal(links, False)
+    return links
+
+
+@pytest.mark.parametrize("mean_cosine", [0.0, 0.7, 0.85, 0.9])
+def test_near_vectors_find_the_links_of_crowded_labels(spark, mean_cosine):
+    """Labels whose rows share a direction: recall against brute force, and the operator's own measure of it."""
+    rng = np.random.default_rng(11)
+    n, dim = 2500, 64
+    common = rng.standard_normal(dim)
+    common /= np.linalg.norm(common)
+
+    def noise(k):
+        v = rng.standard_normal((k, dim)) / np.sqrt(dim)
+        return v - (v @ common)[:, None] * common
+
+    base = np.sqrt(mean_cosine) * common + np.sqrt(1 - mean_cosine) * noise(n)
+    near = base[:400] + 0.33 * noise(400) * rng.random((400, 1))                   # planted neighbours, near and at the threshold
+    vectors, labels = np.concatenate([base, near]), [3] * (n + 400)
+    df = spark.createDataFrame([(i, [float(v) for v in x], y) for i, (x, y) in enumerate(zip(vectors, labels))], "vec_id long, embedding array<double>, label int")
+    links = brute_links(vectors, labels)
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_vectors(df).collect()}
+    assert all(got[i] <= links[i].sum() for i in got)
+    assert sum(got.values()) >= 0.99 * links.sum() > 300
+
+
+def test_recall_is_measured_against_all_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 8))
+    x = np.concatenate([x, x + 0.01, x + 0.02])
+    classes = spark.createDataFrame([(i, 1, [float(v) for v in row]) for i, row in enumerate(x)], "id long, label long, vec array<double>")
+    whole = spark.createDataFrame([(i, i % 60) for i in range(180)], "id long, component long")
+    part = spark.createDataFrame([(i, i % 60) for i in range(120)], "id long, component long")
+    links = brute_links(x, [1] * 180)
+    inside = sum(links[i, j] for i in range(180) for j in range(180) if i % 60 == j % 60)
+    assert near_vectors.measured_recall(classes, whole) == pytest.approx(inside / links.sum())
+    assert near_vectors.measured_recall(classes, part) < 0.6
+    assert near_vectors.measured_recall(classes.limit(0), whole.limit(0)) == 1.0
+
+
 def test_passes_grow_with_the_label():
     assert near_vectors.passes(10) <= near_vectors.passes(10_000) < near_vectors.passes(10_000_000)
 
