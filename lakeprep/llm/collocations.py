@@ -44,9 +44,9 @@ from .common import mix64, stage
 DEPTH, LEAST, TOP = 4, 30, 2000
 FILTER_BITS, FILTER_HASHES = 1 << 26, 4
 BLOCK, POINTERS_AT_ONCE, ROWS_A_PARTITION, SALTS = 1 << 20, 1 << 20, 500_000, 64
-_PIECE_END, _BLANK = b".,;:!?\n\x0b\x0c\r", b"\t"
-_TABLE = bytes.maketrans(_PIECE_END + _BLANK, b"\n" * len(_PIECE_END) + b" ")
-_GAP = re.compile(rb"[ \n]")
+_PIECE_END, _END = b".,;:!?\n\x0b\x0c\r", b"\xff"                # a byte that no text in UTF-8 holds
+_TABLE = bytes.maketrans(_PIECE_END + b"\t", _END * len(_PIECE_END) + b" ")
+_GAP = re.compile(rb"[ \xff]")
 KEYS = [f"k{i}" for i in range(DEPTH)]
 
 
@@ -54,6 +54,7 @@ class _Numbered(dict):
     """Numbers a language's words in the order they are met; all languages share the numbers."""
 
     def __init__(self, lang: str, words: list[tuple[str, bytes]]) -> None:
+        super().__init__({_END: -1})
         self.lang, self.words = lang, words
 
     def __missing__(self, word: bytes) -> int:
@@ -83,18 +84,15 @@ class _Reader:
     def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int, list[tuple[str, bytes]]]]:
         """(numbers, how many of them are pointers, the (lang, word) of each number)."""
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = (text or "").encode().lower().translate(_TABLE)        # bytes: A-Z alone
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = (text.as_py() or "").encode().lower().translate(_TABLE)    # bytes: A-Z alone
                 at = 0
                 while at < len(data):
                     end = at + BLOCK
                     gap = _GAP.search(data, end) if end < len(data) else None
                     end = gap.start() if gap else len(data)
-                    number, buffer = self.numbers(lang).__getitem__, self.buffer
-                    for i, piece in enumerate(data[at:end].split(b"\n")):
-                        if i:
-                            buffer.append(-1)
-                        buffer.extend(map(number, piece.split()))
+                    words = data[at:end].replace(_END, b" " + _END + b" ").split()
+                    self.buffer.extend(map(self.numbers(lang).__getitem__, words))
                     at = end
                     if len(self.buffer) >= POINTERS_AT_ONCE:
                         yield self._block(lang, DEPTH - 1 if at < len(data) else 0)
