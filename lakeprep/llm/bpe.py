@@ -12,7 +12,8 @@ encoded once, and a bounded memory of encoded pieces (``REMEMBERED``) serves lat
 The driver reads the vocabulary (its size is fixed) and ships it with the task's code.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; lone surrogates cannot occur in
-Spark strings. Repeated rows give equal results.
+Spark strings. Repeated rows give equal results. Very long texts are encoded whole, a piece at a time. Extra
+columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -19,14 +19,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == HELD_OUT_REMAINDER
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int],
-                    extra: int = 0) -> tuple[DataFrame, dict[int, int]]:
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids`` (few enough to broadcast, one row an id) with the text of each; of several texts the smallest."""
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(ids), "id").groupBy(*ids.columns).agg(F.min("text").alias("text"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
     """``(text, label)`` of a bounded sample of labelled training rows, and the class counts.
 
     The class counts cover every labelled row outside the held-out fold. The sample takes the
-    ``per_class`` rows of each class with the smallest hash of their id, so it does not depend
-    on the file order. Several labels of one id count as their maximum; null ids and labels
-    take no part. The broadcast side holds ``sum(per_class)`` ids at most.
+    ``per_class`` ids of each class with the smallest hash, so it does not depend on the file
+    order; one row an id, however often it is repeated. Several labels of one id count as their
+    maximum; null ids and labels take no part. The broadcast side holds ``sum(per_class)`` ids at most.
     """
     known = (labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
              .where(F.col("id").isNotNull() & F.col("y").isNotNull())
@@ -37,8 +42,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: d
     for y, limit in per_class.items():
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(limit)
         picks = part if picks is None else picks.unionByName(part)
-    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picks), "id").select("text", F.col("y").alias("label")), counts
+    return texts_of(docs, picks).select("text", F.col("y").alias("label")), counts
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

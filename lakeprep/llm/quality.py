@@ -1,17 +1,20 @@
 """Quality classifier: positive-unlabelled learning with a non-negative risk estimator.
 
 Trusted positives are labelled rows (``quality = 1``) outside the held-out fold; the unlabelled set is
-a sample of all documents whose labels, if any, are not read. The class prior is estimated from the two
-sets alone: for a score that separates them, the share of unlabelled rows above a cut over the share of
-positives above it is at least the prior, and comes closest where negatives are rarest.
+all documents, whose labels, if any, are not read. Their statistics are written to scratch once: the bins
+are cut at the quantiles of all of them, and the class prior is estimated from the scores of all of them:
+for a score that separates the two sets, the share of unlabelled rows above a cut over the share of positives
+above it is at least the prior, and comes closest where negatives are rarest. Each half of the rows is scored
+by a model fitted on the other half.
 
 The model is additive: surface statistics of the whole text, each cut at its quantiles, one weight per
 bin. It minimises ``pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)])`` with the logistic loss (the
 maximum allows the second part its sampling error), so the sigmoid of its margin estimates the probability of quality 1.
 
-The samples are bounded by ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` rows (parameters of :func:`train`).
-Defined results: null and empty texts have all statistics 0 and score by those bins; with fewer than two
-positives every text scores 0.5. Repeated rows score alike.
+The gradient steps use ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` unlabelled rows at most (parameters
+of :func:`train`), one an id. Defined results: null and empty texts have all statistics 0 and score by those
+bins; with fewer than two positives every text scores 0.5, with an empty table too. Repeated rows score alike,
+each is an unlabelled row. Very long texts are read whole. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, sigmoid
+from .common import labelled_sample, sigmoid, stage
 
 MAX_POSITIVE, MAX_UNLABELLED = 8000, 16000
 BINS, RIDGE, STEPS = 8, 1e-4, 400
@@ -129,53 +132,102 @@ def _risk_slope(bp: np.ndarray, bu: np.ndarray, size: int, prior: float | None):
     return slope
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5) -> float:
-    """Smallest ratio of the sets' shares above a cut, over cuts that ``least`` of the positives pass."""
-    cuts = np.quantile(positive, np.linspace(0, 1 - least, 60))
+#: Cuts at which the prior's ratio is taken: shares of the positives that lie below.
+PRIOR_CUTS = 60
+
+
+def prior_cuts(positive: np.ndarray, least: float = 0.5) -> np.ndarray:
+    """Scores that from all down to ``least`` of the positives reach."""
+    return np.quantile(positive, np.linspace(0, 1 - least, PRIOR_CUTS))
+
+
+def class_prior(positive: np.ndarray, cuts: np.ndarray, reached: np.ndarray, rows: int) -> float:
+    """Smallest ratio of the sets' shares above a cut; ``reached`` of the ``rows`` unlabelled ones lie above each."""
     over_p = 1 - np.searchsorted(np.sort(positive), cuts, side="left") / len(positive)
-    over_u = 1 - np.searchsorted(np.sort(unlabelled), cuts, side="left") / len(unlabelled)
-    return float(np.clip(np.min(over_u / over_p), 0.01, 0.99))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[BinnedModel, float]:
-    """The model and the estimated class prior, from the statistics of both sets."""
-    both = np.concatenate([positive, unlabelled])
-    edges = []
-    for k in range(both.shape[1]):
-        cuts = np.quantile(both[:, k], np.linspace(0, 1, BINS + 1)[1:-1])
-        tails = np.quantile(both[:, k], [0.01, 0.03, 0.97, 0.99])
-        edges.append(np.unique(np.concatenate([[0.0], cuts, tails])))
-    model = BinnedModel(edges, np.zeros(0), 0.0)
-    bp, bu, size = model.bins(positive), model.bins(unlabelled), int(model.starts[-1])
-    halves = []
-    for k in (0, 1):                           # each half is scored by a fit on the other one
-        apart = _adam(_risk_slope(bp[k::2], bu[k::2], size, None), size + 1)
-        halves.append(class_prior(apart[bp[1 - k::2]].sum(1), apart[bu[1 - k::2]].sum(1)))
-    prior = float(np.mean(halves))
+    return float(np.clip(np.min(reached / max(1, rows) / over_p), 0.01, 0.99))
+
+
+def bin_edges(quantiles: list[np.ndarray]) -> list[np.ndarray]:
+    """Edges of each statistic's bins from its quantiles; 0 is one, as it is special to most."""
+    return [np.unique(np.concatenate([[0.0], q])) for q in quantiles]
+
+
+QUANTILES = [*np.linspace(0, 1, BINS + 1)[1:-1].tolist(), 0.01, 0.03, 0.97, 0.99]
+
+
+def _apart(bp: np.ndarray, bu: np.ndarray, half_p: np.ndarray, half_u: np.ndarray, size: int) -> list[np.ndarray]:
+    """Two models that tell the sets apart; the one of each half is fitted on the rows of the other."""
+    return [_adam(_risk_slope(bp[half_p != k], bu[half_u != k], size, None), size + 1)[:size] for k in (0, 1)]
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, edges: list[np.ndarray] | None = None,
+        prior: float | None = None) -> tuple[BinnedModel, float]:
+    """The model of least non-negative risk, and the class prior; what is not given comes from the two sets."""
+    if edges is None:
+        both = np.concatenate([positive, unlabelled])
+        edges = bin_edges([np.quantile(both[:, k], QUANTILES) for k in range(both.shape[1])])
+    frame = BinnedModel(edges, np.zeros(0), 0.0)
+    bp, bu, size = frame.bins(positive), frame.bins(unlabelled), int(frame.starts[-1])
+    if prior is None:
+        half_p, half_u = np.arange(len(bp)) % 2, np.arange(len(bu)) % 2
+        found = []
+        for k, weights in enumerate(_apart(bp, bu, half_p, half_u, size)):
+            own, other = weights[bp[half_p == k]].sum(1), np.sort(weights[bu[half_u == k]].sum(1))
+            cuts = prior_cuts(own)
+            found.append(class_prior(own, cuts, len(other) - np.searchsorted(other, cuts, side="left"), len(other)))
+        prior = float(np.mean(found))
     theta = _adam(_risk_slope(bp, bu, size, prior), size + 1)
     return BinnedModel(edges, theta[:size], float(theta[size])), prior
 
 
+def estimate_prior(rows: DataFrame, positive: np.ndarray, unlabelled: np.ndarray, half_u: np.ndarray,
+                   edges: list[np.ndarray]) -> float:
+    """The class prior from the scores of all ``rows`` (``half``, ``x``), each half by the other half's model."""
+    frame = BinnedModel(edges, np.zeros(0), 0.0)
+    bp, bu, half_p = frame.bins(positive), frame.bins(unlabelled), np.arange(len(positive)) % 2
+    if min(np.bincount(half_u, minlength=2)) == 0:                    # too few rows for two halves
+        half_u = np.arange(len(bu)) % 2
+    models = _apart(bp, bu, half_p, half_u, int(frame.starts[-1]))
+    own = [models[k][bp[half_p == k]].sum(1) for k in (0, 1)]
+    cuts = [prior_cuts(s) for s in own]
+
+    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in (0, 1):
+                mine = batch["x"][batch["half"] == k]
+                if len(mine):
+                    score = np.sort(models[k][frame.bins(np.stack(mine.to_numpy()))].sum(1))
+                    above = len(score) - np.searchsorted(score, cuts[k], side="left")
+                    yield pd.DataFrame({"half": k, "cut": range(-1, len(above)), "n": [len(score), *above]})
+
+    counts = rows.mapInPandas(reached, "half int, cut int, n long").groupBy("half", "cut").agg(F.sum("n").alias("n")).collect()
+    n = {(r["half"], r["cut"]): r["n"] for r in counts}              # two halves x cuts
+    found = [class_prior(own[k], cuts[k], np.array([n[k, i] for i in range(len(cuts[k]))]), n[k, -1]) for k in (0, 1) if (k, -1) in n]
+    return float(np.mean(found))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_positive: int = MAX_POSITIVE,
           max_unlabelled: int = MAX_UNLABELLED) -> BinnedModel:
-    """Fit on at most ``max_positive`` trusted positives and ``max_unlabelled`` documents."""
-    trusted, _ = labelled_sample(docs, labels, label, {1: max_positive})
-    ids = (docs.select(F.col("doc_id").alias("id")).where(F.col("id").isNotNull())
-           .orderBy(F.xxhash64(F.col("id"), F.lit("unlabelled")), "id").limit(max_unlabelled).distinct())
-    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    unlabelled = texts.join(F.broadcast(ids), "id").select("text", F.lit(0).alias("label"))
-
+    """Fit on at most ``max_positive`` trusted positives and steps over ``max_unlabelled`` documents."""
     @F.pandas_udf("array<double>")
-    def stats(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: [float(v) for v in statistics(t)])
+    def stats(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(v) for v in statistics(t)])
 
-    rows = trusted.unionByName(unlabelled).select(stats("text").alias("x"), "label").collect()
-    rows.sort(key=lambda r: (r["label"], r["x"]))
-    y = np.array([r["label"] for r in rows])
-    if min((y == 1).sum(), (y == 0).sum()) < 2:
+    trusted, _ = labelled_sample(docs, labels, label, {1: max_positive})
+    positive = trusted.select(stats("text").alias("x")).collect()
+    half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int")
+    rows = stage(docs.select(F.col("doc_id").cast("string").alias("id"), stats(F.coalesce("text", F.lit(""))).alias("x"))
+                 .select("id", half.alias("half"), "x"), "quality-statistics")
+    # one row an id, the smallest of repeated ones, in the order of a hash
+    some = (rows.where("id is not null").groupBy("id", "half").agg(F.min("x").alias("x"))
+            .orderBy(F.xxhash64("id", F.lit("unlabelled")), "id").limit(max_unlabelled).collect())
+    if min(len(positive), len(some)) < 2:
         return BinnedModel([], np.zeros(0), 0.0)
-    x = np.array([r["x"] for r in rows])
-    return fit(x[y == 1], x[y == 0])[0]
+    p = np.array(sorted(r["x"] for r in positive))
+    u, half_u = np.array([r["x"] for r in some]), np.array([r["half"] for r in some])
+    cuts = rows.agg(*[F.percentile_approx(F.col("x")[k], QUANTILES, 1000).alias(f"q{k}") for k in range(p.shape[1])]).first()
+    edges = bin_edges([np.array(q) for q in cuts])
+    return fit(p, u, edges, estimate_prior(rows, p, u, half_u, edges))[0]
 
 
 def score(model: BinnedModel, text: str = "text") -> Column:

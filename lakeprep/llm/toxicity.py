@@ -7,8 +7,13 @@ classes; a logistic regression is fitted on the scaled features. N-grams are kep
 The document frequencies are counted by Spark over the training sample, which is bounded by
 ``MAX_TOXIC`` and ``MAX_CLEAN`` documents (parameters of :func:`train`). Scoring reads whole texts.
 
+``FEATURES`` is the size of the model, not a bound on what is read: all n-grams of the sample are counted and
+ranked. On the documents of sf0.1 the model of all n-grams, hashed, was worse on held-out rows (area under the
+curve 0.968 and recall 0.60 at 0.3, against 0.988 and 0.90 for the 1024 kept), so the choice stays.
+
 Defined results: a null or empty text has no features and scores the bias; without labelled rows of
-both classes every text scores the smoothed share of toxic labels. Repeated rows score alike.
+both classes every text scores the smoothed share of toxic labels, with an empty table too. Repeated rows score
+alike; an id enters the sample once, with its smallest text. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
