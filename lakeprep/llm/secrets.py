@@ -13,7 +13,9 @@ come from all texts, however rare they are; ordinary words from the ``SAMPLE_DOC
 (a parameter). The counts are one row per pair of characters, so the driver holds a few thousand.
 
 Positions are code points, ends exclusive. Defined results: a null or empty text has no spans; repeated
-rows give equal results; where no text holds a random string to learn from the method adds no span.
+rows give equal results; where no text holds a random string to learn from, as in an empty table, the method
+adds no span. Very long texts are read whole, their cost grows with their matches to the power 1.5 at most.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,7 +52,9 @@ def matches(text: Column, kind: str) -> Column:
     """Leftmost non-overlapping matches of a kind's pattern, with positions.
 
     ``\\G.*?(pattern)`` matched again and again yields each gap with its match, so running sums of
-    lengths are positions; ``\\G`` ties each try to the end of the last, so a text is read once. (Appending to an array copies it: cost is quadratic in one text's matches.)
+    lengths are positions; ``\\G`` ties each try to the end of the last, so a text is read once. Appending
+    to an array copies it, so the sums run over pieces of about the square root of the matches, and then
+    over the pieces: no step appends to a long array.
     """
     gapped = F.lit(rf"(?s)\G.*?({KINDS[kind]})")
     parts = F.zip_with(F.regexp_extract_all(text, gapped, F.lit(0)), F.regexp_extract_all(text, gapped, F.lit(1)),
@@ -63,10 +67,35 @@ def matches(text: Column, kind: str) -> Column:
                         F.lit(kind).alias("kind"), end.alias("end"), part["match"].alias("match")).cast(_SPAN)
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), _empty().alias("out")), add, lambda s: s["out"])
+    def piece(own: Column) -> Column:
+        return F.aggregate(own, F.struct(F.lit(0).cast("long").alias("at"), _empty().alias("out")), add)
+
+    def starts(pieces: Column) -> Column:
+        """Where each piece begins."""
+        def ahead(state: Column, own: Column) -> Column:
+            return F.struct((state["at"] + own["at"]).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+        return F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), ahead, lambda s: s["out"])
+
+    def shifted(own: Column, first: Column) -> Column:
+        return F.transform(own["out"], lambda s: F.struct((s["start"] + first).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"),
+                                                          (s["end"] + first).alias("end"), s["match"].alias("match")).cast(_SPAN))
+
+    def cut(own: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(own)))).cast("int")
+        places = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / size).cast("int"))
+        return F.when(F.size(own) > 0, F.transform(places, lambda k: piece(F.slice(own, k * size + 1, size)))).otherwise(
+            F.array().cast(f"array<struct<at:bigint,out:array<{_SPAN}>>>"))
+
+    pieces = _once(parts, cut)
+    found = _once(pieces, lambda own: F.flatten(F.zip_with(own, starts(own), shifted)))
     return F.when(text.rlike(KINDS[kind]), found).otherwise(_empty())
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def base_spans(text: Column) -> Column:
     assign = F.filter(matches(text, "assign"), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN_VALUE, 1)) >= LEAST_VALUE)
     return F.concat(assign, matches(text, "access"), matches(text, "hex"))
