@@ -20,7 +20,9 @@ sets can have: their answers are the same). Then:
 Set identities are 64-bit hashes of the whole set, classes compare 128 bits and the size.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing. Repeated rows are
-equal sets. Rows with a null id take no part and keep a null component.
+equal sets and are told apart by id and text, so an id may have several texts; each set is fetched from one of
+its rows, once a task. Rows with a null id take no part and keep a null component. Very long texts are read
+whole. Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,17 +72,17 @@ def may_link(bits_a: bytes, bits_b: bytes, size_a: int, size_b: int, percent: in
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document (size, signature, parity), and one per shingle that a batch holds more than once."""
-    names = ["id", "n", "s1", "s2", "bits", "token", "count"]
+    names = ["id", "th", "n", "s1", "s2", "bits", "token", "count"]
     for batch in batches:
         n, s1, s2, bits, seen, held = [], [], [], [], [], 0
-        ids = batch.column(0)
+        ids, hashes = batch.column(0), batch.column(2)
 
         def counted():
             tokens, times = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             tokens, times = tokens[times > 1], times[times > 1]
             none = pa.nulls(len(tokens), pa.int64())
             seen.clear()
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(tokens), pa.binary()), pa.array(tokens.view(np.int64)), pa.array(times.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(len(tokens), pa.binary()), pa.array(tokens.view(np.int64)), pa.array(times.astype(np.int64))], names)
 
         for text in batch.column(1):
             shingles = shingle_set(text.as_py(), WORDS)
@@ -96,7 +98,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = 0
         none = pa.nulls(len(n), pa.int64())
         yield counted()
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, pa.int64()) for c in (n, s1, s2)),
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), hashes, *(pa.array(c, pa.int64()) for c in (n, s1, s2)),
                                            pa.array(bits, pa.binary()), none, none], names)
 
 
@@ -286,23 +288,40 @@ def _solve(percent: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of related sets; a row whose text is not the wanted set (an id with several texts) goes."""
+    """The shingles of related sets, each once a task; a row whose text is not the wanted set goes."""
+    known: set[int] = set()
     for batch in batches:
-        wanted = batch.column(1).to_pylist()
-        sets = [shingle_set(t.as_py(), WORDS) for t in batch.column(0)]
-        keep = pa.array([i for i, x in enumerate(sets) if signature(x)[0] == wanted[i]], pa.int64())
+        wanted, found = batch.column(1).to_pylist(), []
+        sets: list = [None] * len(wanted)
+        for i, want in enumerate(wanted):
+            if want not in known:
+                sets[i] = shingle_set(batch.column(0)[i].as_py(), WORDS)
+                if signature(sets[i])[0] == want:
+                    known.add(want)
+                    found.append(i)
+        keep = pa.array(found, pa.int64())
         yield pa.RecordBatch.from_arrays([*(batch.column(k).take(keep) for k in (1, 2, 3)),
                                           pa.array([sets[i].tobytes() for i in keep.to_pylist()], pa.binary())],
                                          ["s", "component", "blocks", "shingles"])
 
 
-def jaccard_components(df: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, n_shingles, component_id)`` of every row; links are ``100 * |A n B| >= percent * |A u B|``."""
+def text_hash(text: str = "text"):
+    """By what rows of one id are told apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def jaccard_components(df: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", groups: bool = False) -> DataFrame:
+    """``(key, n_shingles, component_id)`` of every row; links are ``100 * |A n B| >= percent * |A u B|``.
+
+    ``groups=True`` adds ``text_hash`` and ``group_id``, which tells components apart where rows of one id lie
+    in several; it is null for rows that take no part.
+    """
     spark = df.sparkSession
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    profiles = stage(docs.mapInArrow(_profiles, "id long, n long, s1 long, s2 long, bits binary, token long, count long"), "profiles")
-    rows = profiles.where("n is not null").select("id", "n", "s1", "s2")
-    classes = stage(profiles.where("n is not null").where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("first"), F.min("bits").alias("bits")), "classes")
+    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), text_hash(text).alias("th"))
+    profiles = stage(docs.mapInArrow(_profiles, "id long, th long, n long, s1 long, s2 long, bits binary, token long, count long"), "profiles")
+    rows = profiles.where("n is not null").select("id", "th", "n", "s1", "s2")
+    classes = stage(profiles.where("n is not null").where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "th")).alias("row"), F.min("bits").alias("bits"))
+                    .select("n", "s1", "s2", F.col("row.id").alias("first"), F.col("row.th").alias("th"), "bits"), "classes")
 
     top = (profiles.where("token is not null").groupBy("token").agg(F.sum("count").alias("count"))
            .where(F.col("count") >= LEAST_COUNT).orderBy(F.desc("count"), "token").limit(FREQUENT).collect())   # FREQUENT rows at most
@@ -321,14 +340,14 @@ def jaccard_components(df: DataFrame, percent: int = 80, key: str = "doc_id", te
              .mapInArrow(_plausible(percent), "a long, b long"))
     related = components(candidates.where("not pair").select("a", "b").unionByName(pairs))
 
-    member = (classes.select(F.col("s1").alias("id"), "n", "first").join(related, "id"))
+    member = (classes.select(F.col("s1").alias("id"), "n", "first", "th").join(related, "id"))
     heavy = member.groupBy("component").agg(F.sum("n").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
     member = member.join(heavy, "component").withColumn("blocks", F.greatest(
         F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("long"))
     member = stage(member.withColumnRenamed("id", "s"), "related-sets")
     total = max(1, math.ceil((member.agg(F.sum("n").alias("w")).first()["w"] or 0) / BLOCK_SHINGLES))
-    wanted = member.select(F.col("first").alias("id"), F.col("s").alias("want"), "component", "blocks")
-    sets = (docs.join(wanted, "id").select("text", "want", "component", "blocks")
+    wanted = member.select(F.col("first").alias("id"), "th", F.col("s").alias("want"), "component", "blocks")
+    sets = (docs.join(wanted, ["id", "th"]).select("text", "want", "component", "blocks")
             .mapInArrow(_sets, "s long, component long, blocks long, shingles binary"))
     own = F.pmod(F.xxhash64("s"), F.col("blocks"))
     other = F.explode(F.expr("transform(sequence(0L, blocks - 1), x -> x)")).alias("other")
@@ -340,12 +359,14 @@ def jaccard_components(df: DataFrame, percent: int = 80, key: str = "doc_id", te
                       F.when(F.col("blocks") == 1, F.lit(-1)).otherwise(F.least("own", "other")).alias("i"), F.greatest("own", "other").alias("j")))
     placed = placed.withColumn("j", F.when(F.col("i") < 0, F.lit(-1)).otherwise(F.col("j")))
     links = placed.groupBy("g", "i", "j").applyInPandas(_solve(percent), "a long, b long")
-    groups = components(links)
+    linked = components(links)
 
-    named = classes.join(groups.withColumnRenamed("id", "s1"), "s1", "left")
+    named = classes.join(linked.withColumnRenamed("id", "s1"), "s1", "left")
     smallest = (named.where("component is not null").groupBy("component").agg(F.min("first").alias("least")))
-    named = (named.join(smallest, "component", "left").select("n", "s1", "s2", F.coalesce("least", "first").alias("component_id")))
+    named = (named.join(smallest, "component", "left")
+             .select("n", "s1", "s2", F.coalesce("least", "first").alias("component_id"), F.coalesce("component", "s1").alias("group_id")))
     named = stage(named, "set-components")
-    full = rows.where("n > 0 and id is not null").join(named, ["n", "s1", "s2"]).select("id", "n", "component_id")
-    rest = rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return full.unionByName(rest).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    full = rows.where("n > 0 and id is not null").join(named, ["n", "s1", "s2"]).select("id", "th", "n", "component_id", "group_id")
+    rest = rows.where("n = 0 or id is null").select("id", "th", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("group_id"))
+    more = [F.col("th").alias("text_hash"), F.col("group_id")] if groups else []
+    return full.unionByName(rest).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", *more)
