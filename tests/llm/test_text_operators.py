@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from lakeprep.llm import bpe, jaccard, packing, pii, quality, queries, secrets, shingles, toxicity
+from lakeprep.llm import bpe, common, jaccard, packing, pii, quality, queries, secrets, shingles, toxicity
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [None, "", " \n\t ", "one two", "a" * 3000, "don't  stop\n\n\nnow 12345 Übergröße 日本語 😀", "x y\x1f z", "a b c d e f",
@@ -151,6 +151,17 @@ def test_secret_base_spans_match_brute_force(spark):
     assert secrets.scan(table(spark, []), []).count() == 0
 
 
+def test_many_secrets_in_one_text_stay_cheap(spark):
+    import time
+    text = " ".join(f"{'é' * (i % 3)} token={i:010d}" for i in range(32_000))
+    df = spark.createDataFrame([(1, text), (2, "x " * 10 + "token=0123456789")], "doc_id long, text string")
+    secrets.scan(df.where("doc_id = 2"), []).collect()
+    began = time.time()
+    found = {r["doc_id"]: r["base"] for r in secrets.scan(df, []).collect()}
+    assert time.time() - began < 20 and len(found[1]) == 32_000 and len(found[2]) == 1
+    assert all(text[s["start"]:s["end"]] == s["match"] for s in found[1])
+
+
 def test_markov_models_tell_random_strings_from_names(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("shonander teli".split()[0] + "eaiout") for _ in range(6))
@@ -297,6 +308,23 @@ def test_jaccard_null_ids_and_empty_table(spark):
     assert jaccard.jaccard_components(table(spark, [])).count() == 0
 
 
+def test_jaccard_rows_of_one_id_are_told_apart(spark):
+    """An id that holds most rows: equal ones, near copies and other texts."""
+    texts = [f"this is text number {i} of many with words of its own {i * i}" for i in range(40)]
+    rows = [(1, texts[i % 40]) for i in range(400)] + [(k, texts[k]) for k in range(2, 8)] + [(9, None), (1, " "), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(df, groups=True).collect()
+    assert len(got) == len(rows)
+    by_text = {r["text_hash"]: r["t"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", jaccard.text_hash("t").alias("text_hash")).collect()}
+    groups = {}
+    for r in got:
+        if r["group_id"] is not None:
+            groups.setdefault(r["group_id"], set()).add(by_text[r["text_hash"]])
+            assert r["component_id"] == 1
+    assert sorted(map(sorted, groups.values())) == sorted([t] for t in texts)
+    assert sorted((r["doc_id"] or -1, r["n_shingles"]) for r in got if r["group_id"] is None) == [(-1, len(texts[0].split()) - 4), (1, 0), (9, 0)]
+
+
 def test_parity_never_rules_out_a_link():
     rng = np.random.default_rng(4)
     for _ in range(300):
@@ -323,8 +351,26 @@ def test_classifiers_on_held_out_rows(spark, name, label, cut):
     for r in got:
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= cut)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
-    held = [(r["predicted"], truth[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in truth]
-    assert sum(p == y for p, y in held) / len(held) > 0.9
+    held = [(r["predicted"], truth[r["doc_id"]], r["score"]) for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert sum(p == y for p, y, _ in held) / len(held) > 0.9
+    ones, zeros = ([s for _, y, s in held if y == v] for v in (1, 0))
+    auc = sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
+    assert auc > {"quality": 0.96, "toxic": 0.8}[label]
+
+
+def test_labelled_samples_are_bounded_in_rows(spark):
+    """Ids that hold most rows enter a sample once each, with their smallest text."""
+    docs = spark.createDataFrame([(i % 8, f"text {i}") for i in range(2000)] + [(None, "x"), (9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)] * 3 + [(None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    for bounds in ({1: 3}, {1: 100}):
+        sample, counts = common.labelled_sample(docs, labels, "quality", bounds)
+        known = [i for i in range(10) if zlib.crc32(str(i).encode()) % 4 != 2 and i != 8]
+        assert sample.count() <= bounds[1] and counts[1] >= len(known)
+    assert sample.count() == len(known)
+    smallest = {min((f"text {i}" for i in range(k, 2000, 8)), default="") for k in range(8)} | {""}
+    assert {r["text"] for r in sample.collect()} <= smallest
+    model = quality.train(docs, labels, max_unlabelled=4)
+    assert all(0 <= r[0] <= 1 for r in docs.select(quality.score(model)).collect())
 
 
 def test_classifiers_on_awkward_rows(spark):

@@ -144,6 +144,47 @@ def test_knn_matches_brute_force(spark, monkeypatch, blocks):
     assert got == want
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_knn_copies_follow_the_bounds(spark, monkeypatch, clustered):
+    """Many cells on clustered data, each row in few of them; without clusters few cells. Results are exact."""
+    monkeypatch.setattr(knn, "MOVE", 5)
+    monkeypatch.setattr(knn, "DATA_BLOCK", 200)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((20, 16)) * (4 if clustered else 0)
+    vectors = np.round(np.concatenate([c + 0.2 * rng.standard_normal((60, 16)) for c in centres]), 3)
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(vectors)], "id long, vec array<double>")
+    queries = df.where("id % 7 = 0")
+    left, right, _ = knn.copied(df, queries, 5)
+    cells = right.select("cell").distinct().count()
+    copies = left.groupBy("id", "cell").count().count() / len(vectors)
+    assert (cells >= 16 and copies < cells / 4) if clustered else copies <= cells <= 16
+    score = vectors @ vectors.T
+    got = {}
+    for r in knn.top_k(df, queries, 5).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["id"]))
+    for q in range(0, len(vectors), 7):
+        want = sorted((i for i in range(len(vectors)) if i != q), key=lambda i: (-score[q, i], i))[:5]
+        assert [score[q, i] for _, i in sorted(got[q])] == pytest.approx([score[q, i] for i in want])
+
+
+def test_knn_bounds_hold():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        pivots = rng.standard_normal((5, 6)) * 3
+        q, x = (pivots[rng.integers(0, 5, 80)] + rng.standard_normal((80, 6)) * rng.random() for _ in range(2))
+        cell, own = knn._nearest(q, pivots), knn._nearest(x, pivots)
+        far = np.linalg.norm(x - pivots[own], axis=1)
+        used = np.unique(cell)
+        cells = knn.Cells(used.tolist(), pivots[used], np.array([np.linalg.norm(q[cell == c] - pivots[c], axis=1).max() for c in used]), np.zeros(len(used)))
+        score = q @ x.T
+        rows = cells.row_bound(x, pivots[own], far)
+        for i, c in enumerate(used):
+            assert (score[cell == c].max(0) <= rows[:, i] + 1e-9).all()
+            for j in np.unique(own):
+                pair = cells.pair_bound(pivots[j][None], far[own == j].max()[None], np.linalg.norm(x[own == j], axis=1).max()[None])
+                assert score[cell == c][:, own == j].max() <= pair[0, i] + 1e-9
+
+
 def test_knn_repeated_id_spreads_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(knn, "DATA_BLOCK", 50)
     rows = [(i, [float(i % 7), float(i % 3)]) for i in range(20)] + [(3, [float(k), 1.0]) for k in range(400)]
@@ -271,6 +312,18 @@ def test_main_text_decides_what_main_holds_beside_an_article(spark):
     assert got == {k: "\n".join((a, b, quote, c)) for k, (a, b, c) in enumerate(parts)} | {9: "\n".join((parts[0][0], parts[0][1], quote, box, parts[0][2]))}
 
 
+def test_pipeline_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline as cp
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, long, "en"), (1, long, "de"), (1, "quite another text with six words and more", "en"), (2, long, "en"), (3, long + " and one word more", "en"),
+            (3, None, "en"), (3, " \n", "en"), (4, "", "en"), (None, long, "en"), (None, long, "en"), (5, "the last one stays as it is alone", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'s' AS source", "1 AS n_chars")
+    got = sorted(((r["doc_id"], r["text"], r["lang"]) for r in cp.one_of_a_group(spark, docs, "").collect()), key=str)
+    want = [(1, long, "de"), rows[2], *rows[4:]]                     # of two equal texts of one id the smaller row
+    assert got == sorted(want, key=str)
+    assert cp.one_of_a_group(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline_stages_on_a_fixture(spark, tmp_path):
     import corpus_pipeline as cp
     sf = "/root/testdata/sf0.01"
