@@ -29,11 +29,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_a_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id, once; rows without id stay."""
-    found = jaccard.jaccard_components(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group of near-duplicates the row with the smallest id (and text hash), once.
+
+    Rows are told apart by id and text: other texts of the id are groups of their own. Rows without an id or
+    without words belong to no group and stay.
+    """
+    found = jaccard.jaccard_components(docs, groups=True)
+    own = found.where("group_id is not null")
+    kept = own.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.doc_id", "one.text_hash")
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    alone = F.col("doc_id").isNull() | ~words
+    rows = docs.where(~alone).select("doc_id", jaccard.text_hash().alias("text_hash"), F.struct(*docs.columns).alias("row"))
+    chosen = rows.join(kept, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(F.min("row").alias("row"))
+    return chosen.select("row.*").unionByName(docs.where(alone))
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
