@@ -24,6 +24,7 @@ from lakeprep.plans.recipe import Recipe
 from lakeprep.session import scratch_path
 from lakeprep.small import small_table
 from lakeprep.sinks.files import land_csv, store_parquet, write_csv, write_json
+from lakeprep.sinks.published import publish, read_published, versions
 from lakeprep.sinks.tables import save_snapshot, store_table
 from lakeprep.sources.lake import list_saved, load_saved, read_table
 from lakeprep.sources.text import read_csv, read_json
@@ -577,6 +578,16 @@ def snapshot_replace_location(spark, sf_dir):
     return said.withColumn("seen", F.lit("location")).unionByName(load_saved(spark, name).withColumn("seen", F.lit("name")))
 
 
+def publish_versions(spark, sf_dir):
+    """A published dataset replaced twice, in three formats; the newest version and the one before it."""
+    events, root = _t(spark, sf_dir, "events"), scratch_path(spark, "published")
+    publish(events, root, "json")
+    publish(ops.filter_rows(events, "value", ">", "50"), root, "csv", keep=1)
+    publish(ops.filter_rows(read_published(spark, root), "value", ">", "80"), root, "parquet", keep=1)
+    before = read_published(spark, root, versions(spark, root)[0])
+    return read_published(spark, root).withColumn("seen", F.lit("now")).unionByName(before.withColumn("seen", F.lit("before")))
+
+
 def snapshot_new_columns(spark, sf_dir):
     """A partitioned table replaced by one with other columns, then by more rows of these."""
     name = "reshaped_" + uuid.uuid4().hex[:12]
@@ -646,7 +657,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drop_duplicates_full": drop_duplicates_full, "duplicate_count_full": duplicate_count_full, "profile_full": profile_full,
     "describe_numeric_all": describe_numeric_all, "fill_nulls_decimal": fill_nulls_decimal, "snapshot_replace": snapshot_replace,
     "snapshot_replace_location": snapshot_replace_location, "snapshot_new_columns": snapshot_new_columns,
-    "refresh_during_batch": refresh_during_batch,
+    "refresh_during_batch": refresh_during_batch, "publish_versions": publish_versions,
     "store_job_steps": store_job_steps, "profile_append": profile_append, "sort_copies": sort_copies, "parquet_lookup": parquet_lookup, "parquet_rebalanced": parquet_rebalanced,
     "drop_duplicates_wide": drop_duplicates_wide, "duplicate_count_wide": duplicate_count_wide,
     "profile_wide": profile_wide, "describe_text_wide": describe_text_wide,
@@ -723,6 +734,7 @@ _ORACLE: dict[str, str] = {
     "parquet_rebalanced": "SELECT * FROM lineitem",
     "snapshot_replace_location": """SELECT * FROM orders, (VALUES ('location'), ('name')) places(seen) WHERE o_orderstatus = 'F'""",
     "snapshot_new_columns": "SELECT * EXCLUDE (o_totalprice) FROM orders WHERE o_orderstatus <> 'P'",
+    "publish_versions": """SELECT *, 'now' AS seen FROM events WHERE value > 80 UNION ALL SELECT *, 'before' FROM events WHERE value > 50""",
     "refresh_during_batch": """SELECT * FROM orders, (VALUES ('during'), ('refused')) places(seen)
         UNION ALL SELECT *, 'after' FROM orders WHERE o_orderstatus = 'F'""",
     "flagship": "SELECT * FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",

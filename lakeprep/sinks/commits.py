@@ -7,12 +7,29 @@ the markers and read the folders they name; a folder without a marker is unfinis
 
 from __future__ import annotations
 
+import datetime as _dt
 import json
+import re
 import uuid
 
 from pyspark.sql import SparkSession
 
 COMMITS = "_commits"
+_VERSION = re.compile(r"^v\d{20}-[0-9a-f]{8}$")
+
+
+def version_time(when: _dt.datetime) -> str:
+    """How names of versions that began at ``when`` begin."""
+    return f"v{when:%Y%m%d%H%M%S%f}"
+
+
+def new_version() -> str:
+    """A folder name that sorts by the time it was made."""
+    return f"{version_time(_dt.datetime.now(_dt.timezone.utc))}-{uuid.uuid4().hex[:8]}"
+
+
+def is_version(name: str) -> bool:
+    return bool(_VERSION.match(name))
 
 
 def file_system(spark: SparkSession, path: str):

@@ -13,7 +13,6 @@ and takes the first by two renames; stopped between them, it is completed by the
 
 from __future__ import annotations
 
-import datetime as _dt
 import re
 import uuid
 from contextlib import contextmanager
@@ -55,11 +54,6 @@ def save_snapshot(df: DataFrame, name: str, location: str | None = None, keep: i
 
 
 VERSIONS = "__versions"
-_VERSION = re.compile(r"^v\d{20}-[0-9a-f]{8}$")
-
-
-def _new_version() -> str:
-    return f"v{_dt.datetime.now(_dt.timezone.utc):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:8]}"
 
 
 def _versions_root(spark: SparkSession, name: str, location: str | None) -> str:
@@ -107,7 +101,7 @@ def _replace_table(spark: SparkSession, df: DataFrame, name: str, location: str
         with _partitions_in_files(spark):
             writer.saveAsTable(name)                                # managed without a location: dropping it drops its files
         return
-    root, version = _versions_root(spark, name, location), _new_version()
+    root, version = _versions_root(spark, name, location), commits.new_version()
     place = f"{root}/{version}"
     try:
         writer.save(place)
@@ -147,7 +141,7 @@ def _own_folder(spark: SparkSession, name: str, location: str | None) -> str | N
     """The folder a table's rows are in, if it is the table's own to delete: a version, a managed table's, or the
     location the caller named. The files of other external tables are left alone."""
     place = table_location(spark, name)
-    own = (_VERSION.match(place.rstrip("/").rsplit("/", 1)[-1]) or spark.catalog.getTable(name).tableType == "MANAGED"
+    own = (commits.is_version(place.rstrip("/").rsplit("/", 1)[-1]) or spark.catalog.getTable(name).tableType == "MANAGED"
            or location and _same_place(spark, location) == _same_place(spark, place))
     return place if own else None
 
@@ -155,12 +149,12 @@ def _own_folder(spark: SparkSession, name: str, location: str | None) -> str | N
 def _clean(spark: SparkSession, root: str, version: str, former: str | None, keep: int) -> None:
     """Delete what the new version replaces: earlier versions under its root but the ``keep`` newest, and the
     folder the table had elsewhere. Unfinished folders of other writers have no marker and are left alone."""
-    older = [v for v in commits.committed(spark, root) if _VERSION.match(v) and v < version]
+    older = [v for v in commits.committed(spark, root) if commits.is_version(v) and v < version]
     for old in older[:-keep or None]:
         commits.forget(spark, root, old)
     if former and len(older) >= keep:                               # the first folder is older than any version
         above, last = former.rstrip("/").rsplit("/", 1)
-        if not _VERSION.match(last):
+        if not commits.is_version(last):
             commits.remove(spark, former)
         elif _same_place(spark, above) != _same_place(spark, root):
             commits.forget(spark, above, last)
@@ -190,7 +184,7 @@ def finish_replace(spark: SparkSession, name: str) -> bool:
 def current_version(spark: SparkSession, location: str) -> str | None:
     """The newest version of the table first saved at ``location``, if it was replaced since."""
     root = f"{location.rstrip('/')}{VERSIONS}"
-    versions = [v for v in commits.committed(spark, root) if _VERSION.match(v)]
+    versions = [v for v in commits.committed(spark, root) if commits.is_version(v)]
     return f"{root}/{versions[-1]}" if versions else None
 
 

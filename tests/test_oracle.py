@@ -32,7 +32,8 @@ WITH_SIDE_EFFECTS = {"csv_roundtrip", "csv_infer_types", "csv_events_values", "j
                      "parquet_roundtrip", "snapshot_roundtrip", "land_and_refresh",
                      "land_and_append", "store_job", "dedupe_row_change", "lake_to_table", "snapshot_replace", "land_two_datasets",
                      "land_text_tokens", "csv_folder_reordered", "saved_datasets", "snapshot_replace_location",
-                     "snapshot_new_columns", "refresh_during_batch", "parquet_lookup", "parquet_rebalanced", "profile_append", "store_job_steps"}
+                     "snapshot_new_columns", "refresh_during_batch", "parquet_lookup", "parquet_rebalanced", "profile_append", "store_job_steps",
+                     "publish_versions"}
 
 
 def test_no_python_in_query_plans(spark):
