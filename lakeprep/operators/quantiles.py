@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..small import small_table
+from ..small import text_table
 
 # Accuracy of the sketch (its rank error is one part in this many), how many such parts an interval reaches to
 # each side, the columns' rows below which an interval is the whole column, the distinct values the driver
@@ -114,7 +114,7 @@ def _narrowed(spark, table: DataFrame, below: dict[tuple[int, int], int],
         if len(rows) <= most:
             break
         cuts = now.groupBy("c", "r").agg(F.percentile_approx("v", [i / PARTS for i in range(1, PARTS)], 100 * PARTS).alias("cuts")).collect()
-        names = small_table(spark, [(c["c"], c["r"], k, v) for c in cuts for k, v in enumerate(sorted(set(c["cuts"])))],
+        names = text_table(spark, [(c["c"], c["r"], k, v) for c in cuts for k, v in enumerate(sorted(set(c["cuts"])))],
                             f"c int, r int, k int, cut {now.schema['v'].dataType.simpleString()}")
         names = names.groupBy("c", "r").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
         # 2j values below cut j, 2j + 1 those equal to it: a part always has fewer distinct values
@@ -133,7 +133,7 @@ def _narrowed(spark, table: DataFrame, below: dict[tuple[int, int], int],
                     keep.append((c, r, part, number))
                     new_below[c, number], new_wanted[c, number] = at, mine
                 at += w
-        kept = small_table(spark, keep, "c int, r int, part int, number int")
+        kept = text_table(spark, keep, "c int, r int, part int, number int")
         path = scratch_path(spark, "quantiles")
         (parted.join(F.broadcast(kept), ["c", "r", "part"]).select("c", F.col("number").alias("r"), "v", "w")
          .write.parquet(path))

@@ -9,6 +9,7 @@ one-partition plan instead: no Python worker, one task.
 from __future__ import annotations
 
 import datetime as _dt
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def text_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """``rows`` of numbers and texts by way of one JSON literal: for some thousands of rows, where a literal per
+    cell would make a plan too large. Doubles come back bit by bit, infinities and NaN included."""
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    body = json.dumps([dict(zip(names, row)) for row in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(body), f"array<struct<{schema_of(schema)}>>", {"mode": "FAILFAST"})))
+
+
+def schema_of(schema: str) -> str:
+    """A DDL field list as the inside of a struct type."""
+    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema).fields)
+
+
 def _literal(value, dtype: T.DataType) -> Column:
     if value is None:
         return F.lit(None).cast(dtype)

@@ -67,3 +67,12 @@ def test_strict_convert_without_ansi(spark):
         assert [r.s for r in convert_type(df.where("s != 'x'"), "s", "int").collect()] == [1]
     finally:
         spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_text_table_is_exact(spark):
+    from lakeprep.small import text_table
+    rows = [(1, 0.1 + 0.2, "a 'b' \\ \"c\" é\n"), (2, float("inf"), None), (3, -0.0, ""), (-2 ** 62, 5e-324, "x")]
+    got = [tuple(r) for r in text_table(spark, rows, "n long, x double, s string").collect()]
+    assert got == rows and str(got[2][1]) == "-0.0"
+    assert text_table(spark, [], "n long").count() == 0
+    assert str(text_table(spark, [(float("nan"),)], "x double").first()[0]) == "nan"
