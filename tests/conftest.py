@@ -28,6 +28,20 @@ def tmpdir_path():
     return tempfile.mkdtemp(prefix="lakeprep-t-")
 
 
+def task_totals(spark, action, counter: str) -> int:
+    """Sum of a counter over the tasks of the stages that ``action`` starts (``inputRecords``, ``shuffleWriteBytes``)."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+        return [found.apply(i) for i in range(found.length())]
+    last = max((s.stageId() for s in stages()), default=-1)          # the store forgets old stages
+    action()
+    return sum(getattr(s, counter)() for s in stages() if s.stageId() > last)
+
+
 def rows(df, order=None):
     data = [tuple(r) for r in df.collect()]
     return sorted(data, key=lambda t: tuple((x is None, str(x)) for x in t)) if order is None else data

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from lakeprep import operators as ops
 from lakeprep.operators import fingerprints
 
+from conftest import task_totals
+
 
 def table(spark, copies=True):
     rows = [(i, f"text {i}", float(i)) for i in range(60)] + [(None, "a", None), ("".strip() or None, None, float("nan")), (None, None, None)]
@@ -46,16 +48,7 @@ def test_equal_fingerprints_of_different_rows(spark, monkeypatch):
 
 
 def shuffled(spark, action) -> int:
-    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
-    none = gateway.jvm.java.util.ArrayList()
-
-    def written() -> int:
-        sc.listenerBus().waitUntilEmpty()
-        stages = sc.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
-        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.length()))
-    before = written()
-    action()
-    return written() - before
+    return task_totals(spark, action, "shuffleWriteBytes")
 
 
 def test_shuffle_does_not_grow_with_the_width_of_rows(spark):

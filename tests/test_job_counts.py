@@ -7,7 +7,7 @@ import pytest
 from lakeprep import operators as ops
 from lakeprep.sources.text import infer_types, null_tokens_to_null
 
-from conftest import SF_SMALL
+from conftest import SF_SMALL, task_totals
 
 
 def jobs(spark, action) -> int:
@@ -48,16 +48,7 @@ def test_fill_is_two_passes(spark, orders):
 
 def scans(spark, table, action) -> float:
     """How many times ``action`` reads ``table``'s rows, by the tasks' input counters."""
-    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
-    none = gateway.jvm.java.util.ArrayList()
-
-    def read() -> int:
-        sc.listenerBus().waitUntilEmpty()
-        stages = sc.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
-        return sum(stages.apply(i).inputRecords() for i in range(stages.length()))
-    rows, before = table.count(), read()
-    action()
-    return (read() - before) / rows
+    return task_totals(spark, action, "inputRecords") / table.count()
 
 
 def test_describe_reads_twice_whatever_the_columns(spark):

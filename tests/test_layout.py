@@ -15,7 +15,7 @@ from lakeprep.sinks.files import land_csv, store_parquet, write_parquet
 from lakeprep.sinks.tables import store_table
 from lakeprep.sources.jdbc import balanced_ranges, count_sql, range_predicates, read_jdbc
 
-from conftest import SF_SMALL
+from conftest import SF_SMALL, task_totals
 
 
 def crowded(spark, n=40_000):
@@ -94,16 +94,7 @@ def test_rebalanced_stores_have_few_even_files(spark):
 
 
 def rows_read(spark, action) -> int:
-    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
-    none = gateway.jvm.java.util.ArrayList()
-
-    def read() -> int:
-        sc.listenerBus().waitUntilEmpty()
-        stages = sc.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
-        return sum(stages.apply(i).inputRecords() for i in range(stages.length()))
-    before = read()
-    action()
-    return read() - before
+    return task_totals(spark, action, "inputRecords")
 
 
 def test_lookups_skip_row_groups(spark):
