@@ -288,20 +288,20 @@ def _solve(percent: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of related sets, each once a task; a row whose text is not the wanted set goes."""
+    """The shingles of related sets, each once a task."""
     known: set[int] = set()
     for batch in batches:
-        wanted, found = batch.column(1).to_pylist(), []
-        sets: list = [None] * len(wanted)
-        for i, want in enumerate(wanted):
-            if want not in known:
-                sets[i] = shingle_set(batch.column(0)[i].as_py(), WORDS)
-                if signature(sets[i])[0] == want:
-                    known.add(want)
-                    found.append(i)
-        keep = pa.array(found, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(keep) for k in (1, 2, 3)),
-                                          pa.array([sets[i].tobytes() for i in keep.to_pylist()], pa.binary())],
+        rows, ids, sets = [], [], []
+        for i, text in enumerate(batch.column(0)):
+            own = shingle_set(text.as_py(), WORDS)
+            s = signature(own)[0]
+            if s not in known:
+                known.add(s)
+                rows.append(i)
+                ids.append(s)
+                sets.append(own.tobytes())
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(1).take(at), batch.column(2).take(at), pa.array(sets, pa.binary())],
                                          ["s", "component", "blocks", "shingles"])
 
 
@@ -340,14 +340,15 @@ def jaccard_components(df: DataFrame, percent: int = 80, key: str = "doc_id", te
              .mapInArrow(_plausible(percent), "a long, b long"))
     related = components(candidates.where("not pair").select("a", "b").unionByName(pairs))
 
-    member = (classes.select(F.col("s1").alias("id"), "n", "first", "th").join(related, "id"))
+    # one row of each related set, found again by its id and text
+    member = classes.select(F.col("s1").alias("id"), "n", F.xxhash64("first", "th").alias("row")).join(related, "id")
     heavy = member.groupBy("component").agg(F.sum("n").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
     member = member.join(heavy, "component").withColumn("blocks", F.greatest(
         F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("long"))
     member = stage(member.withColumnRenamed("id", "s"), "related-sets")
     total = max(1, math.ceil((member.agg(F.sum("n").alias("w")).first()["w"] or 0) / BLOCK_SHINGLES))
-    wanted = member.select(F.col("first").alias("id"), "th", F.col("s").alias("want"), "component", "blocks")
-    sets = (docs.join(wanted, ["id", "th"]).select("text", "want", "component", "blocks")
+    wanted = member.select("row", "component", "blocks")
+    sets = (docs.select("text", F.xxhash64("id", "th").alias("row")).join(wanted, "row").select("text", "component", "blocks")
             .mapInArrow(_sets, "s long, component long, blocks long, shingles binary"))
     own = F.pmod(F.xxhash64("s"), F.col("blocks"))
     other = F.explode(F.expr("transform(sequence(0L, blocks - 1), x -> x)")).alias("other")
