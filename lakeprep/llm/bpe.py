@@ -86,7 +86,11 @@ def from_ranks(path: str) -> Vocabulary:
 def from_merges(path: str) -> Vocabulary:
     """A JSON file of byte-level merges: only the listed pairs merge, in the listed order."""
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        return from_model(json.load(file)["model"])
+
+
+def from_model(model: dict) -> Vocabulary:
+    """The same from the file's ``model``."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]     # bytes that stand for themselves
     hidden = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(hidden)}
@@ -161,6 +165,16 @@ def _merge_rows(vocab: Vocabulary, pieces: list[bytes], width: int) -> list[byte
     return [packed[e - 4 * c:e] for e, c in zip(ends.tolist(), counts.tolist())]
 
 
+def merges_give_tokens(vocab: Vocabulary, ids: Iterable[int]) -> bool:
+    """Whether the bytes of each token merge to that token, which makes looking whole pieces up right."""
+    by_width: dict[int, list[int]] = {}
+    for i in ids:
+        if len(vocab.tokens[i]) > 1:
+            by_width.setdefault(1 << (len(vocab.tokens[i]) - 1).bit_length(), []).append(i)
+    return all(_merge_rows(vocab, [vocab.tokens[i] for i in own], width) == [i.to_bytes(4, "little") for i in own]
+               for width, own in by_width.items())
+
+
 def _merge_long(vocab: Vocabulary, piece: bytes) -> bytes:
     """The same for one long piece, on lists."""
     n = len(piece)

@@ -13,6 +13,11 @@ encodings start a word at and that is proven to be a boundary of the whole text'
 * Models (``sentencepiece``): no piece of the vocabulary holds a space mark after another character, so no
   merge crosses a place where a space follows a visible ASCII character.
 
+Texts whose code points lie below ``PLAIN`` are counted by a compiled encoder of the same merges where the file
+is plain byte-level BPE (``plain_tables``): all classes of the splitting pattern agree there (tested for each
+code point), and the driver checks that the bytes of every token merge to that token. Other texts, other files
+and all chunks go through the library itself.
+
 A tokenizer without such a proof (unknown normalisers, patterns that look behind, special strings that take
 white space with them) is never cut. Where an overlap holds no common boundary (a word of thousands of
 characters), stride and overlap of that document grow by ``WIDEN`` and it is tried again, until the text is
@@ -34,13 +39,19 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import stage, worker_cache
 
 STRIDE, OVERLAP, WIDEN, CHARS_AT_ONCE = 32_768, 1_024, 4, 400_000
+#: First code point that is left to the library, and the library's own splitting pattern (fixed value).
+PLAIN = 0x250
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BEYOND = re.compile(f"[^\\x00-{chr(PLAIN - 1)}]")
 #: Chunks a task encodes, while there are fewer than ``MOST_TASKS`` tasks' worth.
 CHUNKS_A_TASK, MOST_TASKS = 32, 20_000
 
@@ -52,7 +63,7 @@ Spans = tuple[list[tuple[int, int]], int]
 class JsonEncoder:
     """The ``tokenizers`` library on one JSON file. Offsets are characters."""
 
-    def __init__(self, content: str) -> None:
+    def __init__(self, content: str, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"              # a task has one core
         from tokenizers import Tokenizer
         config = json.loads(content)
@@ -61,12 +72,21 @@ class JsonEncoder:
         self.normalised = config.get("normalizer") is not None
         self.can_cut = json_can_cut(config)
         self.guard = 8 + max((len(t["content"]) for t in config.get("added_tokens", [])), default=0)
+        self._plain = None
+        if plain:
+            import tiktoken
+            ranks, special = plain_tables(config)
+            self._plain = tiktoken.Encoding("plain", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
 
     def size(self, text: str) -> int:
         return len(text)
 
     def counts(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        rest = texts if self._plain is None else [t for t in texts if _BEYOND.search(t)]
+        others = iter(self._tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        if self._plain is None:
+            return [len(e) for e in others]
+        return [len(next(others)) if _BEYOND.search(t) else len(self._plain.encode_to_numpy(t, allowed_special="all")) for t in texts]
 
     def spans(self, text: str, head: int, tail: int) -> Spans:
         found = self._tokenizer.encode(text, add_special_tokens=False)
@@ -141,16 +161,38 @@ def json_can_cut(config: dict) -> bool:
     return bool(splits) and not (config["model"].get("dropout") or 0)
 
 
+def plain_tables(config: dict) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """Token ids by bytes and special strings of a file that is plain byte-level BPE with merges in order of ids."""
+    split, model, added = config.get("pre_tokenizer") or {}, config["model"], config.get("added_tokens", [])
+    if (config.get("normalizer") is not None or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]
+            or not json_can_cut(config) or model["type"] != "BPE" or model.get("ignore_merges")
+            or any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback"))
+            or any(a is not b and a["content"].startswith(b["content"]) for a in added for b in added)):
+        return None
+    vocab, special = bpe.from_model(model), {t["content"]: t["id"] for t in added}
+    if np.any(np.diff(vocab.merged[np.argsort(vocab.ranks)]) <= 0):
+        return None
+    return {t: i for i, t in enumerate(vocab.tokens) if t and i not in special.values()}, special
+
+
+def plain_holds(content: str) -> bool:
+    """Whether a compiled encoder gives this JSON file's counts; takes a second or two, once on the driver."""
+    config = json.loads(content)
+    tables = plain_tables(config)
+    return tables is not None and bpe.merges_give_tokens(bpe.from_model(config["model"]), tables[0].values())
+
+
 def encoder(path: str) -> Callable[[], JsonEncoder | ModelEncoder]:
     """A maker of the file's encoder; the driver reads the file, Python workers build the encoder once each."""
     with open(path, "rb") as file:
         content = file.read()
     mark = hashlib.sha256(content).hexdigest()
+    plain = not path.endswith(".model") and plain_holds(content.decode())
 
     def make() -> JsonEncoder | ModelEncoder:
         made = worker_cache()
         if mark not in made:
-            made[mark] = ModelEncoder(content) if path.endswith(".model") else JsonEncoder(content.decode())
+            made[mark] = ModelEncoder(content) if path.endswith(".model") else JsonEncoder(content.decode(), plain)
         return made[mark]
     return make
 

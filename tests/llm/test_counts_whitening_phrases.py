@@ -87,6 +87,29 @@ def test_token_counts_of_random_cuts_never_guess():
         assert spliced > 5
 
 
+def test_compiled_counts_equal_the_library_at_every_code_point():
+    tool, count = token_count.encoder(public_tokenizers.path("byte_bpe_50k.json"))(), library("byte_bpe_50k.json")
+    assert tool._plain is not None and token_count.encoder(public_tokenizers.path("word_bpe_49k.json"))()._plain is None
+    texts = [t for c in map(chr, range(token_count.PLAIN + 20)) for t in (c, f"a{c}b", f" {c}{c} x", f"{c}'s {c}", f"1{c}2 {c}\n {c}", f"é{c}<|endoftext|>{c} ")]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice([chr(rng.randrange(token_count.PLAIN)), " ", "'ll", "the", "\n"]) for _ in range(60)) for _ in range(3000)]
+    assert tool.counts(texts) == [count(t) for t in texts]
+    assert sum(bool(token_count._BEYOND.search(t)) for t in texts) == 6 * 20
+
+
+def test_files_that_are_not_plain_go_to_the_library():
+    import json
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        config = json.load(file)
+    assert token_count.plain_holds(json.dumps(config))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": config["pre_tokenizer"] | {"add_prefix_space": True}}):
+        assert not token_count.plain_holds(json.dumps(config | change))
+    swapped = config["model"] | {"merges": config["model"]["merges"][1:2] + config["model"]["merges"][:1] + config["model"]["merges"][2:]}
+    assert not token_count.plain_holds(json.dumps(config | {"model": swapped}))
+    fewer = config["model"] | {"merges": config["model"]["merges"][1:]}          # a token that no merge gives
+    assert not token_count.plain_holds(json.dumps(config | {"model": fewer}))
+
+
 def test_tokenizers_without_a_proof_are_not_cut():
     import json
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
