@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, sigmoid, stage
+from .common import labelled_sample, sigmoid, smallest_by_hash, stage
 
 MAX_POSITIVE, MAX_UNLABELLED = 8000, 16000
 BINS, RIDGE, STEPS = 8, 1e-4, 400
@@ -219,8 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_positi
     rows = stage(docs.select(F.col("doc_id").cast("string").alias("id"), stats(F.coalesce("text", F.lit(""))).alias("x"))
                  .select("id", half.alias("half"), "x"), "quality-statistics")
     # one row an id, the smallest of repeated ones, in the order of a hash
-    some = (rows.where("id is not null").groupBy("id", "half").agg(F.min("x").alias("x"))
-            .orderBy(F.xxhash64("id", F.lit("unlabelled")), "id").limit(max_unlabelled).collect())
+    some = smallest_by_hash(rows.where("id is not null").groupBy("id", "half").agg(F.min("x").alias("x")),
+                            ["id", F.lit("unlabelled")], max_unlabelled)
     if min(len(positive), len(some)) < 2:
         return BinnedModel([], np.zeros(0), 0.0)
     p = np.array(sorted(r["x"] for r in positive))
