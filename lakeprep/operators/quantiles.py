@@ -7,9 +7,9 @@ every value of every column into a region, between the intervals or inside one,
 themselves, all others per region. The counts prove the ranks of the intervals; the values inside are read off.
 
 The counting is one aggregate with a map-side part, so a value that holds a third of the rows is one row per
-task. If more than ``FEW`` distinct values of all columns together lie inside, the counted values, a few
-thousandths of the rows, are written out and narrowed there by cutting each interval into ``PARTS`` until they
-are few; the input is not read again. A rank outside its interval (a sketch beyond its bound) is looked for
+task. The counted values, a few thousandths of the rows, are written out, so the input is read once for them. If
+more than ``FEW`` distinct values of all columns together lie inside, they are narrowed there by cutting each
+interval into ``PARTS`` until they are few. A rank outside its interval (a sketch beyond its bound) is looked for
 between the intervals in the same way.
 
 Ranks follow the usual "linear" definition (pandas ``quantile``, DuckDB ``quantile_cont``): position
@@ -81,22 +81,29 @@ def _joined(intervals: Sequence[tuple]) -> list[tuple]:
     return out
 
 
-def _region(v: Column, intervals: Sequence[tuple]) -> Column:
-    """2k below interval k and above the one before, 2k + 1 inside it."""
-    out = F.lit(2 * len(intervals))
-    for k in range(len(intervals) - 1, -1, -1):
-        lo, hi = intervals[k]
-        out = F.when(v < F.lit(lo), 2 * k).when(v <= F.lit(hi), 2 * k + 1).otherwise(out)
+def _region(v: Column, bounds: Sequence[tuple[Column, Column]]) -> Column:
+    """2k below interval k and above the one before, 2k + 1 inside it; intervals that a column lacks have null bounds."""
+    out = F.lit(2 * len(bounds))
+    for k in range(len(bounds) - 1, -1, -1):
+        lo, hi = bounds[k]
+        out = F.when(lo.isNull(), 2 * k).when(v < lo, 2 * k).when(v <= hi, 2 * k + 1).otherwise(out)
     return out
 
 
 def _counted(df: DataFrame, values: Sequence[Column], intervals: dict[int, list[tuple]]) -> DataFrame:
-    """``(c, r, v, w)``: rows by column and region, those inside an interval by value too."""
-    each = []
-    for c, own in intervals.items():
-        region = F.when(values[c].isNotNull(), _region(values[c], own))
-        each.append(F.struct(F.lit(c).alias("c"), region.alias("r"), F.when(region % 2 == 1, values[c]).alias("v")))
-    return df.select(F.inline(F.array(*each))).where(F.col("r").isNotNull()).groupBy("c", "r", "v").agg(F.count(F.lit(1)).alias("w"))
+    """``(c, r, v, w)``: rows by column and region, those inside an interval by value too.
+
+    The columns become rows before they are compared and the bounds come from a small broadcast table, so one
+    short expression serves all columns: written out column by column it outgrows what the JVM compiles.
+    """
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), values[c].alias("v")) for c in intervals]))).where(F.col("v").isNotNull())
+    most, kind = max(map(len, intervals.values())), each.schema["v"].dataType.simpleString()
+    names = [name for k in range(most) for name in (f"lo{k}", f"hi{k}")]
+    table = [(c, *[x for pair in own for x in pair], *[None] * (2 * (most - len(own)))) for c, own in intervals.items()]
+    bounds = text_table(df.sparkSession, table, ", ".join(["c int", *[f"{name} {kind}" for name in names]]))
+    region = _region(F.col("v"), [(F.col(f"lo{k}"), F.col(f"hi{k}")) for k in range(most)])
+    placed = each.join(F.broadcast(bounds), "c").select("c", region.alias("r"), "v")
+    return placed.groupBy("c", "r", F.when(F.col("r") % 2 == 1, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("w"))
 
 
 def _narrowed(spark, table: DataFrame, below: dict[tuple[int, int], int],
@@ -157,13 +164,12 @@ def values_at_ranks(df: DataFrame, values: Sequence[Column], ranks: Sequence[Seq
     todo = {c: sorted(set(own)) for c, own in enumerate(ranks) if own}
     intervals = {c: _joined(sketches[c].intervals) for c in todo}
     while todo:
-        counted = _counted(df, values, intervals)
+        path = scratch_path(spark, "quantiles")
+        _counted(df, values, intervals).write.parquet(path)            # once: a look at some rows would count them all
+        counted = spark.read.parquet(path)
         rows = counted.limit(FEW + 1).collect()
         few = len(rows) <= FEW
         if not few:
-            path = scratch_path(spark, "quantiles")
-            counted.write.parquet(path)
-            counted = spark.read.parquet(path)
             rows = counted.groupBy("c", "r").agg(F.sum("w").alias("w")).collect()     # a few regions a column
         weight: dict[tuple[int, int], int] = {}
         for x in rows:

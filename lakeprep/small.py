@@ -21,7 +21,7 @@ def text_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> Da
     """``rows`` of numbers and texts by way of one JSON literal: for some thousands of rows, where a literal per
     cell would make a plan too large. Doubles come back bit by bit, infinities and NaN included."""
     names = [f.name for f in T.StructType.fromDDL(schema).fields]
-    body = json.dumps([dict(zip(names, row)) for row in rows])
+    body = json.dumps([dict(zip(names, row)) for row in rows], default=str)
     return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(body), f"array<struct<{schema_of(schema)}>>", {"mode": "FAILFAST"})))
 
 

@@ -145,6 +145,16 @@ def test_quantiles_outside_their_interval_are_found(spark, monkeypatch):
                 assert v == pytest.approx(float(np.quantile(values, p)), rel=1e-12, abs=1e-12)
 
 
+def test_quantiles_of_decimals_and_of_columns_with_unlike_intervals(spark, monkeypatch):
+    df = spark.range(101).selectExpr("cast(id as decimal(12,2)) / 4 as a", "if(id < 3, cast(id as decimal(12,2)) / 4, null) as b", "cast(null as decimal(18,8)) as c")
+    cols = [F.col(c).cast("decimal(18,8)") for c in "abc"]
+    for few in (20_000, 3):
+        monkeypatch.setattr(q, "FEW", few)
+        for small in (5_000, 1):
+            monkeypatch.setattr(q, "SMALL", small)
+            assert q.exact_quantiles(df, cols, [101, 3, 0], [0.5, 1.0]) == [{0.5: 12.5, 1.0: 25.0}, {0.5: 0.25, 1.0: 0.5}, {0.5: None, 1.0: None}]
+
+
 def test_quantiles_with_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(q, "FEW", 50)
     rng = np.random.default_rng(7)

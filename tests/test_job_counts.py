@@ -1,5 +1,8 @@
 """How many Spark jobs each operator costs (the "one pass" claims of the README)."""
 
+import os
+import statistics
+import tempfile
 import uuid
 
 import pytest
@@ -65,3 +68,15 @@ def test_describe_reads_three_times_with_many_values(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "FEW", 40)
     lineitem = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
     assert scans(spark, lineitem, lambda: ops.describe_numeric(lineitem, ["l_orderkey", "l_extendedprice"]).collect()) < 3.2
+
+
+def test_describe_counts_many_values_in_one_pass(spark, monkeypatch):
+    """Moments and sketch, one counting pass, and the counted values (some hundredths of so small a table) again."""
+    from lakeprep.operators import quantiles
+    monkeypatch.setattr(quantiles, "FEW", 40)
+    df = spark.range(20_000).selectExpr("cast(id * 7919 % 20011 as double) as a", "id % 5 as b")
+    path = os.path.join(tempfile.mkdtemp(prefix="lakeprep-t-"), "t")
+    df.write.parquet(path)
+    table = spark.read.parquet(path)
+    assert scans(spark, table, lambda: ops.describe_numeric(table, ["a", "b"]).collect()) < 2.5
+    assert [r["p50"] for r in ops.describe_numeric(table, ["a", "b"]).collect()] == [statistics.median(x) for x in zip(*table.collect())]
