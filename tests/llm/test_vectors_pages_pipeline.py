@@ -312,6 +312,39 @@ def test_main_text_decides_what_main_holds_beside_an_article(spark):
     assert got == {k: "\n".join((a, b, quote, c)) for k, (a, b, c) in enumerate(parts)} | {9: "\n".join((parts[0][0], parts[0][1], quote, box, parts[0][2]))}
 
 
+@pytest.mark.parametrize("shard_pages", [2000, 2])
+def test_main_text_decides_sections_of_articles_by_the_host(spark, monkeypatch, shard_pages):
+    """Every page passes the suffix arrays: a section whose class may mean either stays if it is the page's own."""
+    monkeypatch.setattr(html_text, "SHARD_PAGES", shard_pages)
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    nav, board, names = words(12), words(20), ["notice-board", "menu-items", "related-work", "page-banner"]
+    page = lambda k, own: (f"<nav>{nav}</nav><article><p>{texts[k]}<div class='{names[k % 4]}'>{own}</div>"
+                           f"<div class='main-notice'><p>{board[:40]}<p>{board[40:]}</div><div class='related-box'>More here</div><p>{ends[k]}</article>")
+    texts, ends, lists = [words(30) for _ in range(6)], [words(15) for _ in range(6)], [[words(4), words(3), words(9 * (k % 2))] for k in range(6)]
+    owns = ["".join(f"<li>{x}" for x in own) for own in lists]
+    df = spark.createDataFrame([(k, f"http://one.org/{k}", page(k, owns[k])) for k in range(6)]
+                               + [(6, "http://one.org/0?copy", page(0, owns[0])), (7, "http://two.org/", page(0, owns[0]))], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text"], r["n_repeated"]) for r in html_text.main_text(df).collect()}
+    whole = ["\n".join([texts[k], *filter(None, lists[k]), ends[k]]) for k in range(6)]
+    alone = "\n".join([texts[0], *filter(None, lists[0]), board[:40].strip(), board[40:].strip(), "More here", ends[0]])
+    size = [len(x.split()) for x in (nav, board, "More here")]
+    assert got == {k: (whole[k % 6], sum(size)) for k in range(7)} | {7: (alone, 0)}
+    assert html_text.blocks(page(0, owns[0]))[2][0] in html_text.LISTED
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<main><p>Food<div class='menu-items'><li>Soup 5<li>Fish 9</div></main>", "Food\nSoup 5\nFish 9"),
+    ("<article><p>A<div class='related-work'><p>Of others</div><p>B</article>", "A\nOf others\nB"),
+    ("<article><p>A<div class='notice-board'><p>Of the town</div><div class='ad-banner'>Buy</div><div class='menu'>M</div></article>", "A\nOf the town"),
+    ("<article><p>A<div class='related-posts'><p>Own<article>Teaser</article></div><aside>No</aside></article>", "A\nOwn"),
+    ("<article><p>A <span class='search-term'>b</span></article><div class='menu-items'>No</div>", "A"),
+    ("<main><p>A<div class='related-work'>Out</div><article><p>Whole</article></main>", "A\nWhole"),
+])
+def test_class_words_of_two_meanings_break_ties(spark, page, text):
+    assert html_text.main_text(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()["text"] == text
+
+
 def test_pipeline_keeps_other_texts_of_an_id(spark):
     import corpus_pipeline as cp
     long = "one two three four five six seven eight nine ten eleven twelve"
