@@ -301,6 +301,54 @@ def test_jaccard_long_lists_and_blocks_lose_no_link(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_jaccard_common_shingles_relate_no_sets(spark, monkeypatch):
+    """Runs of words that unrelated texts share, more of them than the order of shingles knows."""
+    for name, value in (("LONG_LIST", 3), ("RANKED", 0), ("FREQUENT", 0)):
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    rng = random.Random(3)
+    runs = [" ".join(f"r{i}x{k}" for k in range(5)) for i in range(12)]
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + " " + " ".join(rng.sample(runs, 8)) for _ in range(60)]
+    texts.append(texts[0] + " end")
+    seen, stage = {}, jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, label: seen.setdefault(label, stage(df, label)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(table(spark, texts)).collect()}
+    assert got == brute_components(texts) and got[60][1] == 0
+    assert seen["candidates"].where("not pair").count() > 60
+    assert seen["related-sets"].count() == 2
+
+
+def test_near_sets_join_what_parities_allow():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        sets = []
+        for _ in range(rng.integers(1, 6)):
+            base = rng.integers(0, 1 << 62, rng.integers(4, 300)).astype(np.uint64)
+            sets += [np.unique(np.concatenate([base[rng.random(len(base)) < 0.93], rng.integers(0, 1 << 62, rng.integers(1, 9)).astype(np.uint64)]))
+                     for _ in range(rng.integers(1, 9))]
+        sets.sort(key=len)
+        sizes, bits = np.array([len(x) for x in sets], np.int64), [jaccard.parity(x) for x in sets]
+        for percent in (50, 80):
+            def parts(edges):
+                part = list(range(len(sets)))
+                for a, b in edges:
+                    part = [part[a] if x == part[b] else x for x in part]
+                return {tuple(i for i, x in enumerate(part) if x == y) for y in part}
+            brute = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard.may_link(bits[i], bits[j], len(sets[i]), len(sets[j]), percent)
+                     and 100 * len(sets[j]) >= percent * len(sets[i])]
+            found = jaccard.near_sets(np.arange(len(sets)), sizes, bits, percent)
+            assert parts(found) == parts(brute) and len(found) < len(sets)
+
+
+def test_jaccard_order_puts_frequent_shingles_last(spark):
+    common, texts = " ".join(f"c{k}" for k in range(200)), []
+    texts = [common + " " + " ".join(f"d{i}x{k}" for k in range(200)) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "id long, text string, th long")
+    profiles = docs.mapInArrow(jaccard._profiles(80), "id long, th long, n long, s1 long, s2 long, bits binary, bucket int, tokens binary, counts binary")
+    table, below = jaccard._table(profiles), jaccard.counted_below(80)
+    shared, own = (x[x < below] for x in (shingles.shingle_set(common), shingles.shingle_set(" ".join(texts[3].split()[200:]))))
+    assert len(shared) > 30 and (jaccard.levels(table, shared) == 4).all() and (jaccard.levels(table, own) == 0).mean() > 0.9
+
+
 def test_jaccard_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect())
