@@ -357,6 +357,24 @@ def test_pipeline_keeps_other_texts_of_an_id(spark):
     assert cp.one_of_a_group(spark, docs.limit(0), "").count() == 0
 
 
+def test_pipeline_groups_hold_near_copies_only(spark, monkeypatch):
+    """Unrelated documents that share runs of words move to no block of the third stage."""
+    import random
+
+    import corpus_pipeline as cp
+    from lakeprep.llm import jaccard
+    for name, value in (("LONG_LIST", 3), ("RANKED", 0), ("FREQUENT", 0)):
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    rng = random.Random(11)
+    runs = [" ".join(f"r{i}x{k}" for k in range(5)) for i in range(12)]
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + " " + " ".join(rng.sample(runs, 8)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[7] + " end"])], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1 AS n_chars")
+    seen, stage = {}, jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, label: seen.setdefault(label, stage(df, label)))
+    assert sorted(r["doc_id"] for r in cp.one_of_a_group(spark, docs, "").collect()) == list(range(60))
+    assert seen["related-sets"].count() == 2
+
+
 def test_pipeline_stages_on_a_fixture(spark, tmp_path):
     import corpus_pipeline as cp
     sf = "/root/testdata/sf0.01"
